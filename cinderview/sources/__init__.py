@@ -1,0 +1 @@
+"""Readers that turn files into the canonical tables."""
