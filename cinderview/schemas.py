@@ -1,5 +1,19 @@
 """Fixed, tolerant schemas: every field may be missing, unknown fields are ignored."""
 
+
+def as_type(ddl):
+    """A column list (``name TYPE, ...``) as one struct type text."""
+    out, depth = [], 0
+    for part in ddl.replace("\n", " ").split(","):
+        item = part.strip()
+        if depth == 0:
+            name, kind = item.split(" ", 1)
+            item = f"{name}: {kind.strip()}"
+        depth += part.count("<") - part.count(">")
+        out.append(item)
+    return f"STRUCT<{', '.join(out)}>"
+
+
 # Task metrics inside REST task rows.
 _TASK_METRICS = """
 executorRunTime BIGINT, jvmGcTime BIGINT, resultSize BIGINT, memoryBytesSpilled BIGINT, diskBytesSpilled BIGINT,
@@ -49,22 +63,9 @@ REST = {
 }
 
 
-def _as_struct(fields):
-    """``name TYPE`` pairs written on top level as a STRUCT body."""
-    out, depth = [], 0
-    for part in fields.replace("\n", " ").split(","):
-        item = part.strip()
-        if depth == 0:
-            name, kind = item.split(" ", 1)
-            item = f"{name}: {kind}"
-        depth += part.count("<") - part.count(">")
-        out.append(item)
-    return ", ".join(out)
-
-
 REST["tasks"] = f"""taskId BIGINT, index BIGINT, attempt BIGINT, launchTime STRING, duration BIGINT, executorId STRING, host STRING,
     status STRING, taskLocality STRING, speculative BOOLEAN, errorMessage STRING, schedulerDelay BIGINT,
-    taskMetrics STRUCT<{_as_struct(_TASK_METRICS)}>"""
+    taskMetrics {as_type(_TASK_METRICS.strip())}"""
 
 # One streaming progress object; the last field catches text that is no JSON.
 PROGRESS = """id STRING, runId STRING, name STRING, timestamp STRING, batchId BIGINT, batchDuration BIGINT, numInputRows BIGINT,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iso_ms
 from ..operators.threads import frames_of
-from ..schemas import REST
+from ..schemas import REST, as_type
 
 
 def read_entities(spark, path, entity, multi_line=True):
@@ -21,18 +21,11 @@ def read_entities(spark, path, entity, multi_line=True):
 
 def parse_entities(df, entity, col="json"):
     """Rows of one entity from a column that holds a JSON array of objects."""
-    fields = F.from_json(F.col(col), f"ARRAY<{_struct(REST[entity])}>")
+    fields = F.from_json(F.col(col), f"ARRAY<{as_type(REST[entity])}>")
     keep = [c for c in df.columns if c != col]
     return df.select(*keep, F.inline(fields))
 
 
-def _struct(ddl):
-    """A DDL column list as a STRUCT type text."""
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl).simpleString()
-
-
 def _n(name):
     return F.coalesce(F.col(name), F.lit(0))
 
