@@ -13,13 +13,13 @@ STREAMING = "spark.streaming."
 def parse_metrics(df, col="json"):
     """Rows ``key, source, name, kind, value, text, fields, units`` per registry.
 
-    Values stay JSON text until their kind is known, so a number, a flag and a
-    text gauge share one pass over the sections.
+    Values are read as variants: a number, a flag and a text that looks like a
+    number stay apart.
     """
     keep = [c for c in df.columns if c != col]
     parts = []
     for section, kind in SECTIONS:
-        metrics = F.from_json(F.get_json_object(F.col(col), f"$.{section}"), "MAP<STRING, MAP<STRING, STRING>>")
+        metrics = F.from_json(F.get_json_object(F.col(col), f"$.{section}"), "MAP<STRING, MAP<STRING, VARIANT>>")
         parts.append(df.select(*keep, F.lit(kind).alias("kind"), F.explode(metrics).alias("full", "m")))
     rows = union_all(parts)
     place = F.instr("full", DRIVER)
@@ -36,19 +36,27 @@ def parse_metrics(df, col="json"):
     )
     name = F.when(in_stream & tail.isNull(), rest).otherwise(F.coalesce(tail, F.lit("")))
     m = F.col("m")
+    number_of = lambda v: F.when(_is_number(v), F.try_variant_get(v, "$", "double"))
     raw = F.try_element_at(m, F.lit("value"))
-    number = F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(raw.try_cast("double"))
+    flag = F.schema_of_variant(raw) == "BOOLEAN"
+    gauge_value = F.when(flag, F.when(F.try_variant_get(raw, "$", "boolean"), 1.0).otherwise(0.0)).otherwise(number_of(raw))
+    gauge_text = F.when(raw.isNotNull() & ~F.is_variant_null(raw) & gauge_value.isNull(), F.try_variant_get(raw, "$", "string"))
+    units = F.try_element_at(m, F.lit("duration_units"))
     gauge = F.col("kind") == "gauge"
-    others = F.map_filter(m, lambda k, v: (k != "count") & v.try_cast("double").isNotNull())
+    others = F.map_filter(m, lambda k, v: (k != "count") & _is_number(v))
     return rows.select(
         *keep, "key", source.alias("source"), name.alias("name"), "kind",
-        F.when(gauge, number).otherwise(F.try_element_at(m, F.lit("count")).try_cast("double")).alias("value"),
-        F.when(gauge & number.isNull(), raw).alias("text"),
-        F.when(~gauge, F.transform_values(others, lambda k, v: v.try_cast("double"))).alias("fields"),
-        F.when(~gauge, F.try_element_at(m, F.lit("duration_units"))).alias("units"),
+        F.when(gauge, gauge_value).otherwise(number_of(F.try_element_at(m, F.lit("count")))).alias("value"),
+        F.when(gauge, gauge_text).alias("text"),
+        F.when(~gauge, F.transform_values(others, lambda k, v: F.try_variant_get(v, "$", "double"))).alias("fields"),
+        F.when(~gauge & (F.schema_of_variant(units) == "STRING"), F.try_variant_get(units, "$", "string")).alias("units"),
     )
 
 
+def _is_number(v):
+    return F.coalesce(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit(False))
+
+
 # Numbers of a metric that reports read by name.
 NAMED_FIELDS = ["m1_rate", "m5_rate", "mean_rate", "mean", "p50", "p95", "max"]
 

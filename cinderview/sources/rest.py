@@ -142,13 +142,12 @@ def sql(df, *keys):
 def sql_jobs(sql_df, *keys):
     """Bridge of executions and their jobs, with the state the execution lists them in."""
     lists = [("running", "runningJobIds"), ("success", "successJobIds"), ("failed", "failedJobIds")]
-    tagged = [
-        F.transform(
-            F.coalesce(F.col(c), F.array().cast("array<bigint>")),
-            lambda j, s=state: F.struct(F.lit(s).alias("state"), j.alias("job_id")),
-        )
-        for state, c in lists
-    ]
+
+    def tag(state, c):
+        jobs_of = F.coalesce(F.col(c), F.array().cast("array<bigint>"))
+        return F.transform(jobs_of, lambda j: F.struct(F.lit(state).alias("state"), j.alias("job_id")))
+
+    tagged = [tag(state, c) for state, c in lists]
     return sql_df.select(*keys, "execution_id", F.inline(F.concat(*tagged)))
 
 
@@ -212,13 +211,14 @@ ENV_SECTIONS = [
 
 def env_properties(df, *keys):
     """Property pairs as rows ``section, key, value``."""
-    tagged = [
-        F.transform(
-            F.coalesce(F.col(c), F.array().cast("array<array<string>>")),
-            lambda p, s=section: F.struct(F.lit(s).alias("section"), F.get(p, 0).alias("key"), F.get(p, 1).alias("value")),
+
+    def tag(section, c):
+        pairs = F.coalesce(F.col(c), F.array().cast("array<array<string>>"))
+        return F.transform(
+            pairs, lambda p: F.struct(F.lit(section).alias("section"), F.get(p, 0).alias("key"), F.get(p, 1).alias("value"))
         )
-        for section, c in ENV_SECTIONS
-    ]
+
+    tagged = [tag(section, c) for section, c in ENV_SECTIONS]
     return df.select(*keys, F.inline(F.concat(*tagged)))
 
 
