@@ -6,6 +6,7 @@ profile ordinary tables.
 
 from pyspark.sql import functions as F
 
+from ..functions.filters import FILTER_FIELDS, text_filter, with_stage_key
 from ..functions.ordered import order_statistics, top_n, union_all
 from ..functions.text import fixed, ratio_text
 
@@ -229,3 +230,19 @@ def slowest_stages(stages, tasks, measures, n=5):
     # Only the tasks of these stages are measured.
     mine = succeeded(tasks).join(top.select(*STAGE), STAGE, "left_semi")
     return top.join(skew_text(skew(mine, STAGE, measures), STAGE), STAGE, "left")
+
+
+def job_order(jobs):
+    return jobs.orderBy("app_id", F.desc("job_id"))
+
+
+def job_stages(jobs, bridge, stages):
+    """Every job with each of its stages."""
+    return jobs.select("app_id", "job_id").join(bridge, ["app_id", "job_id"]).join(stages, ["app_id", "stage_id"])
+
+
+def stages_of_job(stages, bridge, jobs, job_id=None, needle=""):
+    """Stages of one job (or of every job) that match a text filter."""
+    picked = jobs if job_id is None else jobs.where(F.col("job_id") == job_id)
+    shown = text_filter(with_stage_key(stages), needle, FILTER_FIELDS["stages"])
+    return job_stages(picked, bridge, shown)

@@ -18,8 +18,8 @@ def _as(col, name):
     return (F.col(col) if isinstance(col, str) else col).alias(name)
 
 
-def event_lines(v):
-    """Event log lines of the fixture fleet."""
+def event_lines(v, *kinds):
+    """Event log lines of the fixture fleet: all of them, or some kinds."""
     failed = F.col("status") == "FAILED"
     tasks = _event(
         v.fx_tasks, "SparkListenerTaskEnd", _as("stage_id", "Stage ID"), _as("attempt_id", "Stage Attempt ID"),
@@ -85,7 +85,11 @@ def event_lines(v):
         (F.col("submitted_ms") + F.col("duration_ms")).alias("time"),
         F.when(failed, F.coalesce("error_message", F.lit("failed"))).otherwise("").alias("errorMessage"),
     )
-    return union_all([tasks, start, end, stages, added, removed, excluded, managers, sql_start, sql_end])
+    parts = {
+        "tasks": [tasks], "jobs": [start, end], "stages": [stages], "executors": [added, removed, excluded, managers],
+        "sql": [sql_start, sql_end],
+    }
+    return union_all([df for kind, dfs in parts.items() if not kinds or kind in kinds for df in dfs])
 
 
 def progress_lines(v):
@@ -128,7 +132,7 @@ el_stages AS (
 
 @query("event_log_stages", f"WITH {_EL_STAGES} SELECT * FROM el_stages")
 def event_log_stages(v):
-    s = eventlog.stages(eventlog.events_of(event_lines(v)))
+    s = eventlog.stages(eventlog.events_of(event_lines(v, "tasks", "jobs", "stages")))
     return s.select(
         "app_id", "stage_id", "attempt_id", "status", "num_tasks", "num_complete_tasks", "num_failed_tasks", "executor_run_time",
         "jvm_gc_time", "memory_bytes_spilled", "failure_reason",
@@ -142,7 +146,7 @@ SELECT j.app_id, j.job_id, j.execution_id, j.status, j.description, count(*) * 7
 FROM run_jobs j JOIN fx_job_stages b ON b.app_id = j.app_id AND b.job_id = j.job_id
 JOIN el_stages s ON s.app_id = b.app_id AND s.stage_id = b.stage_id GROUP BY j.app_id, j.job_id, j.execution_id, j.status, j.description""")
 def event_log_jobs(v):
-    j = eventlog.jobs(eventlog.events_of(event_lines(v)))
+    j = eventlog.jobs(eventlog.events_of(event_lines(v, "tasks", "jobs", "stages")))
     return j.select(
         "app_id", "job_id", "execution_id", "status", "description", "num_tasks", "num_completed_tasks", "num_failed_tasks", "num_failed_stages"
     )
@@ -155,7 +159,7 @@ SELECT e.app_id, e.executor_id, e.host_port, e.is_active, e.is_excluded, e.add_m
        coalesce(t.done, 0) AS completed_tasks, coalesce(t.failed, 0) AS failed_tasks, coalesce(t.gc, 0) AS total_gc_time
 FROM fx_executors e LEFT JOIN t ON e.app_id = t.app_id AND e.executor_id = t.executor_id""")
 def event_log_executors(v):
-    e = eventlog.executors(eventlog.events_of(event_lines(v)))
+    e = eventlog.executors(eventlog.events_of(event_lines(v, "tasks", "executors")))
     return e.select(
         "app_id", "executor_id", "host_port", "is_active", "is_excluded", "add_ms", "remove_ms", "remove_reason", "total_cores", "max_memory",
         "completed_tasks", "failed_tasks", "total_gc_time",
@@ -169,7 +173,7 @@ FROM fx_sql q LEFT JOIN (SELECT j.app_id, j.execution_id, count(*) AS jobs, CAST
   FROM fx_jobs j WHERE EXISTS (SELECT 1 FROM fx_job_stages b WHERE b.app_id = j.app_id AND b.job_id = j.job_id) GROUP BY j.app_id, j.execution_id) j
   ON q.app_id = j.app_id AND q.execution_id = j.execution_id""")
 def event_log_sql(v):
-    events = eventlog.events_of(event_lines(v))
+    events = eventlog.events_of(event_lines(v, "jobs", "sql"))
     per = eventlog.sql_jobs(events).groupBy("app_id", "execution_id").agg(
         F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("state") == "failed").alias("failed_jobs")
     )
