@@ -30,9 +30,9 @@ def _lines(df, section, ord_, sub, line):
     )
 
 
-def _or_else(apps, lines, section, text):
-    """A section's lines, or one fallback line for apps that have none."""
-    missing = apps.select("app_id").join(lines.select("app_id").distinct(), "app_id", "left_anti")
+def _or_else(apps, lines, having, section, text):
+    """A section's lines, or one fallback line for apps that do not occur in ``having``."""
+    missing = apps.select("app_id").join(having.select("app_id").distinct(), "app_id", "left_anti")
     return lines.unionByName(_lines(missing, section, 0, "", F.lit(text)))
 
 
@@ -67,7 +67,7 @@ def failure_lines(apps, failures):
     counts = _lines(listed, "Failures", 0, "", count_line)
     top = fl.top_reasons(failures, TOP)
     reasons = _lines(top, "Failures", F.col("rank"), "", _s(F.col("n"), "× ", F.col("reason"), "  (e.g. ", F.col("example"), ")"))
-    return _or_else(apps, counts.unionByName(reasons), "Failures", "none seen")
+    return _or_else(apps, counts.unionByName(reasons), failures, "Failures", "none seen")
 
 
 def stage_lines(apps, stages, tasks, measures):
@@ -79,7 +79,9 @@ def stage_lines(apps, stages, tasks, measures):
         bytes_text(F.col("memory_bytes_spilled") + F.col("disk_bytes_spilled")),
         F.coalesce(F.concat(F.lit(" · SKEW "), F.col("skew")), F.lit("")),
     )
-    return _or_else(apps, _lines(top, "Slowest stages", F.col("rank"), "", line), "Slowest stages", "no stage has run yet")
+    lines = _lines(top, "Slowest stages", F.col("rank"), "", line)
+    busy = stages.where(F.col("executor_run_time") > 0)
+    return _or_else(apps, lines, busy, "Slowest stages", "no stage has run yet")
 
 
 def executor_lines(apps, executors, budgeted):
@@ -98,9 +100,8 @@ def executor_lines(apps, executors, budgeted):
         _s("GC: executor ", ex, " spent ", fixed("gc_percent", 1), "% of task time in GC (worst of ", F.col("of"), ")"),
     )
     heap = _lines(res.heap_pressure(budgeted), "Executors", 3, ex, res.heap_pressure_line(bytes_text))
-    return _or_else(
-        apps, union_all([lost, excluded, gc, heap]), "Executors", "all executors alive, no exclusions, GC under 10%"
-    )
+    lines = union_all([lost, excluded, gc, heap])
+    return _or_else(apps, lines, lines, "Executors", "all executors alive, no exclusions, GC under 10%")
 
 
 def storage_lines(rdds):

@@ -14,10 +14,14 @@ class Views:
 
     def __getattr__(self, name):
         if name in fixtures.VIEWS:
-            return fixtures.view(self.spark, self.sf_dir, name)
-        if name in fixtures.TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        raise AttributeError(name)
+            df = fixtures.view(self.spark, self.sf_dir, name)
+        elif name in fixtures.TABLES:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        else:
+            raise AttributeError(name)
+        # Resolved once per query, however many parts of it read the view.
+        self.__dict__[name] = df
+        return df
 
     def sql(self, text):
         return self.spark.sql(fixtures.with_views(text, lambda t: fixtures.spark_tables(t, self.sf_dir)))

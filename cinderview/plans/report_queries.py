@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import batches as bt, logs, report, stats
+from ..session import written
 from . import batch_queries as bq, failure_queries as fq, log_queries as lq, resource_queries as rq, stage_queries as sq
 from .registry import query
 
@@ -60,9 +61,12 @@ def summary_metrics(v):
 
 
 def summary(v):
+    """The fleet summary; failures and batches feed several sections and are written once."""
+    failures = written(v.spark, fq.fleet_failures(v), "summary-failures")
+    batches = written(v.spark, bq.kept_batches(v), "summary-batches")
     return report.fleet_summary(
-        v.fx_apps, v.fx_jobs, v.fx_stages, v.fx_tasks, v.fx_executors, rq.budgeted(v), v.fx_rdds, fq.fleet_failures(v),
-        bq.kept_batches(v), summary_metrics(v), v.fx_env, sq.MEASURES,
+        v.fx_apps, v.fx_jobs, v.fx_stages, v.fx_tasks, v.fx_executors, rq.budgeted(v), v.fx_rdds, failures, batches,
+        summary_metrics(v), v.fx_env, sq.MEASURES,
     )
 
 
@@ -199,10 +203,11 @@ LEFT JOIN n_lines l ON k.app_id = l.app_id AND k.query_id = l.query_id AND k.bat
 def batch_report(v):
     # Only executions know these batches; no progress was reported for them.
     progress = v.fx_progress.limit(0)
-    batches = bt.retain_batches(bt.merge_batches(progress, v.sql(_DESCRIBED)))
+    batches = written(v.spark, bt.retain_batches(bt.merge_batches(progress, v.sql(_DESCRIBED))), "report-batches")
+    failures = written(v.spark, fq.fleet_failures(v), "report-failures")
     lines = v.fx_log_lines
     slices = logs.batch_log_slice(bt.with_window(batches), lines)
-    rows = report.batch_report(batches, v.fx_jobs, v.fx_job_stages, fq.fleet_failures(v), v.fx_sql, lines, slices)
+    rows = report.batch_report(batches, v.fx_jobs, v.fx_job_stages, failures, v.fx_sql, lines, slices)
     return rows.select("app_id", "query_id", "batch_id", "status", "duration_ms", "slow", "vs_mean", "stages", "failures", "log_lines")
 
 

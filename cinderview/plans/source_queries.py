@@ -92,6 +92,11 @@ def event_lines(v, *kinds):
     return union_all([df for kind, dfs in parts.items() if not kinds or kind in kinds for df in dfs])
 
 
+def landed_events(v, *kinds):
+    """The fleet's events split by kind once, as a reader of many tables would do."""
+    return eventlog.land_events(eventlog.events_of(event_lines(v, *kinds)), scratch_path(v.spark, "events"))
+
+
 def progress_lines(v):
     iso = F.date_format(F.timestamp_millis("started_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     mark = F.date_format(F.timestamp_millis("watermark_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -132,7 +137,7 @@ el_stages AS (
 
 @query("event_log_stages", f"WITH {_EL_STAGES} SELECT * FROM el_stages")
 def event_log_stages(v):
-    s = eventlog.stages(eventlog.events_of(event_lines(v, "tasks", "jobs", "stages")))
+    s = eventlog.stages(landed_events(v, "tasks", "jobs", "stages"))
     return s.select(
         "app_id", "stage_id", "attempt_id", "status", "num_tasks", "num_complete_tasks", "num_failed_tasks", "executor_run_time",
         "jvm_gc_time", "memory_bytes_spilled", "failure_reason",
@@ -146,7 +151,7 @@ SELECT j.app_id, j.job_id, j.execution_id, j.status, j.description, count(*) * 7
 FROM run_jobs j JOIN fx_job_stages b ON b.app_id = j.app_id AND b.job_id = j.job_id
 JOIN el_stages s ON s.app_id = b.app_id AND s.stage_id = b.stage_id GROUP BY j.app_id, j.job_id, j.execution_id, j.status, j.description""")
 def event_log_jobs(v):
-    j = eventlog.jobs(eventlog.events_of(event_lines(v, "tasks", "jobs", "stages")))
+    j = eventlog.jobs(landed_events(v, "tasks", "jobs", "stages"))
     return j.select(
         "app_id", "job_id", "execution_id", "status", "description", "num_tasks", "num_completed_tasks", "num_failed_tasks", "num_failed_stages"
     )
@@ -159,7 +164,7 @@ SELECT e.app_id, e.executor_id, e.host_port, e.is_active, e.is_excluded, e.add_m
        coalesce(t.done, 0) AS completed_tasks, coalesce(t.failed, 0) AS failed_tasks, coalesce(t.gc, 0) AS total_gc_time
 FROM fx_executors e LEFT JOIN t ON e.app_id = t.app_id AND e.executor_id = t.executor_id""")
 def event_log_executors(v):
-    e = eventlog.executors(eventlog.events_of(event_lines(v, "tasks", "executors")))
+    e = eventlog.executors(landed_events(v, "tasks", "executors"))
     return e.select(
         "app_id", "executor_id", "host_port", "is_active", "is_excluded", "add_ms", "remove_ms", "remove_reason", "total_cores", "max_memory",
         "completed_tasks", "failed_tasks", "total_gc_time",
@@ -173,7 +178,7 @@ FROM fx_sql q LEFT JOIN (SELECT j.app_id, j.execution_id, count(*) AS jobs, CAST
   FROM fx_jobs j WHERE EXISTS (SELECT 1 FROM fx_job_stages b WHERE b.app_id = j.app_id AND b.job_id = j.job_id) GROUP BY j.app_id, j.execution_id) j
   ON q.app_id = j.app_id AND q.execution_id = j.execution_id""")
 def event_log_sql(v):
-    events = eventlog.events_of(event_lines(v, "jobs", "sql"))
+    events = landed_events(v, "jobs", "sql")
     per = eventlog.sql_jobs(events).groupBy("app_id", "execution_id").agg(
         F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("state") == "failed").alias("failed_jobs")
     )

@@ -62,3 +62,14 @@ _local_folder = None
 def scratch_path(spark, name):
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark)}/cinderview/{name}-{uuid.uuid4().hex}"
+
+
+def written(spark, df, name):
+    """``df`` as a Parquet table in the shared folder.
+
+    For results that several branches of a report read: they are computed once
+    and survive the loss of executors.
+    """
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
