@@ -21,22 +21,44 @@ def _cols(names):
     return [F.col(n) for n in names]
 
 
-def top_n(df, keys, order, n, salt_on, rank="rank", salts=SALTS):
+def split_by_size(df, keys, whole_key_rows):
+    """Rows of keys with at most ``whole_key_rows`` rows, and rows of larger keys.
+
+    Larger keys are few (at most rows / whole_key_rows, which bounds the
+    broadcast). Without any, adaptive execution drops the second part.
+    """
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole_key_rows)
+    large = F.broadcast(large.select(*[F.col(k).alias(f"_l_{k}") for k in keys]))
+    same = all_of([F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys])
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
+def top_n(df, keys, order, n, salt_on, rank="rank", salts=SALTS, whole_key_rows=None):
     """The first ``n`` rows per ``keys`` in ``order`` (a list of sort Columns).
 
     Two passes: per (keys, salt), then per keys over at most ``salts * n``
-    rows. ``order`` must be total for a deterministic result.
+    rows. With ``whole_key_rows`` keys up to that size take one pass instead;
+    use it where counting rows per key is cheaper than shuffling them twice.
+    ``order`` must be total for a deterministic result.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*_cols(salt_on)), F.lit(salts)))
-    inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        salted.withColumn("_r", F.row_number().over(inner))
-        .where(F.col("_r") <= n)
-        .drop("_salt", "_r")
-        .withColumn(rank, F.row_number().over(outer).cast("long"))
-        .where(F.col(rank) <= n)
-    )
+
+    def ranked(part):
+        return part.withColumn(rank, F.row_number().over(outer).cast("long")).where(F.col(rank) <= n)
+
+    def salted(part):
+        inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        return ranked(
+            part.withColumn("_salt", F.pmod(F.xxhash64(*_cols(salt_on)), F.lit(salts)))
+            .withColumn("_r", F.row_number().over(inner))
+            .where(F.col("_r") <= n)
+            .drop("_salt", "_r")
+        )
+
+    if whole_key_rows is None:
+        return salted(df)
+    small, large = split_by_size(df, keys, whole_key_rows)
+    return ranked(small).unionByName(salted(large))
 
 
 def carried(df, keys, chunks, order, fill=None, lag=None, total=None):
@@ -114,15 +136,10 @@ def order_statistics(df, keys, measures, ranks, whole_key_rows=WHOLE_KEY_ROWS):
     Returns ``keys, metric, n`` and one double column per label. Nulls are not
     counted; a key without values of a measure has no row for it.
 
-    Keys of at most ``whole_key_rows`` rows sort their values in one array.
-    Larger keys are few (at most rows / whole_key_rows, which bounds the
-    broadcast) and go through :func:`_split_order_statistics`.
+    Keys of at most ``whole_key_rows`` rows sort their values in one array;
+    larger keys go through :func:`_split_order_statistics`.
     """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole_key_rows)
-    large = F.broadcast(large.select(*[F.col(k).alias(f"_l_{k}") for k in keys]))
-    same = all_of([F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys])
-    small_rows = df.join(large, same, "left_anti")
-    large_rows = df.join(large, same, "left_semi")
+    small_rows, large_rows = split_by_size(df, keys, whole_key_rows)
 
     arrays = [F.array_sort(F.collect_list(F.col(col).cast("double"))).alias(f"_m{i}") for i, col in enumerate(measures.values())]
     entries = []

@@ -220,17 +220,23 @@ def summary_highlights(summary):
 def stage_report(stages, tasks, stage_executors, measures):
     """One row per stage attempt: totals, locality, median, skew, stragglers, flagged executors."""
     keys = stats.STAGE
-    ok = stats.succeeded(tasks)
-    spread = stats.skew(ok, keys, measures)
-    medians = spread.where(F.col("metric") == "duration").select(*keys, F.col("median").alias("median_ms"), F.col("max").alias("max_ms"))
-    late = stats.stragglers(tasks, keys, "duration_ms", of=ok).groupBy(*keys).agg(F.count(F.lit(1)).alias("stragglers"))
-    flags = stats.executor_flags(stage_executors, keys).where("flagged").groupBy(*keys).agg(F.count(F.lit(1)).alias("flagged_executors"))
+    spread = stats.skew(stats.succeeded(tasks), keys, measures)
+    of_duration = lambda c: F.max(F.when(F.col("metric") == "duration", F.col(c)))
+    per_stage = spread.groupBy(*keys).agg(
+        of_duration("median").alias("median_ms"), of_duration("max").alias("max_ms"), stats.skew_text_of_group().alias("skew")
+    )
+    # Tasks meet their stage's numbers once; the stage row comes out of the same aggregate.
+    measured = (
+        tasks.select(*keys, "duration_ms").join(per_stage, keys, "left").groupBy(*keys).agg(
+            F.count_if(stats.is_straggler("duration_ms", "median_ms")).alias("stragglers"),
+            *[F.max(c).alias(c) for c in ("median_ms", "max_ms", "skew")],
+        )
+    )
+    flags = stats.executor_flags(stage_executors, keys).groupBy(*keys).agg(F.count_if("flagged").alias("flagged_executors"))
     out = (
         stages.withColumn("gc_percent", percent("jvm_gc_time", "executor_run_time"))
         .join(stats.locality(stats.sampled_tasks(tasks, keys), keys).withColumnRenamed("line", "locality"), keys, "left")
-        .join(medians, keys, "left")
-        .join(stats.skew_text(spread, keys), keys, "left")
-        .join(late, keys, "left")
+        .join(measured, keys, "left")
         .join(flags, keys, "left")
     )
     return out.fillna(0, ["stragglers", "flagged_executors"])

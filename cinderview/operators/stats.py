@@ -7,7 +7,7 @@ profile ordinary tables.
 from pyspark.sql import functions as F
 
 from ..functions.filters import FILTER_FIELDS, text_filter, with_stage_key
-from ..functions.ordered import order_statistics, top_n, union_all
+from ..functions.ordered import WHOLE_KEY_ROWS, order_statistics, top_n, union_all
 from ..functions.text import fixed, ratio_text
 
 # Reported quantiles and their labels.
@@ -91,16 +91,17 @@ def with_skew(stats, unit_of, ratio=SKEW_RATIO):
     )
 
 
-def skew_text(skewed, keys):
-    """One text per key: flagged metrics with their ratio, in display order."""
+def skew_text_of_group():
+    """Aggregate over a key's metrics: the flagged ones with their ratio, in display order."""
     rank = F.array_position(F.array(*[F.lit(m) for m, _ in TASK_METRICS]), F.col("metric"))
     item = F.struct(rank.alias("o"), F.concat(F.col("metric"), F.lit(" ×"), ratio_text("ratio")).alias("t"))
-    return (
-        skewed.where("flagged")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(item)).alias("_i"))
-        .select(*keys, F.array_join(F.transform("_i", lambda x: x["t"]), ", ").alias("skew"))
-    )
+    items = F.array_sort(F.collect_list(F.when(F.col("flagged"), item)))
+    return F.nullif(F.array_join(F.transform(items, lambda x: x["t"]), ", "), F.lit(""))
+
+
+def skew_text(skewed, keys):
+    """One text per key that has a flagged metric."""
+    return skewed.groupBy(*keys).agg(skew_text_of_group().alias("skew")).where(F.col("skew").isNotNull())
 
 
 def median_duration(tasks, summary, keys=STAGE, sample=100):
@@ -117,6 +118,10 @@ def median_duration(tasks, summary, keys=STAGE, sample=100):
     )
 
 
+def is_straggler(duration, median, ratio=SKEW_RATIO):
+    return (F.col(median) >= MEDIAN_FLOOR_MS) & (F.col(duration) >= F.col(median) * ratio)
+
+
 def stragglers(df, keys, duration, ratio=SKEW_RATIO, of=None):
     """Rows at least ``ratio`` times the median of their key (medians of 100 ms and more).
 
@@ -125,7 +130,7 @@ def stragglers(df, keys, duration, ratio=SKEW_RATIO, of=None):
     base = df if of is None else of
     medians = quantiles(base, keys, {"d": duration}, {"median_ms": 0.5}).select(*keys, "median_ms")
     late = medians.where(F.col("median_ms") >= MEDIAN_FLOOR_MS)
-    hit = df.join(late, keys).where(F.col(duration) >= F.col("median_ms") * ratio)
+    hit = df.join(late, keys).where(is_straggler(duration, "median_ms", ratio))
     times = F.col(duration) / F.greatest(F.col("median_ms"), F.lit(1.0))
     return hit.withColumn("note", F.concat(F.lit("straggler ×"), fixed(times, 1)))
 
@@ -133,7 +138,7 @@ def stragglers(df, keys, duration, ratio=SKEW_RATIO, of=None):
 def slowest_tasks(tasks, keys, n, order="duration_ms"):
     """The ``n`` longest tasks per key; ties by task id."""
     sort = [F.desc(order), F.asc("task_id"), F.asc("attempt"), F.asc("executor_id")]
-    return top_n(tasks, keys, sort, n, ["task_id", "attempt", "executor_id"])
+    return top_n(tasks, keys, sort, n, ["task_id", "attempt", "executor_id"], whole_key_rows=WHOLE_KEY_ROWS)
 
 
 def failed_tasks(tasks):
