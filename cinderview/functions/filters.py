@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .ordered import any_of
+from .ordered import any_of, spread_join
 
 # Fields each table is searched in.
 FILTER_FIELDS = {
@@ -52,7 +52,7 @@ def env_search(env, needle):
     """Property rows whose key or value match, with the hits of their section."""
     hits = text_filter(env, needle, ["key", "value"])
     counts = hits.groupBy("app_id", "section").agg(F.count(F.lit(1)).alias("section_hits"))
-    return hits.join(counts, ["app_id", "section"])
+    return spread_join(hits, counts, ["app_id", "section"], ["key", "value"])
 
 
 def thread_filter(threads, needle):

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 64
+JOIN_SALTS = 16
 # Value buckets keep this many leading bits of a number.
 LEADING_BITS = 12
 # Rows of one key whose values may be sorted as one array.
@@ -21,19 +22,22 @@ def _cols(names):
     return [F.col(n) for n in names]
 
 
-def split_by_size(df, keys, whole_key_rows):
+def split_by_size(df, keys, whole_key_rows, sizes=None):
     """Rows of keys with at most ``whole_key_rows`` rows, and rows of larger keys.
 
-    Larger keys are few (at most rows / whole_key_rows, which bounds the
-    broadcast). Without any, adaptive execution drops the second part.
+    ``sizes`` (``keys, n``) saves counting where the sizes are known; it only
+    steers the split, so it may be out of date. Larger keys are few (at most
+    rows / whole_key_rows, which bounds the broadcast). Without any, adaptive
+    execution drops the second part.
     """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole_key_rows)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
+    large = counted.where(F.col("n") > whole_key_rows)
     large = F.broadcast(large.select(*[F.col(k).alias(f"_l_{k}") for k in keys]))
     same = all_of([F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys])
     return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
 
 
-def top_n(df, keys, order, n, salt_on, rank="rank", salts=SALTS, whole_key_rows=None):
+def top_n(df, keys, order, n, salt_on, rank="rank", salts=SALTS, whole_key_rows=None, sizes=None):
     """The first ``n`` rows per ``keys`` in ``order`` (a list of sort Columns).
 
     Two passes: per (keys, salt), then per keys over at most ``salts * n``
@@ -57,7 +61,7 @@ def top_n(df, keys, order, n, salt_on, rank="rank", salts=SALTS, whole_key_rows=
 
     if whole_key_rows is None:
         return salted(df)
-    small, large = split_by_size(df, keys, whole_key_rows)
+    small, large = split_by_size(df, keys, whole_key_rows, sizes)
     return ranked(small).unionByName(salted(large))
 
 
@@ -128,7 +132,7 @@ def value_bucket(value):
     return F.when(value < 0, -size).otherwise(size)
 
 
-def order_statistics(df, keys, measures, ranks, whole_key_rows=WHOLE_KEY_ROWS):
+def order_statistics(df, keys, measures, ranks, whole_key_rows=WHOLE_KEY_ROWS, sizes=None):
     """Exact order statistics of several measures per key.
 
     ``measures`` maps a name to a numeric column name; ``ranks`` maps a label
@@ -139,7 +143,7 @@ def order_statistics(df, keys, measures, ranks, whole_key_rows=WHOLE_KEY_ROWS):
     Keys of at most ``whole_key_rows`` rows sort their values in one array;
     larger keys go through :func:`_split_order_statistics`.
     """
-    small_rows, large_rows = split_by_size(df, keys, whole_key_rows)
+    small_rows, large_rows = split_by_size(df, keys, whole_key_rows, sizes)
 
     arrays = [F.array_sort(F.collect_list(F.col(col).cast("double"))).alias(f"_m{i}") for i, col in enumerate(measures.values())]
     entries = []
@@ -212,10 +216,22 @@ def _split_order_statistics(df, keys, measures, ranks):
     )
 
 
+def spread_join(many, few, keys, salt_on, how="inner", salts=JOIN_SALTS):
+    """Join a table with one row per key, spreading the rows of busy keys over tasks.
+
+    ``few`` must be small next to ``many`` (one row per app, file, run, ...): it
+    is repeated once per salt. Larger sides are left to adaptive execution,
+    which splits skewed partitions at run time.
+    """
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*_cols(salt_on)), F.lit(salts)).cast("int"))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def tail_by_number(df, keys, number, n):
     """Rows whose gap-free ``number`` is among the last ``n`` of the key; no sort."""
     last = df.groupBy(*keys).agg(F.max(number).alias("_last"))
-    return df.join(last, keys).where(F.col(number) > F.col("_last") - n).drop("_last")
+    return spread_join(df, last, keys, [number]).where(F.col(number) > F.col("_last") - n).drop("_last")
 
 
 def all_of(conditions) -> Column:

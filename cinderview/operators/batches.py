@@ -8,7 +8,7 @@ submitted_ms, duration_ms`` with the same ids.
 
 from pyspark.sql import functions as F
 
-from ..functions.ordered import top_n, union_all
+from ..functions.ordered import spread_join, top_n, union_all
 from ..functions.text import batch_fields, display_name, title_of
 
 QUERY = ["app_id", "query_id"]
@@ -53,7 +53,7 @@ def current_runs(rows, order, name="name"):
 
 def current_run(rows, order, name="name"):
     """Rows of live runs only; replays of older ids and runs are left out."""
-    return rows.join(current_runs(rows, order, name).select(*RUN), RUN, "left_semi")
+    return spread_join(rows, current_runs(rows, order, name).select(*RUN), RUN, [order, "batch_id"], "left_semi")
 
 
 def retired_ids(rows, order, name="name"):
@@ -339,8 +339,9 @@ def named_rows(df, labels, restarted, on):
         .withColumn("_b", batch_fields("description"))
         .withColumn("_run", F.col("_b.run_id"))
         .withColumn("_qn", F.col("_b.name"))
-        .join(restarted.select("app_id", F.col("query_name").alias("_qn"), F.lit(True).alias("_again")), ["app_id", "_qn"], "left")
     )
+    again = restarted.select("app_id", F.col("query_name").alias("_qn"), F.lit(True).alias("_again"))
+    described = spread_join(described, again, ["app_id", "_qn"], on, "left")
     base = display_name("name", "description", F.col("label"))
     run = F.when(F.col("_again"), F.concat(F.lit(" · run "), F.substring("_run", 1, 8)))
     return described.withColumn("display_name", F.concat(base, F.coalesce(run, F.lit("")))).drop(

@@ -6,12 +6,14 @@ per file. Time is epoch millis.
 
 from pyspark.sql import functions as F
 
-from ..functions.ordered import carried, tail_by_number, union_all
+from ..functions.ordered import carried, spread_join, tail_by_number, union_all
 from ..functions.text import error_token, line_ms, severity
 
 FILE = ["app_id", "file"]
 LINES_PER_CHUNK = 65536
 BIN_MS = 60_000
+# Copies of each window, to spread a busy minute.
+WINDOW_SALTS = 4
 TAIL_LINES = 2000
 
 
@@ -54,9 +56,9 @@ def log_slice(lines, start_ms, end_ms):
     filled = fill_time(lines)
     past = F.when(F.col("ts_ms") > end_ms, F.col("line_no"))
     cut = timed(lines).groupBy(*FILE).agg(F.min(past).alias("_cut"))
+    inside = filled.where(F.col("time_ms").between(start_ms, end_ms))
     return (
-        filled.where(F.col("time_ms").between(start_ms, end_ms))
-        .join(cut, FILE)
+        spread_join(inside, cut, FILE, ["line_no"])
         .where(F.col("_cut").isNull() | (F.col("line_no") < F.col("_cut")))
         .drop("_cut")
     )
@@ -71,12 +73,13 @@ def in_windows(windows, filled):
 
     Both sides meet in minute bins, so the join is an equi-join on
     (app, minute); a pair shares exactly one bin because a line has one time.
+    A minute full of lines is spread over tasks by line number.
     """
     dated = windows.where(F.col("from_ms").isNotNull())
     binned = dated.withColumn("_bin", F.explode(_bins(F.col("from_ms"), F.col("to_ms"))))
     lines = filled.where(F.col("time_ms").isNotNull()).withColumn("_bin", F.floor(F.col("time_ms") / BIN_MS))
     return (
-        binned.join(lines, ["app_id", "_bin"])
+        spread_join(lines, binned, ["app_id", "_bin"], ["line_no"], salts=WINDOW_SALTS)
         .where(F.col("time_ms").between(F.col("from_ms"), F.col("to_ms")))
         .drop("_bin")
     )
@@ -126,7 +129,7 @@ def failure_log_lines(failures, lines):
     """Lines every failure search of an executor finds; ``lines`` has ``executor_id``."""
     views = failure_log_views(failures)
     hit = F.lower("line").contains(F.col("needle"))
-    return lines.join(views, ["app_id", "executor_id"]).where(hit)
+    return spread_join(lines, views, ["app_id", "executor_id"], ["file", "line_no"]).where(hit)
 
 
 def log_span(lines, keys=("app_id",)):
@@ -142,7 +145,7 @@ def log_span(lines, keys=("app_id",)):
 def log_coverage(batches, lines):
     """Batches without progress, and whether the log starts only after they ended."""
     start = log_span(lines).select("app_id", F.col("log_first_ms").alias("log_start_ms"))
-    missing = batches.where(~F.col("has_progress")).join(start, "app_id", "left")
+    missing = spread_join(batches.where(~F.col("has_progress")), start, ["app_id"], ["batch_id"], "left")
     return missing.withColumn(
         "before_log", F.coalesce(F.col("to_ms") < F.col("log_start_ms"), F.lit(False))
     )
@@ -160,7 +163,7 @@ def window_reason(windows, lines, ids):
         .when(F.col("log_first_ms").isNotNull(), "no line is dated inside the window")
         .otherwise("no line has a readable time")
     )
-    return empty.join(spans, "app_id").withColumn("reason", reason)
+    return spread_join(empty, spans, ["app_id"], ids).withColumn("reason", reason)
 
 
 def log_tail(lines, keys=FILE, n=TAIL_LINES):

@@ -220,7 +220,8 @@ def summary_highlights(summary):
 def stage_report(stages, tasks, stage_executors, measures):
     """One row per stage attempt: totals, locality, median, skew, stragglers, flagged executors."""
     keys = stats.STAGE
-    spread = stats.skew(stats.succeeded(tasks), keys, measures)
+    sizes = stats.known_sizes(stages)
+    spread = stats.skew(stats.succeeded(tasks), keys, measures, sizes=sizes)
     of_duration = lambda c: F.max(F.when(F.col("metric") == "duration", F.col(c)))
     per_stage = spread.groupBy(*keys).agg(
         of_duration("median").alias("median_ms"), of_duration("max").alias("max_ms"), stats.skew_text_of_group().alias("skew")
@@ -235,7 +236,7 @@ def stage_report(stages, tasks, stage_executors, measures):
     flags = stats.executor_flags(stage_executors, keys).groupBy(*keys).agg(F.count_if("flagged").alias("flagged_executors"))
     out = (
         stages.withColumn("gc_percent", percent("jvm_gc_time", "executor_run_time"))
-        .join(stats.locality(stats.sampled_tasks(tasks, keys), keys).withColumnRenamed("line", "locality"), keys, "left")
+        .join(stats.locality(stats.sampled_tasks(tasks, keys, sizes=sizes), keys).withColumnRenamed("line", "locality"), keys, "left")
         .join(measured, keys, "left")
         .join(flags, keys, "left")
     )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.ordered import spread_join
 from ..functions.text import fixed, percent, share
 
 MIB = 1024 * 1024
@@ -151,9 +152,9 @@ def executor_budget(executors, profiles, env):
         (F.col("section") == "spark") & (F.col("key") == "spark.memory.fraction"), F.col("value")
     )
     fraction = env.groupBy("app_id").agg(F.max(setting).try_cast("double").alias("_fraction"))
+    with_budget = spread_join(executors, budget, ["app_id", "resource_profile_id"], ["executor_id"], "left")
     return (
-        executors.join(budget, ["app_id", "resource_profile_id"], "left")
-        .join(fraction, "app_id", "left")
+        spread_join(with_budget, fraction, ["app_id"], ["executor_id"], "left")
         .withColumn("fraction", F.coalesce("_fraction", F.lit(DEFAULT_FRACTION)))
         .withColumn(
             "container", F.col("heap") + F.coalesce("overhead", F.lit(0)) + F.coalesce("off_heap", F.lit(0))

@@ -50,10 +50,16 @@ def succeeded(tasks):
     return tasks.where(F.col("status") == "SUCCESS")
 
 
-def quantiles(df, keys, measures, quantile_of=None):
+def known_sizes(stages):
+    """Rows per stage as the stage table knows them, to save counting tasks."""
+    return stages.select(*STAGE, F.col("num_tasks").alias("n"))
+
+
+def quantiles(df, keys, measures, quantile_of=None, sizes=None):
     """Exact quantiles per key and measure, in long form."""
     qs = quantile_of or QUANTILES
-    return order_statistics(df, keys, measures, {label: nearest_rank(q) for label, q in qs.items()})
+    ranks = {label: nearest_rank(q) for label, q in qs.items()}
+    return order_statistics(df, keys, measures, ranks, sizes=sizes)
 
 
 def approx_quantiles(df, keys, measures, quantile_of=None, accuracy=10000):
@@ -72,10 +78,10 @@ def approx_quantiles(df, keys, measures, quantile_of=None, accuracy=10000):
     )
 
 
-def skew(df, keys, measures, ratio=SKEW_RATIO):
+def skew(df, keys, measures, ratio=SKEW_RATIO, sizes=None):
     """``max / median`` per key and measure; ``measures`` maps name to (column, unit)."""
     stats = quantiles(
-        df, keys, {m: col for m, (col, _) in measures.items()}, {"median": 0.5, "max": 1.0}
+        df, keys, {m: col for m, (col, _) in measures.items()}, {"median": 0.5, "max": 1.0}, sizes
     )
     return with_skew(stats, {m: unit for m, (_, unit) in measures.items()}, ratio)
 
@@ -104,12 +110,14 @@ def skew_text(skewed, keys):
     return skewed.groupBy(*keys).agg(skew_text_of_group().alias("skew")).where(F.col("skew").isNotNull())
 
 
-def median_duration(tasks, summary, keys=STAGE, sample=100):
+def median_duration(tasks, summary, keys=STAGE, sample=100, sizes=None):
     """Median task time per key: from ``summary`` (``keys, p50``), else from the slowest tasks."""
-    slow = slowest_tasks(tasks, keys, sample)
-    fallback = order_statistics(
-        succeeded(slow), keys, {"duration": "duration_ms"}, {"upper": middle_rank}
-    ).select(*keys, "upper")
+    slow = slowest_tasks(tasks, keys, sample, sizes=sizes)
+    # At most ``sample`` rows are left of a key, so their values fit one array.
+    values = F.array_sort(F.collect_list(F.col("duration_ms").cast("double")))
+    fallback = succeeded(slow).groupBy(*keys).agg(values.alias("_v")).select(
+        *keys, F.get("_v", middle_rank(F.size("_v")).cast("int")).alias("upper")
+    )
     groups = tasks.groupBy(*keys).agg(F.lit(1).alias("_one")).drop("_one")
     return (
         groups.join(summary.select(*keys, "p50"), keys, "left")
@@ -122,23 +130,24 @@ def is_straggler(duration, median, ratio=SKEW_RATIO):
     return (F.col(median) >= MEDIAN_FLOOR_MS) & (F.col(duration) >= F.col(median) * ratio)
 
 
-def stragglers(df, keys, duration, ratio=SKEW_RATIO, of=None):
+def stragglers(df, keys, duration, ratio=SKEW_RATIO, of=None, sizes=None):
     """Rows at least ``ratio`` times the median of their key (medians of 100 ms and more).
 
     ``of`` is the population of the median; by default all of ``df``.
     """
     base = df if of is None else of
-    medians = quantiles(base, keys, {"d": duration}, {"median_ms": 0.5}).select(*keys, "median_ms")
+    medians = quantiles(base, keys, {"d": duration}, {"median_ms": 0.5}, sizes).select(*keys, "median_ms")
     late = medians.where(F.col("median_ms") >= MEDIAN_FLOOR_MS)
     hit = df.join(late, keys).where(is_straggler(duration, "median_ms", ratio))
     times = F.col(duration) / F.greatest(F.col("median_ms"), F.lit(1.0))
     return hit.withColumn("note", F.concat(F.lit("straggler ×"), fixed(times, 1)))
 
 
-def slowest_tasks(tasks, keys, n, order="duration_ms"):
+def slowest_tasks(tasks, keys, n, order="duration_ms", sizes=None):
     """The ``n`` longest tasks per key; ties by task id."""
     sort = [F.desc(order), F.asc("task_id"), F.asc("attempt"), F.asc("executor_id")]
-    return top_n(tasks, keys, sort, n, ["task_id", "attempt", "executor_id"], whole_key_rows=WHOLE_KEY_ROWS)
+    salt_on = ["task_id", "attempt", "executor_id"]
+    return top_n(tasks, keys, sort, n, salt_on, whole_key_rows=WHOLE_KEY_ROWS, sizes=sizes)
 
 
 def failed_tasks(tasks):
@@ -183,9 +192,11 @@ def executor_flags(stage_executors, keys=STAGE):
     )
 
 
-def sampled_tasks(tasks, keys=STAGE, slow=100, failed=50):
+def sampled_tasks(tasks, keys=STAGE, slow=100, failed=50, sizes=None):
     """The tasks a stage view looks at: its slowest and its failed ones."""
-    parts = [slowest_tasks(tasks, keys, slow), slowest_tasks(failed_tasks(tasks), keys, failed)]
+    parts = [
+        slowest_tasks(tasks, keys, slow, sizes=sizes), slowest_tasks(failed_tasks(tasks), keys, failed, sizes=sizes)
+    ]
     return union_all([p.drop("rank") for p in parts])
 
 
@@ -234,7 +245,7 @@ def slowest_stages(stages, tasks, measures, n=5):
     top = top_n(busy, ["app_id"], order, n, ["stage_id", "attempt_id"]).drop("_rank")
     # Only the tasks of these stages are measured.
     mine = succeeded(tasks).join(top.select(*STAGE), STAGE, "left_semi")
-    return top.join(skew_text(skew(mine, STAGE, measures), STAGE), STAGE, "left")
+    return top.join(skew_text(skew(mine, STAGE, measures, sizes=known_sizes(top)), STAGE), STAGE, "left")
 
 
 def job_order(jobs):

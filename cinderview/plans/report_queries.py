@@ -202,7 +202,7 @@ LEFT JOIN n_fails f ON k.app_id = f.app_id AND k.query_id = f.query_id AND k.bat
 LEFT JOIN n_lines l ON k.app_id = l.app_id AND k.query_id = l.query_id AND k.batch_id = l.batch_id""")
 def batch_report(v):
     # Only executions know these batches; no progress was reported for them.
-    progress = v.fx_progress.limit(0)
+    progress = v.fx_progress.where("false")
     batches = written(v.spark, bt.retain_batches(bt.merge_batches(progress, v.sql(_DESCRIBED))), "report-batches")
     failures = written(v.spark, fq.fleet_failures(v), "report-failures")
     lines = v.fx_log_lines

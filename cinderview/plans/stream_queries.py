@@ -60,25 +60,25 @@ def poison_guard(v):
     return rows.select("order_id", "customer_id", "amount")
 
 
-def arriving(v, df, name, order=None, parts=None):
-    """A table as files that arrive one by one: one per value of ``order`` in ``parts``."""
+def fed(v, df, name, order, parts, start):
+    """Feed a table in steps; the stream ends with each step and goes on from its checkpoint."""
     path = scratch_path(v.spark, name)
-    for part in parts or [None]:
-        piece = df if part is None else df.where(F.col(order) == part)
-        piece.coalesce(1).write.mode("append").parquet(path) if part is not None else piece.write.parquet(path)
-    reader = v.spark.readStream.schema(df.schema)
-    if parts:
-        reader = reader.option("maxFilesPerTrigger", 1)
-    return reader.parquet(path)
+    for part in parts:
+        df.where(F.col(order) == part).write.mode("append").parquet(path)
+        _finish(start(v.spark.readStream.schema(df.schema).parquet(path)))
 
 
-def drained(v, df, name):
+def kept(v, name, transform):
+    """A start function that appends ``transform(stream)`` to Parquet, and the place it writes to."""
     out = scratch_path(v.spark, name)
-    _finish(
-        df.writeStream.format("parquet").outputMode("append").option("path", f"{out}/data")
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    )
-    return v.spark.read.parquet(f"{out}/data")
+
+    def start(stream):
+        return (
+            transform(stream).writeStream.format("parquet").outputMode("append").option("path", f"{out}/data")
+            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        )
+
+    return start, f"{out}/data"
 
 
 @query("stream_failure_log", f"WITH {failure_queries._LOG} SELECT app_id, key, kind, first_poll, title, detail FROM failures")
@@ -87,9 +87,8 @@ def stream_failure_log(v):
         **failure_queries.polled(v, "stages", "jobs", "executors", "sql", "tasks"),
         job_stages=v.fx_job_stages, sql_jobs=v.fx_sql_jobs,
     )
-    stream = arriving(v, sightings, "sightings", "poll", [1, 2, 3])
     out = scratch_path(v.spark, "failures")
-    _finish(live.start_failures(stream, f"{out}/log", f"{out}/checkpoint"))
+    fed(v, sightings, "sightings", "poll", [1, 2, 3], lambda s: live.start_failures(s, f"{out}/log", f"{out}/checkpoint"))
     log = live.failures_so_far(v.spark, f"{out}/log")
     return log.select("app_id", "key", "kind", "first_poll", "title", "detail")
 
@@ -103,9 +102,9 @@ WHERE pos <= 5 GROUP BY app_id, query_id""")
 def stream_falling_behind(v):
     live.use_state_store(v.spark)
     rows = v.fx_progress.withColumn("part", F.when(F.col("run_id") == "r1", 1).otherwise(2))
-    stream = arriving(v, rows, "progress", "part", [1, 2])
-    states = drained(v, live.stream_behind(stream), "behind")
-    last = states.groupBy("app_id", "who").agg(
+    start, out = kept(v, "behind", live.stream_behind)
+    fed(v, rows, "progress", "part", [1, 2], start)
+    last = v.spark.read.parquet(out).groupBy("app_id", "who").agg(
         F.max_by(F.struct("query_id", "with_input", "slow", "behind"), F.struct("run_id", "last_batch")).alias("_s")
     )
     return last.select("app_id", "_s.*")
@@ -118,7 +117,9 @@ FROM fx_metrics WINDOW w AS (PARTITION BY app_id, key ORDER BY poll_s)""")
 def stream_rates(v):
     live.use_state_store(v.spark)
     rows = v.fx_metrics.select("app_id", "key", "poll_s", "value").withColumn("part", F.when(F.col("poll_s") < 1200000, 1).otherwise(2))
-    return drained(v, live.stream_rates(arriving(v, rows, "samples", "part", [1, 2])), "rates")
+    start, out = kept(v, "rates", live.stream_rates)
+    fed(v, rows, "samples", "part", [1, 2], start)
+    return v.spark.read.parquet(out)
 
 
 def _merged_check():
@@ -133,9 +134,8 @@ def stream_batch_upsert(v):
     progress = v.fx_progress.where("num_input_rows % 4 <> 0")
     sql = v.fx_batch_sql
     facts = live.batch_facts(progress, sql).withColumn("part", F.when(F.col("batch_id") < 300, 1).otherwise(2))
-    stream = arriving(v, facts, "facts", "part", [1, 2])
     out = scratch_path(v.spark, "batches")
-    _finish(live.start_batches(stream, f"{out}/facts", f"{out}/checkpoint"))
+    fed(v, facts, "facts", "part", [1, 2], lambda s: live.start_batches(s, f"{out}/facts", f"{out}/checkpoint"))
     merged = live.stream_batches(v.spark, f"{out}/facts", progress.columns, sql.columns)
     return merged.select(*bt.BATCH, "status", "submitted_ms", "duration_ms", "has_progress")
 
@@ -151,5 +151,6 @@ def stream_log_tail(v):
 
     path = scratch_path(v.spark, "loglines")
     v.fx_log_lines.select("line").write.text(path)
-    rows = drained(v, live.stream_logs(stream_logs(v.spark, path, "*.txt")), "minutes")
-    return rows.select(_ms("minute"), "severity", "lines", "failures")
+    start, out = kept(v, "minutes", live.stream_logs)
+    _finish(start(stream_logs(v.spark, path, "*.txt")))
+    return v.spark.read.parquet(out).select(_ms("minute"), "severity", "lines", "failures")

@@ -15,6 +15,15 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# What every query sets on the session it is given. Skewed joins
+# are split even where that costs a shuffle.
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
 
 def local_session(cores="*", app="cinderview", partitions=8, extra=None):
     """A session for tests and the benchmark; clusters bring their own."""
@@ -31,8 +40,9 @@ def local_session(cores="*", app="cinderview", partitions=8, extra=None):
 
 
 def apply_settings(spark):
-    """Set the runtime settings results depend on; leave sizing to the cluster."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Set the time zone results depend on and skew handling; leave sizing to the cluster."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
     return spark
 
 
