@@ -231,6 +231,12 @@ def batch_order(batches):
     return batches.withColumn("label", query_label()).orderBy("app_id", "label", "query_id", F.desc("batch_id"))
 
 
+def query_order(batches):
+    """Queries of an app by label."""
+    queries = batches.groupBy(*QUERY).agg(F.max("name").alias("name"))
+    return queries.withColumn("label", query_label()).orderBy("app_id", "label", "query_id")
+
+
 def batch_window():
     """Log window of a batch: ``[start - 1 s, start + duration + 1 s]``, null when undated."""
     start = F.when(F.col("has_progress"), F.col("started_ms")).otherwise(F.col("submitted_ms"))

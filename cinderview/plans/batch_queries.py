@@ -183,6 +183,11 @@ def batch_order(v):
     return bt.batch_order(kept_batches(v)).select("app_id", "label", "query_id", "batch_id")
 
 
+@query("query_order", f"WITH {_MERGED} SELECT DISTINCT app_id, coalesce(name, substring(query_id, 1, 8)) AS label, query_id FROM merged")
+def query_order(v):
+    return bt.query_order(merged_batches(v)).select("app_id", "label", "query_id")
+
+
 @query("log_read_from", f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY app_id, query_id ORDER BY submitted_ms DESC, execution_id DESC) AS pos
            FROM fx_batch_sql WHERE submitted_ms IS NOT NULL)

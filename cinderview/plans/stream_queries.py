@@ -28,13 +28,24 @@ def landed(v, name, start):
     return v.spark.read.parquet(f"{out}/data")
 
 
-@query("orders_projection", f"SELECT {_epoch('event_time')}, order_id, customer_id, amount, region FROM fx_orders_stream")
+_ORDERS = f"SELECT {_epoch('event_time')}, order_id, customer_id, amount, region FROM fx_orders_stream"
+
+
+@query("stream_file_source", _ORDERS)
+@query("orders_projection", _ORDERS)
 def orders_projection(v):
     stream = orders.orders_stream(v.spark, v.sf_dir, "events.parquet")
     rows = landed(v, "orders", lambda out, ckpt: orders.start_raw(stream, out, ckpt, None, None))
     return rows.select(_ms("event_time"), "order_id", "customer_id", "amount", "region")
 
 
+@query("stream_parquet_sink", "SELECT region, order_id, amount FROM fx_orders_stream")
+def stream_parquet_sink(v):
+    stream = orders.orders_stream(v.spark, v.sf_dir, "events.parquet")
+    rows = landed(v, "sink", lambda out, ckpt: orders.start_raw(stream, out, ckpt, None))
+    return rows.select("region", "order_id", "amount")
+
+
 @query("raw_append", "SELECT region, count(*) AS orders, sum(amount) AS amount FROM fx_orders_stream GROUP BY region")
 def raw_append(v):
     stream = orders.orders_stream(v.spark, v.sf_dir, "events.parquet")

@@ -69,3 +69,18 @@ def test_top_n_keeps_exactly_the_first_rows(spark):
 def test_tail_by_number(spark):
     df = spark.range(100).select(F.lit("f").alias("f"), F.col("id").alias("n"))
     assert [r.n for r in ordered.tail_by_number(df, ["f"], "n", 3).orderBy("n").collect()] == [97, 98, 99]
+
+
+def test_approximate_quantiles_stay_within_their_error(spark):
+    df = spark.range(10000).select(F.lit("k").alias("k"), F.col("id").alias("v"))
+    got = stats.approx_quantiles(df, ["k"], {"m": "v"}).first()
+    for label, q in stats.QUANTILES.items():
+        assert abs(got[label] - q * 10000) <= 10
+
+
+def test_spread_join_equals_join(spark):
+    many = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    few = spark.createDataFrame([("hot", 1), ("950", 2), ("none", 3)], "k string, x int")
+    for how in ("inner", "left", "left_semi"):
+        got = ordered.spread_join(many, few, ["k"], ["id"], how)
+        assert rows(got, "id") == rows(many.join(few, ["k"], how), "id")
