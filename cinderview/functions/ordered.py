@@ -7,6 +7,7 @@ summary row per piece.
 """
 
 from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -243,4 +244,9 @@ def any_of(conditions) -> Column:
 
 
 def union_all(frames) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Union by name, pair by pair: the plan stays flat however many parts there are."""
+    frames = list(frames)
+    while len(frames) > 1:
+        pairs = zip_longest(frames[::2], frames[1::2])
+        frames = [a if b is None else a.unionByName(b, allowMissingColumns=True) for a, b in pairs]
+    return frames[0]

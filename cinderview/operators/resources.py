@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.ordered import spread_join
+from ..functions.ordered import spread_join, union_all
 from ..functions.text import fixed, percent, share
 
 MIB = 1024 * 1024
@@ -222,7 +222,4 @@ def threshold_flags(executors, budgeted, stages, rdds):
             rdds.where(F.col("num_cached_partitions") < F.col("num_partitions")), F.col("rdd_id"), "partial cache", F.lit("warn")
         ),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(parts)

@@ -1,9 +1,8 @@
 """The bundle: everything known about each application, written per app."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
+from ..functions.ordered import union_all
 from ..operators.logs import TAIL_LINES, log_tail
 
 
@@ -26,7 +25,7 @@ def bundle_contents(spark, path, names, fmt="json"):
         spark.read.format(fmt).load(f"{path}/{n}").groupBy("app_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(n))
         for n in names
     ]
-    return reduce(lambda a, b: a.unionByName(b), counts)
+    return union_all(counts)
 
 
 def write_markdown(markdown, path, mode="errorifexists"):
