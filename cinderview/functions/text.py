@@ -161,18 +161,21 @@ def duration_text(ms):
 
 
 def number_text(value):
-    x = c(value).cast("double")
-    a = F.abs(x)
-    return (
-        F.when(x.isNull() | F.isnan(x) | (a == float("inf")), F.lit("-"))
-        .when(a >= 1e12, F.concat(fixed(x / 1e12, 2), F.lit("T")))
-        .when(a >= 1e9, F.concat(fixed(x / 1e9, 2), F.lit("G")))
-        .when(a >= 1e6, F.concat(fixed(x / 1e6, 2), F.lit("M")))
-        .when(a >= 1e4, F.concat(fixed(x / 1e3, 1), F.lit("k")))
-        .when(x == F.floor(x), fixed(x, 0))
-        .when(a >= 10, fixed(x, 1))
-        .otherwise(fixed(x, 2))
-    )
+    """A metric number with a T/G/M/k unit; ``value`` is a column name or SQL text."""
+    x = f"CAST({value} AS DOUBLE)"
+
+    def scaled(by, digits, unit):
+        return f"format_number({x} / {by}, '0.{'0' * digits}') || '{unit}'"
+
+    return F.expr(f"""
+        CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) = double('Infinity') THEN '-'
+             WHEN abs({x}) >= 1e12 THEN {scaled('1e12', 2, 'T')}
+             WHEN abs({x}) >= 1e9 THEN {scaled('1e9', 2, 'G')}
+             WHEN abs({x}) >= 1e6 THEN {scaled('1e6', 2, 'M')}
+             WHEN abs({x}) >= 1e4 THEN {scaled('1e3', 1, 'k')}
+             WHEN {x} = floor({x}) THEN format_number({x}, '0')
+             WHEN abs({x}) >= 10 THEN format_number({x}, '0.0')
+             ELSE format_number({x}, '0.00') END""")
 
 
 def ratio_text(value):

@@ -40,9 +40,9 @@ def metric_order(metrics):
 
 
 def metric_text(rate=None):
-    """Headline value and detail text of a metric row."""
+    """Headline value and detail text of a metric row; ``rate`` is a column name or SQL text."""
     kind, value = F.col("kind"), number_text("value")
-    num = lambda name: number_text(F.coalesce(F.col(name), F.lit(0.0)))
+    num = lambda name: number_text(f"coalesce({name}, 0D)")
     per_s = lambda name, label: F.concat(num(name), F.lit(label))
     unit = F.coalesce(*[F.when(F.col("units") == u, F.lit(s)) for u, s in UNIT_SUFFIX.items()], F.lit(""))
     head = F.when((kind == "gauge") & F.col("text").isNotNull(), F.col("text")).otherwise(value)
@@ -56,7 +56,7 @@ def metric_text(rate=None):
         F.lit(" · max "), num("max"), unit, rest,
     )
     counter = F.lit("") if rate is None else F.coalesce(
-        F.when(rate.isNotNull(), F.concat(number_text(rate), F.lit("/s since last poll"))), F.lit("")
+        F.when(F.expr(rate).isNotNull(), F.concat(number_text(rate), F.lit("/s since last poll"))), F.lit("")
     )
     detail = (
         F.when(kind == "gauge", F.lit(""))
@@ -67,17 +67,20 @@ def metric_text(rate=None):
     return head.alias("headline"), detail.alias("detail")
 
 
-def driver_health(metrics, ts="poll_s", span=CHUNK_SPAN):
+def driver_health(metrics, ts="poll_s", span=CHUNK_SPAN, with_cpu=True):
     """Health rows ``(label, value, warn)`` per app and poll; a row needs its metric.
 
     Expects ``key, source, name, value, p95, mean, max``. All built-in numbers
-    are gathered in one aggregate per poll; the CPU rate needs the poll before.
+    are gathered in one aggregate per poll; the CPU rate needs the poll before
+    (``with_cpu=False`` for a single poll).
     """
     keys = ["app_id", ts]
-    cpu = counter_rate(
-        metrics.where(F.col("key") == "JVMCPUTime.jvmCpuTime"), ["app_id", "key"], ts, "value", span
-    ).select(*keys, F.col("rate").alias("cpu_rate"))
-    rated = metrics.join(cpu, keys, "left")
+    rated = metrics.withColumn("cpu_rate", F.lit(None).cast("double"))
+    if with_cpu:
+        cpu = counter_rate(
+            metrics.where(F.col("key") == "JVMCPUTime.jvmCpuTime"), ["app_id", "key"], ts, "value", span
+        ).select(*keys, F.col("rate").alias("cpu_rate"))
+        rated = metrics.join(cpu, keys, "left")
 
     def of(key, col="value"):
         return F.max(F.when(F.col("key") == key, F.col(col)))
@@ -134,7 +137,7 @@ def driver_health(metrics, ts="poll_s", span=CHUNK_SPAN):
         ),
         row(
             all_of([F.col("_used").isNotNull(), F.col("_left").isNotNull()]), 4, "block manager memory",
-            F.concat(n("_used"), F.lit(" of "), n(total), F.lit(" MiB ("), fixed(pct, 0), F.lit("%)")),
+            F.concat(n("_used"), F.lit(" of "), n("_used + _left"), F.lit(" MiB ("), fixed(pct, 0), F.lit("%)")),
             pct >= 90,
         ),
         row(

@@ -156,7 +156,7 @@ def latest_poll(metrics, ts="poll_s"):
 def metric_lines(metrics, ts="poll_s"):
     """Driver health and the application's own metrics at the last poll."""
     now = latest_poll(metrics, ts)
-    health = reg.driver_health(now, ts)
+    health = reg.driver_health(now, ts, with_cpu=False)
     line = _s(F.col("label"), ": ", F.col("value"), F.when(F.col("warn"), "  ⚠").otherwise(""))
     parts = [_lines(health, "Metrics", F.col("ord"), "", line)]
     own = now.withColumn("_rank", reg.source_rank()).where(F.col("_rank") == 0)

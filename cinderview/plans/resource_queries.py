@@ -142,7 +142,7 @@ def metric_text(v):
         .withColumn("p95", F.col("value") * 3)
         .withColumn("max", F.col("value"))
     )
-    return full.select("app_id", "key", "poll_s", *reg.metric_text(F.col("rate")))
+    return full.select("app_id", "key", "poll_s", *reg.metric_text("rate"))
 
 
 @query("executor_state", f"""

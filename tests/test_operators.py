@@ -179,7 +179,7 @@ def test_registry_rows_order_and_health(spark):
     assert health["stages running / waiting / failed"] == ("2 / 0 / 0", False)
     assert len(health) == 6
     assert filters.metric_filter(metrics, "dagscheduler").where("poll_s = 2").count() == 3
-    head, detail = reg.metric_text(F.lit(10.0))
+    head, detail = reg.metric_text("10.0D")
     counter = metrics.where("poll_s = 2 AND name = 'records-rejected'").select(head, detail).first()
     assert tuple(counter) == ("120", "10/s since last poll")
 

@@ -114,7 +114,7 @@ def test_number_texts(values):
     assert values(*[t.duration_text(lit(v)) for v in (0, 5, 1234, 61_000, 3_600_000, 3_725_000, 119_999)]) == [
         "-", "5ms", "1.2s", "1m01s", "1h00m", "1h02m", "1m59s"
     ]
-    assert values(*[t.number_text(lit(float(v))) for v in (0, 42.5, 2.345, 12_345, 4e9, 2.5e6, 3e12)]) == [
+    assert values(*[t.number_text(f"{float(v)!r}D") for v in (0, 42.5, 2.345, 12_345, 4e9, 2.5e6, 3e12)]) == [
         "0", "42.5", "2.35", "12.3k", "4.00G", "2.50M", "3.00T"
     ]
     # Ties are decided on the exact value, as printf does.
