@@ -140,6 +140,14 @@ SELECT 'app-' || CAST(user_id % 2 AS STRING) AS app_id, CAST(user_id % 4 AS STRI
             + extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts))) AS BIGINT)
             + CAST(1704067200000 AS BIGINT) END AS stamp_ms
 FROM {events}""",
+    "fx_progress_text": """
+SELECT *, '  "id" : "' || query_id || '", "runId" : "' || run_id || '", "name" : "' || name || '", "timestamp" : "2024-01-'
+                  || lpad(CAST(CAST(floor(batch_id / 24) AS BIGINT) + 1 AS STRING), 2, '0') || 'T' || lpad(CAST(batch_id % 24 AS STRING), 2, '0') || ':00:00.000Z", "batchId" : ' || CAST(batch_id AS STRING) || ',' AS head,
+             '  "numInputRows" : ' || CAST(num_input_rows AS STRING) || ', "inputRowsPerSecond" : ' || CAST(num_input_rows AS STRING) || '.0, "processedRowsPerSecond" : '
+                  || CAST(CAST(processed_rps AS BIGINT) AS STRING) || '.0, "durationMs" : {"addBatch" : ' || CAST(add_batch_ms AS STRING) || ', "triggerExecution" : '
+                  || CAST(trigger_ms AS STRING) || '}, "eventTime" : {}, "stateOperators" : [ {"numRowsTotal" : ' || CAST(state_rows AS STRING)
+                  || ', "memoryUsedBytes" : ' || CAST(state_bytes AS STRING) || ', "numRowsDroppedByWatermark" : ' || CAST(rows_dropped AS STRING) || '} ]' AS tail
+      FROM fx_progress""",
     "fx_progress_log": """
 SELECT app_id, 'driver-' || query_id AS file, batch_id * 10 + part AS line_no,
        CASE WHEN batch_id % 5 = 0 THEN
@@ -151,14 +159,9 @@ SELECT app_id, 'driver-' || query_id AS file, batch_id * 10 + part AS line_no,
                         WHEN 1 THEN head WHEN 2 THEN '{"ts":"2024-01-01T00:00:00.000Z","level":"INFO","msg":"noise"}'
                         WHEN 3 THEN tail ELSE CASE WHEN batch_id % 7 = 3 THEN '24/01/01 INFO cut' ELSE '}' END END
             END AS line
-FROM (SELECT *, '  "id" : "' || query_id || '", "runId" : "' || run_id || '", "name" : "' || name || '", "timestamp" : "2024-01-'
-                  || lpad(CAST(CAST(floor(batch_id / 24) AS BIGINT) + 1 AS STRING), 2, '0') || 'T' || lpad(CAST(batch_id % 24 AS STRING), 2, '0') || ':00:00.000Z", "batchId" : ' || CAST(batch_id AS STRING) || ',' AS head,
-             '  "numInputRows" : ' || CAST(num_input_rows AS STRING) || ', "inputRowsPerSecond" : ' || CAST(num_input_rows AS STRING) || '.0, "processedRowsPerSecond" : '
-                  || CAST(CAST(processed_rps AS BIGINT) AS STRING) || '.0, "durationMs" : {"addBatch" : ' || CAST(add_batch_ms AS STRING) || ', "triggerExecution" : '
-                  || CAST(trigger_ms AS STRING) || '}, "eventTime" : {}, "stateOperators" : [ {"numRowsTotal" : ' || CAST(state_rows AS STRING)
-                  || ', "memoryUsedBytes" : ' || CAST(state_bytes AS STRING) || ', "numRowsDroppedByWatermark" : ' || CAST(rows_dropped AS STRING) || '} ]' AS tail
-      FROM fx_progress) p
-CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS part FROM {region}) n""",
+FROM (SELECT *, CAST(0 AS BIGINT) AS part FROM fx_progress_text UNION ALL SELECT *, CAST(1 AS BIGINT) FROM fx_progress_text
+      UNION ALL SELECT *, CAST(2 AS BIGINT) FROM fx_progress_text UNION ALL SELECT *, CAST(3 AS BIGINT) FROM fx_progress_text
+      UNION ALL SELECT *, CAST(4 AS BIGINT) FROM fx_progress_text) p""",
     "fx_metrics": """
 SELECT app_id, key, kind, poll_s, value, m1_rate, mean,
        CASE WHEN key LIKE 'spark.streaming.%' THEN 'spark.streaming.' || split_part(key, '.', 3)
