@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions.ordered import union_all
-from ..operators import progress as pg
 from ..session import scratch_path
 from ..sources import eventlog, logfiles, registry_json, rest, sinks
 from . import failure_queries

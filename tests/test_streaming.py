@@ -4,7 +4,6 @@ import datetime as dt
 
 import pytest
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import functions as F
 
 from cinderview.operators import batches as bt, failures as fl
 from cinderview.streaming import live, orders
