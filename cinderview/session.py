@@ -43,6 +43,8 @@ def apply_settings(spark):
     """Set the time zone results depend on and skew handling; leave sizing to the cluster."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    # Python workers on this machine find the package wherever the driver was started from.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     return spark
 
 
