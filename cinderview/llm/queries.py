@@ -3,10 +3,12 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import language_id, quality_classifier
 from .bpe import encoding_digests
-from .common import batches
+from .common import batches, id_remainder
 from .exact_dedup import exact_duplicates
 from .packing import pack
+from .quality_rules import judge
 from .secret_scan import scan_secrets
 
 QUERIES, CHECKS = {}, {}
@@ -56,3 +58,29 @@ def op8(spark, sf_dir):
 @query("op10_packing")
 def op10(spark, sf_dir):
     return pack(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_quality_rules")
+def op1(spark, sf_dir):
+    marks = labels(spark, sf_dir).select("doc_id", F.col("quality").alias("label"))
+    return judge(spark, documents(spark, sf_dir), marks).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    learned = quality_classifier.learn(spark, docs, labels(spark, sf_dir).where(id_remainder(5) != 0))
+    return quality_classifier.scores(spark, docs, learned).select(
+        "doc_id", (id_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = language_id.learn(spark, docs.where(id_remainder(4) != 2))
+    return language_id.identify(spark, docs, model).select(
+        "doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score"
+    )
