@@ -26,7 +26,7 @@ TREES = 100
 TREE_ROWS = 256
 DEPTH = 10
 BINS = 2000
-CLEAN_LOSS = 0.01
+CLEAN_LOSS = 0.005
 
 STATISTICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_chars long, n_upper long, n_digits long, n_signs long, n_same_words long"
 

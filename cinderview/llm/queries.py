@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier
+from . import language_id, pii, quality_classifier
 from .bpe import encoding_digests
 from .common import batches, id_remainder
 from .exact_dedup import exact_duplicates
@@ -84,3 +84,12 @@ def op6(spark, sf_dir):
     return language_id.identify(spark, docs, model).select(
         "doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op9_personal_data")
+def op9(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    spans = pii.find_personal_data(spark, docs, pii.learn(spark, docs))
+    return spans.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans"
+    )
