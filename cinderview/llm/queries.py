@@ -7,6 +7,7 @@ from . import language_id, pii, quality_classifier
 from .bpe import encoding_digests
 from .common import batches, id_remainder
 from .exact_dedup import exact_duplicates
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import judge
 from .secret_scan import scan_secrets
@@ -93,3 +94,24 @@ def op9(spark, sf_dir):
     return spans.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans"
     )
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+      FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < WIDTH THEN [array_to_string(ws, ' ')]
+        ELSE [array_to_string(ws[i:i + WIDTH - 1], ' ') for i in range(1, len(ws) - WIDTH + 2)] END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= PERCENT * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) AS c ON c.a = s.doc_id
+"""
+
+
+@query("op4_near_dedup", NEAR_SQL.replace("WIDTH", "3").replace("PERCENT", "85"))
+def op4(spark, sf_dir):
+    return near_duplicates(spark, documents(spark, sf_dir), width=3, percent=85)
