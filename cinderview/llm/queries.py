@@ -11,6 +11,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import judge
 from .secret_scan import scan_secrets
+from .suffix_dedup import repeat_digests
 
 QUERIES, CHECKS = {}, {}
 
@@ -115,3 +116,8 @@ FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) AS c ON c.a = s
 @query("op4_near_dedup", NEAR_SQL.replace("WIDTH", "3").replace("PERCENT", "85"))
 def op4(spark, sf_dir):
     return near_duplicates(spark, documents(spark, sf_dir), width=3, percent=85)
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    return repeat_digests(spark, documents(spark, sf_dir))
