@@ -108,3 +108,18 @@ def exact_duplicates(spark, docs, keep="smallest", id_column="doc_id", text_colu
         )
     )
     return whole.unionByName(spread)
+
+
+def without_exact_duplicates(spark, docs, keep="smallest"):
+    """The rows of ``docs``, all columns as they are, with one row of every group of equal texts.
+
+    Which one stays, and what null texts, repeated rows and rows without an id come to,
+    is as in ``exact_duplicates``.
+    """
+    found = exact_duplicates(spark, docs, keep).where("kept")
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    kept = found.select(own_id.alias("_id"), F.col("text_sha256").alias("_content"))
+    content = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    rows = docs.withColumns({"_id": own_id, "_content": content}).join(kept, ["_id", "_content"], "left_semi")
+    # Repeated rows stand together already.
+    return rows.dropDuplicates(["_id", "_content"]).drop("_id", "_content")

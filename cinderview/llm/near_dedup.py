@@ -268,3 +268,9 @@ def near_duplicates(spark, docs, width=5, percent=80, id_column="doc_id", text_c
         )
         .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     )
+
+
+def without_near_duplicates(spark, docs, width=5, percent=80):
+    """The rows of ``docs``, all columns as they are, with the smallest id of every component; see ``near_duplicates``."""
+    gone = near_duplicates(spark, docs, width, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

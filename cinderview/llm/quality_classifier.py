@@ -128,20 +128,40 @@ def learn(spark, docs, labels, target="quality", rows=TRAIN_ROWS, bits=BITS, id_
     return vector / max(learned["weight"].to_numpy()[place < 0].sum(), 1.0)
 
 
+def batch_scores(batch, vector):
+    """Score of every text of an Arrow batch; null counts as empty."""
+    data, starts, ends = byte_view(batch.column("text"))
+    bits = int(np.log2(len(vector)))
+    out = np.zeros(len(starts))
+    for a, b in byte_chunks(batch):
+        lo = starts[a]
+        rows, places, values = features(data[lo : ends[b - 1]], starts[a:b] - lo, ends[a:b] - lo, bits)
+        out[a:b] = row_sums(vector[places] * values, rows, b - a)
+    return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
+
+
 def scores(spark, docs, vector, id_column="doc_id", text_column="text"):
-    """``doc_id, score`` of every whole text, 0 to 1; empty text has the constant's score."""
+    """``doc_id, score`` of every whole text, 0 to 1.
+
+    Null and empty texts have the constant's score. Repeated rows are scored each;
+    columns other than id and text are not read.
+    """
     weights = spark.sparkContext.broadcast(vector)
-    bits = int(np.log2(len(vector)))
 
     def run(stream):
         for batch in stream:
-            data, starts, ends = byte_view(batch.column("text"))
-            out = np.zeros(len(starts))
-            for a, b in byte_chunks(batch):
-                lo = starts[a]
-                rows, places, values = features(data[lo : ends[b - 1]], starts[a:b] - lo, ends[a:b] - lo, bits)
-                out[a:b] = row_sums(weights.value[places] * values, rows, b - a)
-            score = 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
+            score = batch_scores(batch, weights.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     return texts(docs, id_column, text_column).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(spark, docs, vector, least):
+    """The rows of ``docs``, all columns as they are, whose ``text`` scores ``least`` or more."""
+    weights = spark.sparkContext.broadcast(vector)
+
+    def run(stream):
+        for batch in stream:
+            yield batch.filter(pa.array(batch_scores(batch, weights.value) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
