@@ -92,9 +92,13 @@ def statistics(docs, id_column="doc_id", text_column="text"):
 
 
 def rates(c):
-    """The forest's features from columns of counts: shares, and sizes as logarithms."""
+    """The forest's features from columns of counts.
+
+    Roots of shares, so that the long tails of clean documents weigh less. Digits are
+    counted but left out: dates or personal data do not make a text poor.
+    """
     words, chars, lines = (np.maximum(c[k], 1).astype(float) for k in ("n_words", "n_chars", "n_lines"))
-    return np.stack(
+    shares = np.stack(
         [
             c["n_symbols"] / chars,
             c["n_dup_lines"] / lines,
@@ -102,12 +106,12 @@ def rates(c):
             c["n_same_words"] / words,
             c["word_chars"] / words,
             c["n_upper"] / chars,
-            c["n_digits"] / chars,
             c["n_signs"] / chars,
             np.log2(1.0 + words / lines),
         ],
         axis=1,
     )
+    return np.sqrt(shares)
 
 
 def base_failed():
