@@ -337,8 +337,10 @@ def repeated_spans(spark, rows, length=LENGTH, gram=GRAM):
     named = rows.where("doc_id IS NOT NULL")
     found = written(spark, ranked(cover(named, length, gram)), "cover")
     runs = found.where("bucket IS NOT NULL")
-    counted = runs.groupBy("bucket").agg((F.count(F.lit(1)) > HOT_RUNS).alias("hot"))
-    runs = runs.join(counted, "bucket").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "place", "hot")).alias("runs"))
+    # Few rows, so that the join below is planned by their size and a hot bucket can be split.
+    hot = written(spark, runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_RUNS), "hot-buckets")
+    runs = runs.join(hot.select("bucket", F.lit(True).alias("hot")), "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "place", "hot")).alias("runs"))
     opened = written(spark, run_bytes(compressed(named).join(runs, "doc_id"), length), "runs")
     whole = found.where("bucket IS NULL").select(
         "doc_id",
