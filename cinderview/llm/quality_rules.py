@@ -25,6 +25,7 @@ SYMBOLS = b"#*$%&|<>"
 TREES = 100
 TREE_ROWS = 256
 DEPTH = 10
+EDGE_POINTS = 8
 BINS = 2000
 CLEAN_LOSS = 0.005
 
@@ -166,11 +167,11 @@ def grow_forest(points, trees=TREES, tree_rows=TREE_ROWS, seed=11):
     return forest
 
 
-def edges(own, spread, rng):
-    """For each feature one point like a drawn row but a few spreads past the largest value."""
-    out = own[rng.integers(len(own), size=own.shape[1])].copy()
-    for k in range(own.shape[1]):
-        out[k, k] = own[:, k].max() + 4 * spread[k] * rng.uniform(0.5, 1.5)
+def edges(own, spread, rng, each=EDGE_POINTS):
+    """For each feature a few points like drawn rows but some spreads past the largest value."""
+    features = np.tile(np.arange(own.shape[1]), each)
+    out = own[rng.integers(len(own), size=len(features))].copy()
+    out[np.arange(len(features)), features] = own.max(axis=0)[features] + 4 * spread[features] * rng.uniform(0.5, 1.5, len(features))
     return out
 
 
