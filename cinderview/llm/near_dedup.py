@@ -129,20 +129,27 @@ def signatures(rows, width, bands):
     return rows.mapInArrow(run, SIGNATURE)
 
 
-def stars(classes):
-    """``member, centre, others``: each member of a bucket with its centre; others: whether a third class is there."""
+def buckets(spark, classes):
+    """``key, member, n``: the members of every bucket with two classes or more.
+
+    Counts are written before they are joined, here and for the centres: both sides of
+    the join are then plain shuffles, of which a hot key can be split.
+    """
     postings = classes.select(F.col("rep").alias("member"), F.explode("keys").alias("key"))
     counted = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return postings.join(counted, "key")
+    return postings.join(written(spark, counted, "bucket-sizes").hint("merge"), "key")
 
 
 def chosen_centres(spark, shared):
-    """Of every bucket the member with most partners over all its buckets, the smaller id first."""
+    """``member, centre, others``: each member with the centre of its bucket; others: whether a third class is there.
+
+    The centre is the member with most partners over all its buckets, of equal ones the smaller id.
+    """
     degree = shared.groupBy("member").agg(F.sum("n").alias("degree"))
     ranked = shared.join(degree, "member")
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("member")).alias("minus"))).alias("best"))
     return (
-        shared.join(centre, "key")
+        shared.join(written(spark, centre, "centres").hint("merge"), "key")
         .select("member", (-F.col("best.minus")).alias("centre"), (F.col("n") > 2).alias("others"))
         .groupBy("member", "centre")
         .agg(F.max("others").alias("others"))
@@ -164,7 +171,7 @@ def verify(spark, pairs, source, width, percent):
     heads = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("b").alias("a"), F.lit(False).alias("others"))
     rows = (
         members.unionByName(heads)
-        .join(source.select(F.col("doc_id").alias("a"), "text"), "a")
+        .join(source.select(F.col("doc_id").alias("a"), "text").hint("merge"), "a")
         .select("b", "slot", (F.col("a") != F.col("b")).alias("is_member"), "a", "others", "text")
         .repartition("b", "slot")
         .sortWithinPartitions("b", "slot", "is_member")
@@ -243,12 +250,12 @@ def near_duplicates(spark, docs, width=5, percent=80, id_column="doc_id", text_c
     signed = written(spark, signatures(rows, width, bands), "signatures")
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    shared = written(spark, stars(classes), "buckets")
+    shared = written(spark, buckets(spark, classes), "buckets")
     star = chosen_centres(spark, shared).select(F.col("member").alias("a"), F.col("centre").alias("b"), "others")
     star = written(spark, star, "stars")
     # Texts of the classes in any pair, kept for both rounds.
     involved = star.select("a").unionAll(star.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    source = written(spark, rows.join(involved, "doc_id", "left_semi"), "candidates")
+    source = written(spark, rows.join(involved.hint("merge"), "doc_id", "left_semi"), "candidates")
     checked = written(spark, verify(spark, star, source, width, percent), "verified")
     more = verify(spark, missed_by_star(checked, percent), source, width, percent)
     links = checked.where("linked").select("a", "b").unionAll(more.where("linked").select("a", "b"))
