@@ -15,55 +15,27 @@ SALTS = 64
 JOIN_SALTS = 16
 # Value buckets keep this many leading bits of a number.
 LEADING_BITS = 12
-# Rows of one key whose values may be sorted as one array.
-WHOLE_KEY_ROWS = 1_000_000
 
 
 def _cols(names):
     return [F.col(n) for n in names]
 
 
-def split_by_size(df, keys, whole_key_rows, sizes=None):
-    """Rows of keys with at most ``whole_key_rows`` rows, and rows of larger keys.
-
-    ``sizes`` (``keys, n``) saves counting where the sizes are known; it only
-    steers the split, so it may be out of date. Larger keys are few (at most
-    rows / whole_key_rows, which bounds the broadcast). Without any, adaptive
-    execution drops the second part.
-    """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
-    large = counted.where(F.col("n") > whole_key_rows)
-    large = F.broadcast(large.select(*[F.col(k).alias(f"_l_{k}") for k in keys]))
-    same = all_of([F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys])
-    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
-
-
-def top_n(df, keys, order, n, salt_on, rank="rank", salts=SALTS, whole_key_rows=None, sizes=None):
+def top_n(df, keys, order, n, salt_on, rank="rank", salts=SALTS):
     """The first ``n`` rows per ``keys`` in ``order`` (a list of sort Columns).
 
     Two passes: per (keys, salt), then per keys over at most ``salts * n``
-    rows. With ``whole_key_rows`` keys up to that size take one pass instead;
-    use it where counting rows per key is cheaper than shuffling them twice.
-    ``order`` must be total for a deterministic result.
+    rows. ``order`` must be total for a deterministic result.
     """
+    inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(*order)
-
-    def ranked(part):
-        return part.withColumn(rank, F.row_number().over(outer).cast("long")).where(F.col(rank) <= n)
-
-    def salted(part):
-        inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        return ranked(
-            part.withColumn("_salt", F.pmod(F.xxhash64(*_cols(salt_on)), F.lit(salts)))
-            .withColumn("_r", F.row_number().over(inner))
-            .where(F.col("_r") <= n)
-            .drop("_salt", "_r")
-        )
-
-    if whole_key_rows is None:
-        return salted(df)
-    small, large = split_by_size(df, keys, whole_key_rows, sizes)
-    return ranked(small).unionByName(salted(large))
+    first = (
+        df.withColumn("_salt", F.pmod(F.xxhash64(*_cols(salt_on)), F.lit(salts)))
+        .withColumn("_r", F.row_number().over(inner))
+        .where(F.col("_r") <= n)
+        .drop("_salt", "_r")
+    )
+    return first.withColumn(rank, F.row_number().over(outer).cast("long")).where(F.col(rank) <= n)
 
 
 def carried(df, keys, chunks, order, fill=None, lag=None, total=None):
@@ -125,44 +97,22 @@ def carried(df, keys, chunks, order, fill=None, lag=None, total=None):
 
 
 def value_bucket(value):
-    """A bucket number that grows with the value: its magnitude and leading bits."""
+    """A bucket number that grows with the value: its magnitude and leading bits; NaN comes last."""
     whole = F.floor(F.abs(value)).cast("long")
     bits = F.floor(F.log2(F.greatest(whole, F.lit(1)).cast("double"))).cast("int")
     shift = F.greatest(bits - F.lit(LEADING_BITS - 1), F.lit(0))
     size = bits.cast("long") * F.lit(1 << LEADING_BITS) + F.call_function("shiftright", whole, shift)
-    return F.when(value < 0, -size).otherwise(size)
+    return F.when(F.isnan(value), F.lit(2**63 - 1)).when(value < 0, -size).otherwise(size)
 
 
-def order_statistics(df, keys, measures, ranks, whole_key_rows=WHOLE_KEY_ROWS, sizes=None):
-    """Exact order statistics of several measures per key.
+def order_statistics(df, keys, measures, ranks):
+    """Exact order statistics of several measures per key, alike for keys of any size.
 
     ``measures`` maps a name to a numeric column name; ``ranks`` maps a label
     to a function from the group size (Column) to a 0-based rank (Column).
     Returns ``keys, metric, n`` and one double column per label. Nulls are not
-    counted; a key without values of a measure has no row for it.
-
-    Keys of at most ``whole_key_rows`` rows sort their values in one array;
-    larger keys go through :func:`_split_order_statistics`.
-    """
-    small_rows, large_rows = split_by_size(df, keys, whole_key_rows, sizes)
-
-    arrays = [F.array_sort(F.collect_list(F.col(col).cast("double"))).alias(f"_m{i}") for i, col in enumerate(measures.values())]
-    entries = []
-    for i, metric in enumerate(measures):
-        values, size = F.col(f"_m{i}"), F.size(f"_m{i}").cast("long")
-        picked = [F.get(values, f(size).cast("int")).alias(label) for label, f in ranks.items()]
-        entries.append(F.struct(F.lit(metric).alias("metric"), size.alias("n"), *picked))
-    small = (
-        small_rows.groupBy(*keys)
-        .agg(*arrays)
-        .select(*keys, F.inline(F.array(*entries)))
-        .where(F.col("n") > 0)
-    )
-    return small.unionByName(_split_order_statistics(large_rows, keys, measures, ranks))
-
-
-def _split_order_statistics(df, keys, measures, ranks):
-    """Order statistics of keys too large for one task.
+    counted, NaN is larger than any number; a key without values of a measure
+    has no row for it.
 
     Equal values are counted before the first shuffle. The rank is then found
     in two steps: first the value bucket that holds it (from bucket totals),

@@ -77,9 +77,11 @@ def line_ms(line):
 
 
 def json_message(line):
-    """``msg`` of a JSON-layout line, else null; cheap tests come first."""
+    """``msg`` of a JSON-layout line if it is text, else null; cheap tests come first."""
     line = F.ltrim(c(line))
-    return F.when(line.startswith("{") & line.contains('"msg"'), F.get_json_object(line, "$.msg"))
+    message = F.try_variant_get(F.try_parse_json(line), "$.msg", "variant")
+    text = F.when(F.schema_of_variant(message) == "STRING", F.try_variant_get(message, "$", "string"))
+    return F.when(line.startswith("{") & line.contains('"msg"'), text)
 
 
 def batch_fields(description):
@@ -88,7 +90,7 @@ def batch_fields(description):
 
     def last_with(prefix):
         hits = F.filter(lines, lambda x: x.startswith(prefix))
-        return F.substring(F.try_element_at(hits, F.lit(-1)), len(prefix) + 1, 1 << 20)
+        return F.substr(F.try_element_at(hits, F.lit(-1)), F.lit(len(prefix) + 1))
 
     first_id = F.array_position(F.transform(lines, lambda x: x.startswith("id = ")), True)
     heads = F.when(first_id > 0, F.slice(lines, 1, F.greatest(first_id - 1, F.lit(0)).cast("int"))).otherwise(lines)
@@ -117,7 +119,7 @@ def display_name(name, description, hint=None):
     first = trimmed(F.element_at(lines_of(text), 1))
     batches = F.filter(F.transform(lines_of(text), trimmed), lambda x: x.startswith("batch = "))
     suffix = F.coalesce(
-        F.concat(F.lit(" · batch "), F.substring(F.try_element_at(batches, F.lit(1)), 9, 1 << 20)), F.lit("")
+        F.concat(F.lit(" · batch "), F.substr(F.try_element_at(batches, F.lit(1)), F.lit(9))), F.lit("")
     )
     return (
         F.when(text.isNotNull() & ~first.startswith("id = "), F.concat(first, suffix))

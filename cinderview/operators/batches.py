@@ -8,16 +8,14 @@ submitted_ms, duration_ms`` with the same ids.
 
 from pyspark.sql import functions as F
 
-from ..functions.ordered import spread_join, top_n, union_all
+from ..functions.ordered import order_statistics, spread_join, top_n, union_all
 from ..functions.text import batch_fields, display_name, title_of
 
 QUERY = ["app_id", "query_id"]
 RUN = ["app_id", "query_id", "run_id"]
 BATCH = ["app_id", "query_id", "run_id", "batch_id"]
-KEPT_BATCHES = 300
 BEHIND_WINDOW, BEHIND_MIN = 5, 3
 LOG_MARGIN_MS = 1000
-LOG_BACK_MS = 6 * 3600 * 1000
 
 
 def with_batch(df, description="description"):
@@ -99,30 +97,26 @@ def batch_keys(progress, sql):
     return progress.select(*BATCH).union(sql.select(*BATCH)).distinct()
 
 
-def retain_batches(batches, keep=KEPT_BATCHES):
+def retain_batches(batches, keep=None):
+    """The newest ``keep`` batches of each query, as a live view shows them; None keeps all."""
+    if keep is None:
+        return batches
     return top_n(batches, QUERY, [F.desc("batch_id")], keep, ["batch_id"]).drop("rank")
 
 
 def batch_stats(kept):
-    """Mean (truncated), p95 and maximum trigger time per query.
-
-    ``kept`` holds at most the retained batches of a query, so its sorted
-    durations fit one array.
-    """
+    """Mean (truncated), p95 and maximum trigger time per query."""
     took = F.when(F.col("duration_ms") > 0, F.col("duration_ms"))
     sized = kept.groupBy(*QUERY).agg(
-        F.count(F.lit(1)).alias("batches"),
-        F.array_sort(F.collect_list(took)).alias("_d"),
-        F.sum(took).alias("_sum"),
-        F.max(took).alias("_max"),
+        F.count(F.lit(1)).alias("batches"), F.count(took).alias("_n"), F.sum(took).alias("_sum"), F.max(took).alias("_max")
     )
-    n = F.size("_d")
-    rank = F.floor((n - 1) * F.lit(0.95) + F.lit(0.5)).cast("int")
-    return sized.select(
+    rank = lambda n: F.floor((n - 1) * F.lit(0.95) + F.lit(0.5))
+    p95 = order_statistics(kept.where(F.col("duration_ms") > 0), QUERY, {"d": "duration_ms"}, {"p95": rank})
+    return sized.join(p95.select(*QUERY, "p95"), QUERY, "left").select(
         *QUERY,
         "batches",
-        F.when(n > 0, F.call_function("div", F.col("_sum"), n)).otherwise(F.lit(0)).cast("long").alias("mean_ms"),
-        F.when(n > 0, F.get("_d", rank)).otherwise(F.lit(0)).alias("p95_ms"),
+        F.when(F.col("_n") > 0, F.call_function("div", F.col("_sum"), F.col("_n"))).otherwise(F.lit(0)).cast("long").alias("mean_ms"),
+        F.coalesce(F.col("p95").cast("long"), F.lit(0)).alias("p95_ms"),
         F.coalesce("_max", F.lit(0)).alias("max_ms"),
     )
 
@@ -250,14 +244,18 @@ def with_window(batches):
     return batches.withColumn("from_ms", start).withColumn("to_ms", end)
 
 
-def log_read_from(sql, as_of_ms, keep=KEPT_BATCHES):
-    """Where log reading has to start so that every kept batch is covered."""
+def log_read_from(sql, as_of_ms=None, keep=None, back_ms=None):
+    """Where log reading has to start so that every batch is covered.
+
+    A live view may look at the newest ``keep`` executions of each query only,
+    and at most ``back_ms`` before ``as_of_ms``; by default all count.
+    """
     timed = sql.where(F.col("submitted_ms").isNotNull())
-    newest = top_n(timed, QUERY, [F.desc("submitted_ms"), F.desc("execution_id")], keep, ["execution_id"])
-    oldest = newest.groupBy("app_id").agg(F.min("submitted_ms").alias("_o"))
-    return oldest.select(
-        "app_id", F.greatest(F.col("_o") - LOG_MARGIN_MS, F.lit(as_of_ms) - LOG_BACK_MS).alias("read_from_ms")
-    )
+    if keep is not None:
+        timed = top_n(timed, QUERY, [F.desc("submitted_ms"), F.desc("execution_id")], keep, ["execution_id"])
+    start = F.min("submitted_ms") - LOG_MARGIN_MS
+    start = start if back_ms is None else F.greatest(start, F.lit(as_of_ms) - back_ms)
+    return timed.groupBy("app_id").agg(start.alias("read_from_ms"))
 
 
 def batch_jobs(jobs):

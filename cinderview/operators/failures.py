@@ -14,7 +14,6 @@ from ..functions.text import detail_line, title_of
 KIND_ORDER = {"stage": 0, "job": 1, "executor": 2, "sql": 3, "task": 4}
 # Order columns of a failure: first poll, kind, place within the kind, text key.
 SEQ = ["first_poll", "kind_order", "place", "sub", "key"]
-REASON_CHARS = 120
 
 POLL = ["app_id", "poll"]
 
@@ -225,7 +224,7 @@ def failures_by_kind(failures):
 
 def top_reasons(failures, n=5):
     """The most common first detail lines per app, with the newest failure's title."""
-    reason = F.substring(detail_line(F.coalesce("detail", F.lit(""))), 1, REASON_CHARS)
+    reason = detail_line(F.coalesce("detail", F.lit("")))
     counted = (
         failures.withColumn("reason", reason)
         .where(F.col("reason") != "")

@@ -13,8 +13,8 @@ FILE = ["app_id", "file"]
 LINES_PER_CHUNK = 65536
 BIN_MS = 60_000
 # Copies of each window, to spread a busy minute.
-WINDOW_SALTS = 4
-TAIL_LINES = 2000
+WINDOW_SALTS = 16
+DRIVER = "driver"
 
 
 def timed(lines):
@@ -30,6 +30,11 @@ def fill_time(lines, keys=FILE):
     return carried(chunked, keys, ["_chunk"], ["line_no"], fill={"time_ms": F.col("ts_ms")}).drop("_chunk")
 
 
+def driver_lines(lines):
+    """Lines of the drivers' logs; without ``executor_id`` all lines are taken as such."""
+    return lines.where(F.col("executor_id") == DRIVER) if "executor_id" in lines.columns else lines
+
+
 def log_time_profile(lines):
     """Dated and undated lines per file and hour, with first and last time."""
     return (
@@ -55,10 +60,10 @@ def log_slice(lines, start_ms, end_ms):
     """
     filled = fill_time(lines)
     past = F.when(F.col("ts_ms") > end_ms, F.col("line_no"))
-    cut = timed(lines).groupBy(*FILE).agg(F.min(past).alias("_cut"))
+    cut = timed(lines).where(F.col("ts_ms") > end_ms).groupBy(*FILE).agg(F.min(past).alias("_cut"))
     inside = filled.where(F.col("time_ms").between(start_ms, end_ms))
     return (
-        spread_join(inside, cut, FILE, ["line_no"])
+        spread_join(inside, cut, FILE, ["line_no"], "left")
         .where(F.col("_cut").isNull() | (F.col("line_no") < F.col("_cut")))
         .drop("_cut")
     )
@@ -91,9 +96,10 @@ def batch_log_slice(batches, lines):
     ``batches`` has ``app_id, query_id, batch_id, from_ms, to_ms``. Batches
     without any time get the lines that name them: a line saying ``batch 123``
     matches batches 1, 12 and 123, as a text search would, so it joins on the
-    prefixes of its numbers.
+    prefixes of its numbers. Executors' logs are left out.
     """
     ids = ["app_id", "query_id", "batch_id"]
+    lines = driver_lines(lines)
     spans = batches.select(*ids, "from_ms", "to_ms")
     by_time = in_windows(spans, fill_time(lines)).select(*ids, "file", "line_no", "line")
     undated = spans.where(F.col("from_ms").isNull()).select(*ids, F.col("batch_id").cast("string").alias("_n"))
@@ -126,19 +132,38 @@ def failure_log_views(failures):
 
 
 def failure_log_lines(failures, lines):
-    """Lines every failure search of an executor finds; ``lines`` has ``executor_id``."""
-    views = failure_log_views(failures)
-    hit = F.lower("line").contains(F.col("needle"))
-    return spread_join(lines, views, ["app_id", "executor_id"], ["file", "line_no"]).where(hit)
+    """Lines that failure searches of their executor find, once each.
+
+    ``lines`` has ``executor_id``. ``needles`` are the error words in the line,
+    ``failures`` how many failures search for one of them. Searches for a whole
+    log are counted by :func:`failure_whole_logs`, not written out.
+    """
+    views = failure_log_views(failures).where(F.col("needle") != "")
+    item = F.struct("needle", "failures")
+    words = views.groupBy("app_id", "executor_id").agg(F.sort_array(F.collect_list(item)).alias("_words"))
+    text = F.lower("line")
+    found = spread_join(lines, words, ["app_id", "executor_id"], ["file", "line_no"]).withColumn(
+        "_found", F.filter("_words", lambda w: text.contains(w["needle"]))
+    )
+    return (
+        found.where(F.size("_found") > 0)
+        .withColumn("needles", F.col("_found.needle"))
+        .withColumn("failures", F.aggregate("_found", F.lit(0).cast("long"), lambda a, w: a + w["failures"]))
+        .drop("_words", "_found")
+    )
+
+
+def failure_whole_logs(failures, lines):
+    """Executors whose whole log a failure points to: ``failures`` that do, ``lines`` the log has."""
+    views = failure_log_views(failures).where(F.col("needle") == "").drop("needle")
+    counts = lines.groupBy("app_id", "executor_id").agg(F.count(F.lit(1)).alias("lines"))
+    return views.join(counts, ["app_id", "executor_id"], "left").fillna(0, ["lines"])
 
 
 def log_span(lines, keys=("app_id",)):
-    """First and last dated line of each log in file order, and lines received."""
-    place = F.when(F.col("ts_ms").isNotNull(), F.struct("file", "line_no"))
-    return timed(lines).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("received"),
-        F.min_by("ts_ms", place).alias("log_first_ms"),
-        F.max_by("ts_ms", place).alias("log_last_ms"),
+    """Earliest and latest time in the drivers' logs, whatever their files are called, and lines received."""
+    return timed(driver_lines(lines)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("received"), F.min("ts_ms").alias("log_first_ms"), F.max("ts_ms").alias("log_last_ms")
     )
 
 
@@ -153,7 +178,7 @@ def log_coverage(batches, lines):
 
 def window_reason(windows, lines, ids):
     """Why a window shows no line although the log delivered some."""
-    seen = in_windows(windows.select("app_id", *ids, "from_ms", "to_ms"), fill_time(lines))
+    seen = in_windows(windows.select("app_id", *ids, "from_ms", "to_ms"), fill_time(driver_lines(lines)))
     shown = seen.select("app_id", *ids).distinct()
     empty = windows.where(F.col("from_ms").isNotNull()).join(shown, ["app_id", *ids], "left_anti")
     spans = log_span(lines).where(F.col("received") > 0)
@@ -166,7 +191,8 @@ def window_reason(windows, lines, ids):
     return spread_join(empty, spans, ["app_id"], ids).withColumn("reason", reason)
 
 
-def log_tail(lines, keys=FILE, n=TAIL_LINES):
+def log_tail(lines, n, keys=FILE):
+    """The last ``n`` lines of every log."""
     return tail_by_number(lines, keys, "line_no", n)
 
 

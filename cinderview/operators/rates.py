@@ -65,12 +65,13 @@ def samples_of(executors, keys=("app_id", "poll_s")):
     )
 
 
-def last_samples(samples, keys=("app_id",), ts="poll_s", n=120):
+def last_samples(samples, n, keys=("app_id",), ts="poll_s"):
+    """The last ``n`` polls, as a chart shows them."""
     return top_n(samples, list(keys), [F.desc(ts)], n, [ts]).drop("rank")
 
 
-def metric_series(metrics, keys=("app_id", "key"), ts="poll_s", n=120, span=CHUNK_SPAN):
-    """The one number of a metric worth charting, for its last ``n`` polls."""
+def metric_series(metrics, keys=("app_id", "key"), ts="poll_s", n=None, span=CHUNK_SPAN):
+    """The one number of a metric worth charting, at every poll or its last ``n``."""
     rated = counter_rate(metrics, list(keys), ts, "value", span)
     kind = F.col("kind")
     point = (
@@ -79,4 +80,5 @@ def metric_series(metrics, keys=("app_id", "key"), ts="poll_s", n=120, span=CHUN
         .when(kind == "meter", F.col("m1_rate"))
         .otherwise(F.col("mean"))
     )
-    return top_n(rated.withColumn("point", point), list(keys), [F.desc(ts)], n, [ts])
+    rated = rated.withColumn("point", point)
+    return rated if n is None else top_n(rated, list(keys), [F.desc(ts)], n, [ts])

@@ -6,12 +6,11 @@ from ..functions.ordered import top_n, union_all
 from ..functions.text import (
     bytes_text, clock_text, detail_line, display_name, duration_text, fixed, lines_of, percent, share, title_of,
 )
-from . import batches as bt, failures as fl, registry as reg, resources as res, settings, stats
+from . import batches as bt, failures as fl, logs, registry as reg, resources as res, settings, stats
 
 # Report sections in order.
 SECTIONS = ["Application", "Failures", "Slowest stages", "Executors", "Storage", "Streaming", "Metrics", "Key settings"]
 TOP = 5
-METRICS_PER_SOURCE = 12
 # What marks a summary line as bad or good news.
 BAD_PARTS = ["FAILED", " lost ", "FALLING BEHIND", "SKEW", "% of spark.executor.memory"]
 BAD_START = "GC:"
@@ -165,11 +164,10 @@ def metric_lines(metrics, ts="poll_s"):
     parts.append(
         _lines(sources, "Metrics", 100, place(F.lit("")), _s("app source ", F.col("source"), " (", F.col("metrics"), " metrics):"))
     )
-    first = top_n(own, ["app_id", "source"], [F.asc("name"), F.asc("key")], METRICS_PER_SOURCE, ["key"])
     head, detail = reg.metric_text()
-    shown = first.withColumn("_h", head).withColumn("_d", detail)
+    shown = own.withColumn("_h", head).withColumn("_d", detail)
     text = _s("  ", F.col("name"), " = ", F.col("_h"), F.when(F.col("_d") != "", _s("  (", F.col("_d"), ")")).otherwise(""))
-    parts.append(_lines(shown, "Metrics", 100, place(F.concat(F.lit("1"), F.lpad(F.col("rank").cast("string"), 3, "0"))), text))
+    parts.append(_lines(shown, "Metrics", 100, place(F.concat(F.lit("1"), F.col("name"), F.lit("\u0000"), F.col("key"))), text))
     return union_all(parts)
 
 
@@ -193,14 +191,24 @@ def fleet_summary(apps, jobs, stages, tasks, executors, budgeted, rdds, failures
 
 
 def summary_markdown(summary):
-    """One Markdown text per application."""
-    item = F.struct("section_no", "ord", "sub", "section", "line")
-    rows = summary.groupBy("app_id", "section_no", "section").agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    body = F.array_join(F.transform("_l", lambda x: F.concat(F.lit("- "), x["line"], F.lit("\n"))), "")
-    sections = rows.select("app_id", "section_no", _s("## ", F.col("section"), "\n\n", body, "\n").alias("t"))
-    per_app = sections.groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "t"))).alias("_s"))
-    text = F.array_join(F.transform("_s", lambda x: x["t"]), "")
-    return per_app.select("app_id", _s("# Application summary\n\n", text).alias("markdown"))
+    """Markdown of every application, one row per line, ordered by ``section_no, part, ord, sub``.
+
+    Headings and blank lines are rows of their own, so however long a section
+    is, no row holds more than a line. Sections without lines do not occur.
+    """
+    row = lambda df, no, part, text: df.select(
+        "app_id", (F.lit(no) if isinstance(no, int) else F.col(no)).alias("section_no"), F.lit(part).alias("part"),
+        F.lit(0).alias("ord"), F.lit("").alias("sub"), text.alias("text"),
+    )
+    apps = summary.select("app_id").distinct()
+    sections = summary.select("app_id", "section_no", "section").distinct()
+    lines = summary.select("app_id", "section_no", F.lit(2).alias("part"), "ord", "sub", F.concat(F.lit("- "), "line").alias("text"))
+    blank = F.lit("")
+    return union_all([
+        row(apps, 0, 0, F.lit("# Application summary")), row(apps, 0, 1, blank),
+        row(sections, "section_no", 0, F.concat(F.lit("## "), "section")), row(sections, "section_no", 1, blank),
+        lines, row(sections, "section_no", 3, blank),
+    ])
 
 
 def summary_highlights(summary):
@@ -220,8 +228,7 @@ def summary_highlights(summary):
 def stage_report(stages, tasks, stage_executors, measures):
     """One row per stage attempt: totals, locality, median, skew, stragglers, flagged executors."""
     keys = stats.STAGE
-    sizes = stats.known_sizes(stages)
-    spread = stats.skew(stats.succeeded(tasks), keys, measures, sizes=sizes)
+    spread = stats.skew(stats.succeeded(tasks), keys, measures)
     of_duration = lambda c: F.max(F.when(F.col("metric") == "duration", F.col(c)))
     per_stage = spread.groupBy(*keys).agg(
         of_duration("median").alias("median_ms"), of_duration("max").alias("max_ms"), stats.skew_text_of_group().alias("skew")
@@ -236,7 +243,7 @@ def stage_report(stages, tasks, stage_executors, measures):
     flags = stats.executor_flags(stage_executors, keys).groupBy(*keys).agg(F.count_if("flagged").alias("flagged_executors"))
     out = (
         stages.withColumn("gc_percent", percent("jvm_gc_time", "executor_run_time"))
-        .join(stats.locality(stats.sampled_tasks(tasks, keys, sizes=sizes), keys).withColumnRenamed("line", "locality"), keys, "left")
+        .join(stats.locality(tasks, keys).withColumnRenamed("line", "locality"), keys, "left")
         .join(measured, keys, "left")
         .join(flags, keys, "left")
     )
@@ -244,21 +251,26 @@ def stage_report(stages, tasks, stage_executors, measures):
 
 
 def batch_report(batches, jobs, job_stages, failures, sql, lines, log_slice):
-    """One row per kept micro-batch: timing, rates, and how many stages, failures and log lines it has.
+    """One row per micro-batch: timing against its query, rates, phases, log coverage, stages, failures and log lines.
 
-    ``log_slice`` is the table of ``logs.batch_log_slice`` for these batches.
+    ``log_slice`` is the table of ``logs.batch_log_slice`` for these batches. A
+    batch without progress has no rates and phases; ``before_log`` tells that the
+    log (``lines``) starts only after it ended.
     """
     ids = ["app_id", "query_id", "batch_id"]
     listed = batches.select(*bt.BATCH)
     n = lambda df, name: df.groupBy(*ids).agg(F.count(F.lit(1)).alias(name))
+    before = logs.log_coverage(bt.with_window(batches), lines)
     out = (
         bt.slow_batches(batches, bt.batch_stats(batches))
         .withColumn("behind", F.coalesce(bt.behind_batch(), F.lit(False)))
+        .withColumns(dict(zip(("add_batch_ms", "overhead_ms"), [F.coalesce(c, F.lit(0)) for c in bt.phase_columns()])))
+        .join(before.select(*ids, "before_log"), ids, "left")
         .join(n(bt.batch_stage_ids(jobs, job_stages, listed), "stages"), ids, "left")
         .join(n(bt.batch_failures(failures, jobs, job_stages, sql, listed), "failures"), ids, "left")
         .join(n(log_slice, "log_lines"), ids, "left")
     )
-    return out.fillna(0, ["stages", "failures", "log_lines"])
+    return out.fillna(0, ["stages", "failures", "log_lines"]).fillna(False, ["before_log"])
 
 
 def progress_ratio(jobs):
@@ -297,7 +309,7 @@ def stages_table(named_stages):
 
 def executors_table(executors, as_of_ms):
     state = F.when(~F.col("is_active"), "dead").when(F.col("is_excluded"), "excl").otherwise("up")
-    why = F.substring(F.element_at(lines_of("remove_reason"), 1), 1, 48)
+    why = F.element_at(lines_of("remove_reason"), 1)
     host = F.when(~F.col("is_active") & F.col("remove_reason").isNotNull(), F.concat_ws(" · ", "host_port", why)).otherwise(F.col("host_port"))
     ago = lambda c: duration_text(F.greatest(F.lit(as_of_ms) - F.col(c), F.lit(0)))
     age = F.when(F.col("remove_ms").isNotNull(), F.concat(F.lit("gone "), ago("remove_ms"))).when(
@@ -326,7 +338,7 @@ def sql_table(sql, sql_jobs, submitted="submission_time"):
 
 def applications_table(apps):
     return apps.select(
-        "app_id", F.substring("name", 1, 40).alias("name"), "spark_user", F.substring("start_time", 1, 19).alias("start"),
+        "app_id", "name", "spark_user", F.substring("start_time", 1, 19).alias("start"),
         duration_text("duration_ms").alias("duration"), F.when(F.col("completed"), "completed").otherwise("running").alias("state"), "version",
     )
 

@@ -69,12 +69,12 @@ def node_top_metrics(nodes, n=3):
     return top.select(*keys, "metric", "value", "rank", hot.alias("hot"))
 
 
-def upsert_latest(df, keys, id_col, order, keep):
-    """Overlapping re-reads: the last row of each id wins, the newest ``keep`` ids stay."""
+def upsert_latest(df, keys, id_col, order, keep=None):
+    """Overlapping re-reads: the last row of each id wins; ``keep`` leaves the newest ids only, as a live view does."""
     rest = [c for c in df.columns if c not in (*keys, id_col)]
     latest = (
         df.groupBy(*keys, id_col)
         .agg(F.max_by(F.struct(*rest), order).alias("_last"))
         .select(*keys, id_col, "_last.*")
     )
-    return top_n(latest, list(keys), [F.desc(id_col)], keep, [id_col])
+    return latest if keep is None else top_n(latest, list(keys), [F.desc(id_col)], keep, [id_col])

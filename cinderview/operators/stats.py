@@ -7,7 +7,7 @@ profile ordinary tables.
 from pyspark.sql import functions as F
 
 from ..functions.filters import FILTER_FIELDS, text_filter, with_stage_key
-from ..functions.ordered import WHOLE_KEY_ROWS, order_statistics, top_n, union_all
+from ..functions.ordered import order_statistics, top_n
 from ..functions.text import fixed, ratio_text
 
 # Reported quantiles and their labels.
@@ -50,16 +50,11 @@ def succeeded(tasks):
     return tasks.where(F.col("status") == "SUCCESS")
 
 
-def known_sizes(stages):
-    """Rows per stage as the stage table knows them, to save counting tasks."""
-    return stages.select(*STAGE, F.col("num_tasks").alias("n"))
-
-
-def quantiles(df, keys, measures, quantile_of=None, sizes=None):
+def quantiles(df, keys, measures, quantile_of=None):
     """Exact quantiles per key and measure, in long form."""
     qs = quantile_of or QUANTILES
     ranks = {label: nearest_rank(q) for label, q in qs.items()}
-    return order_statistics(df, keys, measures, ranks, sizes=sizes)
+    return order_statistics(df, keys, measures, ranks)
 
 
 def approx_quantiles(df, keys, measures, quantile_of=None, accuracy=10000):
@@ -78,11 +73,9 @@ def approx_quantiles(df, keys, measures, quantile_of=None, accuracy=10000):
     )
 
 
-def skew(df, keys, measures, ratio=SKEW_RATIO, sizes=None):
+def skew(df, keys, measures, ratio=SKEW_RATIO):
     """``max / median`` per key and measure; ``measures`` maps name to (column, unit)."""
-    stats = quantiles(
-        df, keys, {m: col for m, (col, _) in measures.items()}, {"median": 0.5, "max": 1.0}, sizes
-    )
+    stats = quantiles(df, keys, {m: col for m, (col, _) in measures.items()}, {"median": 0.5, "max": 1.0})
     return with_skew(stats, {m: unit for m, (_, unit) in measures.items()}, ratio)
 
 
@@ -110,18 +103,13 @@ def skew_text(skewed, keys):
     return skewed.groupBy(*keys).agg(skew_text_of_group().alias("skew")).where(F.col("skew").isNotNull())
 
 
-def median_duration(tasks, summary, keys=STAGE, sample=100, sizes=None):
-    """Median task time per key: from ``summary`` (``keys, p50``), else from the slowest tasks."""
-    slow = slowest_tasks(tasks, keys, sample, sizes=sizes)
-    # At most ``sample`` rows are left of a key, so their values fit one array.
-    values = F.array_sort(F.collect_list(F.col("duration_ms").cast("double")))
-    fallback = succeeded(slow).groupBy(*keys).agg(values.alias("_v")).select(
-        *keys, F.get("_v", middle_rank(F.size("_v")).cast("int")).alias("upper")
-    )
+def median_duration(tasks, summary, keys=STAGE):
+    """Median task time per key: from ``summary`` (``keys, p50``), else the upper median of its succeeded tasks."""
+    fallback = order_statistics(succeeded(tasks), keys, {"d": "duration_ms"}, {"upper": middle_rank})
     groups = tasks.groupBy(*keys).agg(F.lit(1).alias("_one")).drop("_one")
     return (
         groups.join(summary.select(*keys, "p50"), keys, "left")
-        .join(fallback, keys, "left")
+        .join(fallback.select(*keys, "upper"), keys, "left")
         .select(*keys, F.coalesce("p50", "upper", F.lit(0.0)).alias("median_ms"))
     )
 
@@ -130,24 +118,23 @@ def is_straggler(duration, median, ratio=SKEW_RATIO):
     return (F.col(median) >= MEDIAN_FLOOR_MS) & (F.col(duration) >= F.col(median) * ratio)
 
 
-def stragglers(df, keys, duration, ratio=SKEW_RATIO, of=None, sizes=None):
+def stragglers(df, keys, duration, ratio=SKEW_RATIO, of=None):
     """Rows at least ``ratio`` times the median of their key (medians of 100 ms and more).
 
     ``of`` is the population of the median; by default all of ``df``.
     """
     base = df if of is None else of
-    medians = quantiles(base, keys, {"d": duration}, {"median_ms": 0.5}, sizes).select(*keys, "median_ms")
+    medians = quantiles(base, keys, {"d": duration}, {"median_ms": 0.5}).select(*keys, "median_ms")
     late = medians.where(F.col("median_ms") >= MEDIAN_FLOOR_MS)
     hit = df.join(late, keys).where(is_straggler(duration, "median_ms", ratio))
     times = F.col(duration) / F.greatest(F.col("median_ms"), F.lit(1.0))
     return hit.withColumn("note", F.concat(F.lit("straggler ×"), fixed(times, 1)))
 
 
-def slowest_tasks(tasks, keys, n, order="duration_ms", sizes=None):
+def slowest_tasks(tasks, keys, n, order="duration_ms"):
     """The ``n`` longest tasks per key; ties by task id."""
     sort = [F.desc(order), F.asc("task_id"), F.asc("attempt"), F.asc("executor_id")]
-    salt_on = ["task_id", "attempt", "executor_id"]
-    return top_n(tasks, keys, sort, n, salt_on, whole_key_rows=WHOLE_KEY_ROWS, sizes=sizes)
+    return top_n(tasks, keys, sort, n, ["task_id", "attempt", "executor_id"])
 
 
 def failed_tasks(tasks):
@@ -168,7 +155,7 @@ def rollup_executors(tasks, keys=STAGE):
 
 
 def executor_flags(stage_executors, keys=STAGE):
-    """Executors that failed tasks, are excluded, or run at twice the stage mean; worst first."""
+    """Executors that failed tasks, are excluded, or run at twice the stage mean."""
     n = F.col("succeeded_tasks") + F.col("failed_tasks") + F.col("killed_tasks")
     mean = lambda time, count: F.when(count > 0, time / F.nullif(count, F.lit(0))).otherwise(F.lit(0.0))
     rows = stage_executors.withColumn("tasks", n)
@@ -185,23 +172,16 @@ def executor_flags(stage_executors, keys=STAGE):
         F.when(F.col("is_excluded"), F.lit("excluded")),
         F.when(slow, F.concat(fixed(times, 1), F.lit("× stage avg"))),
     )
-    return (
-        rows.withColumn("reason", reason)
-        .withColumn("flagged", F.col("reason") != "")
-        .orderBy(*keys, F.desc("flagged"), F.desc("task_time"), F.asc("executor_id"))
-    )
+    return rows.withColumn("reason", reason).withColumn("flagged", F.col("reason") != "")
 
 
-def sampled_tasks(tasks, keys=STAGE, slow=100, failed=50, sizes=None):
-    """The tasks a stage view looks at: its slowest and its failed ones."""
-    parts = [
-        slowest_tasks(tasks, keys, slow, sizes=sizes), slowest_tasks(failed_tasks(tasks), keys, failed, sizes=sizes)
-    ]
-    return union_all([p.drop("rank") for p in parts])
+def executor_order(flagged, keys=STAGE):
+    """Flagged executors of a stage first, then by task time."""
+    return flagged.orderBy(*keys, F.desc("flagged"), F.desc("task_time"), F.asc("executor_id"))
 
 
 def locality(tasks, keys=STAGE):
-    """Locality histogram text per key, and whether most tasks ran away from their data."""
+    """Locality histogram text per key over all its tasks, and whether most ran away from their data."""
     counts = tasks.groupBy(*keys, "locality").agg(F.count(F.lit(1)).alias("n"))
     known = F.array_position(F.array(*[F.lit(x) for x in LOCALITIES]), F.col("locality"))
     rank = F.when(known > 0, known).otherwise(F.lit(len(LOCALITIES) + 1))
@@ -212,17 +192,17 @@ def locality(tasks, keys=STAGE):
                  F.concat_ws(" ", "locality", F.col("n").cast("string")).alias("t")),
     )
     groups = counts.groupBy(*keys).agg(
-        F.sum("n").alias("sampled"),
+        F.sum("n").alias("tasks"),
         F.coalesce(F.sum(F.when(F.col("locality") == "ANY", F.col("n"))), F.lit(0)).alias("_any"),
         F.array_sort(F.collect_list(item)).alias("_i"),
     )
     parts = F.array_join(F.transform("_i", lambda x: x["t"]), " · ")
     line = F.when(F.size("_i") == 0, F.lit("locality -")).otherwise(
-        F.concat(F.lit("locality (of "), F.col("sampled").cast("string"), F.lit(" sampled tasks) "), parts)
+        F.concat(F.lit("locality (of "), F.col("tasks").cast("string"), F.lit(" tasks) "), parts)
     )
     return groups.select(
-        *keys, "sampled", line.alias("line"),
-        (F.col("_any") * 2 > F.greatest(F.col("sampled"), F.lit(1))).alias("mostly_remote"),
+        *keys, "tasks", line.alias("line"),
+        (F.col("_any") * 2 > F.greatest(F.col("tasks"), F.lit(1))).alias("mostly_remote"),
     )
 
 
@@ -245,7 +225,7 @@ def slowest_stages(stages, tasks, measures, n=5):
     top = top_n(busy, ["app_id"], order, n, ["stage_id", "attempt_id"]).drop("_rank")
     # Only the tasks of these stages are measured.
     mine = succeeded(tasks).join(top.select(*STAGE), STAGE, "left_semi")
-    return top.join(skew_text(skew(mine, STAGE, measures, sizes=known_sizes(top)), STAGE), STAGE, "left")
+    return top.join(skew_text(skew(mine, STAGE, measures), STAGE), STAGE, "left")
 
 
 def job_order(jobs):

@@ -63,10 +63,10 @@ joined AS (
          coalesce(p.batch_id, s.batch_id) AS batch_id, s.status, s.submitted_ms, s.execution_id,
          CASE WHEN p.batch_id IS NOT NULL THEN p.trigger_ms ELSE s.duration_ms END AS duration_ms, p.batch_id IS NOT NULL AS has_progress,
          p.started_ms, p.num_input_rows, p.input_rps, p.processed_rps, p.trigger_ms, p.state_rows, p.state_bytes, p.watermark_ms, p.rows_dropped
-  FROM (SELECT * FROM fx_progress WHERE num_input_rows % 4 <> 0) p FULL OUTER JOIN last_sql s
+  FROM fx_progress p FULL OUTER JOIN last_sql s
     ON p.app_id = s.app_id AND p.query_id = s.query_id AND p.run_id = s.run_id AND p.batch_id = s.batch_id),
 merged AS (SELECT j.*, l.name FROM joined j JOIN live l ON j.app_id = l.app_id AND j.query_id = l.query_id AND j.run_id = l.run_id),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id, query_id ORDER BY batch_id DESC) AS rn FROM merged) m WHERE rn <= 300),
+kept AS (SELECT * FROM merged),
 with_rank AS (SELECT *, row_number() OVER (PARTITION BY app_id, query_id ORDER BY duration_ms) - 1 AS rk,
                      count(*) OVER (PARTITION BY app_id, query_id) AS n FROM kept WHERE duration_ms > 0),
 timing AS (SELECT app_id, query_id, CAST(floor(sum(duration_ms) / max(n)) AS BIGINT) AS mean_ms, max(duration_ms) AS max_ms,
@@ -78,14 +78,8 @@ batch_stats AS (SELECT k.app_id, k.query_id, k.batches, coalesce(t.mean_ms, 0) A
 
 
 def merged_batches(v):
-    """Live batches of the fixtures; a quarter of the progress reports is missing."""
-    seen = v.fx_progress
-    arrivals = seen.where("num_input_rows % 4 <> 0")
-    return bt.merge_batches(arrivals, v.fx_batch_sql)
-
-
-def kept_batches(v):
-    return bt.retain_batches(merged_batches(v))
+    """Live batches of the fixtures; some have only progress, some only executions."""
+    return bt.merge_batches(v.fx_progress, v.fx_batch_sql)
 
 
 @query("merge_batches", f"WITH {_MERGED} SELECT * EXCLUDE (rows_dropped, watermark_ms, state_bytes) FROM merged")
@@ -104,7 +98,7 @@ def batch_keys_union(v):
 
 @query("batch_stats", f"WITH {_MERGED} SELECT * FROM batch_stats")
 def batch_stats(v):
-    return bt.batch_stats(kept_batches(v))
+    return bt.batch_stats(merged_batches(v))
 
 
 _SNAPSHOT = """
@@ -121,19 +115,19 @@ snapshot AS (
 
 @query("query_snapshot", f"WITH {_MERGED}, {_SNAPSHOT} SELECT * FROM snapshot")
 def query_snapshot(v):
-    return bt.query_snapshot(kept_batches(v))
+    return bt.query_snapshot(merged_batches(v))
 
 
 @query("failed_batches", f"WITH {_MERGED} SELECT app_id, query_id, CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM kept GROUP BY app_id, query_id")
 def failed_batches(v):
-    return bt.failed_batches(kept_batches(v))
+    return bt.failed_batches(merged_batches(v))
 
 
 @query("dropped_rows", f"""WITH {_MERGED}
 SELECT app_id, query_id, batch_id, rows_dropped AS dropped, CAST(sum(rows_dropped) OVER (PARTITION BY app_id, query_id) AS BIGINT) AS window_dropped
 FROM kept WHERE has_progress""")
 def dropped_rows(v):
-    return bt.dropped_rows(kept_batches(v).where("has_progress"))
+    return bt.dropped_rows(merged_batches(v).where("has_progress"))
 
 
 _BEHIND = """
@@ -146,7 +140,7 @@ behind AS (
 
 @query("falling_behind", f"WITH {_MERGED}, {_BEHIND} SELECT *, with_input >= 3 AND slow >= 3 AS behind FROM behind")
 def falling_behind(v):
-    return bt.falling_behind(kept_batches(v).where("has_progress"), bt.QUERY, "batch_id")
+    return bt.falling_behind(merged_batches(v).where("has_progress"), bt.QUERY, "batch_id")
 
 
 @query("phase_series", """
@@ -166,7 +160,7 @@ SELECT k.app_id, k.query_id, k.batch_id, k.duration_ms, s.p95_ms > 0 AND k.durat
        CASE WHEN s.mean_ms > 0 THEN CAST(k.duration_ms AS DOUBLE) / s.mean_ms ELSE 0 END AS vs_mean
 FROM kept k JOIN batch_stats s ON k.app_id = s.app_id AND k.query_id = s.query_id""")
 def slow_batches(v):
-    kept = kept_batches(v)
+    kept = merged_batches(v)
     rows = bt.slow_batches(kept, bt.batch_stats(kept))
     return rows.select(*bt.QUERY, "batch_id", "duration_ms", "slow", "vs_mean")
 
@@ -175,12 +169,12 @@ def slow_batches(v):
 SELECT app_id, query_id, batch_id, duration_ms, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id, query_id
   ORDER BY duration_ms DESC, batch_id) AS BIGINT) AS rank FROM kept) k WHERE rank <= 3""")
 def slowest_batches(v):
-    return bt.slowest_batches(kept_batches(v)).select(*bt.QUERY, "batch_id", "duration_ms", "rank")
+    return bt.slowest_batches(merged_batches(v)).select(*bt.QUERY, "batch_id", "duration_ms", "rank")
 
 
 @query("batch_order", f"WITH {_MERGED} SELECT app_id, coalesce(name, substring(query_id, 1, 8)) AS label, query_id, batch_id FROM kept")
 def batch_order(v):
-    return bt.batch_order(kept_batches(v)).select("app_id", "label", "query_id", "batch_id")
+    return bt.batch_order(merged_batches(v)).select("app_id", "label", "query_id", "batch_id")
 
 
 @query("query_order", f"WITH {_MERGED} SELECT DISTINCT app_id, coalesce(name, substring(query_id, 1, 8)) AS label, query_id FROM merged")
@@ -188,12 +182,9 @@ def query_order(v):
     return bt.query_order(merged_batches(v)).select("app_id", "label", "query_id")
 
 
-@query("log_read_from", f"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY app_id, query_id ORDER BY submitted_ms DESC, execution_id DESC) AS pos
-           FROM fx_batch_sql WHERE submitted_ms IS NOT NULL)
-SELECT app_id, greatest(min(submitted_ms) - 1000, {AS_OF} - 21600000) AS read_from_ms FROM r WHERE pos <= 300 GROUP BY app_id""")
+@query("log_read_from", "SELECT app_id, min(submitted_ms) - 1000 AS read_from_ms FROM fx_batch_sql WHERE submitted_ms IS NOT NULL GROUP BY app_id")
 def log_read_from(v):
-    return bt.log_read_from(v.fx_batch_sql, AS_OF)
+    return bt.log_read_from(v.fx_batch_sql)
 
 
 _BATCH_STAGES = f"""{_JOB_BATCHES}, {_live('job_batches', 'job_id', 'query_name')},

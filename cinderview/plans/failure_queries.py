@@ -148,7 +148,7 @@ def failures_by_kind(v):
 _REASONS = f"""
 reasons AS (
   SELECT app_id, reason, count(*) AS n, arg_max(title, row(first_poll, kind_order, place, sub, key)) AS example
-  FROM (SELECT *, substring(trim({_DETAIL.format('detail')}), 1, 120) AS reason FROM failures) f WHERE reason <> '' GROUP BY app_id, reason),
+  FROM (SELECT *, trim({_DETAIL.format('detail')}) AS reason FROM failures) f WHERE reason <> '' GROUP BY app_id, reason),
 top_reasons AS (
   SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id ORDER BY n DESC, reason) AS BIGINT) AS rank FROM reasons) r WHERE rank <= 5)"""
 
@@ -168,13 +168,12 @@ def retain_last(v):
 
 @query("failure_growth", """
 SELECT poll, app_id, stage_id, attempt_id, num_failed_tasks, previous FROM (
-  SELECT *, row_number() OVER (PARTITION BY app_id, poll ORDER BY stage_id DESC, attempt_id DESC) AS rn FROM (
-    SELECT *, coalesce(lag(num_failed_tasks) OVER (PARTITION BY app_id, stage_id, attempt_id ORDER BY poll), 0) AS previous
-    FROM (SELECT 1 AS poll, app_id, stage_id, attempt_id, CAST(floor(num_failed_tasks / 2) AS BIGINT) AS num_failed_tasks FROM fx_stages
-          UNION ALL SELECT 2, app_id, stage_id, attempt_id, num_failed_tasks FROM fx_stages) p) g
-  WHERE num_failed_tasks > previous) t WHERE rn <= 5""")
+  SELECT *, coalesce(lag(num_failed_tasks) OVER (PARTITION BY app_id, stage_id, attempt_id ORDER BY poll), 0) AS previous
+  FROM (SELECT 1 AS poll, app_id, stage_id, attempt_id, CAST(floor(num_failed_tasks / 2) AS BIGINT) AS num_failed_tasks FROM fx_stages
+        UNION ALL SELECT 2, app_id, stage_id, attempt_id, num_failed_tasks FROM fx_stages) p) g
+WHERE num_failed_tasks > previous""")
 def failure_growth(v):
-    grown = fl.failure_growth(v.sql(POLLED["stages"]), max_stages=5)
+    grown = fl.failure_growth(v.sql(POLLED["stages"]))
     return grown.select("poll", "app_id", "stage_id", "attempt_id", "num_failed_tasks", "previous")
 
 

@@ -119,14 +119,16 @@ FROM (SELECT 'app-' || CAST(length(event_type) % 2 AS STRING) AS app_id, event_t
       FROM fx_events GROUP BY event_type, hour_no) p""",
     "fx_batch_sql": """
 SELECT 'app-' || CAST(length(event_type) % 2 AS STRING) AS app_id, event_type AS query_id, event_type || '-query' AS name,
-       CASE WHEN hour_no >= 360 THEN 'r2' ELSE 'r1' END AS run_id, hour_no AS batch_id,
+       CASE WHEN hour_no >= 360 THEN 'r2' ELSE 'r1' END AS run_id,
+       CASE WHEN event_id % 97 = 0 THEN hour_no + 800 ELSE hour_no - hour_no % 2 END AS batch_id,
        event_id AS execution_id,
        CASE event_id % 3 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'COMPLETED' ELSE 'RUNNING' END AS status,
        CASE WHEN event_id % 4 <> 0 THEN CAST(1704067200000 AS BIGINT) + hour_no * 3600000 + event_id % 60 * 1000 END AS submitted_ms,
        CAST(event_id % 5000 AS BIGINT) AS duration_ms
-FROM fx_events WHERE user_id % 5 < 2""",
+FROM fx_events""",
     "fx_log_lines": """
-SELECT 'app-' || CAST(user_id % 2 AS STRING) AS app_id, CAST(user_id % 4 AS STRING) AS executor_id,
+SELECT 'app-' || CAST(user_id % 2 AS STRING) AS app_id,
+       CASE WHEN user_id % 4 < 2 THEN 'driver' ELSE CAST(user_id % 4 AS STRING) END AS executor_id,
        'file-' || CAST(user_id % 4 AS STRING) AS file, event_id AS line_no,
        CASE WHEN event_id % 3 = 2 THEN '  at org.apache.spark.x(A.scala:' || CAST(event_id AS STRING) || ') java.lang.Error'
                  || CAST(event_id % 7 AS STRING)

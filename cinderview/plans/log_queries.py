@@ -52,7 +52,7 @@ def log_time_slice(v):
 @query("log_tail", """
 SELECT app_id, file, line_no FROM (SELECT *, max(line_no) OVER (PARTITION BY app_id, file) AS last FROM fx_log_lines) l WHERE line_no > last - 2000""")
 def log_tail(v):
-    return logs.log_tail(v.fx_log_lines).select("app_id", "file", "line_no")
+    return logs.log_tail(v.fx_log_lines, 2000).select("app_id", "file", "line_no")
 
 
 @query("html_log_text", """
@@ -67,24 +67,24 @@ _WINDOWS = f"""{batch_queries._MERGED},
 spans AS (SELECT *, CASE WHEN has_progress THEN started_ms ELSE submitted_ms END - 1000 AS from_ms,
                  CASE WHEN has_progress THEN started_ms ELSE submitted_ms END
                    + greatest(coalesce(CASE WHEN has_progress THEN greatest(trigger_ms, duration_ms) ELSE duration_ms END, 0), 0) + 1000 AS to_ms FROM kept),
-{_FILLED}"""
+{_FILLED}, driver AS (SELECT * FROM filled WHERE executor_id = 'driver')"""
 
 
 def batch_windows(v):
-    return bt.with_window(batch_queries.kept_batches(v))
+    return bt.with_window(batch_queries.merged_batches(v))
 
 
 @query("batch_log_slice", f"""WITH {_WINDOWS}
-SELECT s.app_id, s.query_id, s.batch_id, f.file, f.line_no, f.line FROM spans s JOIN filled f ON s.app_id = f.app_id AND f.time_ms BETWEEN s.from_ms AND s.to_ms
+SELECT s.app_id, s.query_id, s.batch_id, f.file, f.line_no, f.line FROM spans s JOIN driver f ON s.app_id = f.app_id AND f.time_ms BETWEEN s.from_ms AND s.to_ms
 UNION ALL
-SELECT s.app_id, s.query_id, s.batch_id, f.file, f.line_no, f.line FROM spans s JOIN filled f
+SELECT s.app_id, s.query_id, s.batch_id, f.file, f.line_no, f.line FROM spans s JOIN driver f
   ON s.app_id = f.app_id AND contains(lower(f.line), 'batch ' || CAST(s.batch_id AS STRING)) WHERE s.from_ms IS NULL""")
 def batch_log_slice(v):
     return logs.batch_log_slice(batch_windows(v), v.fx_log_lines)
 
 
 @query("log_coverage", f"""WITH {_WINDOWS},
-begin_ms AS (SELECT app_id, min_by(stamp_ms, CASE WHEN stamp_ms IS NOT NULL THEN row(file, line_no) END) AS log_start_ms FROM fx_log_lines GROUP BY app_id)
+begin_ms AS (SELECT app_id, min(stamp_ms) AS log_start_ms FROM driver GROUP BY app_id)
 SELECT s.app_id, s.query_id, s.batch_id, b.log_start_ms, coalesce(s.to_ms < b.log_start_ms, FALSE) AS before_log
 FROM spans s LEFT JOIN begin_ms b ON s.app_id = b.app_id WHERE NOT s.has_progress""")
 def log_coverage(v):
@@ -93,12 +93,11 @@ def log_coverage(v):
 
 
 @query("empty_window_reason", f"""WITH {_WINDOWS},
-log_span AS (SELECT app_id, min_by(stamp_ms, CASE WHEN stamp_ms IS NOT NULL THEN row(file, line_no) END) AS first_ms,
-                    max_by(stamp_ms, CASE WHEN stamp_ms IS NOT NULL THEN row(file, line_no) END) AS last_ms FROM fx_log_lines GROUP BY app_id)
+log_span AS (SELECT app_id, min(stamp_ms) AS first_ms, max(stamp_ms) AS last_ms FROM driver GROUP BY app_id)
 SELECT s.app_id, s.query_id, s.batch_id, CASE WHEN l.first_ms > s.to_ms THEN 'log starts after the window' WHEN l.last_ms < s.from_ms THEN 'log ends before the window'
        WHEN l.first_ms IS NOT NULL THEN 'no line is dated inside the window' ELSE 'no line has a readable time' END AS reason
 FROM spans s JOIN log_span l ON s.app_id = l.app_id
-WHERE s.from_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM filled f WHERE f.app_id = s.app_id AND f.time_ms BETWEEN s.from_ms AND s.to_ms)""")
+WHERE s.from_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM driver f WHERE f.app_id = s.app_id AND f.time_ms BETWEEN s.from_ms AND s.to_ms)""")
 def empty_window_reason(v):
     rows = logs.window_reason(batch_windows(v), v.fx_log_lines, ["query_id", "batch_id"])
     return rows.select("app_id", "query_id", "batch_id", "reason")
@@ -109,11 +108,23 @@ views AS (
   SELECT app_id, executor_id, CASE WHEN kind = 'task'
            THEN lower(regexp_extract(trim(regexp_extract(detail, '\\s*(\\S[^\\n]*)', 1)), '^([^\\s:(]*)', 1)) ELSE '' END AS needle, count(*) AS failures
   FROM failures WHERE executor_id IS NOT NULL GROUP BY 1, 2, 3)
-SELECT l.app_id, l.executor_id, v.needle, v.failures, l.file, l.line_no FROM views v JOIN fx_log_lines l
-  ON v.app_id = l.app_id AND v.executor_id = l.executor_id AND contains(lower(l.line), v.needle)""")
+SELECT l.app_id, l.executor_id, l.file, l.line_no, string_agg(v.needle, ',' ORDER BY v.needle) AS needles, CAST(sum(v.failures) AS BIGINT) AS failures
+FROM views v JOIN fx_log_lines l ON v.app_id = l.app_id AND v.executor_id = l.executor_id AND v.needle <> '' AND contains(lower(l.line), v.needle)
+GROUP BY l.app_id, l.executor_id, l.file, l.line_no""")
 def failure_log_lines(v):
     rows = logs.failure_log_lines(failure_queries.fleet_failures(v), v.fx_log_lines)
-    return rows.select("app_id", "executor_id", "needle", "failures", "file", "line_no")
+    return rows.select("app_id", "executor_id", "file", "line_no", F.array_join("needles", ",").alias("needles"), "failures")
+
+
+@query("failure_whole_logs", f"""WITH {failure_queries._LOG},
+whole AS (
+  SELECT app_id, executor_id, count(*) AS failures FROM failures WHERE executor_id IS NOT NULL AND (kind <> 'task'
+    OR strlen(regexp_extract(trim(regexp_extract(detail, '\\s*(\\S[^\\n]*)', 1)), '^([^\\s:(]*)', 1)) < 4) GROUP BY 1, 2),
+counts AS (SELECT app_id, executor_id, count(*) AS n FROM fx_log_lines GROUP BY 1, 2)
+SELECT w.app_id, w.executor_id, w.failures, coalesce(c.n, 0) AS lines
+FROM whole w LEFT JOIN counts c ON w.app_id = c.app_id AND w.executor_id = c.executor_id""")
+def failure_whole_logs(v):
+    return logs.failure_whole_logs(failure_queries.fleet_failures(v), v.fx_log_lines)
 
 
 @query("progress_blocks", """

@@ -63,7 +63,7 @@ def summary_metrics(v):
 def summary(v):
     """The fleet summary; failures and batches feed several sections and are written once."""
     failures = written(v.spark, fq.fleet_failures(v), "summary-failures")
-    batches = written(v.spark, bq.kept_batches(v), "summary-batches")
+    batches = written(v.spark, bq.merged_batches(v), "summary-batches")
     return report.fleet_summary(
         v.fx_apps, v.fx_jobs, v.fx_stages, v.fx_tasks, v.fx_executors, rq.budgeted(v), v.fx_rdds, failures, batches,
         summary_metrics(v), v.fx_env, sq.MEASURES,
@@ -78,7 +78,7 @@ names AS (SELECT app_id, query_id, coalesce(max(name), substring(query_id, 1, 8)
 fails AS (SELECT app_id, query_id, CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM kept GROUP BY app_id, query_id),
 slow3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id, query_id ORDER BY duration_ms DESC, batch_id) AS place FROM kept) k WHERE place <= 3),
 now_metrics AS (SELECT m.* FROM fx_metrics m JOIN (SELECT app_id, max(poll_s) AS poll_s FROM fx_metrics GROUP BY app_id) l ON m.app_id = l.app_id AND m.poll_s = l.poll_s),
-own AS (SELECT *, count(*) OVER (PARTITION BY app_id, source) AS n, row_number() OVER (PARTITION BY app_id, source ORDER BY name, key) AS pos
+own AS (SELECT *, count(*) OVER (PARTITION BY app_id, source) AS n
         FROM now_metrics WHERE source NOT IN ('LiveListenerBus', 'DAGScheduler', 'JVMCPUTime')),
 summary AS (
   SELECT app_id, 1 AS section_no, 'Application' AS section, 0 AS ord, name || ' [' || app_id || '] @ history' AS line FROM app_counts
@@ -116,7 +116,7 @@ summary AS (
   UNION ALL SELECT DISTINCT app_id, 7, 'Metrics', 100, 'app source ' || source || ' (' || n || ' metrics):' FROM own
   UNION ALL SELECT app_id, 7, 'Metrics', 100, '  ' || name || ' = ' || {rq._num('value')} || CASE kind WHEN 'meter' THEN '  (' || {rq._num('m1_rate')} || '/s (1m) · 0/s (5m) · ' || {rq._num('mean')} || '/s mean)'
     WHEN 'timer' THEN '  (mean ' || {rq._num('mean')} || 'ms · p50 0ms · p95 ' || {rq._num('(value * 3)')} || 'ms · max ' || {rq._num('value')} || 'ms · ' || {rq._num('m1_rate')} || '/s)' ELSE '' END
-    FROM own WHERE pos <= 12
+    FROM own
   UNION ALL SELECT app_id, 8, 'Key settings', CASE key WHEN 'spark.executor.memory' THEN 1 WHEN 'spark.memory.fraction' THEN 7 ELSE 22 END, key || ' = ' || min(value)
     FROM fx_env WHERE section = 'spark' AND key IN ('spark.executor.memory', 'spark.memory.fraction', 'spark.serializer') GROUP BY app_id, key)"""
 
@@ -139,21 +139,22 @@ per_section AS (SELECT app_id, section_no, section, count(*) AS lines, CAST(sum(
 SELECT app_id, CAST(sum(lines) AS BIGINT) AS lines, CAST(23 + sum(chars + length(section) + 6) AS BIGINT) AS chars,
        string_agg(section, ', ' ORDER BY section_no) AS sections FROM per_section GROUP BY app_id""")
 def summary_markdown(v):
-    md = report.summary_markdown(summary(v))
-    lines = F.split("markdown", "\n")
-    heads = F.filter(lines, lambda x: x.startswith("## "))
-    return md.select(
-        "app_id", F.size(F.filter(lines, lambda x: x.startswith("- "))).cast("long").alias("lines"),
-        F.length("markdown").cast("long").alias("chars"),
-        F.array_join(F.transform(heads, lambda x: F.substring(x, 4, 100)), ", ").alias("sections"),
+    text = F.col("text")
+    head = F.when(text.startswith("## "), F.struct("section_no", F.substr(text, F.lit(4)).alias("name")))
+    found = report.summary_markdown(summary(v)).groupBy("app_id").agg(
+        F.count_if(text.startswith("- ")).alias("lines"),
+        F.sum(F.length(text) + 1).alias("chars"),
+        # Eight sections at most.
+        F.array_sort(F.collect_list(head)).alias("_heads"),
     )
+    return found.select("app_id", "lines", "chars", F.array_join("_heads.name", ", ").alias("sections"))
 
 
-@query("stage_report", f"""WITH {sq._LONG}, {sq._FLAGS}, {sq._SAMPLED}, {sq._SLOWEST},
+@query("stage_report", f"""WITH {sq._LONG}, {sq._FLAGS}, {sq._PLACES}, {sq._SLOWEST},
 late AS (SELECT t.app_id, t.stage_id, count(*) AS n FROM fx_tasks t JOIN quant q ON t.app_id = q.app_id AND t.stage_id = q.stage_id AND q.metric = 'duration'
          WHERE q.p50 >= 100 AND t.duration_ms >= 3 * q.p50 GROUP BY t.app_id, t.stage_id),
 flagged AS (SELECT app_id, stage_id, count(*) AS n FROM flags WHERE reason <> '' GROUP BY app_id, stage_id)
-SELECT s.app_id, s.stage_id, s.attempt_id, s.status, CAST(100.0 AS DOUBLE) * s.jvm_gc_time / s.executor_run_time AS gc_percent, p.sampled, p.line AS locality, p.mostly_remote,
+SELECT s.app_id, s.stage_id, s.attempt_id, s.status, CAST(100.0 AS DOUBLE) * s.jvm_gc_time / s.executor_run_time AS gc_percent, p.tasks, p.line AS locality, p.mostly_remote,
        q.p50 AS median_ms, q.max AS max_ms, k.skew, coalesce(l.n, 0) AS stragglers, coalesce(f.n, 0) AS flagged_executors
 FROM fx_stages s LEFT JOIN places p ON s.app_id = p.app_id AND s.stage_id = p.stage_id
 LEFT JOIN quant q ON s.app_id = q.app_id AND s.stage_id = q.stage_id AND q.metric = 'duration'
@@ -162,53 +163,67 @@ LEFT JOIN late l ON s.app_id = l.app_id AND s.stage_id = l.stage_id LEFT JOIN fl
 def stage_report(v):
     rows = report.stage_report(v.fx_stages, v.fx_tasks, sq.marked_executors(v), sq.MEASURES)
     return rows.select(
-        *stats.STAGE, "status", "gc_percent", "sampled", "locality", "mostly_remote", "median_ms", "max_ms", "skew", "stragglers", "flagged_executors"
+        *stats.STAGE, "status", "gc_percent", "tasks", "locality", "mostly_remote", "median_ms", "max_ms", "skew", "stragglers", "flagged_executors"
     )
 
 
-# Micro-batches named by job and execution descriptions, as batches with a status and a submission.
+# Micro-batches with progress or executions, and those that job and execution descriptions name.
 _DESCRIBED = """
 SELECT app_id, substring(split_part(description, chr(10), 2), 6) AS query_id, substring(split_part(description, chr(10), 3), 9) AS run_id,
        split_part(description, chr(10), 1) AS name, CAST(substring(split_part(description, chr(10), 4), 9) AS BIGINT) AS batch_id,
        execution_id, status, submitted_ms, duration_ms FROM fx_sql WHERE description LIKE '%batch = %'"""
 
 
-@query("batch_report", f"""WITH {bq._JOB_BATCHES}, described AS ({_DESCRIBED}), {bq._live('described', 'submitted_ms', 'name')}, {fq._LOG}, {lq._FILLED},
-last_of AS (SELECT d.app_id, d.query_id, d.run_id, d.batch_id, max_by(d.status, d.execution_id) AS status, max_by(d.submitted_ms, d.execution_id) AS submitted_ms,
-              max_by(d.duration_ms, d.execution_id) AS duration_ms
-            FROM described d JOIN live l ON d.app_id = l.app_id AND d.query_id = l.query_id AND d.run_id = l.run_id GROUP BY d.app_id, d.query_id, d.run_id, d.batch_id),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id, query_id ORDER BY batch_id DESC) AS rn FROM last_of) x WHERE rn <= 300),
-ranked_d AS (SELECT *, row_number() OVER (PARTITION BY app_id, query_id ORDER BY duration_ms) - 1 AS rk, count(*) OVER (PARTITION BY app_id, query_id) AS n FROM kept WHERE duration_ms > 0),
-timing AS (SELECT app_id, query_id, CAST(floor(sum(duration_ms) / max(n)) AS BIGINT) AS mean_ms, max(CASE WHEN rk = floor((n - 1) * CAST(0.95 AS DOUBLE) + 0.5) THEN duration_ms END) AS p95_ms
-           FROM ranked_d GROUP BY app_id, query_id),
-stage_ids AS (SELECT DISTINCT k.app_id, k.query_id, k.batch_id, b.stage_id FROM kept k JOIN job_batches j ON j.app_id = k.app_id AND j.run_id = k.run_id AND j.batch_id = k.batch_id
+_BOTH_SQL = f"""
+SELECT app_id, query_id, run_id, name, batch_id, execution_id, status, submitted_ms, duration_ms FROM fx_batch_sql
+UNION ALL ({_DESCRIBED})"""
+
+
+@query("batch_report", f"""WITH {bq._JOB_BATCHES}, both_sql AS ({_BOTH_SQL}), {bq._MERGED.replace('fx_batch_sql', 'both_sql')}, {fq._LOG}, {lq._FILLED},
+driver AS (SELECT * FROM filled WHERE executor_id = 'driver'),
+begin_ms AS (SELECT app_id, min(stamp_ms) AS log_start_ms FROM driver GROUP BY app_id),
+spans AS (SELECT *, CASE WHEN has_progress THEN started_ms ELSE submitted_ms END - 1000 AS from_ms, CASE WHEN has_progress THEN started_ms ELSE submitted_ms END
+            + greatest(coalesce(CASE WHEN has_progress THEN greatest(trigger_ms, duration_ms) ELSE duration_ms END, 0), 0) + 1000 AS to_ms FROM merged),
+stage_ids AS (SELECT DISTINCT k.app_id, k.query_id, k.batch_id, b.stage_id FROM merged k JOIN job_batches j ON j.app_id = k.app_id AND j.run_id = k.run_id AND j.batch_id = k.batch_id
               JOIN fx_job_stages b ON b.app_id = j.app_id AND b.job_id = j.job_id),
 fails AS (SELECT DISTINCT * FROM (
   SELECT i.app_id, i.query_id, i.batch_id, f.key FROM failures f JOIN stage_ids i ON f.app_id = i.app_id AND f.stage_id = i.stage_id
   UNION ALL SELECT k.app_id, k.query_id, k.batch_id, f.key FROM failures f JOIN job_batches j ON f.app_id = j.app_id AND f.key = 'job:' || CAST(j.job_id AS STRING)
-    JOIN kept k ON j.app_id = k.app_id AND j.run_id = k.run_id AND j.batch_id = k.batch_id
+    JOIN merged k ON j.app_id = k.app_id AND j.run_id = k.run_id AND j.batch_id = k.batch_id
   UNION ALL SELECT k.app_id, k.query_id, k.batch_id, f.key FROM failures f JOIN sql_batches j ON f.app_id = j.app_id AND f.key = 'sql:' || CAST(j.execution_id AS STRING)
-    JOIN kept k ON j.app_id = k.app_id AND j.run_id = k.run_id AND j.batch_id = k.batch_id) u),
+    JOIN merged k ON j.app_id = k.app_id AND j.run_id = k.run_id AND j.batch_id = k.batch_id) u),
 n_stages AS (SELECT app_id, query_id, batch_id, count(*) AS n FROM stage_ids GROUP BY ALL),
 n_fails AS (SELECT app_id, query_id, batch_id, count(*) AS n FROM fails GROUP BY ALL),
-n_lines AS (SELECT k.app_id, k.query_id, k.batch_id, count(*) AS n FROM kept k JOIN filled f ON f.app_id = k.app_id
-  AND f.time_ms BETWEEN k.submitted_ms - 1000 AND k.submitted_ms + greatest(k.duration_ms, 0) + 1000 GROUP BY ALL)
-SELECT k.app_id, k.query_id, k.batch_id, k.status, k.duration_ms, coalesce(t.p95_ms, 0) > 0 AND k.duration_ms > t.p95_ms AS slow,
+n_lines AS (SELECT s.app_id, s.query_id, s.batch_id, count(*) AS n FROM spans s JOIN driver f ON f.app_id = s.app_id
+  AND (f.time_ms BETWEEN s.from_ms AND s.to_ms OR (s.from_ms IS NULL AND contains(lower(f.line), 'batch ' || CAST(s.batch_id AS STRING)))) GROUP BY ALL)
+SELECT k.app_id, k.query_id, k.batch_id, k.status, k.duration_ms, t.p95_ms > 0 AND k.duration_ms > t.p95_ms AS slow,
        CASE WHEN t.mean_ms > 0 THEN CAST(k.duration_ms AS DOUBLE) / t.mean_ms ELSE 0 END AS vs_mean,
+       k.input_rps, k.processed_rps, coalesce(k.num_input_rows > 0 AND k.processed_rps < k.input_rps, FALSE) AS behind,
+       coalesce(p.add_batch_ms, 0) AS add_batch_ms, coalesce(p.planning_ms + p.state_rows, 0) AS overhead_ms,
+       coalesce(NOT k.has_progress AND x.to_ms < g.log_start_ms, FALSE) AS before_log,
        coalesce(s.n, 0) AS stages, coalesce(f.n, 0) AS failures, coalesce(l.n, 0) AS log_lines
-FROM kept k LEFT JOIN timing t ON k.app_id = t.app_id AND k.query_id = t.query_id
+FROM merged k JOIN batch_stats t ON k.app_id = t.app_id AND k.query_id = t.query_id
+JOIN spans x ON k.app_id = x.app_id AND k.query_id = x.query_id AND k.batch_id = x.batch_id
+LEFT JOIN begin_ms g ON k.app_id = g.app_id
+LEFT JOIN fx_progress p ON k.has_progress AND k.app_id = p.app_id AND k.query_id = p.query_id AND k.run_id = p.run_id AND k.batch_id = p.batch_id
 LEFT JOIN n_stages s ON k.app_id = s.app_id AND k.query_id = s.query_id AND k.batch_id = s.batch_id
 LEFT JOIN n_fails f ON k.app_id = f.app_id AND k.query_id = f.query_id AND k.batch_id = f.batch_id
 LEFT JOIN n_lines l ON k.app_id = l.app_id AND k.query_id = l.query_id AND k.batch_id = l.batch_id""")
 def batch_report(v):
-    # Only executions know these batches; no progress was reported for them.
-    progress = v.fx_progress.where("false")
-    batches = written(v.spark, bt.retain_batches(bt.merge_batches(progress, v.sql(_DESCRIBED))), "report-batches")
+    phases = F.create_map(
+        F.lit("addBatch"), F.col("add_batch_ms"), F.lit("triggerExecution"), F.col("trigger_ms"),
+        F.lit("queryPlanning"), F.col("planning_ms"), F.lit("walCommit"), F.col("state_rows"),
+    )
+    progress = v.fx_progress.withColumn("phases", phases).drop("add_batch_ms", "planning_ms")
+    batches = written(v.spark, bt.merge_batches(progress, v.sql(_BOTH_SQL)), "report-batches")
     failures = written(v.spark, fq.fleet_failures(v), "report-failures")
     lines = v.fx_log_lines
     slices = logs.batch_log_slice(bt.with_window(batches), lines)
     rows = report.batch_report(batches, v.fx_jobs, v.fx_job_stages, failures, v.fx_sql, lines, slices)
-    return rows.select("app_id", "query_id", "batch_id", "status", "duration_ms", "slow", "vs_mean", "stages", "failures", "log_lines")
+    return rows.select(
+        "app_id", "query_id", "batch_id", "status", "duration_ms", "slow", "vs_mean", "input_rps", "processed_rps", "behind",
+        "add_batch_ms", "overhead_ms", "before_log", "stages", "failures", "log_lines",
+    )
 
 
 _PROGRESS = "least(greatest(CAST({0} AS DOUBLE) / nullif({1}, 0), 0), 1)"
@@ -247,7 +262,7 @@ def stages_table(v):
 
 @query("executors_table", f"""
 SELECT app_id, executor_id, CASE WHEN NOT is_active THEN 'dead' WHEN is_excluded THEN 'excl' ELSE 'up' END AS state,
-       CASE WHEN NOT is_active AND remove_reason IS NOT NULL THEN host_port || ' · ' || substring(split_part(remove_reason, chr(10), 1), 1, 48) ELSE host_port END AS host,
+       CASE WHEN NOT is_active AND remove_reason IS NOT NULL THEN host_port || ' · ' || split_part(remove_reason, chr(10), 1) ELSE host_port END AS host,
        CAST(active_tasks AS STRING) || '/' || CAST(total_cores AS STRING) AS tasks, failed_tasks AS failed,
        {bytes_sql('memory_used')} || ' / ' || {bytes_sql('max_memory')} AS storage, least(greatest(CAST(memory_used AS DOUBLE) / max_memory, 0), 1) AS memory_ratio,
        printf('%.1f', CASE WHEN total_duration > 0 THEN CAST(100.0 AS DOUBLE) * total_gc_time / total_duration ELSE CAST(0 AS DOUBLE) END) || '%' AS gc,
@@ -271,7 +286,7 @@ def sql_table(v):
 
 
 @query("applications_table", f"""
-SELECT app_id, substring(name, 1, 40) AS name, spark_user, substring(start_time, 1, 19) AS start, {time_sql('duration_ms')} AS duration,
+SELECT app_id, name, spark_user, substring(start_time, 1, 19) AS start, {time_sql('duration_ms')} AS duration,
        CASE WHEN completed THEN 'completed' ELSE 'running' END AS state, version FROM fx_apps""")
 def applications_table(v):
     return report.applications_table(v.fx_apps)

@@ -50,18 +50,16 @@ def counter_prev(v):
 
 
 @query("metric_series", f"""WITH {_RATE}
-SELECT app_id, key, poll_s, point, rank FROM (
-  SELECT *, CASE kind WHEN 'gauge' THEN value WHEN 'counter' THEN rate WHEN 'meter' THEN m1_rate ELSE mean END AS point,
-         CAST(row_number() OVER (PARTITION BY app_id, key ORDER BY poll_s DESC) AS BIGINT) AS rank FROM rated) r WHERE rank <= 120""")
+SELECT app_id, key, poll_s, CASE kind WHEN 'gauge' THEN value WHEN 'counter' THEN rate WHEN 'meter' THEN m1_rate ELSE mean END AS point FROM rated""")
 def metric_series(v):
-    return rates.metric_series(v.fx_metrics).select("app_id", "key", "poll_s", "point", "rank")
+    return rates.metric_series(v.fx_metrics).select("app_id", "key", "poll_s", "point")
 
 
 @query("last_samples", """
 SELECT app_id, poll_s, completed_tasks, active_tasks FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY poll_s DESC) AS rn
 FROM fx_samples) s WHERE rn <= 120""")
 def last_samples(v):
-    return rates.last_samples(v.fx_samples).select("app_id", "poll_s", "completed_tasks", "active_tasks")
+    return rates.last_samples(v.fx_samples, 120).select("app_id", "poll_s", "completed_tasks", "active_tasks")
 
 
 @query("metric_sources", "SELECT app_id, poll_s, source, count(*) AS metrics FROM fx_metrics GROUP BY app_id, poll_s, source")
@@ -348,8 +346,7 @@ def node_top_metrics(v):
 @query("sql_upsert", """
 WITH seen AS (SELECT app_id, execution_id, job_id AS poll, status FROM fx_jobs),
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id, execution_id ORDER BY poll DESC) AS rn FROM seen) s WHERE rn = 1)
-SELECT app_id, execution_id, poll, status, rank FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY app_id ORDER BY execution_id DESC) AS BIGINT) AS rank FROM latest) l WHERE rank <= 500""")
+SELECT app_id, execution_id, poll, status FROM latest""")
 def sql_upsert(v):
     seen = v.fx_jobs.select("app_id", "execution_id", F.col("job_id").alias("poll"), "status")
-    return settings.upsert_latest(seen, ["app_id"], "execution_id", "poll", 500)
+    return settings.upsert_latest(seen, ["app_id"], "execution_id", "poll")

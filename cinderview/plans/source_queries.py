@@ -321,11 +321,11 @@ SELECT 'failures' AS part, app_id, count(*) AS rows FROM failures GROUP BY app_i
 UNION ALL SELECT 'environment', app_id, count(*) FROM fx_env GROUP BY app_id
 UNION ALL SELECT 'metrics', app_id, count(*) FROM fx_metrics GROUP BY app_id
 UNION ALL SELECT 'streaming', app_id, count(*) FROM fx_progress GROUP BY app_id
-UNION ALL SELECT 'logs', app_id, count(*) FROM (SELECT *, max(line_no) OVER (PARTITION BY app_id, file) AS last FROM fx_log_lines) l WHERE line_no > last - 100 GROUP BY app_id""")
+UNION ALL SELECT 'logs', app_id, count(*) FROM fx_log_lines GROUP BY app_id""")
 def bundle_sink(v):
     path = scratch_path(v.spark, "bundle")
     tables = {
         "failures": failure_queries.fleet_failures(v), "environment": v.fx_env, "metrics": v.fx_metrics, "streaming": v.fx_progress,
     }
-    sinks.write_bundle(tables, path, v.fx_log_lines, 100)
+    sinks.write_bundle(tables, path, v.fx_log_lines)
     return sinks.bundle_contents(v.spark, path, [*tables, "logs"])

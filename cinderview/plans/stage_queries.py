@@ -50,10 +50,8 @@ def skew(v):
 
 
 @query("median_duration", f"""WITH {_LONG},
-slow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id, stage_id, attempt_id
-           ORDER BY duration_ms DESC, task_id, attempt, executor_id) AS pos FROM fx_tasks) s WHERE pos <= 100 AND status = 'SUCCESS'),
 mid AS (SELECT *, row_number() OVER (PARTITION BY app_id, stage_id, attempt_id ORDER BY duration_ms) - 1 AS rk,
-               count(*) OVER (PARTITION BY app_id, stage_id, attempt_id) AS n FROM slow),
+               count(*) OVER (PARTITION BY app_id, stage_id, attempt_id) AS n FROM fx_tasks WHERE status = 'SUCCESS'),
 up AS (SELECT app_id, stage_id, attempt_id, max(CASE WHEN rk = floor(n / 2) THEN duration_ms END) AS upper
        FROM mid GROUP BY app_id, stage_id, attempt_id),
 known AS (SELECT q.* FROM quant q JOIN fx_stages s ON q.app_id = s.app_id AND q.stage_id = s.stage_id
@@ -122,33 +120,27 @@ def marked_executors(v):
 @query("executor_flags", f"""WITH {_FLAGS}
 SELECT app_id, stage_id, attempt_id, executor_id, task_time, tasks, mean_ms, stage_mean_ms, reason, reason <> '' AS flagged FROM flags""")
 def executor_flags(v):
-    flagged = stats.executor_flags(marked_executors(v))
+    flagged = stats.executor_order(stats.executor_flags(marked_executors(v)))
     return flagged.select(*STAGE, "executor_id", "task_time", "tasks", "mean_ms", "stage_mean_ms", "reason", "flagged")
 
 
-_SAMPLED = """
-sampled AS (
-  SELECT app_id, stage_id, attempt_id, locality FROM (SELECT *, row_number() OVER (PARTITION BY app_id, stage_id, attempt_id
-         ORDER BY duration_ms DESC, task_id, attempt, executor_id) AS pos FROM fx_tasks) a WHERE pos <= 100
-  UNION ALL
-  SELECT app_id, stage_id, attempt_id, locality FROM (SELECT *, row_number() OVER (PARTITION BY app_id, stage_id, attempt_id
-         ORDER BY duration_ms DESC, task_id, attempt, executor_id) AS pos FROM fx_tasks WHERE status = 'FAILED') b WHERE pos <= 50),
+_PLACES = """
 per_level AS (
   SELECT app_id, stage_id, attempt_id, locality, count(*) AS n,
          CASE locality WHEN 'PROCESS_LOCAL' THEN 1 WHEN 'NODE_LOCAL' THEN 2 WHEN 'NO_PREF' THEN 3 WHEN 'RACK_LOCAL' THEN 4
               ELSE 5 END AS o
-  FROM sampled GROUP BY app_id, stage_id, attempt_id, locality),
+  FROM fx_tasks GROUP BY app_id, stage_id, attempt_id, locality),
 places AS (
-  SELECT app_id, stage_id, attempt_id, CAST(sum(n) AS BIGINT) AS sampled,
-         'locality (of ' || CAST(CAST(sum(n) AS BIGINT) AS STRING) || ' sampled tasks) '
+  SELECT app_id, stage_id, attempt_id, CAST(sum(n) AS BIGINT) AS tasks,
+         'locality (of ' || CAST(CAST(sum(n) AS BIGINT) AS STRING) || ' tasks) '
            || string_agg(locality || ' ' || CAST(n AS STRING), ' · ' ORDER BY o) AS line,
          coalesce(sum(CASE WHEN locality = 'ANY' THEN n END), 0) * 2 > greatest(sum(n), 1) AS mostly_remote
   FROM per_level GROUP BY app_id, stage_id, attempt_id)"""
 
 
-@query("locality", f"WITH {_SAMPLED} SELECT * FROM places")
+@query("locality", f"WITH {_PLACES} SELECT * FROM places")
 def locality(v):
-    return stats.locality(stats.sampled_tasks(v.fx_tasks))
+    return stats.locality(v.fx_tasks)
 
 
 @query("failed_tasks", "SELECT app_id, stage_id, attempt_id, task_id, executor_id, error_message FROM fx_tasks WHERE status = 'FAILED'")

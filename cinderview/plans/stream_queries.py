@@ -137,13 +137,12 @@ def _merged_check():
     from . import batch_queries
 
     return f"""WITH {batch_queries._MERGED}
-SELECT app_id, query_id, run_id, batch_id, status, submitted_ms, duration_ms, has_progress FROM kept"""
+SELECT app_id, query_id, run_id, batch_id, status, submitted_ms, duration_ms, has_progress FROM merged"""
 
 
 @query("stream_batch_upsert", _merged_check())
 def stream_batch_upsert(v):
-    progress = v.fx_progress.where("num_input_rows % 4 <> 0")
-    sql = v.fx_batch_sql
+    progress, sql = v.fx_progress, v.fx_batch_sql
     facts = live.batch_facts(progress, sql).withColumn("part", F.when(F.col("batch_id") < 300, 1).otherwise(2))
     out = scratch_path(v.spark, "batches")
     fed(v, facts, "facts", "part", [1, 2], lambda s: live.start_batches(s, f"{out}/facts", f"{out}/checkpoint"))

@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from ..functions.ordered import union_all
-from ..operators.logs import TAIL_LINES, log_tail
+from ..operators.logs import log_tail
 
 
-def write_bundle(tables, path, lines=None, log_lines_n=TAIL_LINES, fmt="json", mode="errorifexists"):
-    """Write each table below ``path`` split by ``app_id``, plus the log tails.
+def write_bundle(tables, path, lines=None, tail=None, fmt="json", mode="errorifexists"):
+    """Write each table below ``path`` split by ``app_id``, plus the logs.
+
+    ``tail`` keeps the last so many lines of every log; by default all are written.
 
     ``tables`` maps names (``summary``, ``snapshot``, ``failures``,
     ``streaming``, ``environment``, ``metrics``) to DataFrames with ``app_id``.
@@ -15,7 +17,7 @@ def write_bundle(tables, path, lines=None, log_lines_n=TAIL_LINES, fmt="json", m
     for name, df in tables.items():
         df.write.mode(mode).partitionBy("app_id").format(fmt).save(f"{path}/{name}")
     if lines is not None:
-        log_tail(lines, n=log_lines_n).write.mode(mode).partitionBy("app_id").format(fmt).save(f"{path}/logs")
+        (lines if tail is None else log_tail(lines, tail)).write.mode(mode).partitionBy("app_id").format(fmt).save(f"{path}/logs")
     return path
 
 
@@ -29,6 +31,8 @@ def bundle_contents(spark, path, names, fmt="json"):
 
 
 def write_markdown(markdown, path, mode="errorifexists"):
-    """One ``summary.md`` text per app folder, from ``app_id, markdown`` rows."""
-    markdown.select("app_id", F.col("markdown").alias("value")).write.mode(mode).partitionBy("app_id").text(path)
+    """The Markdown lines of each app as text in its folder, in order; a long summary is several files."""
+    place = ["app_id", "section_no", "part", "ord", "sub"]
+    sorted_lines = markdown.repartitionByRange(*place).sortWithinPartitions(*place)
+    sorted_lines.select("app_id", F.col("text").alias("value")).write.mode(mode).partitionBy("app_id").text(path)
     return path

@@ -250,7 +250,7 @@ def stream_batches(spark, path, progress_columns, sql_columns):
     facts = spark.read.parquet(path)
     progress = facts.where("fact = 'progress'").select(*progress_columns)
     sql = facts.where("fact = 'sql'").select(*sql_columns)
-    return bt.retain_batches(bt.merge_batches(progress, sql))
+    return bt.merge_batches(progress, sql)
 
 
 def stream_logs(lines, watermark="5 minutes", window="1 minute"):

@@ -12,7 +12,7 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
-def test_order_statistics_paths_agree_with_brute_force(spark):
+def test_order_statistics_agree_with_brute_force(spark):
     rng = random.Random(7)
     data = []
     for key, n in (("hot", 4000), ("mid", 101), ("one", 1), ("dup", 50)):
@@ -28,9 +28,17 @@ def test_order_statistics_paths_agree_with_brute_force(spark):
                 n = len(vs)
                 want[key, metric] = (n, *[float(vs[min(int(q * n), n - 1)]) for q in stats.QUANTILES.values()])
     ranks = {label: stats.nearest_rank(q) for label, q in stats.QUANTILES.items()}
-    for limit in (0, 200, 10**6):
-        got = ordered.order_statistics(df, ["k"], {"a": "a", "b": "b"}, ranks, whole_key_rows=limit).collect()
-        assert {(r.k, r.metric): (r.n, *[r[q] for q in stats.QUANTILES]) for r in got} == want
+    got = ordered.order_statistics(df, ["k"], {"a": "a", "b": "b"}, ranks).collect()
+    assert {(r.k, r.metric): (r.n, *[r[q] for q in stats.QUANTILES]) for r in got} == want
+
+
+def test_nan_is_larger_than_any_number(spark):
+    values = [1.0, 2.0, 3.0, 500.0, float("nan"), float("inf"), float("-inf"), -7.5]
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+    ranks = {f"r{i}": (lambda n, i=i: F.lit(i)) for i in range(len(values))}
+    got = ordered.order_statistics(df, ["k"], {"v": "v"}, ranks).first()
+    assert [got[f"r{i}"] for i in range(7)] == [float("-inf"), -7.5, 1.0, 2.0, 3.0, 500.0, float("inf")]
+    assert got.r7 != got.r7 and got.n == 8
 
 
 def test_value_bucket_grows_with_the_value(spark):

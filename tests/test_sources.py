@@ -66,27 +66,27 @@ def _dump(folder, name, value):
 
 def test_rest_dumps_are_read_tolerantly(spark, tmp_path):
     jobs = [
-        {"jobId": 3, "name": "save", "status": "RUNNING", "numTasks": 400, "numCompletedTasks": 150, "stageIds": [7, 8, 9], "surprise": 1},
-        {"jobId": 1, "status": "FAILED", "submissionTime": "2026-09-23T09:10:00.000GMT"},
+        {"jobId": 3, "name": "export", "status": "RUNNING", "numTasks": 36, "numCompletedTasks": 11, "stageIds": [21, 22], "surprise": 1},
+        {"jobId": 1, "status": "FAILED", "submissionTime": "2031-03-04T05:06:07.000GMT"},
     ]
     got = {r.job_id: r for r in rest.read_snapshot(spark, _dump(tmp_path, "jobs.json", jobs), "jobs").collect()}
-    assert got[3].stage_ids == [7, 8, 9] and got[3].num_failed_tasks == 0
-    assert got[1].name == "" and got[1].stage_ids == [] and got[1].submitted_ms == 1_790_154_600_000
-    stages = [{"stageId": 9, "status": "ACTIVE", "numCompleteTasks": 97, "executorSummary": {
-        "2": {"taskTime": 150000, "succeededTasks": 30, "failedTasks": 2, "isBlacklistedForStage": True}, "3": {"taskTime": 250000, "succeededTasks": 7}}}]
+    assert got[3].stage_ids == [21, 22] and got[3].num_failed_tasks == 0
+    assert got[1].name == "" and got[1].stage_ids == [] and got[1].submitted_ms == 1_930_367_167_000
+    stages = [{"stageId": 9, "status": "ACTIVE", "numCompleteTasks": 14, "executorSummary": {
+        "2": {"taskTime": 8800, "succeededTasks": 5, "failedTasks": 1, "isBlacklistedForStage": True}, "3": {"taskTime": 420, "succeededTasks": 9}}}]
     st = rest.read_snapshot(spark, _dump(tmp_path, "stages.json", stages), "stages")
-    assert st.first().attempt_id == 0 and st.first().num_complete_tasks == 97
+    assert st.first().attempt_id == 0 and st.first().num_complete_tasks == 14
     ex = {r.executor_id: r for r in rest.stage_executors(st).collect()}
     assert ex["2"].is_excluded and not ex["3"].is_excluded and ex["3"].failed_tasks == 0
     executors = [{"id": "1", "isActive": True, "totalGCTime": 7, "peakMemoryMetrics": {"JVMHeapMemory": 5, "MajorGCTime": 2}},
-                 {"id": "2", "isExcluded": True, "removeTime": "2026-09-23T09:10:00.000GMT"}]
+                 {"id": "2", "isExcluded": True, "removeTime": "2031-03-04T05:06:07.000GMT"}]
     got = {r.executor_id: r for r in rest.read_snapshot(spark, _dump(tmp_path, "executors.json", executors), "executors").collect()}
     assert (got["1"].peak_heap, got["1"].major_gc_ms, got["1"].total_gc_time) == (5, 2, 7)
-    assert got["2"].is_excluded and not got["2"].is_active and got["2"].remove_ms == 1_790_154_600_000
-    tasks = [{"taskId": 4021, "status": "SUCCESS", "duration": 91000, "taskMetrics": {"jvmGcTime": 12, "shuffleReadMetrics": {"remoteBytesRead": 3, "localBytesRead": 4}}},
-             {"taskId": 412, "status": "FAILED", "errorMessage": "boom"}]
+    assert got["2"].is_excluded and not got["2"].is_active and got["2"].remove_ms == 1_930_367_167_000
+    tasks = [{"taskId": 77, "status": "SUCCESS", "duration": 640, "taskMetrics": {"jvmGcTime": 12, "shuffleReadMetrics": {"remoteBytesRead": 3, "localBytesRead": 4}}},
+             {"taskId": 78, "status": "FAILED", "errorMessage": "boom"}]
     got = {r.task_id: r for r in rest.read_snapshot(spark, _dump(tmp_path, "tasks.json", tasks), "tasks").collect()}
-    assert (got[4021].shuffle_read_bytes, got[4021].gc_ms, got[412].duration_ms) == (7, 12, 0)
+    assert (got[77].shuffle_read_bytes, got[77].gc_ms, got[78].duration_ms) == (7, 12, 0)
     apps = [{"id": "app-1", "name": "etl", "attempts": [{"sparkUser": "u", "duration": 5, "completed": False}, {"sparkUser": "old"}]}, {"id": "app-2"}]
     got = {r.app_id: r for r in rest.read_snapshot(spark, _dump(tmp_path, "apps.json", apps), "applications").collect()}
     assert got["app-1"].spark_user == "u" and got["app-2"].duration_ms == 0
@@ -142,5 +142,8 @@ def test_bundle(spark, tmp_path):
     sinks.write_bundle({"summary": summary}, path, lines, 10)
     got = {(r.part, r.app_id): r.rows for r in sinks.bundle_contents(spark, path, ["summary", "logs"]).collect()}
     assert got == {("summary", "a"): 1, ("summary", "b"): 1, ("logs", "a"): 10}
-    sinks.write_markdown(spark.createDataFrame([("a", "# t\n\n- l\n")], "app_id string, markdown string"), str(tmp_path / "md"))
-    assert "# t" in "".join(p.read_text() for p in (tmp_path / "md" / "app_id=a").glob("*.txt"))
+    place = "app_id string, section_no int, part int, ord int, sub string, text string"
+    md = spark.createDataFrame([("a", 1, 2, i, "", f"- line {i}") for i in reversed(range(40))] + [("a", 0, 0, 0, "", "# title")], place)
+    sinks.write_markdown(md, str(tmp_path / "md"))
+    files = sorted((tmp_path / "md" / "app_id=a").glob("*.txt"))
+    assert "".join(p.read_text() for p in files).splitlines() == ["# title", *[f"- line {i}" for i in range(40)]]

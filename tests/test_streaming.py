@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.errors import StreamingQueryException
 
-from cinderview.operators import batches as bt, failures as fl
+from cinderview.operators import failures as fl
 from cinderview.streaming import live, orders
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -126,4 +126,3 @@ def test_rewritten_epochs_do_not_double(spark, tmp_path):
     s = ["app_id", "query_id", "run_id", "name", "batch_id", "execution_id", "status", "submitted_ms", "duration_ms"]
     got = sorted((r.batch_id, r.duration_ms, r.has_progress) for r in live.stream_batches(spark, str(tmp_path / "facts"), p, s).collect())
     assert got == [(1, 7, True), (2, 5, False)]
-    assert bt.KEPT_BATCHES == 300
