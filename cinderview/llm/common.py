@@ -33,6 +33,19 @@ def id_remainder(modulus, id_column="doc_id"):
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def share_of(column):
+    """A number from 0 to 1 that hashing gives a value, alike in every run."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 52)) / float(1 << 52)
+
+
+def drawn(df, rows, total, on="doc_id"):
+    """About ``rows`` of the ``total`` rows, those of the smallest hashed ids.
+
+    A filter, not a sorted limit: with a limit every task would send as many rows.
+    """
+    return df if rows >= total else df.where(share_of(on) < rows / total)
+
+
 def sha256_hex(text):
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .bytehash import SPACE
-from .common import arrow_fields, byte_view, scratch_path, texts
+from .common import arrow_fields, byte_view, drawn, scratch_path, texts
 
 # Fixed values of the base rules.
 LEAST_WORDS = 50
@@ -189,9 +189,9 @@ def anomaly(points, forest, tree_rows=TREE_ROWS):
 
 
 def clean_sample(labelled, rows):
-    """Counts of at most ``rows`` clean labelled documents, those of the smallest id hashes."""
+    """Counts of about ``rows`` clean labelled documents, those of the smallest id hashes."""
     picked = labelled.where(F.col("label") == 1).where(~base_failed())
-    return picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
+    return drawn(picked, rows, picked.count()).toPandas().sort_values("doc_id", kind="stable")
 
 
 def threshold(scored, clean_loss=CLEAN_LOSS, bins=BINS):
