@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .bytehash import mixed, prefix_sums, row_sums, runs, span_hashes
-from .common import byte_chunks, byte_view, texts
+from .common import byte_chunks, byte_view, drawn, texts
 
 BITS = 18
 SHARDS = 8
-# At most so many labelled rows are learned from, those of the smallest id hashes.
+# About so many labelled rows are learned from, those of the smallest id hashes.
 TRAIN_ROWS = 24_000
 ROUNDS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.05
@@ -83,16 +83,15 @@ def examples(column, labels, bits):
 
 
 def labelled_sample(labels, target, rows, id_column="doc_id"):
-    """``doc_id, label, share``: at most ``rows`` labelled ids, of the smallest hashes; contradictions count by majority."""
-    return (
+    """``doc_id, label, hash``: about ``rows`` labelled ids, of the smallest hashes; contradictions count by majority."""
+    voted = (
         labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(target).cast("double").alias("label"))
         .where("doc_id IS NOT NULL AND label IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.avg("label").alias("label"))
-        .select("doc_id", (F.col("label") >= 0.5).cast("double").alias("label"), F.xxhash64("doc_id").alias("share"))
-        .orderBy("share", "doc_id")
-        .limit(rows)
+        .select("doc_id", (F.col("label") >= 0.5).cast("double").alias("label"), F.xxhash64("doc_id").alias("hash"))
     )
+    return drawn(voted, rows, voted.count())
 
 
 def learn(spark, docs, labels, target="quality", rows=TRAIN_ROWS, bits=BITS, id_column="doc_id", text_column="text"):
@@ -101,10 +100,10 @@ def learn(spark, docs, labels, target="quality", rows=TRAIN_ROWS, bits=BITS, id_
     Without a single usable label all weights are 0, and every score is a half.
     """
     sample = labelled_sample(labels, target, rows, id_column)
-    drawn = texts(docs, id_column, text_column).join(F.broadcast(sample), "doc_id")
+    examples_of = texts(docs, id_column, text_column).join(F.broadcast(sample), "doc_id")
 
     def shard(table):
-        table = table.sort_by([("share", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        table = table.sort_by([("hash", "ascending"), ("doc_id", "ascending")]).combine_chunks()
         found = list(examples(table.column("text"), table.column("label").to_pylist(), bits))
         w = train(found, bits)
         places = np.flatnonzero(w)
@@ -115,7 +114,7 @@ def learn(spark, docs, labels, target="quality", rows=TRAIN_ROWS, bits=BITS, id_
         })
 
     learned = (
-        drawn.withColumn("shard", F.pmod("share", F.lit(SHARDS)).cast("int"))
+        examples_of.withColumn("shard", F.pmod("hash", F.lit(SHARDS)).cast("int"))
         .groupBy("shard")
         .applyInArrow(shard, "place long, weight double")
         .groupBy("place")
