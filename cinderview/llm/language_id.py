@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, texts
+from .common import byte_view, share_of, texts
 
 BITS = 14
 GRAMS = (2, 3, 4)
@@ -82,8 +82,8 @@ def fit(marks, train_kernel, train_place, n_languages, ridge=RIDGE):
 def learn(spark, docs, landmarks=LANDMARKS, train_rows=TRAIN_ROWS, id_column="doc_id", text_column="text", lang_column="lang"):
     """``(languages, landmark presences, regression)`` from the labelled rows of ``docs``.
 
-    From each language at most ``train_rows`` texts are learned from, the first
-    ``landmarks`` of them (by id hash) being landmarks. Rows without language, letters
+    From each language at most ``train_rows`` ids are learned from, those of the
+    smallest hashes, the first ``landmarks`` of them being landmarks. Rows without language, letters
     or text teach nothing.
     """
     labelled = docs.select(
@@ -91,13 +91,12 @@ def learn(spark, docs, landmarks=LANDMARKS, train_rows=TRAIN_ROWS, id_column="do
         F.col(f"`{text_column}`").alias("text"),
         F.col(f"`{lang_column}`").alias("lang"),
     ).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    named = labelled.where("doc_id IS NOT NULL").select("doc_id", "lang")
+    # One row per language. About twice the wanted rows are left of each before they are ranked.
+    counted = named.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    few = named.join(F.broadcast(counted), "lang").where(share_of("doc_id") * F.col("rows") < 2.0 * train_rows).distinct()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The limit on the rank is applied before the shuffle, so a task gets few rows of a language.
-    picked = (
-        labelled.where("doc_id IS NOT NULL").select("doc_id", "lang")
-        .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= train_rows)
-    )
+    picked = few.select("doc_id", "lang", F.row_number().over(first).alias("place")).where(F.col("place") <= train_rows)
     drawn = labelled.join(F.broadcast(picked), ["doc_id", "lang"])
 
     def packed(stream):
