@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import map_texts, span_order, span_text, texts
+from .common import drawn, map_texts, span_order, span_text, texts
 
 # Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -35,6 +35,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 LONGEST = 16
 ISLAND_CHARS = 64
+TRAIN_DOCS = 40_000
 TRAIN_TEXTS = 4000
 TRAIN_ISLANDS = 600
 EPOCHS = 6
@@ -373,10 +374,12 @@ def fit(labelled, epochs=EPOCHS, rate=0.3, shrink=1e-3, seed=5):
     return weights, moves
 
 
-def learn(spark, docs, train_texts=TRAIN_TEXTS, train_islands=TRAIN_ISLANDS, id_column="doc_id", text_column="text"):
-    """Train on at most ``train_texts`` texts with digits or at signs, and ``train_islands`` islands of these.
+def learn(
+    spark, docs, train_docs=TRAIN_DOCS, train_texts=TRAIN_TEXTS, train_islands=TRAIN_ISLANDS, id_column="doc_id", text_column="text"
+):
+    """Train on at most ``train_islands`` islands, from ``train_texts`` different ones of about ``train_docs`` documents.
 
-    The texts are those of the smallest hashes of their island text, so copies count once.
+    Documents and islands are those of the smallest hashes.
     """
 
     def cut(stream):
@@ -389,7 +392,7 @@ def learn(spark, docs, train_texts=TRAIN_TEXTS, train_islands=TRAIN_ISLANDS, id_
 
     kinds = [re.compile("@"), re.compile(r"\.[0-9]+\."), re.compile("[0-9]{12}"), re.compile(r"\+")]
     rows = (
-        texts(docs, id_column, text_column)
+        drawn(texts(docs, id_column, text_column), train_docs, docs.count())
         .where(F.col("text").rlike("[0-9@]"))
         .select("text")
         .mapInArrow(cut, "part string")
