@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batches as bt, failures as fl
 from ..session import scratch_path
+from ..sources.logfiles import stream_logs
 from ..streaming import live, orders
 from . import failure_queries
 from .registry import query
@@ -31,7 +32,6 @@ def landed(v, name, start):
 _ORDERS = f"SELECT {_epoch('event_time')}, order_id, customer_id, amount, region FROM fx_orders_stream"
 
 
-@query("stream_file_source", _ORDERS)
 @query("orders_projection", _ORDERS)
 def orders_projection(v):
     stream = orders.orders_stream(v.spark, v.sf_dir, "events.parquet")
@@ -116,21 +116,47 @@ def stream_falling_behind(v):
     start, out = kept(v, "behind", live.stream_behind)
     fed(v, rows, "progress", "part", [1, 2], start)
     last = v.spark.read.parquet(out).groupBy("app_id", "who").agg(
-        F.max_by(F.struct("query_id", "with_input", "slow", "behind"), F.struct("run_id", "last_batch")).alias("_s")
+        F.max_by(F.struct("query_id", "with_input", "slow", "behind"), "arrival").alias("_s")
     )
     return last.select("app_id", "_s.*")
 
 
+@query("stream_failure_events", f"""WITH {failure_queries._LOG},
+per_poll AS (
+  SELECT app_id, key, poll, arg_min(title, row(kind_order, place, sub, title, coalesce(executor_id, ''))) AS title,
+         arg_min(detail, row(kind_order, place, sub, title, coalesce(executor_id, ''))) FILTER (WHERE detail IS NOT NULL) AS detail
+  FROM sightings GROUP BY app_id, key, poll),
+heads AS (SELECT *, row_number() OVER (PARTITION BY app_id, key ORDER BY poll) AS rn,
+                 first_value(detail) OVER (PARTITION BY app_id, key ORDER BY poll) AS head_detail,
+                 first_value(title) OVER (PARTITION BY app_id, key ORDER BY poll) AS head_title,
+                 first_value(poll) OVER (PARTITION BY app_id, key ORDER BY poll) AS head_poll,
+                 row_number() OVER (PARTITION BY app_id, key, detail IS NULL ORDER BY poll) AS rd FROM per_poll)
+SELECT app_id, key, 'new' AS event, CAST(head_poll AS BIGINT) AS first_poll, head_title AS title, head_detail AS detail FROM heads WHERE rn = 1
+UNION ALL
+SELECT app_id, key, 'detail', CAST(head_poll AS BIGINT), head_title, detail FROM heads WHERE head_detail IS NULL AND detail IS NOT NULL AND rd = 1""")
+def stream_failure_events(v):
+    sightings = fl.failure_sightings(
+        **failure_queries.polled(v, "stages", "jobs", "executors", "sql", "tasks"),
+        job_stages=v.fx_job_stages, sql_jobs=v.fx_sql_jobs,
+    )
+    out = scratch_path(v.spark, "events")
+    fed(v, sightings, "sightings", "poll", [1, 2, 3], lambda s: live.start_failure_events(s, out, f"{out}/checkpoint"))
+    return v.spark.read.parquet(f"{out}/events").select("app_id", "key", "event", "first_poll", "title", "detail")
+
+
+# Polls come in three steps; every ninth of the first half arrives only with the last step.
 @query("stream_rates", """
-SELECT app_id, key, poll_s AS ts, value, CASE WHEN poll_s - lag(poll_s) OVER w > 0
-       THEN (value - lag(value) OVER w) / CAST(poll_s - lag(poll_s) OVER w AS DOUBLE) END AS rate
-FROM fx_metrics WINDOW w AS (PARTITION BY app_id, key ORDER BY poll_s)""")
+WITH fed AS (SELECT *, CASE WHEN poll_s >= 1200000 THEN 2 WHEN (poll_s / 3600) % 9 = 4 THEN 3 ELSE 1 END AS part FROM fx_metrics),
+on_time AS (SELECT *, lag(poll_s) OVER w AS before_s, lag(value) OVER w AS before FROM fed WHERE part < 3 WINDOW w AS (PARTITION BY app_id, key ORDER BY poll_s)),
+late AS (SELECT *, lag(poll_s) OVER w AS before_s, lag(value) OVER w AS before FROM fed WHERE part = 3 WINDOW w AS (PARTITION BY app_id, key ORDER BY poll_s))
+SELECT app_id, key, poll_s AS ts, value, (value - before) / CAST(poll_s - before_s AS DOUBLE) AS rate FROM (SELECT * FROM on_time UNION ALL SELECT * FROM late) u""")
 def stream_rates(v):
-    live.use_state_store(v.spark)
-    rows = v.fx_metrics.select("app_id", "key", "poll_s", "value").withColumn("part", F.when(F.col("poll_s") < 1200000, 1).otherwise(2))
-    start, out = kept(v, "rates", live.stream_rates)
-    fed(v, rows, "samples", "part", [1, 2], start)
-    return v.spark.read.parquet(out)
+    hour = F.col("poll_s") / 3600
+    part = F.when(F.col("poll_s") >= 1200000, 2).when(hour % 9 == 4, 3).otherwise(1)
+    rows = v.fx_metrics.select("app_id", "key", "poll_s", "value").withColumn("part", part)
+    out = scratch_path(v.spark, "rates")
+    fed(v, rows, "samples", "part", [1, 2, 3], lambda s: live.start_rates(s, out, f"{out}/checkpoint"))
+    return v.spark.read.parquet(f"{out}/rates").select("app_id", "key", "ts", "value", "rate")
 
 
 def _merged_check():
@@ -143,24 +169,36 @@ SELECT app_id, query_id, run_id, batch_id, status, submitted_ms, duration_ms, ha
 @query("stream_batch_upsert", _merged_check())
 def stream_batch_upsert(v):
     progress, sql = v.fx_progress, v.fx_batch_sql
-    facts = live.batch_facts(progress, sql).withColumn("part", F.when(F.col("batch_id") < 300, 1).otherwise(2))
+    # Executions and progress come mixed; a seventh of the executions is repeated with the last step.
+    again = sql.where("execution_id % 7 = 0").withColumn("part", F.lit(3))
+    first = live.batch_facts(progress, sql).withColumn("part", F.when(F.coalesce("execution_id", "arrival") % 2 == 0, 1).otherwise(2))
+    facts = first.unionByName(live.batch_facts(sql=again), allowMissingColumns=True)
     out = scratch_path(v.spark, "batches")
-    fed(v, facts, "facts", "part", [1, 2], lambda s: live.start_batches(s, f"{out}/facts", f"{out}/checkpoint"))
+    fed(v, facts, "facts", "part", [1, 2, 3], lambda s: live.start_batches(s, f"{out}/facts", f"{out}/checkpoint"))
     merged = live.stream_batches(v.spark, f"{out}/facts", progress.columns, sql.columns)
     return merged.select(*bt.BATCH, "status", "submitted_ms", "duration_ms", "has_progress")
 
 
 @query("stream_log_tail", """
-WITH stamped AS (SELECT *, CAST(floor(stamp_ms / 60000) AS BIGINT) * 60000 AS minute FROM fx_log_lines WHERE stamp_ms IS NOT NULL)
-SELECT minute, CASE WHEN contains(line, ' ERROR ') OR contains(line, 'Exception') OR contains(line, 'Error:') OR contains(line, 'FATAL') THEN 'ERROR'
-                    WHEN contains(line, ' WARN ') THEN 'WARN' ELSE 'PLAIN' END AS severity, count(*) AS lines,
+WITH filled AS (SELECT *, last_value(stamp_ms IGNORE NULLS) OVER (PARTITION BY app_id, file ORDER BY line_no) AS time_ms FROM fx_log_lines)
+SELECT app_id, file, CAST(floor(time_ms / 60000) AS BIGINT) * 60000 AS minute,
+       CASE WHEN contains(line, ' ERROR ') OR contains(line, 'Exception') OR contains(line, 'Error:') OR contains(line, 'FATAL') THEN 'ERROR'
+            WHEN contains(line, ' WARN ') THEN 'WARN' ELSE 'PLAIN' END AS severity, count(*) AS lines,
        CAST(sum(CASE WHEN contains(lower(line), 'fail') THEN 1 ELSE 0 END) AS BIGINT) AS failures
-FROM stamped WHERE minute + 60000 <= (SELECT max(stamp_ms) FROM stamped) - 300000 GROUP BY 1, 2""")
+FROM filled GROUP BY 1, 2, 3, 4""")
 def stream_log_tail(v):
-    from ..sources.logfiles import stream_logs
-
+    """Log files arrive one after the other; lines ahead of the first dated one carry the file's time, shown as none."""
     path = scratch_path(v.spark, "loglines")
-    v.fx_log_lines.select("line").write.text(path)
-    start, out = kept(v, "minutes", live.stream_logs)
-    _finish(start(stream_logs(v.spark, path, "*.txt")))
-    return v.spark.read.parquet(out).select(_ms("minute"), "severity", "lines", "failures")
+    lines = v.fx_log_lines.select("app_id", "file", "line_no", "line")
+    files = lines.repartition("app_id", "file").sortWithinPartitions("app_id", "file", "line_no")
+    files.select("app_id", "file", "line").write.partitionBy("app_id", "file").text(path)
+    out = scratch_path(v.spark, "minutes")
+    raw = stream_logs(v.spark, path, "*.txt")
+    _finish(live.start_log_counts(raw, f"{out}/counts", f"{out}/checkpoint"))
+    rows = v.spark.read.parquet(f"{out}/counts")
+    part = lambda name: F.regexp_extract("file", rf"/{name}=([^/]+)/", 1).alias(name)
+    minute = F.unix_millis("minute")
+    # All lines are of one January; the files were written long after it.
+    return rows.select(
+        part("app_id"), part("file"), F.when(minute < 1704067200000 + 40 * 24 * 3600000, minute).alias("minute"), "severity", "lines", "failures"
+    )

@@ -1,7 +1,6 @@
 """Session settings the operators rely on, and the shared working folder."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -51,29 +50,47 @@ def apply_settings(spark):
 def shared_folder(spark):
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the cluster names none (a local test session) a temporary
-    folder on this machine is taken.
+    A local session that names none, as in tests, is given one of its own.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    global _local_folder
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="cinderview-")
-    return _local_folder
+    return f"{spark._jvm.java.lang.System.getProperty('java.io.tmpdir')}/cinderview-checkpoints"
 
 
-_local_folder = None
+# Scratch folder of each application, deleted when its driver ends.
+_scratch = {}
 
 
 def scratch_path(spark, name):
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/cinderview/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted with all others of this application when it ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _scratch:
+        folder = f"{shared_folder(spark)}/cinderview/{application}-{uuid.uuid4().hex}"
+        path, files = file_system(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch[application] = folder
+    return f"{_scratch[application]}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark, folder):
+    """A folder as Hadoop's path, and the file system it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark, folder):
+    path, files = file_system(spark, folder)
+    return files.exists(path)
+
+
+def delete(spark, folder):
+    path, files = file_system(spark, folder)
+    files.delete(path, True)
 
 
 def written(spark, df, name):

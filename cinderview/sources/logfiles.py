@@ -2,31 +2,45 @@
 
 from pyspark.sql import Window, functions as F
 
+from ..session import written
 
-def read_logs(spark, path, app_id=None):
-    """``app_id, file, line_no, line`` of text log files, split over tasks.
 
-    A line's number is its place within its file split plus the lines of the
-    splits before it, so no task has to read a whole file. Ids from one split
-    are consecutive, and the second pass only counts lines per split.
-    """
-    raw = spark.read.text(path).select(
+def raw_lines(reader, path):
+    """Lines with the file and file split they are from; ``reader`` is a batch or stream reader."""
+    return reader.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
+        F.unix_millis(F.col("_metadata.file_modification_time")).alias("file_ms"),
         F.col("value").alias("line"),
-    ).withColumn("_id", F.monotonically_increasing_id())
-    splits = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    )
+
+
+def numbered(spark, raw):
+    """``raw_lines`` with ``line_no``, counted from 0 in each file, split over tasks.
+
+    A line's number is its place within its file split plus the lines of the
+    splits before it, so no task has to read a whole file. Lines are written
+    once with an id that counts on within a split; numbers and line counts both
+    come from that table.
+    """
+    lines = written(spark, raw.withColumn("_id", F.monotonically_increasing_id()), "log-lines")
+    splits = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_offset", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
-    lines = raw.join(splits, ["file", "_block"]).withColumn(
-        "line_no", F.col("_id") - F.col("_first") + F.col("_offset")
-    )
-    owner = F.regexp_extract("file", r"([^/]+)/[^/]*$", 1) if app_id is None else F.lit(app_id)
-    return lines.select(owner.alias("app_id"), "file", "line_no", "line")
+    joined = lines.join(splits, ["file", "_block"])
+    return joined.withColumn("line_no", F.col("_id") - F.col("_first") + F.col("_offset")).drop("_id", "_first", "_offset", "_block")
+
+
+def app_of_file(app_id=None):
+    """The app a log belongs to: the folder it is in, unless one is given."""
+    return F.regexp_extract("file", r"([^/]+)/[^/]*$", 1) if app_id is None else F.lit(app_id)
+
+
+def read_logs(spark, path, app_id=None):
+    """``app_id, file, line_no, line`` of text log files."""
+    return numbered(spark, raw_lines(spark.read, path)).select(app_of_file(app_id).alias("app_id"), "file", "line_no", "line")
 
 
 def stream_logs(spark, path, glob="*"):
-    """New log lines as a stream."""
-    return spark.readStream.option("pathGlobFilter", glob).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")
-    )
+    """New log files as a stream of ``raw_lines``; a file arrives whole in one batch."""
+    return raw_lines(spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", "true"), path)

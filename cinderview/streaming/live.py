@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.ordered import union_all
-from ..functions.text import line_ms, severity
+from ..functions.text import severity
 from ..operators import batches as bt
 from ..operators.failures import dedup_failures
+from ..operators.logs import fill_time
 from ..operators.progress import parse_progress, progress_report
+from ..operators.rates import counter_rate
+from ..session import delete, exists
+from ..sources.logfiles import app_of_file, numbered
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,52 +43,59 @@ def use_state_store(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class _FailureState(_Expiring):
-    """First title and first detail of one failure; tells when either is new."""
+def _each_epoch(frame, name, checkpoint, land, trigger):
+    """Start a stream that hands every epoch to ``land(df, epoch)``."""
+    writer = frame.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(land)
+    return (writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)).start()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = self.state(handle, "seen", "poll long, kind string, title string, detail string")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        state = self.seen.get() if self.seen.exists() else None
-        first, late = None, None
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                place = (r.poll, r.kind_order, r.place, r.sub, r.title)
-                if first is None or place < first[0]:
-                    first = (place, r)
-                if r.detail is not None and (late is None or place < late[0]):
-                    late = (place, r.detail)
-        if first is None:
-            return
-        detail = late[1] if late else None
-        if state is None:
-            poll, kind, title, event = first[1].poll, first[1].kind, first[1].title, "new"
-        else:
-            poll, kind, title = state[0], state[1], state[2]
-            if state[3] is not None or detail is None:
-                return
-            event = "detail"
-        self.seen.update((int(poll), kind, title, detail))
-        yield pd.DataFrame(
-            {"app_id": [key[0]], "key": [key[1]], "first_poll": [int(poll)], "kind": [kind], "title": [title],
-             "detail": [detail], "event": [event]}
-        )
+def _state_before(spark, path, epoch):
+    """State that the epoch before left, and None in the first."""
+    return spark.read.parquet(f"{path}/epoch={epoch - 1}") if epoch and exists(spark, f"{path}/epoch={epoch - 1}") else None
+
+
+def _keep_state(spark, state, path, epoch):
+    """Write the state after an epoch; only the last two are kept, so an epoch can be run again."""
+    state.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    if epoch > 1:
+        delete(spark, f"{path}/epoch={epoch - 2}")
+
 
+_EVENT_FACTS = ["first_poll", "kind", "title", "detail"]
 
-def failure_events(sightings, ttl_ms=None):
-    """Failures once when first seen, and again when their detail arrives later.
 
-    ``sightings`` are rows of ``failure_sightings``; polls arrive in order. The
-    state lives in Python workers, so this suits the failures of live polls;
-    :func:`stream_failures` takes whole histories.
+def start_failure_events(sightings, path, checkpoint, keep_polls=None, trigger=None):
+    """Failures once when first seen, and once more when their detail arrives later.
+
+    ``sightings`` are rows of ``failure_sightings``; polls arrive in order, rows
+    of one poll in any. Events go to ``path/events``. The state is one narrow row
+    per failure, joined with each epoch; with ``keep_polls`` failures first seen
+    more polls ago are forgotten (and would be told again if they came back).
     """
-    return sightings.groupBy("app_id", "key").transformWithStateInPandas(
-        _FailureState(ttl_ms),
-        "app_id string, key string, first_poll long, kind string, title string, detail string, event string",
-        "append",
-        _time_mode(ttl_ms),
-    )
+
+    def land(df, epoch):
+        spark = df.sparkSession
+        now = dedup_failures(df).select("app_id", "key", *_EVENT_FACTS)
+        before = _state_before(spark, f"{path}/state", epoch)
+        if before is None:
+            events = now.withColumn("event", F.lit("new"))
+            state = now
+        else:
+            old = before.select("app_id", "key", *[F.col(c).alias(f"_{c}") for c in _EVENT_FACTS])
+            both = now.join(old, ["app_id", "key"], "full_outer")
+            known = F.col("_first_poll").isNotNull()
+            late = known & F.col("_detail").isNull() & F.col("detail").isNotNull()
+            facts = [F.when(known, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in _EVENT_FACTS[:-1]]
+            told = both.select("app_id", "key", *facts, F.coalesce("_detail", "detail").alias("detail"),
+                               F.when(~known, "new").when(late, "detail").alias("event"))
+            events = told.where("event IS NOT NULL")
+            state = told.drop("event")
+        events.write.mode("overwrite").parquet(f"{path}/events/epoch={epoch}")
+        if keep_polls is not None:
+            state = state.where(F.col("first_poll") > df.agg(F.max("poll")).first()[0] - keep_polls)
+        _keep_state(spark, state, f"{path}/state", epoch)
+
+    return _each_epoch(sightings, "failure-events", checkpoint, land, trigger)
 
 
 def stream_failures(sightings):
@@ -146,6 +157,7 @@ class _BehindState(_Expiring):
                 seen = part["arrival"].min()
                 merged = part[_WINDOW] if window is None else pd.concat([window, part[_WINDOW]])
                 runs[run] = (seen if first is None else min(first, seen), _newest(merged))
+        last = int(max(window["arrival"].max() for _, window in runs.values()))
         for (query, run), (_, window) in sorted(runs.items(), key=lambda kv: kv[1][0]):
             self._take(live, query, run, window)
         self.live.update((json.dumps(live),))
@@ -153,7 +165,7 @@ class _BehindState(_Expiring):
         slow = sum(1 for w in recent if w[4] < w[3])
         yield pd.DataFrame(
             {"app_id": [key[0]], "who": [key[1]], "query_id": [live["id"]], "run_id": [live["run"]],
-             "last_batch": [live["window"][0][0] if live["window"] else None], "with_input": [len(recent)], "slow": [slow],
+             "last_batch": [live["window"][0][0] if live["window"] else None], "arrival": [last], "with_input": [len(recent)], "slow": [slow],
              "behind": [len(recent) >= bt.BEHIND_MIN and slow >= bt.BEHIND_MIN]}
         )
 
@@ -187,41 +199,36 @@ def stream_behind(progress, ttl_ms=None):
         .groupBy("app_id", "who")
         .transformWithStateInPandas(
             _BehindState(ttl_ms),
-            "app_id string, who string, query_id string, run_id string, last_batch long, with_input long, slow long, behind boolean",
+            "app_id string, who string, query_id string, run_id string, last_batch long, arrival long, with_input long, slow long, behind boolean",
             "append",
             _time_mode(ttl_ms),
         )
     )
 
 
-class _RateState(_Expiring):
-    """Last poll of one counter."""
+def start_rates(samples, path, checkpoint, ts="poll_s", value="value", keep_s=None, trigger=None):
+    """Counter rates on arriving polls, to ``path/rates``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = self.state(handle, "last", "ts double, value double")
+    Every epoch is one run of the batch operator over its polls and the last
+    poll of each counter before. A poll that comes later than newer ones is
+    rated only against polls of its own epoch and never becomes the last one.
+    With ``keep_s`` counters without a poll for so long are forgotten.
+    """
+    keys = ["app_id", "key"]
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("ts", kind="stable").reset_index(drop=True)
-        ts, value = pdf["ts"].astype("float64"), pdf["value"].astype("float64")
-        before = self.last.get() if self.last.exists() else (None, None)
-        prev_ts, prev_value = ts.shift(1), value.shift(1)
-        if before[0] is not None:
-            prev_ts.iloc[0], prev_value.iloc[0] = before
-        dt = ts - prev_ts
-        rate = ((value - prev_value) / dt).where(dt > 0)
-        self.last.update((float(ts.iloc[-1]), float(value.iloc[-1])))
-        yield pd.DataFrame({"app_id": key[0], "key": key[1], "ts": pdf["ts"], "value": value, "rate": rate})
-
-
-def stream_rates(samples, ts="poll_s", value="value", ttl_ms=None):
-    """Counter rates on arriving polls."""
-    return (
-        samples.select("app_id", "key", F.col(ts).cast("long").alias("ts"), F.col(value).alias("value"))
-        .groupBy("app_id", "key")
-        .transformWithStateInPandas(
-            _RateState(ttl_ms), "app_id string, key string, ts long, value double, rate double", "append", _time_mode(ttl_ms)
-        )
-    )
+    def land(df, epoch):
+        spark = df.sparkSession
+        now = df.select(*keys, F.col(ts).cast("long").alias("ts"), F.col(value).cast("double").alias("value"), F.lit(True).alias("_new"))
+        before = _state_before(spark, f"{path}/state", epoch)
+        polls = now if before is None else now.unionByName(before.withColumn("_new", F.lit(False)))
+        rated = counter_rate(polls, keys, "ts", "value").where("_new").drop("_new")
+        rated.write.mode("overwrite").parquet(f"{path}/rates/epoch={epoch}")
+        state = polls.groupBy(*keys).agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
+        if keep_s is not None:
+            state = state.where(F.col("ts") > df.agg(F.max(ts)).first()[0] - keep_s)
+        _keep_state(spark, state, f"{path}/state", epoch)
+
+    return _each_epoch(samples, "counter-rates", checkpoint, land, trigger)
 
 
 def batch_facts(progress=None, sql=None):
@@ -234,40 +241,85 @@ def batch_facts(progress=None, sql=None):
     return union_all(parts)
 
 
+_SQL_FACTS = ["execution_id", "status", "submitted_ms", "duration_ms"]
+
+
+def compacted(facts):
+    """What later merges need of a batch's facts, however often and in whatever order they came.
+
+    The first progress; of the executions the last, the last with a submission
+    and the earliest submitted one.
+    """
+    rest = [c for c in facts.columns if c not in (*bt.BATCH, "fact")]
+    row = F.struct(*rest)
+    is_sql = F.col("fact") == "sql"
+    dated = is_sql & F.col("submitted_ms").isNotNull()
+    kept = facts.groupBy(*bt.BATCH, "fact").agg(
+        F.min_by(row, F.when(~is_sql, F.struct("arrival", "started_ms"))).alias("_a"),
+        F.max_by(row, F.when(is_sql, F.struct(*_SQL_FACTS))).alias("_b"),
+        F.max_by(row, F.when(dated, F.struct(*_SQL_FACTS))).alias("_c"),
+        F.min_by(row, F.when(dated, F.struct("submitted_ms", *_SQL_FACTS))).alias("_d"),
+    )
+    rows = F.array_distinct(F.filter(F.array("_a", "_b", "_c", "_d"), lambda x: x.isNotNull()))
+    return kept.select(*bt.BATCH, "fact", F.explode(rows).alias("_r")).select(*bt.BATCH, "fact", "_r.*")
+
+
+def batch_table(spark, path, before_epoch=None):
+    """Compacted facts as of the last epoch (or before one): of each query the newest version."""
+    rows = spark.read.parquet(path)
+    rows = rows if before_epoch is None else rows.where(F.col("epoch") < before_epoch)
+    newest = rows.groupBy(*bt.QUERY).agg(F.max("epoch").alias("epoch"))
+    return rows.join(newest, [*bt.QUERY, "epoch"], "left_semi").drop("epoch")
+
+
 def start_batches(facts, path, checkpoint, trigger=None):
-    """Keep arriving facts, one folder per epoch; writing an epoch again replaces it."""
+    """Merge arriving facts into a table keyed by batch.
+
+    An epoch writes the merged facts of the queries it has news of, as a new
+    version of these queries; others are not touched. Run again, an epoch reads
+    only the epochs before it and replaces its own version, so repeats change
+    nothing.
+    """
 
     def land(df, epoch):
-        df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        spark = df.sparkSession
+        news = df
+        if epoch and exists(spark, path):
+            touched = df.select(*bt.QUERY).distinct()
+            known = batch_table(spark, path, epoch).join(touched, bt.QUERY, "left_semi")
+            news = df.unionByName(known.select(*df.columns))
+        compacted(news).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    writer = facts.writeStream.queryName("batch-facts").option("checkpointLocation", checkpoint).foreachBatch(land)
-    writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
-    return writer.start()
+    return _each_epoch(facts, "batch-facts", checkpoint, land, trigger)
 
 
 def stream_batches(spark, path, progress_columns, sql_columns):
-    """Live batches merged from every fact that arrived, independent of repeats."""
-    facts = spark.read.parquet(path)
+    """Live batches from the merged table."""
+    facts = batch_table(spark, path)
     progress = facts.where("fact = 'progress'").select(*progress_columns)
     sql = facts.where("fact = 'sql'").select(*sql_columns)
     return bt.merge_batches(progress, sql)
 
 
-def stream_logs(lines, watermark="5 minutes", window="1 minute"):
-    """Lines and failure lines per minute and severity from arriving log lines.
+def start_log_counts(raw, path, checkpoint, app_id=None, trigger=None):
+    """Lines and failure lines per app, file, minute and severity of arriving log files.
 
-    Undated lines carry no event time and are left out.
+    ``raw`` are lines of ``logfiles.stream_logs``. A file arrives whole, so its
+    lines are numbered and undated ones (stack traces) take the time of the dated
+    line before them; ahead of the first one they take the file's own time.
     """
-    stamped = lines.withColumn("event_time", F.timestamp_millis(line_ms("line"))).where(F.col("event_time").isNotNull())
-    return (
-        stamped.withWatermark("event_time", watermark)
-        .groupBy(F.window("event_time", window).alias("window"), severity("line").alias("severity"))
-        .agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.count_if(F.lower("line").contains("fail")).alias("failures"),
+
+    def land(df, epoch):
+        lines = numbered(df.sparkSession, df).withColumn("app_id", app_of_file(app_id))
+        at = F.coalesce("time_ms", "file_ms")
+        counts = (
+            fill_time(lines)
+            .groupBy("app_id", "file", F.timestamp_millis(F.floor(at / 60000) * 60000).alias("minute"), severity("line").alias("severity"))
+            .agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.lower("line").contains("fail")).alias("failures"))
         )
-        .select(F.col("window.start").alias("minute"), "severity", "lines", "failures")
-    )
+        counts.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return _each_epoch(raw, "log-counts", checkpoint, land, trigger)
 
 
 def active_report(spark, app_id, queries):

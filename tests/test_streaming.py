@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 
 from cinderview.operators import failures as fl
+from cinderview.sources import logfiles
 from cinderview.streaming import live, orders
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -63,12 +64,23 @@ STEPS = [
 
 
 def test_failure_events_once_and_again_for_a_late_detail(spark, tmp_path):
-    live.use_state_store(spark)
-    stream = write_steps(spark, str(tmp_path / "in"), SIGHTING, STEPS)
-    got = sorted((r.key, r.event, r.title, r.detail) for r in drain(live.failure_events(stream), tmp_path).collect())
+    stream = write_steps(spark, str(tmp_path / "in"), SIGHTING, [*STEPS, STEPS[0], STEPS[2]])
+    live.start_failure_events(stream, str(tmp_path / "f"), str(tmp_path / "ckpt")).awaitTermination()
+    got = sorted((r.key, r.event, r.title, r.detail) for r in spark.read.parquet(str(tmp_path / "f/events")).collect())
     assert got == [
         ("stage:4.0", "detail", "t", "late"), ("stage:4.0", "new", "t", None), ("stage:5.0", "new", "t", "why"), ("stage:6.0", "new", "t", None)
     ]
+    # One narrow row per failure, of the last two epochs only.
+    assert sorted(p.name for p in (tmp_path / "f/state").iterdir() if p.is_dir()) == ["epoch=3", "epoch=4"]
+    assert spark.read.parquet(str(tmp_path / "f/state/epoch=4")).count() == 3
+
+
+def test_failure_events_forget_old_failures_when_told_to(spark, tmp_path):
+    steps = [[_seen(1, "stage:1.0", "a")], [_seen(9, "stage:2.0", "b")], [_seen(10, "stage:1.0", "a")]]
+    stream = write_steps(spark, str(tmp_path / "in"), SIGHTING, steps)
+    live.start_failure_events(stream, str(tmp_path / "f"), str(tmp_path / "ckpt"), keep_polls=5).awaitTermination()
+    got = sorted((r.key, r.first_poll) for r in spark.read.parquet(str(tmp_path / "f/events")).collect())
+    assert got == [("stage:1.0", 1), ("stage:1.0", 10), ("stage:2.0", 9)]
 
 
 def test_streamed_failure_log_equals_batch(spark, tmp_path):
@@ -100,12 +112,27 @@ def test_behind_state_follows_restarts(spark, tmp_path):
     assert got == {("q", "r1", 5): (5, 5, True), ("q", "r2", 0): (1, 0, False), ("q2", "r3", 1): (2, 2, False), ("q2", "r3", 2): (3, 3, True)}
 
 
-def test_streamed_rates_carry_over_batches(spark, tmp_path):
-    live.use_state_store(spark)
-    steps = [[("a", "k", 0, 1.0), ("a", "k", 10, 21.0)], [("a", "k", 20, 11.0), ("a", "z", 20, 5.0)]]
+def test_streamed_rates_carry_over_epochs_and_stand_late_polls(spark, tmp_path):
+    steps = [
+        [("a", "k", 0, 1.0), ("a", "k", 10, 21.0), ("a", "k", 30, 61.0)],
+        [("a", "k", 20, 41.0), ("a", "z", 20, 5.0)],  # a poll that comes late
+        [("a", "k", 40, 71.0), ("a", "k", 40, 71.0), ("a", "z", 24, 1.0)],
+    ]
     stream = write_steps(spark, str(tmp_path / "in"), "app_id string, key string, poll_s long, value double", steps)
-    got = sorted((r.key, r.ts, r.rate) for r in drain(live.stream_rates(stream), tmp_path).collect() if r.rate is not None)
-    assert got == [("k", 10, 2.0), ("k", 20, -1.0)]
+    live.start_rates(stream, str(tmp_path / "r"), str(tmp_path / "ckpt")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "r/rates")).collect()
+    got = sorted((r.key, r.ts, r.rate) for r in rows if r.rate is not None)
+    assert got == [("k", 10, 2.0), ("k", 30, 2.0), ("k", 40, 1.0), ("z", 24, -1.0)]
+    assert sorted((r.key, r.ts) for r in rows if r.rate is None) == [("k", 0), ("k", 20), ("k", 40), ("z", 20)]
+
+
+def test_log_counts_take_undated_lines_along(spark, tmp_path):
+    folder = tmp_path / "in" / "app-9"
+    folder.mkdir(parents=True)
+    (folder / "stderr").write_text("31/03/04 05:06:07 ERROR a failed\n  at x\n  at y\n31/03/04 05:07:00 INFO b\n")
+    live.start_log_counts(logfiles.stream_logs(spark, str(tmp_path / "in")), str(tmp_path / "c"), str(tmp_path / "ckpt")).awaitTermination()
+    got = sorted((r.app_id, r.minute.minute, r.severity, r.lines, r.failures) for r in spark.read.parquet(str(tmp_path / "c")).collect())
+    assert got == [("app-9", 6, "ERROR", 1, 1), ("app-9", 6, "PLAIN", 2, 0), ("app-9", 7, "PLAIN", 1, 0)]
 
 
 def test_status_of_running_queries(spark, tmp_path):
@@ -126,3 +153,23 @@ def test_rewritten_epochs_do_not_double(spark, tmp_path):
     s = ["app_id", "query_id", "run_id", "name", "batch_id", "execution_id", "status", "submitted_ms", "duration_ms"]
     got = sorted((r.batch_id, r.duration_ms, r.has_progress) for r in live.stream_batches(spark, str(tmp_path / "facts"), p, s).collect())
     assert got == [(1, 7, True), (2, 5, False)]
+    # One row per fact is left, and a second run of the last epoch changes nothing.
+    table = live.batch_table(spark, str(tmp_path / "facts"))
+    assert table.count() == 3
+    assert live.compacted(table.unionByName(table)).exceptAll(table.select(*live.compacted(table).columns)).count() == 0
+
+
+def test_compacting_step_by_step_equals_compacting_at_once(spark):
+    schema = "app_id string, query_id string, run_id string, batch_id long, fact string, arrival long, started_ms long, execution_id long, status string, submitted_ms long, duration_ms long"
+    sql = [("a", "q", "r", 1, "sql", None, None, i, "S", at, 5) for i, at in ((1, 40), (2, 30), (3, 70), (4, None), (5, None), (6, 50))]
+    progress = [("a", "q", "r", 1, "progress", i, 100 - i, None, None, None, None) for i in (3, 1, 2)]
+    rows = [sql[3], progress[0], sql[0], sql[5], progress[1], sql[4], sql[2], sql[1], progress[2]]
+    df = lambda part: spark.createDataFrame(part, schema)
+    once = live.compacted(df(rows))
+    step = live.compacted(df(rows[:3]))
+    for k in range(3, len(rows), 2):
+        step = live.compacted(step.unionByName(df(rows[k : k + 2] + rows[:1])))
+    key = lambda r: str(tuple(r))
+    assert sorted(step.collect(), key=key) == sorted(once.collect(), key=key)
+    assert sorted((r.fact, r.arrival, r.execution_id) for r in once.collect() if r.fact == "progress") == [("progress", 1, None)]
+    assert sorted(r.execution_id for r in once.collect() if r.fact == "sql") == [2, 6]
