@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import top_n, union_all
 from ..functions.text import (
-    bytes_text, clock_text, detail_line, display_name, duration_text, fixed, lines_of, percent, share, title_of,
+    bytes_text, clock_text, detail_line, display_name, duration_text, fixed, lines_of, percent, ratio_text, share, title_of,
 )
+from ..session import written
 from . import batches as bt, failures as fl, logs, registry as reg, resources as res, settings, stats
 
 # Report sections in order.
@@ -175,19 +176,61 @@ def settings_lines(env):
     return _lines(settings.key_settings(env), "Key settings", F.col("place"), "", _s(F.col("key"), " = ", F.col("value")))
 
 
-def fleet_summary(apps, jobs, stages, tasks, executors, budgeted, rdds, failures, batches, metrics, env, measures, endpoint="history"):
-    """The summary of every application as rows ``section_no, ord, sub`` in reading order."""
+def fleet_summary(
+    apps, jobs, stages, tasks, executors, budgeted, rdds, failures, batches, metrics, env, measures, endpoint="history"
+):
+    """The summary of every application as rows ``section_no, ord, sub`` in reading order.
+
+    ``rdds``, ``batches`` and ``metrics`` may be None where the source has none;
+    their sections are left out then, as are those of apps without such rows.
+    """
     parts = [
         application_lines(app_summary(apps, jobs, stages, executors), endpoint),
         failure_lines(apps, failures),
         stage_lines(apps, stages, tasks, measures),
         executor_lines(apps, executors, budgeted),
-        storage_lines(rdds),
-        streaming_lines(batches),
-        metric_lines(metrics),
+        None if rdds is None else storage_lines(rdds),
+        None if batches is None else streaming_lines(batches),
+        None if metrics is None else metric_lines(metrics),
         settings_lines(env),
     ]
-    return union_all(parts)
+    return union_all([p for p in parts if p is not None])
+
+
+# Metrics of event logs whose skew the summary looks at.
+EVENT_LOG_MEASURES = {
+    "duration": ("duration_ms", "ms"),
+    "gc time": ("gc_ms", "ms"),
+    "sched delay": ("scheduler_delay_ms", "ms"),
+    "input": ("input_bytes", "bytes"),
+    "shuffle read": ("shuffle_read_bytes", "bytes"),
+    "fetch wait": ("fetch_wait_ms", "ms"),
+    "shuffle write": ("shuffle_write_bytes", "bytes"),
+    "mem spill": ("spill_bytes", "bytes"),
+    "disk spill": ("disk_spill_bytes", "bytes"),
+    "peak exec mem": ("peak_memory", "bytes"),
+}
+
+
+def event_log_summary(spark, tables, measures=None, endpoint="event log"):
+    """``fleet_summary`` from the tables of ``read_event_logs``, in one call.
+
+    An event log is one poll at its end. What the sections share is written once.
+    """
+    once = lambda name: tables[name].withColumn("poll", F.lit(1))
+    stages, tasks, executors = (written(spark, tables[name], f"summary-{name}") for name in ("stages", "tasks", "executors"))
+    failures = fl.failure_log(
+        stages=stages.withColumn("poll", F.lit(1)), jobs=once("jobs"), executors=executors.withColumn("poll", F.lit(1)), sql=once("sql"),
+        tasks=tasks.withColumn("poll", F.lit(1)), job_stages=tables["job_stages"], sql_jobs=tables["sql_jobs"],
+    )
+    named = bt.with_batch(tables["sql"]).withColumnRenamed("query_name", "name")
+    sql = named.select(*bt.BATCH, "name", "execution_id", "status", "submitted_ms", "duration_ms")
+    batches = bt.merge_batches(tables["progress"], sql)
+    budgeted = res.executor_budget(executors, tables["resource_profiles"], tables["env_properties"])
+    return fleet_summary(
+        tables["applications"], tables["jobs"], stages, tasks, executors, budgeted, None, written(spark, failures, "summary-failures"),
+        written(spark, batches, "summary-batches"), None, tables["env_properties"], measures or EVENT_LOG_MEASURES, endpoint,
+    )
 
 
 def summary_markdown(summary):
@@ -250,6 +293,34 @@ def stage_report(stages, tasks, stage_executors, measures):
     return out.fillna(0, ["stragglers", "flagged_executors"])
 
 
+def stage_detail(tasks, stage_executors, measures, slowest=20, keys=stats.STAGE):
+    """What a stage page lists below its head, one row per entry: ``part, subject, amount, note``.
+
+    - ``quantiles``: a metric, its maximum, and its quantiles with the skew
+    - ``executors``: an executor, its task time, and why it is flagged
+    - ``slowest``: the longest tasks (``slowest`` of them) and how far they are from the median
+    - ``failed``: every failed task with the first line of its error
+    """
+    spread = stats.quantiles(stats.succeeded(tasks), keys, {m: c for m, (c, _) in measures.items()})
+    marked = stats.with_skew(spread.withColumn("median", F.col("p50")), {m: unit for m, (_, unit) in measures.items()})
+    number = lambda c: F.col(c).cast("long").cast("string")
+    skewed = F.when(F.col("flagged"), F.concat(F.lit("×"), ratio_text("ratio")))
+    entry = lambda df, part, subject, amount, note: df.select(
+        *keys, F.lit(part).alias("part"), F.col(subject).cast("string").alias("subject"), F.col(amount).cast("long").alias("amount"),
+        F.coalesce(note, F.lit("")).alias("note"),
+    )
+    medians = spread.where("metric = 'duration'").select(*keys, F.col("p50").alias("median_ms"))
+    top = stats.slowest_tasks(tasks, keys, slowest).join(medians, keys, "left")
+    times = F.concat(F.lit("straggler ×"), fixed(F.col("duration_ms") / F.greatest(F.col("median_ms"), F.lit(1.0)), 1))
+    late = F.when(stats.is_straggler("duration_ms", "median_ms"), times)
+    return union_all([
+        entry(marked, "quantiles", "metric", "max", F.concat_ws(" ", *[number(q) for q in ("p05", "p25", "p50", "p75", "p95")], skewed)),
+        entry(stats.executor_flags(stage_executors, keys), "executors", "executor_id", "task_time", F.col("reason")),
+        entry(top, "slowest", "task_id", "duration_ms", late),
+        entry(stats.failed_tasks(tasks), "failed", "task_id", "duration_ms", detail_line("error_message")),
+    ])
+
+
 def batch_report(batches, jobs, job_stages, failures, sql, lines, log_slice):
     """One row per micro-batch: timing against its query, rates, phases, log coverage, stages, failures and log lines.
 

@@ -38,11 +38,12 @@ def thread_groups(threads):
 
 
 def lock_chain(threads, keys=("app_id", "executor_id")):
-    """Blocked threads with the thread that holds their lock."""
+    """Blocked threads with the thread that holds their lock, and the locks both hold themselves."""
     keys = list(keys)
+    held = F.coalesce(F.col("holding_locks"), F.array().cast("array<string>"))
     owners = threads.select(
         *keys, F.col("thread_id").alias("blocked_by_thread_id"), F.col("thread_name").alias("owner_name"),
-        F.col("thread_state").alias("owner_state"),
+        F.col("thread_state").alias("owner_state"), held.alias("owner_holding_locks"),
     )
-    blocked = threads.where(F.col("blocked_by_thread_id").isNotNull())
+    blocked = threads.where(F.col("blocked_by_thread_id").isNotNull()).withColumn("holding_locks", held)
     return blocked.join(owners, [*keys, "blocked_by_thread_id"], "left")

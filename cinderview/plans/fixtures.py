@@ -19,6 +19,8 @@ SELECT 'app-' || CAST(l_orderkey % 3 AS STRING) AS app_id, l_partkey AS stage_id
        q * q * q AS duration_ms, q * q * 1024 AS shuffle_read_bytes,
        CASE WHEN q = 50 THEN CAST(536870912 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS spill_bytes,
        CAST(round(l_discount * 100) AS BIGINT) * 100 AS gc_ms,
+       q * 3 AS scheduler_delay_ms, q * 8192 AS input_bytes, CAST(l_linenumber AS BIGINT) * 700 AS fetch_wait_ms, q * 512 AS shuffle_write_bytes,
+       CASE WHEN q > 48 THEN q * 65536 ELSE CAST(0 AS BIGINT) END AS disk_spill_bytes, q * 131072 AS peak_memory,
        CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
        CASE l_linenumber % 4 WHEN 0 THEN 'ANY' WHEN 1 THEN 'PROCESS_LOCAL' WHEN 2 THEN 'NODE_LOCAL'
             ELSE 'RACK_LOCAL' END AS locality,
@@ -188,6 +190,7 @@ SELECT 'app-' || CAST(conv_id % 3 AS STRING) AS app_id, CAST(conv_id AS STRING)
        role || '-' || CAST(turn AS STRING) AS thread_name,
        CASE role WHEN 'assistant' THEN 'BLOCKED' WHEN 'user' THEN 'RUNNABLE' ELSE 'WAITING' END AS thread_state,
        CASE WHEN turn % 2 = 0 THEN 'java.lang.Object@' || CAST(turn AS STRING) END AS lock_name,
+       CASE WHEN conv_id % 3 <> 0 THEN split('monitor-' || CAST(turn AS STRING) || ',monitor-' || CAST(conv_id AS STRING), ',') END AS holding_locks,
        CASE WHEN role = 'assistant' THEN CAST(turn AS BIGINT) - 1 END AS blocked_by_thread_id,
        CASE WHEN turn % 3 = 0 THEN 'org.apache.spark.' || text ELSE text END AS stack_text
 FROM {conversations}""",

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import batches as bt, logs, report, stats
-from ..session import written
+from ..session import scratch_path, written
+from ..sources import sinks
 from . import batch_queries as bq, failure_queries as fq, log_queries as lq, resource_queries as rq, stage_queries as sq
 from .registry import query
 
@@ -167,6 +168,20 @@ def stage_report(v):
     )
 
 
+@query("stage_detail", f"""WITH {sq._LONG}, {sq._FLAGS}
+SELECT app_id, stage_id, attempt_id, 'quantiles' AS part, metric AS subject, CAST(max AS BIGINT) AS amount,
+       concat_ws(' ', CAST(CAST(p05 AS BIGINT) AS STRING), CAST(CAST(p25 AS BIGINT) AS STRING), CAST(CAST(p50 AS BIGINT) AS STRING), CAST(CAST(p75 AS BIGINT) AS STRING),
+         CAST(CAST(p95 AS BIGINT) AS STRING), CASE WHEN ratio >= 3 THEN '×' || CASE WHEN ratio = CAST('inf' AS DOUBLE) THEN '∞' ELSE printf('%.1f', ratio) END END) AS note FROM skewed
+UNION ALL SELECT app_id, stage_id, attempt_id, 'executors', executor_id, task_time, reason FROM flags
+UNION ALL SELECT t.app_id, t.stage_id, t.attempt_id, 'slowest', CAST(t.task_id AS STRING), t.duration_ms,
+    CASE WHEN q.p50 >= 100 AND t.duration_ms >= 3 * q.p50 THEN 'straggler ×' || printf('%.1f', t.duration_ms / greatest(q.p50, 1.0)) ELSE '' END
+  FROM (SELECT *, row_number() OVER (PARTITION BY app_id, stage_id, attempt_id ORDER BY duration_ms DESC, task_id, attempt, executor_id) AS pos FROM fx_tasks) t
+  LEFT JOIN quant q ON t.app_id = q.app_id AND t.stage_id = q.stage_id AND q.metric = 'duration' WHERE t.pos <= 20
+UNION ALL SELECT app_id, stage_id, attempt_id, 'failed', CAST(task_id AS STRING), duration_ms, trim({fq._DETAIL.format('error_message')}) FROM fx_tasks WHERE status = 'FAILED'""")
+def stage_detail(v):
+    return report.stage_detail(v.fx_tasks, sq.marked_executors(v), sq.MEASURES)
+
+
 # Micro-batches with progress or executions, and those that job and execution descriptions name.
 _DESCRIBED = """
 SELECT app_id, substring(split_part(description, chr(10), 2), 6) AS query_id, substring(split_part(description, chr(10), 3), 9) AS run_id,
@@ -310,3 +325,28 @@ def job_stage_filter(v):
 @query("job_order", "SELECT app_id, job_id, status FROM fx_jobs ORDER BY app_id, job_id DESC")
 def job_order(v):
     return stats.job_order(v.fx_jobs).select("app_id", "job_id", "status")
+
+
+@query("bundle_sink", f"""WITH {_SUMMARY}
+SELECT 'failures' AS part, app_id, count(*) AS rows, CAST(sum(length(title)) AS BIGINT) AS chars FROM failures GROUP BY app_id
+UNION ALL SELECT 'summary', app_id, count(*), CAST(sum(length(line)) AS BIGINT) FROM summary GROUP BY app_id
+UNION ALL SELECT 'environment', app_id, count(*), CAST(sum(length(value)) AS BIGINT) FROM fx_env GROUP BY app_id
+UNION ALL SELECT 'metrics', app_id, count(*), CAST(sum(length(key)) AS BIGINT) FROM fx_metrics GROUP BY app_id
+UNION ALL SELECT 'streaming', app_id, count(*), CAST(sum(length(query_id)) AS BIGINT) FROM fx_progress GROUP BY app_id
+UNION ALL SELECT 'snapshot_jobs', app_id, count(*), CAST(sum(length(status)) AS BIGINT) FROM fx_jobs GROUP BY app_id
+UNION ALL SELECT 'snapshot_stages', app_id, count(*), CAST(sum(length(name)) AS BIGINT) FROM fx_stages GROUP BY app_id
+UNION ALL SELECT 'snapshot_executors', app_id, count(*), CAST(sum(length(host_port)) AS BIGINT) FROM fx_executors GROUP BY app_id
+UNION ALL SELECT 'logs', app_id, count(*), CAST(sum(length(line)) AS BIGINT) FROM fx_log_lines GROUP BY app_id""")
+def bundle_sink(v):
+    """The whole bundle written and read back: rows of each part, and the length of a text column of each."""
+    path = scratch_path(v.spark, "bundle")
+    text_of = {
+        "failures": "title", "summary": "line", "environment": "value", "metrics": "key", "streaming": "query_id", "snapshot_jobs": "status",
+        "snapshot_stages": "name", "snapshot_executors": "host_port", "logs": "line",
+    }
+    tables = {
+        "failures": fq.fleet_failures(v), "summary": summary(v), "environment": v.fx_env, "metrics": v.fx_metrics, "streaming": v.fx_progress,
+        "snapshot_jobs": v.fx_jobs, "snapshot_stages": v.fx_stages, "snapshot_executors": v.fx_executors,
+    }
+    sinks.write_bundle(tables, path, v.fx_log_lines)
+    return sinks.bundle_contents(v.spark, path, text_of)

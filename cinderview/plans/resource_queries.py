@@ -309,12 +309,14 @@ def thread_filter(v):
 
 
 @query("lock_chain", """
-SELECT t.app_id, t.executor_id, t.thread_id, t.thread_name, t.lock_name, t.blocked_by_thread_id, o.thread_name AS owner_name, o.thread_state AS owner_state
+SELECT t.app_id, t.executor_id, t.thread_id, t.thread_name, t.lock_name, t.blocked_by_thread_id, o.thread_name AS owner_name, o.thread_state AS owner_state,
+       coalesce(array_to_string(t.holding_locks, ','), '') AS holds, CASE WHEN o.thread_id IS NOT NULL THEN coalesce(array_to_string(o.holding_locks, ','), '') END AS owner_holds
 FROM fx_threads t LEFT JOIN fx_threads o ON t.app_id = o.app_id AND t.executor_id = o.executor_id AND t.blocked_by_thread_id = o.thread_id
 WHERE t.blocked_by_thread_id IS NOT NULL""")
 def lock_chain(v):
     return th.lock_chain(v.fx_threads).select(
-        "app_id", "executor_id", "thread_id", "thread_name", "lock_name", "blocked_by_thread_id", "owner_name", "owner_state"
+        "app_id", "executor_id", "thread_id", "thread_name", "lock_name", "blocked_by_thread_id", "owner_name", "owner_state",
+        F.array_join("holding_locks", ",").alias("holds"), F.array_join("owner_holding_locks", ",").alias("owner_holds"),
     )
 
 

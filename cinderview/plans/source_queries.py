@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions.ordered import union_all
-from ..session import scratch_path
-from ..sources import eventlog, logfiles, registry_json, rest, sinks
+from ..operators import report
+from ..session import scratch_path, written
+from ..sources import eventlog, logfiles, registry_json, rest
 from . import failure_queries
 from .registry import query
 
@@ -67,10 +68,11 @@ def event_lines(v, *kinds):
         ex.where("NOT is_active"), "SparkListenerExecutorRemoved", _as("remove_ms", "Timestamp"), _as("executor_id", "Executor ID"),
         _as("remove_reason", "Removed Reason"),
     )
-    excluded = _event(
-        ex.where("is_excluded"), "org.apache.spark.scheduler.SparkListenerExecutorExcluded", F.lit(1).alias("time"),
-        _as("executor_id", "executorId"), _as("failed_tasks", "taskFailures"),
-    )
+    # Every executor of an odd number was excluded and released; those excluded now were so (again) later.
+    scheduler = "org.apache.spark.scheduler.SparkListenerExecutor"
+    odd = ex.where("CAST(executor_id AS INT) % 2 = 1")
+    turn = lambda df, name, at: _event(df, scheduler + name, F.lit(at).alias("time"), _as("executor_id", "executorId"), _as("failed_tasks", "taskFailures"))
+    excluded = union_all([turn(odd, "Excluded", 1), turn(odd, "Unexcluded", 2), turn(ex.where("is_excluded"), "Excluded", 3)])
     managers = _event(
         ex, "SparkListenerBlockManagerAdded",
         F.struct(_as("executor_id", "Executor ID"), F.lit("h").alias("Host"), F.lit(7079).alias("Port")).alias("Block Manager ID"),
@@ -196,6 +198,65 @@ def progress_from_event_log(v):
     )
 
 
+def application_events(v):
+    """Start, version, end and settings of the fleet's applications."""
+    started = F.unix_millis(F.to_timestamp(F.substring("start_time", 1, 19), "yyyy-MM-dd'T'HH:mm:ss"))
+    apps = v.fx_apps.withColumn("_at", started)
+    start = _event(
+        apps, "SparkListenerApplicationStart", _as("name", "App Name"), _as("app_id", "App ID"), _as("_at", "Timestamp"), _as("spark_user", "User"),
+        F.lit("1").alias("App Attempt ID"),
+    )
+    version = _event(apps, "SparkListenerLogStart", _as("version", "Spark Version"))
+    end = _event(apps.where("completed"), "SparkListenerApplicationEnd", (F.col("_at") + F.col("duration_ms")).alias("Timestamp"))
+    spark_env = v.fx_env.where("section = 'spark'").groupBy("app_id", "key").agg(F.min("value").alias("value"))
+    props = spark_env.groupBy("app_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("Spark Properties"))
+    settings = _event(props, "SparkListenerEnvironmentUpdate", F.col("Spark Properties"))
+    return union_all([start, version, end, settings])
+
+
+_EL_COUNTS = """
+started AS (SELECT a.*, coalesce(j.jobs, 0) AS jobs, coalesce(j.failed, 0) AS jobs_failed, coalesce(s.stages, 0) AS stages, coalesce(s.failed, 0) AS stages_failed,
+         coalesce(e.alive, 0) AS alive, coalesce(e.seen, 0) AS seen, coalesce(e.cores, 0) AS cores FROM fx_apps a
+  LEFT JOIN (SELECT app_id, count(*) AS jobs, CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM run_jobs GROUP BY app_id) j ON a.app_id = j.app_id
+  LEFT JOIN (SELECT app_id, count(*) AS stages, CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM el_stages GROUP BY app_id) s ON a.app_id = s.app_id
+  LEFT JOIN (SELECT app_id, CAST(sum(CASE WHEN is_active THEN 1 ELSE 0 END) AS BIGINT) AS alive, count(*) AS seen,
+                    CAST(sum(CASE WHEN is_active THEN total_cores ELSE 0 END) AS BIGINT) AS cores FROM fx_executors GROUP BY app_id) e ON a.app_id = e.app_id)"""
+_EL_FAILED = """
+el_tasks AS (SELECT app_id, executor_id, CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM fx_tasks GROUP BY app_id, executor_id)"""
+
+
+@query("event_log_summary", f"""WITH {_EL_STAGES}, {_EL_COUNTS}, {_EL_FAILED}
+SELECT app_id, 'Application' AS section, name || ' [' || app_id || '] @ event log' AS line FROM started
+UNION ALL SELECT app_id, 'Application', jobs || ' jobs (' || jobs_failed || ' failed) · ' || stages || ' stages (' || stages_failed || ' failed) · '
+  || alive || ' executors alive of ' || seen || ' seen · ' || cores || ' cores' FROM started
+UNION ALL SELECT app_id, 'Executors', 'executor ' || executor_id || ' lost (' || host_port || ') — '
+  || coalesce(nullif(trim({failure_queries._DETAIL.format('remove_reason')}), ''), 'no reason reported') FROM fx_executors WHERE NOT is_active
+UNION ALL SELECT e.app_id, 'Executors', 'executor ' || e.executor_id || ' excluded after ' || coalesce(t.failed, 0) || ' failed tasks'
+  FROM fx_executors e LEFT JOIN el_tasks t ON e.app_id = t.app_id AND e.executor_id = t.executor_id WHERE e.is_excluded
+UNION ALL SELECT app_id, 'Key settings', key || ' = ' || min(value)
+  FROM fx_env WHERE section = 'spark' AND key IN ('spark.executor.memory', 'spark.memory.fraction', 'spark.serializer') GROUP BY app_id, key
+-- One line for each query with progress, and one for the query that executions name.
+UNION ALL SELECT app_id, 'Streaming', count(*) || ' lines' FROM (SELECT DISTINCT app_id, query_id FROM fx_progress
+  UNION ALL SELECT DISTINCT app_id, split_part(description, chr(10), 1) FROM fx_sql WHERE description LIKE '%batch = %') q GROUP BY app_id""")
+def event_log_summary(v):
+    """Event log files written, read back, and summed up; streaming lines are counted, the rest is compared line by line."""
+    path = scratch_path(v.spark, "history")
+    lines = written(v.spark, union_all([application_events(v), event_lines(v), progress_lines(v)]), "lines")
+    # The fleet has three applications, and a rolling log is a folder of files.
+    for app in ("app-0", "app-1", "app-2"):
+        lines.where(F.col("app_id") == app).select("value").write.text(f"{path}/eventlog_v2_{app}")
+    tables = eventlog.read_event_logs(v.spark, path, scratch_path(v.spark, "landed"))
+    rows = written(v.spark, report.event_log_summary(v.spark, tables), "event-log-summary")
+    fixed = (
+        (F.col("section") == "Application") & F.col("ord").isin(0, 2) | (F.col("section") == "Executors") & F.col("ord").isin(0, 1)
+        | (F.col("section") == "Key settings")
+    )
+    streaming = rows.where("section = 'Streaming' AND line LIKE '% batches · trigger mean %'").groupBy("app_id", "section").agg(
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" lines")).alias("line")
+    )
+    return rows.where(fixed).select("app_id", "section", "line").unionByName(streaming)
+
+
 def _arrays(df, *fields):
     """REST answers: each row as a JSON array of one object."""
     return df.select("app_id", F.to_json(F.array(F.struct(*fields))).alias("json"))
@@ -314,18 +375,3 @@ def log_lines(v):
     )
     wrong = F.count_if((F.col("_lo") != 0) | (F.col("_hi") != F.col("lines") - 1))
     return files.groupBy("source").agg(wrong.alias("misnumbered"), F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
-
-
-@query("bundle_sink", f"""WITH {failure_queries._LOG}
-SELECT 'failures' AS part, app_id, count(*) AS rows FROM failures GROUP BY app_id
-UNION ALL SELECT 'environment', app_id, count(*) FROM fx_env GROUP BY app_id
-UNION ALL SELECT 'metrics', app_id, count(*) FROM fx_metrics GROUP BY app_id
-UNION ALL SELECT 'streaming', app_id, count(*) FROM fx_progress GROUP BY app_id
-UNION ALL SELECT 'logs', app_id, count(*) FROM fx_log_lines GROUP BY app_id""")
-def bundle_sink(v):
-    path = scratch_path(v.spark, "bundle")
-    tables = {
-        "failures": failure_queries.fleet_failures(v), "environment": v.fx_env, "metrics": v.fx_metrics, "streaming": v.fx_progress,
-    }
-    sinks.write_bundle(tables, path, v.fx_log_lines)
-    return sinks.bundle_contents(v.spark, path, [*tables, "logs"])

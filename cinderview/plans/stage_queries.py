@@ -14,6 +14,14 @@ MEASURES = {
     "mem spill": ("spill_bytes", "bytes"),
 }
 COLUMN_OF = {m: col for m, (col, _) in MEASURES.items()}
+ALL_COLUMNS = dict(zip([m for m, _ in stats.TASK_METRICS], [
+    "duration_ms", "gc_ms", "scheduler_delay_ms", "input_bytes", "shuffle_read_bytes", "fetch_wait_ms", "shuffle_write_bytes", "spill_bytes",
+    "disk_spill_bytes", "peak_memory",
+]))
+_LONG_ALL = "long AS (" + " UNION ALL ".join(
+    f"SELECT app_id, stage_id, attempt_id, '{m}' AS metric, {col} AS value, {stats.SKEW_FLOOR[dict(stats.TASK_METRICS)[m]]} AS floor FROM fx_tasks WHERE status = 'SUCCESS'"
+    for m, col in ALL_COLUMNS.items()
+) + ")"
 
 _LONG = """
 long AS (
@@ -43,6 +51,15 @@ def task_quantiles(v):
     return stats.quantiles(stats.succeeded(v.fx_tasks), STAGE, COLUMN_OF)
 
 
+_QUANT_ALL = _LONG_ALL + _LONG[_LONG.index(",\nranked AS"):]
+
+
+@query("task_quantiles_all", f"WITH {_QUANT_ALL} SELECT app_id, stage_id, attempt_id, metric, n, p05, p25, p50, p75, p95, max FROM quant")
+def task_quantiles_all(v):
+    """All ten task metrics."""
+    return stats.quantiles(stats.succeeded(v.fx_tasks), STAGE, ALL_COLUMNS)
+
+
 @query("skew", f"""WITH {_LONG}
 SELECT app_id, stage_id, attempt_id, metric, n, p50 AS median, max, ratio, coalesce(ratio >= 3, FALSE) AS flagged FROM skewed""")
 def skew(v):

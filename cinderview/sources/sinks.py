@@ -21,11 +21,13 @@ def write_bundle(tables, path, lines=None, tail=None, fmt="json", mode="errorife
     return path
 
 
-def bundle_contents(spark, path, names, fmt="json"):
-    """Rows per part of a bundle and app."""
+def bundle_contents(spark, path, text_of, fmt="json"):
+    """Rows per part of a bundle and app, and the total length of one text column; ``text_of`` maps parts to it."""
     counts = [
-        spark.read.format(fmt).load(f"{path}/{n}").groupBy("app_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(n))
-        for n in names
+        spark.read.format(fmt).load(f"{path}/{part}").groupBy("app_id")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(text).cast("long")).alias("chars"))
+        .withColumn("part", F.lit(part))
+        for part, text in text_of.items()
     ]
     return union_all(counts)
 

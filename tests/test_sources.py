@@ -7,7 +7,7 @@ import sys
 
 import pytest
 
-from cinderview.operators import batches as bt, failures as fl, stats
+from cinderview.operators import batches as bt, failures as fl, report, stats
 from cinderview.sources import eventlog, logfiles, rest, sinks
 
 MIB = 1024 * 1024
@@ -51,6 +51,23 @@ def test_own_event_log(spark, event_logs, tmp_path):
     assert stats.quantiles(stats.succeeded(tasks), stats.STAGE, {"duration": "duration_ms"}).count() > 0
     live = bt.batch_jobs(t["jobs"]).collect()
     assert live and {r.name for r in live} == {"agg"}
+    lines = report.event_log_summary(spark, t).collect()
+    # Sections an event log knows nothing about do not occur.
+    sections = {r.section for r in lines}
+    assert {"Application", "Failures", "Slowest stages", "Executors", "Streaming"} <= sections and not sections & {"Storage", "Metrics"}
+    assert any(r.line.startswith("probe [") for r in lines) and any(r.line.startswith("agg: ") for r in lines)
+
+
+def test_exclusion_lasts_until_the_release(spark):
+    prefix = "org.apache.spark.scheduler.SparkListenerExecutor"
+    added = [json.dumps({"Event": "SparkListenerExecutorAdded", "Timestamp": 1, "Executor ID": e, "Executor Info": {"Host": "h", "Total Cores": 2}}) for e in "1234"]
+    turns = [("1", "Excluded", 5), ("1", "Unexcluded", 9), ("2", "Excluded", 5), ("3", "Unexcluded", 4), ("3", "Excluded", 5), ("4", "Excluded", 7), ("4", "Unexcluded", 7)]
+    values = added + [json.dumps({"Event": prefix + name, "time": at, "executorId": e}) for e, name, at in turns]
+    values += [json.dumps({"Event": "SparkListenerTaskStart", "Stage ID": 0, "Task Info": {"Task ID": i, "Executor ID": "2"}}) for i in range(3)]
+    values += [json.dumps({"Event": "SparkListenerTaskEnd", "Stage ID": 0, "Task Info": {"Task ID": 0, "Executor ID": "2"}, "Task End Reason": {"Reason": "Success"}})]
+    events = eventlog.events_of(spark.createDataFrame([("a", x) for x in values], "app_id string, value string"))
+    got = {r.executor_id: (r.is_excluded, r.active_tasks) for r in eventlog.executors(events).collect()}
+    assert got == {"1": (False, 0), "2": (True, 2), "3": (True, 0), "4": (False, 0)}
 
 
 def test_tables_without_landing(spark, event_logs):
@@ -140,7 +157,7 @@ def test_bundle(spark, tmp_path):
     lines = spark.range(50).selectExpr("'a' AS app_id", "'f' AS file", "id AS line_no", "concat('line ', id) AS line")
     summary = spark.createDataFrame([("a", "x"), ("b", "y")], "app_id string, line string")
     sinks.write_bundle({"summary": summary}, path, lines, 10)
-    got = {(r.part, r.app_id): r.rows for r in sinks.bundle_contents(spark, path, ["summary", "logs"]).collect()}
+    got = {(r.part, r.app_id): r.rows for r in sinks.bundle_contents(spark, path, {"summary": "line", "logs": "line"}).collect()}
     assert got == {("summary", "a"): 1, ("summary", "b"): 1, ("logs", "a"): 10}
     place = "app_id string, section_no int, part int, ord int, sub string, text string"
     md = spark.createDataFrame([("a", 1, 2, i, "", f"- line {i}") for i in reversed(range(40))] + [("a", 0, 0, 0, "", "# title")], place)
