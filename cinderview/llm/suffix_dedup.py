@@ -38,8 +38,9 @@ from .common import arrow_fields, byte_chunks, byte_view, texts, written
 LENGTH = 100
 GRAM = 24
 HOT_RUNS = 512
-BLOCK_RUNS = 1 << 20
-CHUNK_BYTES = 1 << 20
+# Rows combined at a time, and bytes of text looked at at a time: what a task holds in memory.
+BLOCK_RUNS = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 # What a row of the cover is.
 ALONE, RUN, REPEAT, MARK = range(4)
