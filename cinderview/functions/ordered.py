@@ -119,7 +119,7 @@ def order_statistics(df, keys, measures, ranks):
     then the value inside that bucket, so no task sees all values of a key.
     """
     pairs = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in measures.items()]
+        *[F.struct(F.lit(i).alias("metric"), F.col(c).cast("double").alias("value")) for i, c in enumerate(measures.values())]
     )
     counts = (
         df.select(*keys, F.explode(pairs).alias("_p"))
@@ -127,7 +127,8 @@ def order_statistics(df, keys, measures, ranks):
         .where(F.col("value").isNotNull())
         .groupBy(*keys, "metric", "value")
         .agg(F.count(F.lit(1)).alias("_cnt"))
-        .withColumn("_bucket", value_bucket(F.col("value")))
+        # Never null, so that both uses of the counts below are one plan and one shuffle.
+        .withColumn("_bucket", F.coalesce(value_bucket(F.col("value")), F.lit(0)))
     )
     group = [*keys, "metric"]
     across = Window.partitionBy(*group)
@@ -161,9 +162,14 @@ def order_statistics(df, keys, measures, ranks):
         .withColumn("_upto", F.sum("_cnt").over(within))
         .select(*group, "n", "value", F.explode(hits).alias("_hit"))
     )
-    return found.groupBy(*group).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_hit.label") == label, F.col("value"))).alias(label) for label in ranks],
+    name = F.element_at(F.array(*[F.lit(m) for m in measures]), F.col("metric") + 1)
+    return (
+        found.groupBy(*group)
+        .agg(
+            F.max("n").alias("n"),
+            *[F.max(F.when(F.col("_hit.label") == label, F.col("value"))).alias(label) for label in ranks],
+        )
+        .withColumn("metric", name)
     )
 
 
