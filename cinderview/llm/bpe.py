@@ -24,7 +24,7 @@ import regex
 from .common import map_texts, sha256_hex, texts
 from .packing import byte_letters
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 # White space and words as the vocabulary file's tokenizer splits them.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -60,7 +60,7 @@ class WordTable:
         self.ids, self.written = {}, {}
         for token, i in model["vocab"].items():
             if token not in self.special:
-                self.ids[own(token)] = i
+                self.ids[own(token)] = str(i)
                 self.written[own(token)] = token
         self.rank, self.parts = {}, {}
         for rank, merge in enumerate(model["merges"]):
@@ -82,12 +82,9 @@ class WordTable:
         such a pair had a merge that came before the one just undone; of merges of
         one rank the left one comes first.
         """
-        key = (left, right)
-        known = self.allowed.get(key)
-        if known is None:
-            known = self.allowed[key] = self.uncrossed(left, right)
-            if len(self.allowed) > 4 * CACHE_WORDS:
-                self.allowed = {}
+        if len(self.allowed) > 4 * CACHE_WORDS:
+            self.allowed.clear()
+        known = self.allowed[left, right] = self.uncrossed(left, right)
         return known
 
     def uncrossed(self, left, right):
@@ -106,50 +103,44 @@ class WordTable:
             else:
                 before, right = (in_right[0], 2), in_right[1]
 
-    def last_token(self, path, states, end):
-        """The last token of the encoding of ``path[:end]``, given the states of all shorter prefixes."""
-        ids, low = self.ids, max(0, end - self.longest)
-        for start in range(low, end):
-            token = path[start:end]
-            if token in ids and (not start or self.may_stand(states[start - 1], token)):
-                return token
-        raise ValueError(f"the vocabulary has no token for {path[:end]!r}")
-
     def learn(self, words):
         """Walk the trie of new words depth-first and note their encodings."""
-        ids, written = self.ids, self.written
+        ids, written, allowed, longest = self.ids, self.written, self.allowed, self.longest
         path, states = "", []
-        for word, letters in sorted((word.encode().decode("latin-1"), word) for word in words):
-            body = word[:-1]
-            shared = 0
-            for a, b in zip(path, body):
-                if a != b:
-                    break
+        for word, letters in sorted((w if w.isascii() else w.encode().decode("latin-1"), w) for w in words):
+            body, size = word[:-1], len(word) - 1
+            shared, most = 0, min(len(path), size)
+            while shared < most and path[shared] == body[shared]:
                 shared += 1
             del states[shared:]
             path = body
-            for end in range(shared + 1, len(body) + 1):
-                states.append(self.last_token(body, states, end))
             ended = word + self.END
-            token = self.last_end(ended, states)
-            tokens, at = [token], len(word) - (len(token) - 1)
+            # The states of the prefixes that are new, and last that of the whole word with its end.
+            for end in range(shared + 1, size + 2):
+                text = body if end <= size else ended
+                stop = end if end <= size else end + 1
+                for start in range(max(0, stop - longest), end):
+                    token = text[start:stop]
+                    if token in ids:
+                        if not start:
+                            break
+                        pair = (states[start - 1], token)
+                        known = allowed.get(pair)
+                        if known or (known is None and self.may_stand(*pair)):
+                            break
+                else:
+                    raise ValueError(f"the vocabulary has no token for {text[:stop]!r}")
+                if end <= size:
+                    states.append(token)
+            tokens, at = [token], start
             while at:
                 token = states[at - 1]
                 tokens.append(token)
                 at -= len(token)
             tokens.reverse()
-            self.word_ids[letters] = " ".join([str(ids[t]) for t in tokens])
+            self.word_ids[letters] = " ".join([ids[t] for t in tokens])
             self.word_tokens[letters] = " ".join([written[t] for t in tokens])
 
-    def last_end(self, ended, states):
-        """The last token of a whole word, end mark included."""
-        size = len(ended) - 1
-        for start in range(max(0, size + 1 - self.longest), size):
-            token = ended[start:]
-            if token in self.ids and (not start or self.may_stand(states[start - 1], token)):
-                return token
-        raise ValueError(f"the vocabulary has no token for {ended!r}")
-
     def words(self, text):
         """A text's words after normalisation: composed letters, lower case by letter, white space dropped."""
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
@@ -169,7 +160,7 @@ class WordTable:
         split = [self.split(text) for text in values]
         if len(self.word_ids) > CACHE_WORDS:
             self.forget()
-        new = {w for words in split for w in set(words) if w not in self.word_ids}
+        new = set().union(*split).difference(self.word_ids)
         for special in [w for w in new if isinstance(w, tuple)]:
             self.word_ids[special], self.word_tokens[special] = str(self.special[special[0]]), special[0]
             new.discard(special)
@@ -190,7 +181,7 @@ def word_table(path):
 def decode(ids, path):
     """Text of a sequence of ids: the vocabulary's tokens joined by one space, special ones included."""
     table = word_table(path)
-    names = {i: table.written[t] for t, i in table.ids.items()} | {i: s for s, i in table.special.items()}
+    names = {int(i): table.written[t] for t, i in table.ids.items()} | {i: s for s, i in table.special.items()}
     return " ".join(names[i] for i in ids)
 
 
