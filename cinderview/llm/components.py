@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars.
 
-Every round is two aggregates (combined before the shuffle) and two joins, whose
-skewed keys adaptive execution splits; the edges of a round are written to the shared
-folder, so lineage does not grow and lost executors cost one round at most.
+Every round is two aggregates (combined before the shuffle) and two joins. What a
+join reads is written to the shared folder first: both sides are plain shuffles then,
+of which adaptive execution splits a node with many edges, lineage does not grow, and
+lost executors cost one round at most.
 """
 
 from pyspark.sql import functions as F
@@ -25,11 +26,12 @@ def components(spark, edges):
     seen = stamp(edges)
     while seen[0]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+        least = written(spark, both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")), "least")
         # Large star: larger neighbours of a node move to the smallest of its neighbourhood.
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         # Small star: a node and its smaller neighbours move to the smallest of these.
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        large = written(spark, large, "large-star")
+        least = written(spark, large.groupBy("a").agg(F.min("b").alias("least")), "least")
         small = large.join(least, "a")
         small = small.select("a", F.col("least").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("least").alias("b")))
         edges = written(spark, small.where("a <> b").distinct(), "edges")

@@ -167,6 +167,7 @@ def verify(spark, pairs, source, width, percent):
     ``SLOT_MEMBERS`` of them.
     """
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SLOT_MEMBERS).cast("int").alias("slots"))
+    sizes = written(spark, sizes, "centre-sizes")
     members = pairs.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("slots")).cast("int").alias("slot"), "a", "others")
     heads = sizes.select("b", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("b").alias("a"), F.lit(False).alias("others"))
     rows = (
@@ -265,6 +266,8 @@ def near_duplicates(spark, docs, width=5, percent=80, id_column="doc_id", text_c
         .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
         .select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     )
+    # Written, so that a set that many documents have can be split in the join.
+    named = written(spark, named, "components")
     return (
         signed.drop("keys")
         .join(named, ["set_a", "set_b"], "left")
