@@ -92,6 +92,15 @@ def kept(v, name, transform):
     return start, f"{out}/data"
 
 
+@query("stream_file_source", "SELECT event_id, user_id, event_type, value, props FROM {events}")
+def stream_file_source(v):
+    """A table's files taken in as a stream, row by row as they are."""
+    raw = v.spark.readStream.schema(v.events.schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
+    start, out = kept(v, "files", lambda s: s.select("event_id", "user_id", "event_type", "value", "props"))
+    _finish(start(raw))
+    return v.spark.read.parquet(out)
+
+
 @query("stream_failure_log", f"WITH {failure_queries._LOG} SELECT app_id, key, kind, first_poll, title, detail FROM failures")
 def stream_failure_log(v):
     sightings = fl.failure_sightings(
