@@ -242,12 +242,45 @@ TABLES = {
 }
 
 
-def read_snapshot(spark, path, table, multi_line=True):
-    """A canonical table from dumped REST JSON, with the dump's path as ``source``."""
+DUMP = ["source", "app_id", "app_attempt", "poll_ts"]
+
+
+def with_dump_keys(raw, app_id=None):
+    """What a dump's path and time tell about all its rows.
+
+    The app is the folder below ``applications`` (the attempt the number below
+    it), else the folder the dump is in, unless it is given. ``poll_ts`` is when
+    the dump was written, in epoch millis.
+    """
+    path = F.col("_metadata.file_path")
+    listed = F.regexp_extract(path, r"/applications/([^/]+)/", 1)
+    named = F.when(listed != "", listed).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1))
+    return raw.withColumns({
+        "source": path,
+        "app_id": named if app_id is None else F.lit(app_id),
+        "app_attempt": F.regexp_extract(path, r"/applications/[^/]+/(\d+)/", 1).try_cast("int"),
+        "poll_ts": F.unix_millis(F.col("_metadata.file_modification_time")),
+    })
+
+
+def read_snapshot(spark, path, table, multi_line=True, app_id=None):
+    """A canonical table from dumped REST JSON, with the keys of :func:`with_dump_keys`."""
     raw = read_entities(spark, path, table, multi_line)
     if table == "applications":
         return applications(raw)
-    return TABLES[table](raw.withColumn("source", F.input_file_name()), "source")
+    return TABLES[table](with_dump_keys(raw, app_id), *DUMP)
+
+
+# Lists that a combined snapshot object holds.
+COMBINED = ["jobs", "stages", "executors", "sql", "rdds"]
+
+
+def read_combined(spark, path, app_id=None):
+    """Canonical tables from dumps that hold all lists of a poll in one object; missing lists are empty."""
+    schema = ", ".join(f"{name} ARRAY<{as_type(REST[name])}>" for name in COMBINED)
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
+    raw = with_dump_keys(raw, app_id)
+    return {name: TABLES[name](raw.select(*DUMP, F.inline(name)), *DUMP) for name in COMBINED}
 
 
 def read_threads(spark, path):

@@ -113,6 +113,32 @@ def test_rest_dumps_are_read_tolerantly(spark, tmp_path):
     assert [(r.pos, r.metric) for r in rest.sql_node_metrics(sq).orderBy("pos").collect()] == [(0, "a"), (1, "b")]
 
 
+def test_dumps_know_their_app_attempt_and_time(spark, tmp_path):
+    for app, jobs in (("app-1/2", [{"jobId": 4}]), ("app-1/1", [{"jobId": 4}]), ("app-2", [{"jobId": 9}])):
+        folder = tmp_path / "applications" / app
+        os.makedirs(folder)
+        _dump(folder, "jobs.json", jobs)
+    os.utime(tmp_path / "applications" / "app-2" / "jobs.json", (1_930_000_000, 1_930_000_000))
+    rows = [r for app in ("app-1/2", "app-1/1", "app-2") for r in rest.read_snapshot(spark, str(tmp_path / "applications" / app), "jobs").collect()]
+    assert [(r.app_id, r.app_attempt, r.job_id) for r in rows] == [("app-1", 2, 4), ("app-1", 1, 4), ("app-2", None, 9)]
+    assert rows[2].poll_ts == 1_930_000_000_000
+    given = rest.read_snapshot(spark, str(tmp_path / "applications" / "app-2"), "jobs", app_id="mine").first()
+    assert given.app_id == "mine"
+
+
+def test_one_object_with_all_lists(spark, tmp_path):
+    folder = tmp_path / "shop-7"
+    os.makedirs(folder)
+    path = _dump(folder, "snapshot.json", {
+        "jobs": [{"jobId": 1, "stageIds": [5]}, {"jobId": 2}], "stages": [{"stageId": 5, "attemptId": 1, "executorSummary": {"3": {"taskTime": 8}}}],
+        "executors": [{"id": "3", "isActive": True}], "surprise": {"x": 1},
+    })
+    t = rest.read_combined(spark, path)
+    assert sorted((r.app_id, r.job_id) for r in t["jobs"].collect()) == [("shop-7", 1), ("shop-7", 2)]
+    assert [(r.app_id, r.stage_id, r.task_time) for r in rest.stage_executors(t["stages"], "app_id").collect()] == [("shop-7", 5, 8)]
+    assert t["executors"].first().is_active and t["sql"].count() == 0 and t["rdds"].count() == 0
+
+
 def test_thread_stacks_in_three_shapes(spark, tmp_path):
     dump = [
         {"threadId": 1, "threadName": "a", "stackTrace": {"elems": ["x.A", "x.B"]}},
