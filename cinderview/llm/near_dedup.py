@@ -18,6 +18,8 @@ centre. Full sets are compared.
 No link is lost to the star. If x is not linked to centre c, but to y in the same
 bucket, then the differences Dx and Dy from c share more than a part ``(1 - k) / 2`` of
 Dy, with ``k = (1 - t) / (1 + t)``, and at least |Dx| less what x and y may differ by.
+The part holds for Dx too only if y is not linked to c either: an unlinked member has
+the longer prefix to meet linked ones, and the shorter one to meet other unlinked ones.
 Prefixes of these lengths, in an order that puts elements foreign to the centre first,
 must meet; they are joined per centre, filtered by position, and the few pairs left
 are verified on full sets like the others.
@@ -207,7 +209,8 @@ def verify(spark, pairs, source, width, percent):
                         # Elements foreign to the centre first: they are rare.
                         order = np.concatenate([own[~known], centre[lost]])
                         most = int((100 - percent) * len(own) / percent) + 1
-                        prefix = order[: min(most, differ - int(differ * (1 - k) / 2 - 1e-9))].view(np.int64)
+                        part = differ - int(differ * (1 - k) / 2 - 1e-9)
+                        prefix = order[: min(most, part if linked else differ)].view(np.int64)
                     out.append((ids[i], centres[i], linked, len(own), differ, prefix))
             columns = list(zip(*out)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
@@ -223,11 +226,15 @@ def missed_by_star(checked, percent):
     places = checked.where("size(prefix) > 0").select(
         "a", F.col("b").alias("centre"), "linked", F.col("size").alias("own"), "differ", F.posexplode("prefix").alias("place", "element")
     )
-    x, y = places.where("NOT linked").alias("x"), places.alias("y")
+    # Other unlinked members are met by the shorter prefix; ``meets``: whether a linked one is met.
+    part = F.col("place") < F.col("differ") - F.floor(F.col("differ") * (1 - k) / 2 - 1e-9)
+    both = F.when(part, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    x = places.where("NOT linked").withColumn("meets", F.explode(both)).alias("x")
+    y = places.where(F.col("linked") | part).withColumn("meets", F.col("linked")).alias("y")
     shared = F.ceil((F.col("x.differ") + F.col("y.differ") - k * (F.col("x.own") + F.col("y.own"))) / 2 - 1e-9)
     reach = F.least(F.col("x.differ") - F.col("x.place"), F.col("y.differ") - F.col("y.place"))
     return (
-        x.join(y, ["centre", "element"])
+        x.join(y, ["centre", "element", "meets"])
         .where((F.col("x.a") != F.col("y.a")) & (F.col("y.linked") | (F.col("x.a") < F.col("y.a"))))
         .where((100 * F.col("x.own") >= percent * F.col("y.own")) & (100 * F.col("y.own") >= percent * F.col("x.own")))
         .where(reach >= shared)

@@ -86,6 +86,26 @@ def test_no_link_is_lost_to_the_star(spark, docs, monkeypatch, seed):
     assert result(n.near_duplicates(spark, docs(rows), 3, 85)) == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_links_of_unlinked_members_to_linked_ones(spark, docs, width, percent):
+    # c is the centre; x is just beyond the threshold from it, and linked to y that is all but c.
+    rng = random.Random(6)
+    texts = []
+    for base in range(24):
+        n_own = 200 + 11 * base
+        words = [f"b{base}w{i}" for i in range(2 * n_own)]
+        cut = -(-percent * n_own // 100) - 1
+        longer = 100 * n_own // percent + 1
+        for size in (n_own, *((n_own - 1, n_own - 2, cut) if base % 2 else (n_own + 1, n_own + 2, longer))):
+            texts.append(" ".join(words[: size + width - 1]))
+        # One changed word each, so that c has most partners.
+        for at in (5, n_own // 2):
+            texts.append(" ".join([*words[:at], "x", *words[at + 1 : n_own + width - 1]]))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert result(n.near_duplicates(spark, docs(rows), width, percent)) == brute(rows, width, percent)
+
+
 def test_missed_pairs_are_found_in_the_differences(spark):
     # c is the centre; x and y are linked to each other but not to c.
     verified = [(1, 9, False, 100, 40, [5, 6, 7]), (2, 9, False, 100, 40, [6, 8]), (3, 9, True, 100, 6, [50]), (4, 8, False, 100, 40, [6])]
