@@ -34,17 +34,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
-# Weak parts of a credential.
+# Weak parts of a credential, as long as they are. An empty group ends the least length.
 IDENTIFIER = re.compile(
-    r"""(?ai)\b(?:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id|access_?key_?id|key_?id|tenant(?:_?id)?)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@_.-]{3,64}|\b(?:AKIA|ASIA)[A-Z0-9]{4,13}\b"""
+    r"""(?ai)\b(?:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id|access_?key_?id|key_?id|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3}()[A-Za-z0-9@_.-]*|\b(?:AKIA|ASIA)[A-Z0-9]{4,}\b"""
 )
 ENDPOINT = re.compile(
-    r"""(?ai)\b(?:https?|jdbc:[a-z0-9]{2,16}|s3|ftp|ssh|amqps?|rediss?|postgres(?:ql)?|mysql|mongodb)://[A-Za-z0-9._~:/@%-]{3,200}|\b(?:host(?:name)?|endpoint|server|base_?url)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._:/-]{3,200}"""
+    r"""(?ai)\b(?:https?|jdbc:[a-z0-9]{2,}|s3|ftp|ssh|amqps?|rediss?|postgres(?:ql)?|mysql|mongodb)://[A-Za-z0-9._~:/@%-]{3}()[A-Za-z0-9._~:/@%-]*|\b(?:host(?:name)?|endpoint|server|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3}()[A-Za-z0-9._:/-]*"""
 )
 LOOSE_KEY = re.compile(
-    r"""(?ai)\b(?:pwd|pass|passphrase|password|passwd|secret|token|api_?key|auth|bearer|credentials?|private_?key|secret_?key|access_?key)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,64}"""
+    r"""(?ai)\b(?:pwd|pass|passphrase|password|passwd|secret|token|api_?key|auth|bearer|credentials?|private_?key|secret_?key|access_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6}()[A-Za-z0-9+/_.=!@#$%^&*-]*"""
 )
-BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
+BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 
 SCOPE_CHARS = 400
 
@@ -73,15 +73,23 @@ def looks_random(token):
     )
 
 
+def least_spans(pattern, text):
+    """``(start, end of the least length, end)`` of every match."""
+    return [(m.start(), m.end(m.lastindex or 0), m.end()) for m in pattern.finditer(text)]
+
+
 def free_spans(kind, found, taken):
-    """Spans that touch none of ``taken`` (sorted, ``(start, end)``) nor each other."""
+    """Spans that up to their least length touch none of ``taken`` (sorted, ``(start, end)``), and do not touch each other.
+
+    A long value goes on over a stronger span inside it.
+    """
     starts = [start for start, _ in taken]
     reach = []
     for _, end in taken:
         reach.append(max(end, reach[-1]) if reach else end)
     out, last = [], 0
-    for start, end in found:
-        at = bisect_left(starts, end)
+    for start, least, end in found:
+        at = bisect_left(starts, least)
         if start >= last and not (at and reach[at - 1] > start):
             out.append((kind, start, end))
             last = end
@@ -106,15 +114,15 @@ def meets(spans, others, scope):
 def linked_secrets(text, base, scope=SCOPE_CHARS):
     """Weak parts that complement each other or a certain secret."""
     taken = sorted((start, end) for _, start, end in base)
-    ends = free_spans("endpoint", [m.span() for m in ENDPOINT.finditer(text)], taken)
+    ends = free_spans("endpoint", least_spans(ENDPOINT, text), taken)
     taken_too = sorted(taken + [s[1:] for s in ends])
-    ids = free_spans("id", [m.span() for m in IDENTIFIER.finditer(text)], taken_too)
+    ids = free_spans("id", least_spans(IDENTIFIER, text), taken_too)
     strong_ids = [s for s in base if s[0] == "access"]
     if not ids and not ends and not strong_ids:
         return []
     taken_too = sorted(taken_too + [s[1:] for s in ids])
-    loose = [m.span() for m in LOOSE_KEY.finditer(text)]
-    bare = [m.span() for m in BARE_KEY.finditer(text) if looks_random(m[0])]
+    loose = least_spans(LOOSE_KEY, text)
+    bare = [x for x in least_spans(BARE_KEY, text) if looks_random(text[x[0] : x[2]])]
     keys = free_spans("key", loose, taken_too)
     keys += free_spans("key", bare, sorted(taken_too + [s[1:] for s in keys]))
     keys = sorted(keys, key=lambda s: s[1])

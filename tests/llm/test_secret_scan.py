@@ -85,6 +85,31 @@ def test_redaction_keeps_rows_and_columns(docs):
     assert got == {1: ("x [SECRET] y", 12), 2: (None, None), 3: ("clean", 5)}
 
 
+def test_long_values_are_reported_and_masked_whole(docs):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789+/"
+    rows, want = [], {}
+    for size in (65, 88, 201, 300, 5000):
+        value = "Aa1" + "".join(rng.choices(letters, k=size - 3))
+        for name in ("access_key=", "private_key: ", "bearer = ", "auth:", "pwd      =      ", ""):
+            i = len(rows)
+            rows.append((i, f"endpoint=db.example.com {name}{value} end"))
+            start = rows[i][1].index(name + value)
+            want[i] = ("key", start, start + len(name + value))
+    long_url = "https://a.example/" + "path/" * 60
+    more = [f"{long_url} pwd=hunter22 end", "user=" + "bob." * 40 + " pwd=hunter22 end", "x ASIAABCDEFGHIJKLMNOP pwd=hunter22 end",
+            "jdbc:averylongdrivername://db.example/x pwd=hunter22 end"]
+    # A certain secret far inside a long value does not free the rest of it.
+    hidden = ["endpoint=a.example pwd=" + "Xy-" * 40 + "0123456789abcdef0" + "-Zz" * 40 + " end", f"{long_url}0123456789abcdef0 pwd=hunter22 end"]
+    rows += [(1000 + i, t) for i, t in enumerate(more + hidden)]
+    spans = {i: r.spans.split(",") for i, r in rows_of(docs, rows).items()}
+    masked = {r.doc_id: r.text for r in s.redact_secrets(docs(rows)).collect()}
+    for i, span in want.items():
+        assert "%s:%d:%d" % span in spans[i], rows[i]
+        assert masked[i] == "[SECRET] [SECRET] end"
+    assert [masked[1000 + i] for i in range(6)] == ["[SECRET] [SECRET] end"] * 2 + ["x [SECRET] [SECRET] end"] + ["[SECRET] [SECRET] end"] * 3
+
+
 def test_long_texts_take_linear_time():
     start = time.time()
     for text in ("a" * 300_000, "token " * 50_000, "AKIA" * 80_000, "user=bob " * 20_000 + "pwd=hunter22 " * 20_000, "token" + " " * 300_000):
