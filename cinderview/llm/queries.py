@@ -1,4 +1,4 @@
-"""The ten operators over the test tables, and the pipeline; SQL where SQL can say it."""
+"""The thirteen operators over the test tables; SQL where SQL can say it."""
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import judge
 from .secret_scan import scan_secrets
+from .spelling import spelling_variants
 from .suffix_dedup import repeat_digests
 
 QUERIES, CHECKS = {}, {}
@@ -121,3 +122,33 @@ def op4(spark, sf_dir):
 @query("op7_suffix_dedup")
 def op7(spark, sf_dir):
     return repeat_digests(spark, documents(spark, sf_dir))
+
+
+# The hash is written out, since DuckDB has no crc32; near words meet in their deletions.
+SPELLING_SQL = r"""
+WITH RECURSIVE
+poly AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS k FROM r WHERE length(w) >= 6 GROUP BY ALL),
+b AS (SELECT w, k, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+        lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS bytes FROM c),
+h AS (SELECT w, k, xor(list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: CAST(x AS BIGINT))),
+        lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295) AS h FROM b, poly),
+v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+n AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM n)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM d AS a JOIN d AS b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM d AS a JOIN n AS b ON a.less = b.word
+      UNION SELECT b.word, a.word, a.n FROM d AS a JOIN n AS b ON a.less = b.word),
+f AS (SELECT n.word, n.n, count(p.near) AS n_near, max(p.m) AS m, arg_min(p.near, row(-p.m, encode(p.near))) AS best FROM n LEFT JOIN p USING (word) GROUP BY n.word, n.n),
+g AS (SELECT word, n, n_near, CASE WHEN m >= 5 * n THEN best END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM f),
+s(word, root) AS (SELECT word, word FROM g UNION ALL SELECT s.word, g.form FROM s JOIN g ON g.word = s.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, s.root, g.n, g.n_near, g.form_n FROM g JOIN s USING (word) JOIN g AS e ON e.word = s.root WHERE e.form IS NULL
+"""
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def op12(spark, sf_dir):
+    return spelling_variants(spark, documents(spark, sf_dir))
