@@ -7,6 +7,7 @@ from . import language_id, pii, quality_classifier
 from .bpe import encoding_digests
 from .common import batches, id_remainder
 from .exact_dedup import exact_duplicates
+from .mixture import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import judge
@@ -152,3 +153,9 @@ SELECT g.word, g.form, s.root, g.n, g.n_near, g.form_n FROM g JOIN s USING (word
 @query("op12_spelling_variants", SPELLING_SQL)
 def op12(spark, sf_dir):
     return spelling_variants(spark, documents(spark, sf_dir))
+
+
+@query("op11_source_mixture")
+def op11(spark, sf_dir):
+    mixed = mix(spark, documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
