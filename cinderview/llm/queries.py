@@ -14,6 +14,7 @@ from .quality_rules import judge
 from .secret_scan import scan_secrets
 from .spelling import spelling_variants
 from .suffix_dedup import repeat_digests
+from .token_alignment import alignment_digests
 
 QUERIES, CHECKS = {}, {}
 
@@ -159,3 +160,9 @@ def op12(spark, sf_dir):
 def op11(spark, sf_dir):
     mixed = mix(spark, documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment_digests(spark, documents(spark, sf_dir), *paths)
