@@ -3,13 +3,18 @@
 The patterns find spans that hold by rule. The model looks at islands, runs of words
 with digits or an at sign, and scores every candidate segment of an island, up to
 ``LONGEST`` atoms, by features of the whole segment (digit groups, check sum, marks,
-what stands around it). One dynamic program over segment ends and types chooses
-boundaries and types together; it is linear in the island's length since an entity is
-bounded. Text outside islands never holds an entity, so most of a corpus costs one
-scan.
+what stands around it). An atom is a run of digits, a word with the words that dots or
+hyphens join to it, or any other character. One dynamic program over segment ends and
+types chooses boundaries and types together; it is linear in the island's length since
+an entity is bounded. Features come from prefix sums for ``STEP`` ends at a time and two
+small numbers for each end and type are kept to walk back, so a text of many megabytes
+that is one island takes some 30 bytes a character. Text outside islands never holds
+an entity, so most of a corpus costs one scan.
 
 The model is trained by exact likelihood gradients on a bounded sample of islands
-labelled by the patterns. Each is also shown in weaker spellings that the patterns
+labelled by the patterns, drawn by hash from all islands of the drawn documents; an
+island over ``PART_CHARS`` is drawn in parts of that length, cut at white space if it
+has any. Each is also shown in weaker spellings that the patterns
 miss (no plus sign, other separators, an at sign in words), with the same labels, and
 with ordinary figures (dates, amounts, times) in their place, without labels.
 """
@@ -33,14 +38,17 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# Bounds of an entity, in atoms and in characters on either side of its digit or at sign.
 LONGEST = 16
-ISLAND_CHARS = 64
+ISLAND_CHARS = 256
+PART_CHARS = 256
+STEP = 4096
 TRAIN_DOCS = 40_000
 TRAIN_TEXTS = 4000
 TRAIN_ISLANDS = 600
 EPOCHS = 6
 TYPES = ("other", *KINDS)
-ATOM = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
+ATOM = re.compile(r"[A-Za-z]+(?:[.-][A-Za-z]+)*|[0-9]+|[^A-Za-z0-9]")
 TRIGGER = re.compile("[0-9@]|[(\\[](?:at|AT)[)\\]]")
 NEAR = {
     "email": ("mail", "contact", "write"),
@@ -126,86 +134,139 @@ def islands(text):
 N_FEATURES = 40
 
 
-def segment_features(atoms, i, j, before, after, near):
-    """Places of the features of the segment ``atoms[i:j]``; ``before`` and ``after`` are its neighbours' characters."""
-    own = atoms[i:j]
-    body = "".join(own)
-    digits = [a for a in own if a[0] in "0123456789"]
-    n_digits = sum(map(len, digits))
-    letters = sum(len(a) for a in own if a.isalpha())
-    dots = body.count(".")
-    out = [0]
-    if j - i > 1:
-        out.append(1)
-    edges = own[0][0].isalnum() or own[0] in "+("
-    if not edges or not (own[-1][-1].isalnum()):
-        out.append(2)
-    out.append(3 if before.isspace() or not before else 4 if before.isalnum() else 5)
-    out.append(6 if after.isspace() or not after else 7 if after.isalnum() else 8)
-    out.append(9 + min(n_digits, 20) // 2)  # 9 .. 19
-    if "@" in own:
-        out.append(20 if own.count("@") == 1 and letters else 21)
-    words = body.lower()
-    if "(at)" in words or "[at]" in words:
-        out.append(22)
-    if dots and letters and own[-1].isalpha() and 2 <= len(own[-1]) <= 6:
-        out.append(23)
-    if len(digits) == 4 and not letters and all(int(d) <= 255 for d in digits if len(d) <= 3) and all(len(d) <= 3 for d in digits):
-        out.append(24 if dots == 3 else 25)
-    if 12 <= n_digits <= 19 and not letters:
-        out.append(26 if luhn("".join(digits)) else 27)
-        if len({len(d) for d in digits}) == 1 and len(digits) > 1:
-            out.append(28)
-    if own[0] == "+":
-        out.append(29)
-    if "(" in own and ")" in own:
-        out.append(30)
-    if [len(d) for d in digits[-2:]] == [3, 4]:
-        out.append(31)
-    if len(digits) > 2:
-        out.append(32)
-    if letters:
-        out.append(33)
-    marks = {a for a in own if not a.isalnum()}
-    if len(marks) > 3:
-        out.append(34)
-    if 7 <= n_digits <= 15 and not letters:
-        out.append(35)
-    out += [36 + k for k, kind in enumerate(KINDS) if any(word in near for word in NEAR[kind])]
+def before_each(values):
+    """Sum of the values before each place, and before the end."""
+    out = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=out[1:])
     return out
 
 
 class Island:
-    """Atoms of an island, and the features of all its segments of at most ``LONGEST`` atoms."""
+    """Atoms of an island, and the features of its segments of at most ``longest`` atoms."""
 
-    def __init__(self, text, start, end):
-        found = [(m.start(), m.end()) for m in ATOM.finditer(text, start, end)]
-        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
-        self.atoms = [text[a:b] for a, b in found]
+    def __init__(self, text, start, end, longest=LONGEST):
+        self.longest = longest
+        self.ends = np.fromiter((m.end() for m in ATOM.finditer(text, start, end)), np.int64)
+        self.starts = np.append(start, self.ends[:-1])
+        self.n = n = len(self.ends)
         near = text[max(0, start - 24) : start].lower()
-        self.pairs, places = [], []
-        n = len(self.atoms)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                if j - i > 1 and (self.atoms[i].isspace() or self.atoms[j - 1].isspace()):
-                    continue
-                before = text[self.starts[i] - 1 : self.starts[i]] if self.starts[i] else ""
-                after = text[self.ends[j - 1] : self.ends[j - 1] + 1]
-                self.pairs.append((i, j))
-                places.append(segment_features(self.atoms, i, j, before, after, near))
-        self.by_end = [[] for _ in range(n + 1)]
-        for k, (_, j) in enumerate(self.pairs):
-            self.by_end[j].append(k)
-        self.begin = np.array([i for i, _ in self.pairs], np.int64)
-        self.long = np.array([j - i > 1 for i, j in self.pairs], bool)
-        self.rows = np.repeat(np.arange(len(places)), [len(p) for p in places]) if places else np.zeros(0, np.int64)
-        self.places = np.array([x for p in places for x in p], np.int64)
-
-    def scores(self, weights):
-        out = np.zeros((len(self.pairs), len(TYPES)))
-        np.add.at(out, self.rows, weights[self.places])
+        self.near = [36 + k for k, kind in enumerate(KINDS) if any(word in near for word in NEAR[kind])]
+
+        # One character on either side of the island, blanks at the text's ends.
+        around = (text[start - 1] if start else " ") + text[start:end] + (text[end] if end < len(text) else " ")
+        codes = np.frombuffer(around.encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds, code = np.unique(codes, return_inverse=True)
+        of = lambda rule: np.array([rule(chr(c)) for c in kinds.tolist()], bool)[code]
+        alnum, alpha, space = of(str.isalnum), of(str.isalpha), of(str.isspace)
+        digit = (codes >= 48) & (codes <= 57)
+        # Sums by characters, at the atoms' bounds (``code`` 1 is the island's first).
+        bounds = np.append(self.starts, end) - start + 1
+        first, last = bounds[:-1], bounds[1:] - 1
+        at = lambda values: before_each(values)[bounds]
+        self.digits, self.letters = at(digit), at(alpha)
+        self.dots, self.at_signs = at(codes == 46), at(codes == 64)
+        self.opened, self.closed = at(codes == 40), at(codes == 41)
+        side = lambda c: np.where(space[c], 0, np.where(alnum[c], 1, 2))
+        self.before, self.after = side(bounds[:-1] - 1), side(bounds[1:])
+        self.open_edge = alnum[first] | (codes[first] == 43) | (codes[first] == 40)
+        self.closed_edge = alnum[last]
+        self.plus = codes[first] == 43
+        self.blank = space[first]
+        # Letters behind the last dot or hyphen of an atom that is a word.
+        other = np.where(alpha, 0, np.arange(len(codes)))
+        label = last - np.maximum.accumulate(other)[last]
+        self.domain = (~digit[first]) & alnum[last] & (label >= 2) & (label <= 6)
+        # An at sign in words: its first bracket.
+        bracket = np.isin(codes[first], (40, 91))
+        word = np.zeros(n, bool)
+        for k in np.flatnonzero(bracket[: max(n - 2, 0)]).tolist():
+            word[k] = text[self.starts[k] : self.ends[k + 2]].lower() in ("(at)", "[at]")
+        self.at_words = before_each(word)
+        # Digit groups, by their order.
+        group = digit[first]
+        self.groups = before_each(group)
+        sizes = (self.ends - self.starts)[group]
+        self.group_sizes = np.append(sizes, [0, 0])
+        values = np.zeros(len(sizes), np.int64)
+        for k in range(3):
+            short = sizes > k
+            values[short] = values[short] * 10 + codes[first[group][short] + k] - 48
+        self.no_octet = before_each((sizes > 3) | (values > 255))
+        self.changes = before_each(np.append(False, sizes[1:] != sizes[:-1])[: len(sizes)])
+        # Check sums with the even or the odd digits doubled, modulo 10.
+        own = codes[digit].astype(np.int64) - 48
+        double = np.where(own > 4, 2 * own - 9, 2 * own)
+        odd = np.arange(len(own)) % 2 == 1
+        self.first_digit = int(digit[0])
+        self.check = [before_each(np.where(odd, double, own)), before_each(np.where(odd, own, double))]
+        # Where each mark stands next, for the number of different ones.
+        mark = ~alnum[first]
+        self.next_mark = np.full(n, n + longest + 1)
+        places = np.flatnonzero(mark)
+        order = np.argsort(codes[first[places]], kind="stable")
+        same = codes[first[places[order]]]
+        again = np.flatnonzero(same[1:] == same[:-1])
+        self.next_mark[places[order[again]]] = places[order[again + 1]]
+        self.mark = mark
+
+    def features(self, low, high):
+        """Features of the segments that end at the atoms' bounds ``low + 1 .. high``, and which segments there are.
+
+        By end and by length from 1 to ``longest``.
+        """
+        j = np.arange(low + 1, high + 1)[:, None]
+        length = np.arange(1, self.longest + 1)[None]
+        there = j - length >= 0
+        i = np.maximum(j - length, 0)
+        there &= (length == 1) | ~(self.blank[i] | self.blank[j - 1])
+        out = np.zeros((*i.shape, N_FEATURES), np.float32)
+        span = lambda sums: sums[j] - sums[i]
+        digits, letters, dots, at_signs = span(self.digits), span(self.letters), span(self.dots), span(self.at_signs)
+        groups, none = span(self.groups), letters == 0
+        out[..., 0] = 1
+        out[..., 1] = length > 1
+        out[..., 2] = ~(self.open_edge[i] & self.closed_edge[j - 1])
+        rows, columns = np.indices(i.shape, sparse=True)
+        out[rows, columns, 3 + self.before[i]] = 1
+        out[rows, columns, np.broadcast_to(6 + self.after[j - 1], i.shape)] = 1
+        out[rows, columns, 9 + np.minimum(digits, 20) // 2] = 1  # 9 .. 19
+        out[..., 20] = (at_signs == 1) & (letters > 0)
+        out[..., 21] = (at_signs > 0) & (out[..., 20] == 0)
+        out[..., 22] = (length > 2) & (self.at_words[np.maximum(j - 2, i)] > self.at_words[i])
+        out[..., 23] = (dots > 0) & self.domain[j - 1]
+        octets = (groups == 4) & none & (self.no_octet[self.groups[j]] == self.no_octet[self.groups[i]])
+        out[..., 24] = octets & (dots == 3)
+        out[..., 25] = octets & (dots != 3)
+        card = (digits >= 12) & (digits <= 19) & none
+        first, last = self.digits[i] - self.first_digit, self.digits[j] - self.first_digit
+        # The last digit is never doubled.
+        total = np.where((last - 1) % 2 == 0, self.check[0][last] - self.check[0][first], self.check[1][last] - self.check[1][first])
+        out[..., 26] = card & (total % 10 == 0)
+        out[..., 27] = card & (total % 10 != 0)
+        first, last = self.groups[i], self.groups[j]
+        even = self.changes[last] == self.changes[np.minimum(first + 1, last)]
+        out[..., 28] = card & (groups > 1) & even
+        out[..., 29] = self.plus[i]
+        out[..., 30] = (span(self.opened) > 0) & (span(self.closed) > 0)
+        out[..., 31] = (groups > 1) & (self.group_sizes[last - 1] == 4) & (self.group_sizes[last - 2] == 3)
+        out[..., 32] = groups > 2
+        out[..., 33] = letters > 0
+        # A segment has the marks of the one without its first atom, and that atom's if it does not come again.
+        marks = np.zeros(i.shape, np.int64)
+        new = self.mark[i] & (self.next_mark[i] >= j)
+        marks = np.cumsum(new, axis=1)
+        out[..., 34] = marks > 3
+        out[..., 35] = (digits >= 7) & (digits <= 15) & none
+        out[..., self.near] = 1
+        return out, there
+
+    def scores(self, weights, low=0, high=None):
+        """Scores by end, length and type; -inf where there is no such segment."""
+        features, there = self.features(low, self.n if high is None else high)
+        out = features @ weights
+        out[~there] = -np.inf
         # Other text is taken atom by atom.
-        out[self.long, 0] = -np.inf
+        out[:, 1:, 0] = -np.inf
         return out
 
 
@@ -217,86 +278,89 @@ def log_sum(x, axis=None):
     return out.squeeze() if axis is None else out.squeeze(axis)
 
 
-def forward(island, scores, moves):
-    """Log sums over all segmentations of each prefix, by the type of its last segment."""
-    n, k = len(island.atoms), len(TYPES)
-    alpha = np.full((n + 1, k), -np.inf)
+def forward(scores, moves):
+    """Log sums over all segmentations of each prefix, by the type of its last segment, and of the next."""
+    n, longest, k = scores.shape
+    alpha, come = np.full((n + 1, k), -np.inf), np.full((n + 1, k), -np.inf)
     alpha[0, 0] = 0.0
+    come[0] = log_sum(alpha[0][:, None] + moves, axis=0)
     for j in range(1, n + 1):
-        own = island.by_end[j]
-        come = log_sum(alpha[island.begin[own]][:, :, None] + moves[None], axis=1)
-        alpha[j] = log_sum(come + scores[own], axis=0)
-    return alpha
+        most = min(j, longest)
+        alpha[j] = log_sum(come[j - most : j][::-1] + scores[j - 1, :most], axis=0)
+        come[j] = log_sum(alpha[j][:, None] + moves, axis=0)
+    return alpha, come
 
 
 def gradient(island, gold, weights, moves):
-    """Gradient of the log likelihood of ``gold``, the list of ``(segment, type)``."""
+    """Gradient of the log likelihood of ``gold``, the list of ``(end, length, type)``."""
+    features, _ = island.features(0, island.n)
     scores = island.scores(weights)
-    alpha = forward(island, scores, moves)
-    n, k = len(island.atoms), len(TYPES)
+    alpha, come = forward(scores, moves)
+    n, longest, k = scores.shape
     total = log_sum(alpha[n])
     beta = np.full((n + 1, k), -np.inf)
     beta[n] = 0.0
-    grad, grad_moves = np.zeros_like(weights), np.zeros_like(moves)
-    expected = np.zeros_like(scores)
-    for j in range(n, 0, -1):
-        for s in island.by_end[j]:
-            i = island.begin[s]
-            through = alpha[i][:, None] + moves + scores[s][None] + beta[j][None]
-            p = np.exp(through - total)
-            expected[s] = p.sum(axis=0)
-            grad_moves -= p
-            ahead = log_sum(moves + (scores[s] + beta[j])[None], axis=1)
-            beta[i] = np.logaddexp(beta[i], ahead)
+    expected, grad_moves = np.zeros(scores.shape), np.zeros_like(moves)
+    for i in range(n - 1, -1, -1):
+        lengths = np.arange(min(longest, n - i))
+        ahead = scores[i + lengths, lengths] + beta[i + lengths + 1]
+        expected[i + lengths, lengths] = np.exp(come[i] + ahead - total)
+        on = log_sum(ahead, axis=0)
+        grad_moves -= np.exp(alpha[i][:, None] + moves + on - total)
+        beta[i] = log_sum(moves + on, axis=1)
     last = 0
-    for s, t in gold:
-        expected[s, t] -= 1.0
+    for j, length, t in gold:
+        expected[j - 1, length - 1, t] -= 1.0
         grad_moves[last, t] += 1.0
         last = t
-    np.add.at(grad, island.places, -expected[island.rows])
-    return grad, grad_moves
+    return -np.tensordot(features, expected, axes=((0, 1), (0, 1))), grad_moves
 
 
 def best_segments(island, weights, moves):
     """The most likely segmentation: ``[(kind, start, end)]`` of its entities."""
-    scores = island.scores(weights)
-    n, k = len(island.atoms), len(TYPES)
-    best = np.full((n + 1, k), -np.inf)
-    best[0, 0] = 0.0
-    back = {}
-    for j in range(1, n + 1):
-        own = np.array(island.by_end[j], np.int64)
-        paths = best[island.begin[own]][:, :, None] + moves[None] + scores[own][:, None, :]
-        flat = paths.reshape(-1, k)
-        choice = flat.argmax(axis=0)
-        best[j] = flat[choice, np.arange(k)]
-        for t in range(k):
-            back[j, t] = (int(own[choice[t] // k]), int(choice[t] % k))
-    out, j, t = [], n, int(best[n].argmax())
+    n, longest, k = island.n, island.longest, len(TYPES)
+    types = np.arange(k)
+    # Of each end and type: the length of its last segment, and the type before a segment that begins there.
+    lengths, types_before = np.zeros((n + 1, k), np.uint8), np.zeros((n + 1, k), np.uint8)
+    best = np.full(k, -np.inf)
+    best[0] = 0.0
+    # Best scores up to the last ends, newest first, by the type that follows.
+    come = np.full((longest, k), -np.inf)
+    for low in range(0, n, STEP):
+        scores = island.scores(weights, low, min(n, low + STEP))
+        for j in range(low, min(n, low + STEP)):
+            paths = best[:, None] + moves
+            before = paths.argmax(axis=0)
+            types_before[j] = before
+            come[1:] = come[:-1]
+            come[0] = paths[before, types]
+            paths = come + scores[j - low]
+            choice = paths.argmax(axis=0)
+            lengths[j + 1] = choice + 1
+            best = paths[choice, types]
+    out, j, t = [], n, int(best.argmax())
     while j > 0:
-        s, before = back[j, t]
-        i = int(island.begin[s])
+        i = j - int(lengths[j, t])
         if t:
-            out.append((TYPES[t], island.starts[i], island.ends[j - 1]))
-        j, t = i, before
+            out.append((TYPES[t], int(island.starts[i]), int(island.ends[j - 1])))
+        j, t = i, int(types_before[i, t])
     return out[::-1]
 
 
 def gold_segments(island, spans):
-    """Segments and types of an island labelled by ``spans``; None if a span does not end on atoms or is too long."""
-    index = {pair: s for s, pair in enumerate(island.pairs)}
-    first = {a: i for i, a in enumerate(island.starts)}
-    last = {b: i + 1 for i, b in enumerate(island.ends)}
+    """``(end, length, type)`` of an island labelled by ``spans``; None if a span does not end on atoms or is too long."""
+    first = {a: i for i, a in enumerate(island.starts.tolist())}
+    last = {b: i + 1 for i, b in enumerate(island.ends.tolist())}
     out, at = [], 0
     for kind, start, end in spans:
-        if start not in first or end not in last or (first[start], last[end]) not in index:
+        if start not in first or end not in last:
             return None
         i, j = first[start], last[end]
-        if i < at:
+        if i < at or j - i > island.longest:
             return None
-        out += [(index[x, x + 1], 0) for x in range(at, i)] + [(index[i, j], TYPES.index(kind))]
+        out += [(x + 1, 1, 0) for x in range(at, i)] + [(j, j - i, TYPES.index(kind))]
         at = j
-    return out + [(index[x, x + 1], 0) for x in range(at, len(island.atoms))]
+    return out + [(x + 1, 1, 0) for x in range(at, island.n)]
 
 
 def weaker(text, spans, rng):
@@ -335,6 +399,18 @@ def spoiled(text, spans, rng):
     return "".join(out) + text[at:], []
 
 
+def parts_of(text, start, end, most=PART_CHARS):
+    """An island in parts of at most ``most`` characters, cut behind the last white space if there is any."""
+    while end - start > most:
+        cut = start + most
+        while cut > start and not text[cut - 1].isspace():
+            cut -= 1
+        cut = cut if cut > start else start + most
+        yield start, cut
+        start = cut
+    yield start, end
+
+
 def examples(values, rng):
     """Labelled islands of texts: as the patterns mark them, in weaker spellings, and with ordinary figures instead."""
     out = []
@@ -346,8 +422,6 @@ def examples(values, rng):
                 last = span[2]
         for form, marked in ((text, kept), weaker(text, kept, rng), spoiled(text, kept, rng)):
             for start, end in islands(form):
-                if end - start > 4 * ISLAND_CHARS:
-                    continue
                 own = [s for s in marked if s[1] < end and s[2] > start]
                 island = Island(form, start, end)
                 gold = gold_segments(island, own)
@@ -379,15 +453,16 @@ def learn(
 ):
     """Train on at most ``train_islands`` islands, from ``train_texts`` different ones of about ``train_docs`` documents.
 
-    Documents and islands are those of the smallest hashes.
+    Documents and islands are those of the smallest hashes. Null and empty texts have
+    no islands; without any the model keeps its start, by which entities are rare.
     """
 
     def cut(stream):
         for batch in stream:
             parts = []
             for text in batch.column("text").to_pylist():
-                for start, end in islands(text)[:64]:
-                    parts.append(text[max(0, start - 24) : end + 1])
+                for start, end in islands(text):
+                    parts += [text[max(0, a - 24) : b + 1] for a, b in parts_of(text, start, end)]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["part"])
 
     kinds = [re.compile("@"), re.compile(r"\.[0-9]+\."), re.compile("[0-9]{12}"), re.compile(r"\+")]
@@ -396,7 +471,6 @@ def learn(
         .where(F.col("text").rlike("[0-9@]"))
         .select("text")
         .mapInArrow(cut, "part string")
-        .where(F.length("part") <= 4 * ISLAND_CHARS)
         .distinct()
         .orderBy(F.xxhash64("part"), "part")
         .limit(train_texts)
@@ -417,7 +491,7 @@ def model_spans(text, model, known):
     weights, moves = model
     out = []
     for start, end in islands(text):
-        key = (text[max(0, start - 24) : start], text[start:end], text[end : end + 1]) if end - start <= 4 * ISLAND_CHARS else None
+        key = (text[max(0, start - 24) : start], text[start:end], text[end : end + 1]) if end - start <= PART_CHARS else None
         found = known.get(key) if key else None
         if found is None:
             found = [(k, a - start, b - start) for k, a, b in best_segments(Island(text, start, end), weights, moves)]
@@ -449,8 +523,10 @@ def find_personal_data(spark, docs, model, id_column="doc_id", text_column="text
     """One row per row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans``.
 
     Counts and ``base_spans`` are of the certain patterns, ``spans`` has the model's
-    too. Offsets are code points, end exclusive. Null text counts as empty and has no
-    spans; repeated rows are searched each; other columns are not read.
+    too. Offsets are code points, end exclusive. Of model spans that touch a certain one
+    the certain one stays. Null text counts as empty and has no spans; very long texts
+    are searched whole, in memory proportional to their length; repeated rows are
+    searched each; an empty table gives no rows; other columns are not read.
     """
     shared = spark.sparkContext.broadcast(model)
 
