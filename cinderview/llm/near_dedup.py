@@ -15,14 +15,19 @@ Verification. Members and centres meet in one sorted shuffle, a centre before it
 members; members of a large centre are spread over slots, each with its own copy of the
 centre. Full sets are compared.
 
-No link is lost to the star. If x is not linked to centre c, but to y in the same
+No component is lost to the star. If x is not linked to centre c, but to y in the same
 bucket, then the differences Dx and Dy from c share more than a part ``(1 - k) / 2`` of
 Dy, with ``k = (1 - t) / (1 + t)``, and at least |Dx| less what x and y may differ by.
 The part holds for Dx too only if y is not linked to c either: an unlinked member has
 the longer prefix to meet linked ones, and the shorter one to meet other unlinked ones.
 Prefixes of these lengths, in an order that puts elements foreign to the centre first,
-must meet; they are joined per centre, filtered by position, and the few pairs left
-are verified on full sets like the others.
+must meet, so x and y are together in the group of a centre and an element. Groups of
+``SMALL_GROUP`` members or fewer are paired, filtered by position and verified. A larger
+group is a bucket again: its members are paired with one more centre, an unlinked member
+that most of the centre's groups share, and what is not linked to that one meets in the
+differences from it, round after round, until no group is large. A centre leaves its
+group, so rounds end; members known to be connected need not meet. Pairs grow with
+members, not with their squares.
 """
 
 import math
@@ -31,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions.ordered import union_all
 from .bytehash import LOWER, mixed, prefix_sums, span_hashes, words
 from .common import byte_chunks, byte_view, texts, written
 from .components import components
@@ -38,6 +44,7 @@ from .components import components
 BAND_ROWS = 5
 MISS = 1e-5
 SLOT_MEMBERS = 256
+SMALL_GROUP = 16
 STEP = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -220,22 +227,39 @@ def verify(spark, pairs, source, width, percent):
     return rows.mapInArrow(run, VERIFIED)
 
 
-def missed_by_star(checked, percent):
-    """Pairs of one bucket that may be linked though one of them is not linked to the centre."""
+def meetings(checked, percent):
+    """``meeting, path, a, ...``: members that a group of a centre and an element brings together.
+
+    ``checked`` has ``path, label`` beside the columns of ``verify``: the members of a
+    path share a centre, those of one label are known to be connected.
+    """
     k = (100 - percent) / (100 + percent)
     places = checked.where("size(prefix) > 0").select(
-        "a", F.col("b").alias("centre"), "linked", F.col("size").alias("own"), "differ", F.posexplode("prefix").alias("place", "element")
+        "path", "a", "label", "linked", F.col("size").alias("own"), "differ", F.posexplode("prefix").alias("place", "element")
     )
     # Other unlinked members are met by the shorter prefix; ``meets``: whether a linked one is met.
     part = F.col("place") < F.col("differ") - F.floor(F.col("differ") * (1 - k) / 2 - 1e-9)
-    both = F.when(part, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-    x = places.where("NOT linked").withColumn("meets", F.explode(both)).alias("x")
-    y = places.where(F.col("linked") | part).withColumn("meets", F.col("linked")).alias("y")
+    both = F.when(~F.col("linked") & part, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    return places.withColumn("meets", F.explode(both)).withColumn("meeting", F.xxhash64("path", "element", "meets"))
+
+
+def meeting_sizes(met):
+    """``meeting, n`` of the groups that may hold a link between members not known to be connected."""
+    sizes = met.groupBy("meeting", "meets").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("unlinked"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    return sizes.where("unlinked > 0 AND low <> high AND (unlinked < n OR NOT meets)").select("meeting", "n")
+
+
+def pairs_of_small(met, percent):
+    """Pairs of one group that may be linked though one of them is not linked to the centre."""
+    k = (100 - percent) / (100 + percent)
+    x, y = met.where("NOT linked").alias("x"), met.where("linked OR NOT meets").alias("y")
     shared = F.ceil((F.col("x.differ") + F.col("y.differ") - k * (F.col("x.own") + F.col("y.own"))) / 2 - 1e-9)
     reach = F.least(F.col("x.differ") - F.col("x.place"), F.col("y.differ") - F.col("y.place"))
     return (
-        x.join(y, ["centre", "element", "meets"])
-        .where((F.col("x.a") != F.col("y.a")) & (F.col("y.linked") | (F.col("x.a") < F.col("y.a"))))
+        x.join(y, "meeting")
+        .where((F.col("x.label") != F.col("y.label")) & (F.col("y.linked") | (F.col("x.a") < F.col("y.a"))))
         .where((100 * F.col("x.own") >= percent * F.col("y.own")) & (100 * F.col("y.own") >= percent * F.col("x.own")))
         .where(reach >= shared)
         .select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b"))
@@ -244,6 +268,42 @@ def missed_by_star(checked, percent):
     )
 
 
+def next_stars(spark, met):
+    """``path, a, b, label``: members of large groups, each with the next centre of its group."""
+    free = F.when(~F.col("linked"), F.struct("degree", (-F.col("a")).alias("minus")))
+    degree = written(spark, met.groupBy("path", "a").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    ranked = met.join(degree.hint("merge"), ["path", "a"])
+    centre = ranked.groupBy("meeting").agg((-F.max(free)["minus"]).alias("b"))
+    return (
+        met.join(written(spark, centre, "next-centres").hint("merge"), "meeting")
+        .where("a <> b")
+        .groupBy(F.xxhash64("path", "b").alias("path"), "a", "b")
+        .agg(F.min("label").alias("label"))
+    )
+
+
+def missed_links(spark, checked, source, width, percent):
+    """Links that connect what the stars of ``checked`` (``path, label`` and the columns of ``verify``) leave apart."""
+    links = []
+    while True:
+        met = written(spark, meetings(checked, percent), "meetings")
+        sizes = written(spark, meeting_sizes(met), "meeting-sizes")
+        small = met.join(sizes.where(F.col("n") <= SMALL_GROUP).hint("merge"), "meeting", "left_semi")
+        links.append(written(spark, verify(spark, pairs_of_small(small, percent), source, width, percent), "verified").where("linked").select("a", "b"))
+        large = sizes.where(F.col("n") > SMALL_GROUP)
+        if large.isEmpty():
+            return links
+        stars = written(spark, next_stars(spark, met.join(large.hint("merge"), "meeting", "left_semi")), "stars")
+        pairs = stars.select("a", "b", F.lit(True).alias("others")).distinct()
+        found = written(spark, verify(spark, pairs, source, width, percent), "verified")
+        links.append(found.where("linked").select("a", "b"))
+        label = F.when(F.col("linked") & (F.col("label") == F.col("a")), F.col("b")).otherwise(F.col("label"))
+        checked = stars.join(found.hint("merge"), ["a", "b"]).withColumn("label", label)
+        # A path whose members are all linked to the centre is done.
+        apart = written(spark, checked.where("NOT linked").select("path").distinct(), "paths")
+        checked = checked.join(apart.hint("merge"), "path", "left_semi")
+
+
 def near_duplicates(spark, docs, width=5, percent=80, id_column="doc_id", text_column="text"):
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -265,8 +325,8 @@ def near_duplicates(spark, docs, width=5, percent=80, id_column="doc_id", text_c
     involved = star.select("a").unionAll(star.select("b")).distinct().withColumnRenamed("a", "doc_id")
     source = written(spark, rows.join(involved.hint("merge"), "doc_id", "left_semi"), "candidates")
     checked = written(spark, verify(spark, star, source, width, percent), "verified")
-    more = verify(spark, missed_by_star(checked, percent), source, width, percent)
-    links = checked.where("linked").select("a", "b").unionAll(more.where("linked").select("a", "b"))
+    first = checked.withColumn("path", F.col("b")).withColumn("label", F.when(F.col("linked"), F.col("b")).otherwise(F.col("a")))
+    links = union_all([checked.where("linked").select("a", "b"), *missed_links(spark, first, source, width, percent)])
     joined = components(spark, links)
     named = (
         classes.select("set_a", "set_b", "rep")

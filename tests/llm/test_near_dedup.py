@@ -109,8 +109,57 @@ def test_links_of_unlinked_members_to_linked_ones(spark, docs, width, percent):
 def test_missed_pairs_are_found_in_the_differences(spark):
     # c is the centre; x and y are linked to each other but not to c.
     verified = [(1, 9, False, 100, 40, [5, 6, 7]), (2, 9, False, 100, 40, [6, 8]), (3, 9, True, 100, 6, [50]), (4, 8, False, 100, 40, [6])]
-    df = spark.createDataFrame(verified, n.VERIFIED)
-    assert [(r.a, r.b) for r in n.missed_by_star(df, 85).collect()] == [(2, 1)]
+    df = spark.createDataFrame(verified, n.VERIFIED).selectExpr("*", "b AS path", "IF(linked, b, a) AS label")
+    met = n.meetings(df, 85)
+    small = met.join(n.meeting_sizes(met), "meeting", "left_semi")
+    assert [(r.a, r.b) for r in n.pairs_of_small(small, 85).collect()] == [(2, 1)]
+
+
+def versions(rng, count, words=160, shared=0.8, edits=4):
+    """Two versions of a template, unlike each other, and lightly edited copies of both."""
+    base = [f"w{rng.randrange(4000)}" for _ in range(words)]
+    other = list(base)
+    for at in range(0, words, round(1 / (1 - shared))):
+        other[at] = f"o{at}"
+    out = []
+    for i in range(count):
+        own = list(base if i % 2 else other)
+        for _ in range(rng.randrange(edits)):
+            own[rng.randrange(words)] = f"v{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_pairs_grow_with_members(spark, docs, monkeypatch):
+    verified, plain = [], n.verify
+
+    def counted(spark, pairs, *rest):
+        verified[-1] += pairs.count()
+        return plain(spark, pairs, *rest)
+
+    monkeypatch.setattr(n, "verify", counted)
+    for count in (200, 800):
+        # A tenth of the words differ, so about 0.57 of the shingles are the same.
+        rows = list(enumerate(versions(random.Random(3), count, shared=0.9)))
+        verified.append(0)
+        assert result(n.near_duplicates(spark, docs(rows), 3, 85)) == brute(rows, 3, 85)
+        assert verified[-1] <= 4 * count
+
+
+@pytest.mark.parametrize("seed, percent", [(1, 85), (2, 80)])
+def test_large_groups_take_further_centres(spark, docs, monkeypatch, seed, percent):
+    # Groups count as large from three members on; versions of versions, so that several rounds are needed.
+    monkeypatch.setattr(n, "SMALL_GROUP", 2)
+    rng = random.Random(seed)
+    texts = versions(rng, 40, words=90, shared=0.9) + variants(seed, 60, words=90, edits=9)
+    for text in list(texts[:30]):
+        words = text.split()
+        for at in range(40, 40 + rng.randrange(14)):
+            words[at] = f"late{at}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert result(n.near_duplicates(spark, docs(rows), 3, percent)) == brute(rows, 3, percent)
 
 
 def test_repeated_rows_missing_ids_and_short_texts(spark, docs):
