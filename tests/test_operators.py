@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -460,6 +461,46 @@ def test_long_log_is_folded_in_chunks(spark, monkeypatch):
     assert sorted(_found(spark, texts)) == list(range(40))
 
 
+def _plain_blocks(texts, block_bytes=None):
+    """Blocks line by line: ``(marker line, end line, text)``."""
+    out, start, depth, held = [], None, 0, ""
+    for i, line in enumerate(texts):
+        text = line
+        if "Streaming query made progress:" in line:
+            start, depth, held, text = i, 0, "", line.split("Streaming query made progress:", 1)[1]
+        if start is None:
+            continue
+        depth += text.count("{") - text.count("}")
+        held += text + "\n"
+        if depth <= 0 and "{" in held:
+            out.append((start, i, held[held.find("{") : held.rfind("}") + 1]))
+            start = None
+        elif block_bytes is not None and len(held) > block_bytes:
+            start = None
+    return out
+
+
+@pytest.mark.parametrize("chunk, limit", [(1, None), (5, None), (5, 60), (65536, None)])
+def test_brackets_against_a_line_by_line_parser(spark, monkeypatch, chunk, limit):
+    monkeypatch.setattr(pg, "LINES_PER_CHUNK", chunk)
+    rng = random.Random(chunk)
+    parts = ["{", "}", "{}", "}{", "plain", "", "{{ x", "} }", "Streaming query made progress:", "Streaming query made progress: {", "a Streaming query made progress: {} }"]
+    texts = [rng.choice(parts) for _ in range(600)]
+    got = pg.progress_blocks(_lines(spark, texts), block_bytes=limit).collect()
+    want = [(a, b, text) for a, b, text in _plain_blocks(texts, limit)]
+    assert len(want) > 50
+    assert sorted((r.line_no, r.end_line, r.json) for r in got) == want
+
+
+def test_an_open_block_is_never_collected(spark, monkeypatch):
+    # The last marker never closes and owns the rest of the log; nothing of it is joined or collected.
+    monkeypatch.setattr(pg, "LINES_PER_CHUNK", 1000)
+    texts = [*_block(1), "Streaming query made progress: {", *["plain text of a crashed driver"] * 60_000]
+    lines = _lines(spark, texts).repartition(4)
+    blocks = pg.progress_blocks(lines)
+    assert [(r.line_no, r.end_line) for r in blocks.collect()] == [(0, len(_block(1)) - 1)]
+
+
 def test_summary_marks(spark):
     lines = ["3 failed · x FAILED", "GC: executor 1", "x GC: later", "none seen", "executor 3 lost (h)"]
     df = spark.createDataFrame([("a", 1, "S", i, "", t) for i, t in enumerate(lines)], "app_id string, section_no int, section string, ord int, sub string, line string")
