@@ -8,7 +8,7 @@ folder = sys.argv[1]
 spark = (
     SparkSession.builder.master("local[2]").appName("probe")
     .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", f"file://{folder}/events")
-    .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").getOrCreate()
+    .config("spark.eventLog.logBlockUpdates.enabled", "true").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").getOrCreate()
 )
 spark.sparkContext.setLogLevel("OFF")
 spark.sparkContext.setJobDescription("count by key")
@@ -18,6 +18,11 @@ try:
     spark.range(10).select(F.when(F.col("id") == 5, F.raise_error(F.lit("planned failure"))).otherwise(F.col("id"))).collect()
 except Exception:
     pass
+kept = spark.sparkContext.parallelize(range(4000), 3).setName("kept numbers").persist()
+kept.count()
+freed = spark.sparkContext.parallelize(range(50), 2).persist()
+freed.count()
+freed.unpersist(blocking=True)
 spark.range(100).write.parquet(f"{folder}/in")
 query = (
     spark.readStream.schema("id bigint").parquet(f"{folder}/in").groupBy((F.col("id") % 3).alias("k")).count()

@@ -2,13 +2,15 @@
 
 import json
 import os
+import random
 import subprocess
 import sys
 
 import pytest
 
 from cinderview.operators import batches as bt, failures as fl, report, stats
-from cinderview.sources import eventlog, logfiles, rest, sinks
+from cinderview.operators import settings
+from cinderview.sources import eventlog, events as ev, exclusions, logfiles, plans, rest, sinks, storage
 
 MIB = 1024 * 1024
 
@@ -58,6 +60,115 @@ def test_own_event_log(spark, event_logs, tmp_path):
     assert any(r.line.startswith("probe [") for r in lines) and any(r.line.startswith("agg: ") for r in lines)
 
 
+def test_plans_and_cached_blocks_of_an_own_log(spark, event_logs):
+    events = eventlog.read_events(spark, event_logs)
+    described = {r.execution_id for r in eventlog.sql(events).collect()}
+    nodes = plans.plan_nodes(events).collect()
+    assert {r.execution_id for r in nodes} == described
+    assert not {r.node_name for r in nodes} & {*plans.WRAPPERS, plans.REUSED}
+    by_plan = {}
+    for r in nodes:
+        by_plan.setdefault(r.execution_id, []).append(r)
+    # The first execution counts 1000 rows by key: its last plan is the adaptive one, numbered from the root.
+    first = sorted(by_plan[min(by_plan)], key=lambda r: r.node_id)
+    assert [r.node_id for r in first] == list(range(len(first))) and first[0].node_name == "AdaptiveSparkPlan"
+    assert "isFinalPlan=true" in first[0].description
+    assert sum(r.node_name == "HashAggregate" for r in first) == 2 and any(r.codegen_id for r in first)
+    metrics = [r for r in plans.node_metrics(events).collect() if r.execution_id == min(by_plan)]
+    rows = {(r.node_name, r.total) for r in metrics if r.metric == "number of output rows"}
+    assert ("Range", 1000) in rows and ("HashAggregate", 10) in rows
+    assert {r.value for r in metrics if r.node_name == "Range" and r.metric == "number of output rows"} == {"1,000"}
+    top = settings.node_top_metrics(plans.node_metrics(events))
+    assert top.where("rank > 3").count() == 0 and top.where("metric = 'number of output rows' AND rank = 1").count() > 0
+
+    rdds = storage.rdds(events).where("name = 'kept numbers'").collect()
+    assert [(r.num_partitions, r.num_cached_partitions) for r in rdds] == [(3, 3)] and rdds[0].memory_used > 0
+    # The other persisted dataset was freed.
+    assert storage.rdds(events).count() == 1
+    usage = {r.executor_id: r.memory_used for r in eventlog.executors(events).collect()}
+    assert usage == {"driver": rdds[0].memory_used}
+
+
+def test_events_of_rolling_logs_are_in_order(spark, tmp_path):
+    folder = tmp_path / "eventlog_v2_app-7"
+    folder.mkdir()
+    update = lambda size: json.dumps({"Event": "SparkListenerBlockUpdated", "Block Updated Info": {
+        "Block Manager ID": {"Executor ID": "1", "Host": "h", "Port": 1}, "Block ID": "rdd_0_0",
+        "Storage Level": {"Use Disk": False, "Use Memory": size > 0}, "Memory Size": size, "Disk Size": 0}})
+    # The tenth file is the last one, though its name sorts before the second's; it is also the smallest.
+    (folder / "events_2_app-7").write_text("\n".join([update(20)] * 50))
+    (folder / "events_10_app-7").write_text("\n".join([update(0), update(100)]))
+    (folder / "events_1_app-7").write_text("\n".join([update(10)] * 9))
+    blocks = storage.rdd_blocks(eventlog.read_events(spark, str(tmp_path))).collect()
+    assert [(r.app_id, r.memory_used) for r in blocks] == [("app-7", 100)]
+
+
+def _replay(updates):
+    """Block state, event by event: ``(kind, ...)`` tuples in order."""
+    state = {}
+    for kind, *rest in updates:
+        if kind == "block":
+            block, executor, size = rest
+            state.pop((block, executor), None)
+            if size:
+                state[block, executor] = size
+        elif kind == "lost":
+            state = {k: v for k, v in state.items() if k[1] != rest[0]}
+        else:
+            state = {k: v for k, v in state.items() if not k[0].startswith(f"rdd_{rest[0]}_")}
+    return state
+
+
+def test_blocks_against_a_replay(spark):
+    rng = random.Random(4)
+    updates, rows = [], []
+    for at in range(400):
+        kind = rng.choices(["block", "lost", "freed"], [40, 1, 1])[0]
+        if kind == "block":
+            block, executor, size = f"rdd_{rng.randrange(3)}_{rng.randrange(6)}", str(rng.randrange(4)), rng.choice([0, 10, 20, 30])
+            updates.append((kind, block, executor, size))
+            event = {"Event": "SparkListenerBlockUpdated", "Block Updated Info": {"Block Manager ID": {"Executor ID": executor, "Host": "h", "Port": 1},
+                     "Block ID": block, "Storage Level": {"Use Memory": size > 0, "Use Disk": False}, "Memory Size": size, "Disk Size": 0}}
+        elif kind == "lost":
+            updates.append((kind, str(rng.randrange(4))))
+            event = {"Event": "SparkListenerBlockManagerRemoved", "Block Manager ID": {"Executor ID": updates[-1][1]}, "Timestamp": at}
+        else:
+            updates.append((kind, rng.randrange(3)))
+            event = {"Event": "SparkListenerUnpersistRDD", "RDD ID": updates[-1][1]}
+        rows.append(("a", json.dumps(event), (at // 100, 0, at)))
+    rng.shuffle(rows)
+    lines = spark.createDataFrame(rows, "app_id string, value string, pos struct<file: long, block: long, row: long>")
+    got = {(r.block, r.executor_id): r.memory_used for r in storage.rdd_blocks(ev.events_of(lines)).collect()}
+    assert got == _replay(updates) and got
+
+
+def test_exclusion_intervals(spark):
+    rows = []
+    tell = lambda name, at, **more: rows.append(("a", json.dumps({"Event": ev.SCHEDULER + name, "time": at, **more})))
+    for e, host, at in (("1", "x", 1), ("2", "x", 5), ("3", "x", 30), ("4", "y", 1)):
+        rows.append(("a", json.dumps({"Event": "SparkListenerExecutorAdded", "Timestamp": at, "Executor ID": e, "Executor Info": {"Host": host}})))
+    rows.append(("a", json.dumps({"Event": "SparkListenerExecutorRemoved", "Timestamp": 25, "Executor ID": "2", "Removed Reason": "gone"})))
+    tell("NodeExcluded", 20, hostId="x", executorFailures=2)
+    tell("NodeUnexcluded", 40, hostId="x")
+    tell("ExecutorExcluded", 10, executorId="4")
+    tell("ExecutorExcluded", 12, executorId="4")
+    tell("ExecutorUnexcluded", 15, executorId="4")
+    tell("ExecutorExcluded", 15, executorId="4")
+    tell("ExecutorUnexcluded", 15, executorId="1")
+    tell("ExecutorExcluded", 50, executorId="4")
+    tell("NodeExcludedForStage", 22, hostId="x", stageId=8, stageAttemptId=1)
+    tell("ExecutorExcludedForStage", 23, executorId="4", stageId=9, stageAttemptId=0)
+    rows.append(("a", json.dumps({"Event": "SparkListenerStageCompleted", "Stage Info": {"Stage ID": 8, "Stage Attempt ID": 1, "Completion Time": 60}})))
+    found = exclusions.exclusions(ev.events_of(spark.createDataFrame(rows, "app_id string, value string")))
+    got = {(r.executor_id, r.stage_id, r.rule, r.from_ms, r.to_ms) for r in found.collect()}
+    assert got == {
+        ("1", None, "node", 20, 40), ("2", None, "node", 20, 25), ("4", None, "executor", 10, 15), ("4", None, "executor", 50, None),
+        ("1", 8, "node", 22, 60), ("2", 8, "node", 22, 25), ("4", 9, "executor", 23, None),
+    }
+    flags = {(r.stage_id, r.executor_id) for r in exclusions.excluded_in_stages(found).collect()}
+    assert flags == {(8, "1"), (8, "2"), (9, "4")}
+
+
 def test_exclusion_lasts_until_the_release(spark):
     prefix = "org.apache.spark.scheduler.SparkListenerExecutor"
     added = [json.dumps({"Event": "SparkListenerExecutorAdded", "Timestamp": 1, "Executor ID": e, "Executor Info": {"Host": "h", "Total Cores": 2}}) for e in "1234"]
