@@ -74,16 +74,19 @@ def test_batch_descriptions(values):
 
 
 def test_display_names(values):
-    name = "run at <unknown>:0"
+    # An unknown call site gives way to the hint; a known one, and any description, does not.
+    unknown, known, hint = "save at <unknown>:0", "foreachPartition at Ledger.py:88", "query 41: merge ledger"
+    batch = "id = 5f\nrunId = 6e\nbatch = 30"
     cases = [
-        ((name, None, None), name),
-        ((name, "stock-level\nid = q\nrunId = r\nbatch = 905", None), "stock-level · batch 905"),
-        ((name, "id = q\nrunId = r\nbatch = 7", "sql #3 · x"), "sql #3 · x · batch 7"),
-        ((name, "id = q\nrunId = r\nbatch = 7", None), name + " · batch 7"),
-        ((name, None, "sql #12 · SELECT a FROM t"), "sql #12 · SELECT a FROM t"),
-        (("reduce at Prices.scala:212", None, "sql #12 · x"), "reduce at Prices.scala:212"),
-        (("reduce at Prices.scala:212", "nightly load", None), "nightly load"),
-        (("reduce at Prices.scala:212", "  ", None), "reduce at Prices.scala:212"),
+        ((unknown, None, None), unknown),
+        ((unknown, None, hint), hint),
+        ((unknown, batch, hint), hint + " · batch 30"),
+        ((unknown, batch, None), unknown + " · batch 30"),
+        ((unknown, "price-feed\n" + batch, None), "price-feed · batch 30"),
+        ((unknown, "price-feed\n" + batch, hint), "price-feed · batch 30"),
+        ((known, None, hint), known),
+        ((known, " \t ", hint), known),
+        ((known, "  weekly close \nsecond line", None), "weekly close"),
     ]
     string = lambda v: F.lit(v).cast("string")
     assert values(*[t.display_name(string(a), string(b), string(c)) for (a, b, c), _ in cases]) == [w for _, w in cases]
