@@ -3,12 +3,12 @@
 Both tokenizers encode a whole text (a space in front of it, as the second adds one). An
 anchor is a byte where tokens of both end and the next tokens begin with a space; the
 check that both token sequences spell the same bytes makes shared ends exact. Anchors
-cut a text into windows of a few ids. A window's alignment depends on its ids alone and
-is remembered by them, so a corpus pays once for each word of its vocabulary; windows
-of more than ``LONG_WINDOW`` ids are aligned each time.
+cut a text into windows of a few ids. A window's alignment, its groups of ids between
+shared ends, depends on its ids alone and is remembered by them: ``MEMO_WINDOWS`` at most,
+so that the frequent words stay near; windows of more than ``LONG_WINDOW`` ids are
+aligned each time.
 
-Groups are what lies between shared ends. Links are the pairs of tokens whose bytes
-overlap. How many documents hold a pair of ids linked is counted over the corpus. Sums of
+Links are the pairs of tokens whose bytes overlap. How many documents hold a pair of ids linked is counted over the corpus. Sums of
 these counts go back to documents two ways that always run together: at most ``HEAVY``
 pairs can make up 1 / ``HEAVY`` of all rows each, and these are broadcast; all other pairs
 are joined, none of which has more rows than that.
@@ -27,7 +27,7 @@ from .common import map_texts, texts, written
 from .packing import byte_letters
 
 LONG_WINDOW = 64
-MEMO_WINDOWS = 200_000
+MEMO_WINDOWS = 1 << 15
 HEAVY = 1 << 16
 
 _aligners = {}
@@ -57,6 +57,10 @@ class Aligner:
         self.a_length = np.array([len(t) for t in self.a_bytes], np.int64)
         self.b_length = np.array([len(t) for t in self.b_bytes], np.int64)
         self.a_spaced = np.array([t.startswith(b" ") for t in self.a_bytes])
+        # Ids as text behind the mark that stands in front of them: first of a group, or not.
+        self.a_first, self.a_next = ([f"{mark}{i}" for i in range(len(self.a_bytes))] for mark in ";,")
+        self.b_first, self.b_next = ([f"{mark}{i}" for i in range(self.n_b)] for mark in "|,")
+        self.a_first, self.a_next, self.b_first, self.b_next = (np.array(x, object) for x in (self.a_first, self.a_next, self.b_first, self.b_next))
         self.known = {}
 
     def piece_bytes(self, i):
@@ -68,62 +72,72 @@ class Aligner:
         if not text:
             return [], []
         spaced = " " + text
-        a, b = self.a.encode_ordinary(spaced), self.b.encode(text)
+        a, b = self.a.encode_to_numpy(spaced, disallowed_special=()), self.b.encode(text)
         whole = spaced.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
+        # Tokens of the first are cut from the text's own bytes; pieces of the second may be normalised ones.
+        if self.a_length[a].sum() != len(whole) or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return [], []
         return a, b
 
-    def windows(self, a, b):
-        """``(from a, to a, from b, to b)`` of the runs of ids between anchors."""
-        a_ids, b_ids = np.array(a), np.array(b)
-        a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
-        at = np.searchsorted(a_ends, b_ends)
-        shared = np.flatnonzero(a_ends[at] == b_ends)
-        before = at[shared[:-1]]
-        anchors = shared[:-1][self.a_spaced[a_ids[before + 1]]]
-        a_cuts, b_cuts = [0, *(at[anchors] + 1).tolist(), len(a)], [0, *(anchors + 1).tolist(), len(b)]
-        return zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])
-
-    def aligned(self, a, b):
-        """``(groups as text, number of groups, link keys)`` of one window."""
-        groups, links, i, j = [], [], 0, 0
-        first_a, first_b, a_end, b_end = 0, 0, len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        while True:
-            links.append(a[i] * self.n_b + b[j])
-            if a_end == b_end:
-                groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-                if i + 1 == len(a):
-                    return ";".join(groups), len(groups), links
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-                a_end, b_end = a_end + len(self.a_bytes[a[i]]), b_end + len(self.b_bytes[b[j]])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(self.a_bytes[a[i]])
-            else:
-                j += 1
-                b_end += len(self.b_bytes[b[j]])
-
     def align(self, text):
         """``(n_a, n_b, groups as text, number of groups, link keys)`` of a whole text."""
-        a, b = self.tokens(text)
-        if not a:
-            return 0, 0, "", 0, []
-        groups, n, links = [], 0, []
-        for a0, a1, b0, b1 in self.windows(a, b):
-            key = (tuple(a[a0:a1]), tuple(b[b0:b1]))
-            found = self.known.get(key)
-            if found is None:
-                found = self.aligned(*key)
-                if a1 - a0 + b1 - b0 <= LONG_WINDOW:
-                    if len(self.known) >= MEMO_WINDOWS:
-                        self.known.clear()
-                    self.known[key] = found
-            groups.append(found[0])
-            n += found[1]
-            links += found[2]
-        return len(a), len(b), ";".join(groups), n, links
+        a_ids, b = self.tokens(text)
+        if not len(b):
+            return 0, 0, "", 0, np.zeros(0, np.int64)
+        b_ids = np.array(b)
+        a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
+        a_shared = np.searchsorted(a_ends, b_ends)
+        b_shared = np.flatnonzero(a_ends[a_shared] == b_ends)
+        a_shared = a_shared[b_shared]
+        # Windows end at anchors: shared ends with a space behind them, and the text's end.
+        anchors = np.append(np.flatnonzero(self.a_spaced[a_ids[a_shared[:-1] + 1]]), len(a_shared) - 1)
+        keys = window_keys(a_ids, b_ids, a_shared[anchors] + 1, b_shared[anchors] + 1)
+        found = list(map(self.known.get, keys))
+        missed = [w for w, x in enumerate(found) if x is None]
+        if missed:
+            a_to, b_to = np.append(0, a_shared + 1), np.append(0, b_shared + 1)
+            names = self.names(a_ids, b_ids, a_to, b_to)
+            cuts = [0, *(a_to + b_to)[anchors + 1].tolist()]
+            for w in missed:
+                found[w] = "".join(names[cuts[w] : cuts[w + 1]])[1:]
+            short = [w for w in missed if len(keys[w]) <= 4 * (LONG_WINDOW + 1)]
+            if len(self.known) + len(short) > MEMO_WINDOWS:
+                self.known.clear()
+            self.known.update((keys[w], found[w]) for w in short[:MEMO_WINDOWS])
+        return len(a_ids), len(b), ";".join(found), len(a_shared), linked(a_ids.astype(np.int64) * self.n_b, b_ids, a_ends, b_ends)
+
+    def names(self, a_ids, b_ids, a_to, b_to):
+        """Names of all ids in the order of the groups' text, each with the mark in front of it."""
+        first_a, first_b = a_to[:-1], b_to[:-1]
+        a_names, b_names = self.a_next[a_ids], self.b_next[b_ids]
+        a_names[first_a], b_names[first_b] = self.a_first[a_ids[first_a]], self.b_first[b_ids[first_b]]
+        out = np.empty(len(a_ids) + len(b_ids), object)
+        out[np.arange(len(a_ids)) + np.repeat(first_b, np.diff(a_to))] = a_names
+        out[np.arange(len(b_ids)) + np.repeat(a_to[1:], np.diff(b_to))] = b_names
+        return out.tolist()
+
+
+def linked(a_keys, b_ids, a_ends, b_ends):
+    """Keys of the overlapping pairs, in order.
+
+    Between any two ends that follow each other, one token of each covers the bytes.
+    """
+    ends = np.concatenate([a_ends, b_ends])
+    ends.sort(kind="stable")
+    ends = ends[np.append(True, ends[1:] != ends[:-1])]
+    return a_keys[np.searchsorted(a_ends, ends)] + b_ids[np.searchsorted(b_ends, ends)]
+
+
+def window_keys(a_ids, b_ids, a_cuts, b_cuts):
+    """Ids of both tokenizers in each window, as bytes; ``a_cuts`` and ``b_cuts`` are the windows' ends."""
+    n = np.arange(len(a_cuts))
+    a_from, b_from = np.append(0, a_cuts[:-1]), np.append(0, b_cuts[:-1])
+    mixed = np.full(len(a_ids) + len(b_ids) + len(n), 0xFFFFFFFF, "<u4")
+    mixed[np.arange(len(a_ids)) + np.repeat(n + b_from, a_cuts - a_from)] = a_ids
+    mixed[np.arange(len(b_ids)) + np.repeat(n + 1 + a_cuts, b_cuts - b_from)] = b_ids
+    ends = (4 * (a_cuts + b_cuts + n + 1)).tolist()
+    packed = mixed.tobytes()
+    return [packed[i:j] for i, j in zip([0, *ends], ends)]
 
 
 def aligner(a_path, b_path):
@@ -159,7 +173,7 @@ def alignments(docs, a_path, b_path, id_column="doc_id", text_column="text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 n_a, n_b, groups, n, links = shared.align(text)
                 digest = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
-                pairs, times = np.unique(np.array(links, np.int64), return_counts=True)
+                pairs, times = np.unique(links, return_counts=True)
                 out.append((row, doc_id, n_a, n_b, n, len(links), digest, pairs, times.astype(np.int32)))
                 row += 1
             columns = list(zip(*out)) or [[]] * len(kinds)
