@@ -26,8 +26,8 @@ must meet, so x and y are together in the group of a centre and an element. Grou
 group is a bucket again: its members are paired with one more centre, an unlinked member
 that most of the centre's groups share, and what is not linked to that one meets in the
 differences from it, round after round, until no group is large. A centre leaves its
-group, so rounds end; members known to be connected need not meet. Pairs grow with
-members, not with their squares.
+group, so rounds end; members known to be connected need not meet. A member is verified
+with ``SMALL_GROUP`` others at most for each element of its prefix.
 """
 
 import math
@@ -44,7 +44,7 @@ from .components import components
 BAND_ROWS = 5
 MISS = 1e-5
 SLOT_MEMBERS = 256
-SMALL_GROUP = 16
+SMALL_GROUP = 256
 STEP = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 

@@ -138,6 +138,7 @@ def test_pairs_grow_with_members(spark, docs, monkeypatch):
         return plain(spark, pairs, *rest)
 
     monkeypatch.setattr(n, "verify", counted)
+    monkeypatch.setattr(n, "SMALL_GROUP", 16)
     for count in (200, 800):
         # A tenth of the words differ, so about 0.57 of the shingles are the same.
         rows = list(enumerate(versions(random.Random(3), count, shared=0.9)))
