@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 64
 JOIN_SALTS = 16
-# Value buckets keep this many leading bits of a number.
+# Value buckets keep this many bits of a number after its first, their parts as many more; a part has at most 2**20 values.
 LEADING_BITS = 12
+REFINED_BITS = 20
 
 
 def _cols(names):
@@ -96,15 +97,39 @@ def carried(df, keys, chunks, order, fill=None, lag=None, total=None):
     return out.drop(*dropped)
 
 
+def _scaled(value):
+    """Exponent of the power of two at or below a value, and how often that power goes into it (1 to 2).
+
+    0, NaN and infinity, which have buckets of their own, count as 1 here.
+    """
+    size = F.abs(value)
+    size = F.when((size > 0) & (size < float("inf")), size).otherwise(F.lit(1.0))
+    power = F.floor(F.log2(size)).cast("int")
+    return power, F.least(F.greatest(size / F.pow(F.lit(2.0), power.cast("double")), F.lit(1.0)), F.lit(2.0))
+
+
 def value_bucket(value):
-    """A bucket number that grows with the value: its magnitude and leading bits; NaN comes last."""
-    whole = F.floor(F.abs(value)).cast("long")
-    bits = F.floor(F.log2(F.greatest(whole, F.lit(1)).cast("double"))).cast("int")
-    shift = F.greatest(bits - F.lit(LEADING_BITS - 1), F.lit(0))
-    size = bits.cast("long") * F.lit(1 << LEADING_BITS) + F.call_function("shiftright", whole, shift)
+    """A bucket number that grows with the value: its sign, power of two and leading bits.
+
+    Shares and other fractions are told apart like large numbers. Infinity is
+    past all numbers, NaN past infinity.
+    """
+    power, part = _scaled(value)
+    bits = F.lit(1 << LEADING_BITS)
+    # Powers start at -1074; where the logarithm is rounded up or down to the next power, the bucket is the same.
+    number = (power.cast("long") + F.lit(1100)) * bits + F.floor((part - F.lit(1.0)) * bits)
+    size = F.when(value == 0, F.lit(0)).when(F.abs(value) == F.lit(float("inf")), F.lit(2**62)).otherwise(number)
     return F.when(F.isnan(value), F.lit(2**63 - 1)).when(value < 0, -size).otherwise(size)
 
 
+def value_part(value):
+    """A number that grows with the values of one bucket: the ``REFINED_BITS`` after its leading ones."""
+    _, part = _scaled(value)
+    fine = F.floor((part - F.lit(1.0)) * F.lit(1 << (LEADING_BITS + REFINED_BITS)))
+    size = F.when((value == 0) | F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), F.lit(0)).otherwise(fine)
+    return F.when(value < 0, -size).otherwise(size)
+
+
 def order_statistics(df, keys, measures, ranks):
     """Exact order statistics of several measures per key, alike for keys of any size.
 
@@ -115,8 +140,9 @@ def order_statistics(df, keys, measures, ranks):
     has no row for it.
 
     Equal values are counted before the first shuffle. The rank is then found
-    in two steps: first the value bucket that holds it (from bucket totals),
-    then the value inside that bucket, so no task sees all values of a key.
+    in steps: first the value bucket that holds it (from bucket totals), then
+    the part of that bucket, then the value inside the part, so no task sees
+    all values of a key, however close together they are.
     """
     pairs = F.array(
         *[F.struct(F.lit(i).alias("metric"), F.col(c).cast("double").alias("value")) for i, c in enumerate(measures.values())]
@@ -149,17 +175,12 @@ def order_statistics(df, keys, measures, ranks):
     targets = totals.select(
         *group, "_bucket", "n", F.filter(wanted, lambda t: (t["rank"] >= 0) & (t["rank"] < F.col("_size"))).alias("_wanted")
     ).where(F.size("_wanted") > 0)
-    within = (
-        Window.partitionBy(*group, "_bucket")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     hits = F.filter(
         "_wanted", lambda t: (t["rank"] < F.col("_upto")) & (t["rank"] >= F.col("_upto") - F.col("_cnt"))
     )
+    inside = counts.join(targets, [*group, "_bucket"]).withColumn("_part", F.coalesce(value_part(F.col("value")), F.lit(0)))
     found = (
-        counts.join(targets, [*group, "_bucket"])
-        .withColumn("_upto", F.sum("_cnt").over(within))
+        carried(inside, [*group, "_bucket"], ["_part"], ["value"], total={"_upto": F.col("_cnt")})
         .select(*group, "n", "value", F.explode(hits).alias("_hit"))
     )
     name = F.element_at(F.array(*[F.lit(m) for m in measures]), F.col("metric") + 1)

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import carried, spread_join, tail_by_number, union_all
 from ..functions.text import error_token, line_ms, severity
+from ..session import written
 
 FILE = ["app_id", "file"]
 LINES_PER_CHUNK = 65536
-BIN_MS = 60_000
-# Copies of each window, to spread a busy minute.
+# The shortest piece of a window is 2**13 ms, some 8 seconds; 51 levels of doubled length take any window.
+PIECE_BITS = 13
+PIECE_LEVELS = 51
+# Copies of each piece of a window, to spread busy times.
 WINDOW_SALTS = 16
+# Characters of a run by which error words are looked up.
+GRAM = 4
 DRIVER = "driver"
 
 
@@ -69,24 +74,52 @@ def log_slice(lines, start_ms, end_ms):
     )
 
 
-def _bins(start, end):
-    return F.sequence(F.floor(start / BIN_MS), F.floor(end / BIN_MS))
+def _shifted(value, by):
+    return F.call_function("shiftright", value, by)
+
+
+def window_pieces(windows):
+    """Windows (``from_ms, to_ms`` and more) cut into pieces ``_level, _piece`` of power-of-two length.
+
+    Piece p of level k covers ``[p, p + 1) * 2**(PIECE_BITS + k)`` ms. The pieces
+    of a window are disjoint, at most two a level, and reach past its ends by less
+    than the shortest piece. A window that ends before it starts has none.
+    """
+    first = _shifted(F.col("from_ms"), F.lit(PIECE_BITS))
+    end = _shifted(F.col("to_ms"), F.lit(PIECE_BITS)) + 1
+
+    def of_level(k):
+        left, right = -_shifted(-first, k), _shifted(end, k)
+        odd = lambda n: F.pmod(n, F.lit(2)) == 1
+        left_piece = F.when((left < right) & odd(left), F.struct(k.alias("_level"), left.alias("_piece")))
+        right_piece = F.when((left < right) & odd(right), F.struct(k.alias("_level"), (right - 1).alias("_piece")))
+        return F.array_compact(F.array(left_piece, right_piece))
+
+    levels = F.sequence(F.lit(0), F.lit(PIECE_LEVELS - 1))
+    return windows.withColumn("_at", F.explode(F.flatten(F.transform(levels, of_level)))).select("*", "_at.*").drop("_at")
 
 
 def in_windows(windows, filled):
     """Pairs of a window (``app_id, from_ms, to_ms`` and more) and a line inside it.
 
-    Both sides meet in minute bins, so the join is an equi-join on
-    (app, minute); a pair shares exactly one bin because a line has one time.
-    A minute full of lines is spread over tasks by line number.
+    Windows are cut into pieces of power-of-two length, and a line looks up the
+    one piece of each level its time is in, so the join is an equi-join on
+    (app, level, piece). A window of days is some thirty rows; lines are repeated
+    once for each level that windows of their app have. A line is in at most one
+    piece of a window. Busy times are spread over tasks by line number.
     """
-    dated = windows.where(F.col("from_ms").isNotNull())
-    binned = dated.withColumn("_bin", F.explode(_bins(F.col("from_ms"), F.col("to_ms"))))
-    lines = filled.where(F.col("time_ms").isNotNull()).withColumn("_bin", F.floor(F.col("time_ms") / BIN_MS))
+    pieces = window_pieces(windows.where(F.col("from_ms").isNotNull() & F.col("to_ms").isNotNull()))
+    levels = pieces.groupBy("app_id").agg(F.collect_set("_level").alias("_levels"))
+    dated = spread_join(filled.where(F.col("time_ms").isNotNull()), levels, ["app_id"], ["line_no"])
+    lines = (
+        dated.withColumn("_level", F.explode("_levels"))
+        .withColumn("_piece", _shifted(F.col("time_ms"), F.col("_level") + PIECE_BITS))
+        .drop("_levels")
+    )
     return (
-        spread_join(lines, binned, ["app_id", "_bin"], ["line_no"], salts=WINDOW_SALTS)
+        spread_join(lines, pieces, ["app_id", "_level", "_piece"], ["line_no"], salts=WINDOW_SALTS)
         .where(F.col("time_ms").between(F.col("from_ms"), F.col("to_ms")))
-        .drop("_bin")
+        .drop("_level", "_piece")
     )
 
 
@@ -131,26 +164,78 @@ def failure_log_views(failures):
     )
 
 
+def _grams(text):
+    """Distinct runs of ``GRAM`` characters of a text; the whole of a shorter one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, GRAM)))
+
+
+def words_with_needles(words, needles, keys):
+    """Which of many needles are part of which word: ``keys, word, needle``, each pair once.
+
+    ``words`` has ``keys, word`` and ``needles`` has ``keys, needle``, both
+    distinct; words are lower-case. A needle is looked up by the one of its
+    character runs that fewest words have, and then compared, so the work grows
+    with the words that look alike and not with words times needles. A needle
+    shorter than ``GRAM`` characters is looked up by its text in words cut to
+    that length.
+    """
+    short = F.length("needle") < GRAM
+    of_words = words.withColumn("_gram", F.explode(_grams(F.col("word"))))
+    of_needles = needles.where(~short).withColumn("_gram", F.explode(_grams(F.col("needle"))))
+    wanted = of_needles.select(*keys, "_gram").distinct()
+    often = of_words.join(wanted, [*keys, "_gram"], "left_semi").groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        # A needle with a run that no word has is in no word.
+        of_needles.join(often, [*keys, "_gram"], "left")
+        .groupBy(*keys, "needle")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_least"))
+        .where(F.col("_least._n") > 0)
+        .select(*keys, "needle", F.col("_least._gram").alias("_gram"))
+    )
+    long_ones = of_words.join(rarest, [*keys, "_gram"]).where(F.contains("word", "needle")).select(*keys, "word", "needle")
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, n)))))
+    brief = needles.where(short)
+    may = words.join(brief.select(*keys).distinct(), keys, "left_semi").where(F.length("word") > 0)
+    short_ones = may.withColumn("needle", F.explode(pieces)).join(brief.select(*keys, "needle"), [*keys, "needle"])
+    return long_ones.unionByName(short_ones.select(*keys, "word", "needle"))
+
+
 def failure_log_lines(failures, lines):
     """Lines that failure searches of their executor find, once each.
 
     ``lines`` has ``executor_id``. ``needles`` are the error words in the line,
     ``failures`` how many failures search for one of them. Searches for a whole
-    log are counted by :func:`failure_whole_logs`, not written out.
+    log are counted by :func:`failure_whole_logs`, not written out. An error word
+    has no white space, ``:`` or ``(``, so it is searched in the distinct words
+    between those, and lines are found by their words. A line number that
+    comes twice in a file is found by the words of both its lines. The searches
+    and the distinct words are written once, as several steps read them.
     """
-    views = failure_log_views(failures).where(F.col("needle") != "")
-    item = F.struct("needle", "failures")
-    words = views.groupBy("app_id", "executor_id").agg(F.sort_array(F.collect_list(item)).alias("_words"))
-    text = F.lower("line")
-    found = spread_join(lines, words, ["app_id", "executor_id"], ["file", "line_no"]).withColumn(
-        "_found", F.filter("_words", lambda w: text.contains(w["needle"]))
+    spark = lines.sparkSession
+    keys, ids = ["app_id", "executor_id"], ["app_id", "executor_id", "file", "line_no"]
+    views = written(spark, failure_log_views(failures).where(F.col("needle") != ""), "log-searches")
+    searched = views.groupBy(*keys).agg(F.min(F.length("needle")).alias("_least"))
+    worded = (
+        spread_join(lines.select(*ids, "line"), searched, keys, ["file", "line_no"])
+        .select(*ids, "_least", F.explode(F.array_distinct(F.split(F.lower("line"), r"[\s:(]+"))).alias("word"))
+        .where(F.length("word") >= F.col("_least"))
+        .drop("_least")
     )
-    return (
-        found.where(F.size("_found") > 0)
+    words = written(spark, worded.select(*keys, "word").distinct(), "log-words")
+    hits = words_with_needles(words, views.select(*keys, "needle"), keys)
+    # Needles of a word are parts of it, so their number is bounded by the word.
+    hits = hits.join(views, [*keys, "needle"]).groupBy(*keys, "word").agg(F.collect_list(F.struct("needle", "failures")).alias("_found"))
+    found = (
+        spread_join(worded, hits, [*keys, "word"], ["file", "line_no"])
+        .groupBy(*ids)
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found")))).alias("_found"))
         .withColumn("needles", F.col("_found.needle"))
         .withColumn("failures", F.aggregate("_found", F.lit(0).cast("long"), lambda a, w: a + w["failures"]))
-        .drop("_words", "_found")
+        .drop("_found")
     )
+    return lines.join(found, ids)
 
 
 def failure_whole_logs(failures, lines):

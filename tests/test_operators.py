@@ -360,6 +360,28 @@ def test_batch_windows_and_named_lines(spark):
     assert why == {61: "log ends before the window", 62: "no line is dated inside the window"}
 
 
+def test_windows_of_any_length_are_few_pieces(spark):
+    day, start = 24 * 3600_000, _at("00:00:00")
+    spans = [(0, start, start + 10 * day), (1, start + 5, start + 5), (2, start + 100, start + 40_000), (3, start, start - 1), (4, -(2**63), 2**63 - 1),
+             (5, -50_000, 50_000), (6, start - 3 * day, start + 3_600_000)]
+    windows = spark.createDataFrame([("a", *s) for s in spans], "app_id string, id long, from_ms long, to_ms long")
+    pieces = {}
+    for r in logs.window_pieces(windows).collect():
+        pieces.setdefault(r.id, []).append((r._piece << (13 + r._level), (r._piece + 1) << (13 + r._level)))
+    assert max(map(len, pieces.values())) <= 64 and len(pieces[0]) <= 34 and len(pieces[1]) == 1
+    for i, a, b in spans:
+        got = sorted(pieces.get(i, []))
+        assert all(x[1] == y[0] for x, y in zip(got, got[1:]))
+        if a <= b:
+            assert got[0][0] <= a and got[-1][1] > b and a - got[0][0] < 8192 and got[-1][1] - b <= 8192
+
+    rng = random.Random(7)
+    times = [start + rng.randrange(-4 * day, 12 * day) for _ in range(400)] + [start, start + 10 * day, start + 5, start + 3_600_000, None]
+    filled = spark.createDataFrame([("a", "f", i, t) for i, t in enumerate(times)], "app_id string, file string, line_no long, time_ms long")
+    got = sorted((r.id, r.line_no) for r in logs.in_windows(windows, filled).collect())
+    assert got == sorted((i, n) for i, a, b in spans for n, t in enumerate(times) if t is not None and a <= t <= b)
+
+
 def test_log_span_goes_by_time_and_takes_the_driver_only(spark):
     # By name stderr.10 comes before stderr.2, by time it comes last.
     rows = [("a", "driver", "stderr.2", 0, "31/03/04 07:00:00 INFO a"), ("a", "driver", "stderr.10", 0, "31/03/04 08:00:00 INFO b"),
@@ -386,6 +408,28 @@ def test_failure_lines_once_with_their_words(spark):
     assert [tuple(r) for r in logs.failure_whole_logs(failures, lines).collect()] == [("a", "7", 1, 3)]
 
 
+def test_many_error_words_are_found_as_a_plain_search_does(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcÉß$.") for _ in range(rng.randrange(2, 9)))
+    words = [word() for _ in range(60)] + ["éé", "x" * 9, "\U0001f600"]
+    failures = [("a", "task", e, f"{w}: why") for e in ("1", "2") for w in words for _ in range(rng.randrange(3))]
+    failures += [("a", "task", "3", None), ("a", "executor", "1", "gone"), ("b", "task", "1", "abca")]
+    glue = lambda: rng.choice([" ", ":", "(", "\t", "-", "", "::("])
+    lines = [(rng.choice("ab"), rng.choice("123"), "f", i, "".join(word() + glue() + rng.choice(["", *words]).upper() + glue() for _ in range(rng.randrange(6)))) for i in range(900)]
+    lines.append(("a", "1", "f", 900, None))
+    df = spark.createDataFrame(lines, "app_id string, executor_id string, file string, line_no long, line string")
+    fails = spark.createDataFrame(failures, "app_id string, kind string, executor_id string, detail string")
+    views = [tuple(r) for r in logs.failure_log_views(fails).where("needle <> ''").collect()]
+    lower = {r.line_no: r.l for r in df.select("line_no", F.lower("line").alias("l")).collect()}
+    want = []
+    for app, executor, _, n, _ in lines:
+        hit = sorted((v[2], v[3]) for v in views if v[:2] == (app, executor) and lower[n] is not None and v[2] in lower[n])
+        if hit:
+            want.append((n, [h[0] for h in hit], sum(h[1] for h in hit)))
+    got = sorted((r.line_no, r.needles, r.failures) for r in logs.failure_log_lines(fails, df).collect())
+    assert got == [(n, sorted(w), f) for n, w, f in sorted(want)] and len(got) > 50
+
+
 def test_page_text(spark):
     pages = [
         "<html><head><title>x</title></head><body>menu<pre id=a>03:00 WARN 5 &gt; 4 &quot;q&quot;\n03:01 <b>bold</b></pre>foot</body></html>",

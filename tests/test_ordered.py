@@ -49,6 +49,29 @@ def test_value_bucket_grows_with_the_value(spark):
     assert all(a <= b for a, b in zip(got, got[1:]))
 
 
+def test_fractions_spread_over_buckets_and_their_parts(spark):
+    rng = random.Random(5)
+    inf = float("inf")
+    edges = [0.0, 5e-324, 2.2e-308, 1e-9, 0.1, 0.5, 1 - 2**-53, 1.0, 1 + 2**-52, 1.5, 2 - 2**-52, 2.0, 1.7976931348623157e308, inf]
+    values = sorted({s * v for v in edges for s in (1, -1)} | {rng.uniform(-1, 1) for _ in range(4000)} | {1 + rng.random() / 4096 for _ in range(4000)})
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    got = df.select("i", ordered.value_bucket(F.col("v")).alias("b"), ordered.value_part(F.col("v")).alias("p")).orderBy("i").collect()
+    keys = [(r.b, r.p) for r in got]
+    assert keys == sorted(keys)
+    # One bucket holds the values next to 1, and its parts tell them apart.
+    buckets, parts = {}, {}
+    for r in got:
+        buckets[r.b] = buckets.get(r.b, 0) + 1
+        parts[r.b, r.p] = parts.get((r.b, r.p), 0) + 1
+    assert max(buckets.values()) >= 4000 and max(parts.values()) <= 4
+    assert sum(n for b, n in buckets.items() if n > 100) < 4200
+
+    many = df.select(F.lit("k").alias("k"), "v")
+    ranks = {f"r{i}": (lambda n, i=i: F.lit(i)) for i in (0, 1, 17, 2000, 4001, 5000, 8000, len(values) - 1)}
+    row = ordered.order_statistics(many, ["k"], {"v": "v"}, ranks).first()
+    assert [row[r] for r in ranks] == [values[int(r[1:])] for r in ranks]
+
+
 def test_carried_equals_whole_key_window(spark):
     rng = random.Random(3)
     data = [
