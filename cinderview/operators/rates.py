@@ -19,9 +19,13 @@ def with_previous(df, keys, ts, columns, span=CHUNK_SPAN):
 def counter_rate(df, keys, ts, value, span=CHUNK_SPAN):
     """Change per second since the previous poll; a reset shows as a negative rate."""
     seen = with_previous(df, keys, ts, [value], span)
+    return seen.withColumn("rate", rate_since(ts, value)).drop(f"prev_{ts}", f"prev_{value}")
+
+
+def rate_since(ts, value):
+    """Change per second since the previous poll that :func:`with_previous` found; none without time between."""
     dt = F.col(ts) - F.col(f"prev_{ts}")
-    rate = F.when(dt > 0, (F.col(value) - F.col(f"prev_{value}")) / F.nullif(dt.cast("double"), F.lit(0.0)))
-    return seen.withColumn("rate", rate).drop(f"prev_{ts}", f"prev_{value}")
+    return F.when(dt > 0, (F.col(value) - F.col(f"prev_{value}")) / F.nullif(dt.cast("double"), F.lit(0.0)))
 
 
 def task_rates(samples, keys=("app_id",), ts="poll_s", span=CHUNK_SPAN):

@@ -155,17 +155,15 @@ def stream_failure_events(v):
 
 # Polls come in three steps; every ninth of the first half arrives only with the last step.
 @query("stream_rates", """
-WITH fed AS (SELECT *, CASE WHEN poll_s >= 1200000 THEN 2 WHEN (poll_s / 3600) % 9 = 4 THEN 3 ELSE 1 END AS part FROM fx_metrics),
-on_time AS (SELECT *, lag(poll_s) OVER w AS before_s, lag(value) OVER w AS before FROM fed WHERE part < 3 WINDOW w AS (PARTITION BY app_id, key ORDER BY poll_s)),
-late AS (SELECT *, lag(poll_s) OVER w AS before_s, lag(value) OVER w AS before FROM fed WHERE part = 3 WINDOW w AS (PARTITION BY app_id, key ORDER BY poll_s))
-SELECT app_id, key, poll_s AS ts, value, (value - before) / CAST(poll_s - before_s AS DOUBLE) AS rate FROM (SELECT * FROM on_time UNION ALL SELECT * FROM late) u""")
+SELECT app_id, key, poll_s AS ts, value, (value - lag(value) OVER w) / CAST(poll_s - lag(poll_s) OVER w AS DOUBLE) AS rate
+FROM fx_metrics WINDOW w AS (PARTITION BY app_id, key ORDER BY poll_s)""")
 def stream_rates(v):
     hour = F.col("poll_s") / 3600
     part = F.when(F.col("poll_s") >= 1200000, 2).when(hour % 9 == 4, 3).otherwise(1)
     rows = v.fx_metrics.select("app_id", "key", "poll_s", "value").withColumn("part", part)
     out = scratch_path(v.spark, "rates")
     fed(v, rows, "samples", "part", [1, 2, 3], lambda s: live.start_rates(s, out, f"{out}/checkpoint"))
-    return v.spark.read.parquet(f"{out}/rates").select("app_id", "key", "ts", "value", "rate")
+    return live.rates_so_far(v.spark, out)
 
 
 def _merged_check():

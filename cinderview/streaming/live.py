@@ -7,15 +7,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.ordered import union_all
+from ..functions.ordered import spread_join, union_all
 from ..functions.text import severity
 from ..operators import batches as bt
 from ..operators.failures import dedup_failures
 from ..operators.logs import fill_time
 from ..operators.progress import parse_progress, progress_report
-from ..operators.rates import counter_rate
-from ..session import delete, exists
+from ..operators.rates import rate_since, with_previous
 from ..sources.logfiles import app_of_file, numbered
+from .keyed import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,51 +49,48 @@ def _each_epoch(frame, name, checkpoint, land, trigger):
     return (writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)).start()
 
 
-def _state_before(spark, path, epoch):
-    """State that the epoch before left, and None in the first."""
-    return spark.read.parquet(f"{path}/epoch={epoch - 1}") if epoch and exists(spark, f"{path}/epoch={epoch - 1}") else None
-
+_EVENT_FACTS = ["first_poll", "kind", "title", "detail"]
 
-def _keep_state(spark, state, path, epoch):
-    """Write the state after an epoch; only the last two are kept, so an epoch can be run again."""
-    state.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-    if epoch > 1:
-        delete(spark, f"{path}/epoch={epoch - 2}")
 
-
-_EVENT_FACTS = ["first_poll", "kind", "title", "detail"]
+def _told(events):
+    """What was last told of each failure; a detail told later completes it."""
+    newest = F.max_by(F.struct(*_EVENT_FACTS), F.struct("first_poll", F.col("detail").isNotNull(), "detail"))
+    return events.groupBy("app_id", "key").agg(newest.alias("_f")).select("app_id", "key", "_f.*")
 
 
 def start_failure_events(sightings, path, checkpoint, keep_polls=None, trigger=None):
     """Failures once when first seen, and once more when their detail arrives later.
 
     ``sightings`` are rows of ``failure_sightings``; polls arrive in order, rows
-    of one poll in any. Events go to ``path/events``. The state is one narrow row
-    per failure, joined with each epoch; with ``keep_polls`` failures first seen
-    more polls ago are forgotten (and would be told again if they came back).
+    of one poll in any. Events go to ``path/events``. What was told is a keyed
+    table; an epoch reads only the buckets its failures are in and adds only its
+    events. With ``keep_polls`` failures first seen more polls ago are forgotten
+    (and would be told again if they came back).
     """
 
     def land(df, epoch):
         spark = df.sparkSession
+        polls = df.agg(F.min("poll").alias("first"), F.max("poll").alias("last")).first()
+        if polls.first is None:
+            return
+        told = KeyedTable(spark, f"{path}/state", ["app_id", "key"], _told)
         now = dedup_failures(df).select("app_id", "key", *_EVENT_FACTS)
-        before = _state_before(spark, f"{path}/state", epoch)
+        before = told.read(told.touched(now), epoch)
         if before is None:
             events = now.withColumn("event", F.lit("new"))
-            state = now
         else:
+            if keep_polls is not None:
+                before = before.where(F.col("first_poll") >= polls.first - keep_polls)
             old = before.select("app_id", "key", *[F.col(c).alias(f"_{c}") for c in _EVENT_FACTS])
-            both = now.join(old, ["app_id", "key"], "full_outer")
+            both = now.join(old, ["app_id", "key"], "left")
             known = F.col("_first_poll").isNotNull()
             late = known & F.col("_detail").isNull() & F.col("detail").isNotNull()
             facts = [F.when(known, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in _EVENT_FACTS[:-1]]
-            told = both.select("app_id", "key", *facts, F.coalesce("_detail", "detail").alias("detail"),
-                               F.when(~known, "new").when(late, "detail").alias("event"))
-            events = told.where("event IS NOT NULL")
-            state = told.drop("event")
+            events = both.select("app_id", "key", *facts, "detail", F.when(~known, "new").when(late, "detail").alias("event"))
+            events = events.where("event IS NOT NULL")
         events.write.mode("overwrite").parquet(f"{path}/events/epoch={epoch}")
-        if keep_polls is not None:
-            state = state.where(F.col("first_poll") > df.agg(F.max("poll")).first()[0] - keep_polls)
-        _keep_state(spark, state, f"{path}/state", epoch)
+        forgotten = None if keep_polls is None else F.col("first_poll") >= polls.first - keep_polls
+        told.add(spark.read.parquet(f"{path}/events/epoch={epoch}").drop("event"), epoch, forgotten)
 
     return _each_epoch(sightings, "failure-events", checkpoint, land, trigger)
 
@@ -206,31 +203,73 @@ def stream_behind(progress, ttl_ms=None):
     )
 
 
-def start_rates(samples, path, checkpoint, ts="poll_s", value="value", keep_s=None, trigger=None):
-    """Counter rates on arriving polls, to ``path/rates``.
+_POLL = ["app_id", "key"]
+
+
+def _polls(late_s):
+    """Merge rule of polls: one for each counter and time, the largest value where there are several.
+
+    With ``late_s`` only the polls of that time before a counter's last one are
+    kept, and the last one before them.
+    """
+
+    def merge(rows):
+        one = rows.groupBy(*_POLL, "ts").agg(F.max("value").alias("value"))
+        if late_s is None:
+            return one
+        ends = one.groupBy(*_POLL).agg((F.max("ts") - late_s).alias("_cut"))
+        cut = spread_join(one, ends, _POLL, ["ts"])
+        starts = cut.where("ts <= _cut").groupBy(*_POLL).agg(F.max("ts").alias("_start"))
+        return spread_join(cut, starts, _POLL, ["ts"], "left").where("_start IS NULL OR ts >= _start").drop("_cut", "_start")
+
+    return merge
+
+
+def start_rates(samples, path, checkpoint, ts="poll_s", value="value", late_s=None, keep_s=None, trigger=None):
+    """Counter rates on arriving polls, to ``path/rates``; :func:`rates_so_far` reads them.
 
-    Every epoch is one run of the batch operator over its polls and the last
-    poll of each counter before. A poll that comes later than newer ones is
-    rated only against polls of its own epoch and never becomes the last one.
-    With ``keep_s`` counters without a poll for so long are forgotten.
+    An epoch rates its polls and rates again the polls next after them, so in the
+    end rates are those of the batch operator over all polls, in whatever order
+    they came. Polls are a keyed table, of which an epoch reads the buckets it has
+    news of; polls of one counter and time count once, with the largest value.
+    ``late_s`` bounds it: polls so much older than the last one their counter had
+    before the epoch are left out. With ``keep_s`` counters without a poll for so
+    long are forgotten.
     """
-    keys = ["app_id", "key"]
 
     def land(df, epoch):
         spark = df.sparkSession
-        now = df.select(*keys, F.col(ts).cast("long").alias("ts"), F.col(value).cast("double").alias("value"), F.lit(True).alias("_new"))
-        before = _state_before(spark, f"{path}/state", epoch)
-        polls = now if before is None else now.unionByName(before.withColumn("_new", F.lit(False)))
-        rated = counter_rate(polls, keys, "ts", "value").where("_new").drop("_new")
-        rated.write.mode("overwrite").parquet(f"{path}/rates/epoch={epoch}")
-        state = polls.groupBy(*keys).agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
-        if keep_s is not None:
-            state = state.where(F.col("ts") > df.agg(F.max(ts)).first()[0] - keep_s)
-        _keep_state(spark, state, f"{path}/state", epoch)
+        times = df.agg(F.min(ts).cast("long").alias("first")).first()
+        if times.first is None:
+            return
+        table = KeyedTable(spark, f"{path}/state", _POLL, _polls(late_s))
+        now = df.select(*_POLL, F.col(ts).cast("long").alias("ts"), F.col(value).cast("double").alias("value"))
+        before = table.read(table.touched(now), epoch)
+        fresh = None if keep_s is None else F.col("ts") > times.first - keep_s
+        polls = now.withColumn("_new", F.lit(True))
+        if before is not None:
+            before = before if fresh is None else before.where(fresh)
+            if late_s is not None:
+                ends = before.groupBy(*_POLL).agg((F.max("ts") - late_s).alias("_cut"))
+                now = spread_join(now, ends, _POLL, ["ts"], "left").where("_cut IS NULL OR ts > _cut").drop("_cut")
+                polls = now.withColumn("_new", F.lit(True))
+            known = before.join(now.select(*_POLL).distinct(), _POLL, "left_semi")
+            polls = polls.unionByName(known.withColumn("_new", F.lit(False)))
+        one = polls.groupBy(*_POLL, "ts").agg(F.max("value").alias("value"), F.max("_new").alias("_new"))
+        rated = with_previous(one, _POLL, "ts", ["value", "_new"]).withColumn("rate", rate_since("ts", "value"))
+        rated = rated.where(F.col("_new") | F.coalesce("prev__new", F.lit(False)))
+        rated.select(*_POLL, "ts", "value", "rate").write.mode("overwrite").parquet(f"{path}/rates/epoch={epoch}")
+        table.add(now, epoch, fresh)
 
     return _each_epoch(samples, "counter-rates", checkpoint, land, trigger)
 
 
+def rates_so_far(spark, path):
+    """Of each counter and time the rate that was written last."""
+    rows = spark.read.parquet(f"{path}/rates")
+    return rows.groupBy(*_POLL, "ts").agg(F.max_by(F.struct("value", "rate"), "epoch").alias("_r")).select(*_POLL, "ts", "_r.*")
+
+
 def batch_facts(progress=None, sql=None):
     """Progress and SQL rows in one shape, so both arrive through one stream."""
     parts = []
@@ -264,31 +303,25 @@ def compacted(facts):
     return kept.select(*bt.BATCH, "fact", F.explode(rows).alias("_r")).select(*bt.BATCH, "fact", "_r.*")
 
 
-def batch_table(spark, path, before_epoch=None):
-    """Compacted facts as of the last epoch (or before one): of each query the newest version."""
-    rows = spark.read.parquet(path)
-    rows = rows if before_epoch is None else rows.where(F.col("epoch") < before_epoch)
-    newest = rows.groupBy(*bt.QUERY).agg(F.max("epoch").alias("epoch"))
-    return rows.join(newest, [*bt.QUERY, "epoch"], "left_semi").drop("epoch")
+def _facts_table(spark, path):
+    return KeyedTable(spark, path, bt.BATCH, compacted)
+
+
+def batch_table(spark, path):
+    """Merged facts of all batches as of the last epoch."""
+    return _facts_table(spark, path).read()
 
 
 def start_batches(facts, path, checkpoint, trigger=None):
     """Merge arriving facts into a table keyed by batch.
 
-    An epoch writes the merged facts of the queries it has news of, as a new
-    version of these queries; others are not touched. Run again, an epoch reads
-    only the epochs before it and replaces its own version, so repeats change
-    nothing.
+    An epoch only adds its own merged facts; buckets are written anew when what
+    was added outgrows half of them, and what they replace is deleted.
     """
 
     def land(df, epoch):
-        spark = df.sparkSession
-        news = df
-        if epoch and exists(spark, path):
-            touched = df.select(*bt.QUERY).distinct()
-            known = batch_table(spark, path, epoch).join(touched, bt.QUERY, "left_semi")
-            news = df.unionByName(known.select(*df.columns))
-        compacted(news).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if not df.isEmpty():
+            _facts_table(df.sparkSession, path).add(df, epoch)
 
     return _each_epoch(facts, "batch-facts", checkpoint, land, trigger)
 

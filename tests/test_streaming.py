@@ -1,13 +1,16 @@
 """Streams run to the end of their input and compared with the batch operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from cinderview.operators import failures as fl
 from cinderview.sources import logfiles
 from cinderview.streaming import live, orders
+from cinderview.streaming.keyed import KeyedTable
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -70,13 +73,12 @@ def test_failure_events_once_and_again_for_a_late_detail(spark, tmp_path):
     assert got == [
         ("stage:4.0", "detail", "t", "late"), ("stage:4.0", "new", "t", None), ("stage:5.0", "new", "t", "why"), ("stage:6.0", "new", "t", None)
     ]
-    # One narrow row per failure, of the last two epochs only.
-    assert sorted(p.name for p in (tmp_path / "f/state").iterdir() if p.is_dir()) == ["epoch=3", "epoch=4"]
-    assert spark.read.parquet(str(tmp_path / "f/state/epoch=4")).count() == 3
+    # One narrow row per failure.
+    assert KeyedTable(spark, str(tmp_path / "f/state"), ["app_id", "key"], live._told).read().count() == 3
 
 
 def test_failure_events_forget_old_failures_when_told_to(spark, tmp_path):
-    steps = [[_seen(1, "stage:1.0", "a")], [_seen(9, "stage:2.0", "b")], [_seen(10, "stage:1.0", "a")]]
+    steps = [[_seen(1, "stage:1.0", "a")], [], [_seen(9, "stage:2.0", "b")], [_seen(10, "stage:1.0", "a")]]
     stream = write_steps(spark, str(tmp_path / "in"), SIGHTING, steps)
     live.start_failure_events(stream, str(tmp_path / "f"), str(tmp_path / "ckpt"), keep_polls=5).awaitTermination()
     got = sorted((r.key, r.first_poll) for r in spark.read.parquet(str(tmp_path / "f/events")).collect())
@@ -112,18 +114,60 @@ def test_behind_state_follows_restarts(spark, tmp_path):
     assert got == {("q", "r1", 5): (5, 5, True), ("q", "r2", 0): (1, 0, False), ("q2", "r3", 1): (2, 2, False), ("q2", "r3", 2): (3, 3, True)}
 
 
-def test_streamed_rates_carry_over_epochs_and_stand_late_polls(spark, tmp_path):
+POLLS = "app_id string, key string, poll_s long, value double"
+
+
+def test_streamed_rates_are_corrected_by_late_polls(spark, tmp_path):
     steps = [
-        [("a", "k", 0, 1.0), ("a", "k", 10, 21.0), ("a", "k", 30, 61.0)],
-        [("a", "k", 20, 41.0), ("a", "z", 20, 5.0)],  # a poll that comes late
-        [("a", "k", 40, 71.0), ("a", "k", 40, 71.0), ("a", "z", 24, 1.0)],
+        [("a", "k", 0, 1.0), ("a", "k", 20, 41.0), ("a", "k", 40, 71.0)],
+        [],
+        [("a", "k", 10, 21.0), ("a", "k", 30, 61.0), ("a", "z", 20, 5.0)],  # polls that come late
+        [("a", "k", 50, 81.0), ("a", "k", 50, 81.0), ("a", "z", 24, 1.0)],
+        [("a", "k", -5, 0.0)],
     ]
-    stream = write_steps(spark, str(tmp_path / "in"), "app_id string, key string, poll_s long, value double", steps)
+    stream = write_steps(spark, str(tmp_path / "in"), POLLS, steps)
     live.start_rates(stream, str(tmp_path / "r"), str(tmp_path / "ckpt")).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "r/rates")).collect()
-    got = sorted((r.key, r.ts, r.rate) for r in rows if r.rate is not None)
-    assert got == [("k", 10, 2.0), ("k", 30, 2.0), ("k", 40, 1.0), ("z", 24, -1.0)]
-    assert sorted((r.key, r.ts) for r in rows if r.rate is None) == [("k", 0), ("k", 20), ("k", 40), ("z", 20)]
+    got = sorted((r.key, r.ts, r.rate) for r in live.rates_so_far(spark, str(tmp_path / "r")).collect())
+    assert got == [("k", -5, None), ("k", 0, 0.2), ("k", 10, 2.0), ("k", 20, 2.0), ("k", 30, 2.0), ("k", 40, 1.0), ("k", 50, 1.0),
+                   ("z", 20, None), ("z", 24, -1.0)]
+
+
+def test_bounded_state_of_rates_leaves_older_polls_out(spark, tmp_path):
+    steps = [[("a", "k", t, float(t)) for t in range(0, 100, 10)], [("a", "k", 75, 90.0)], [("a", "k", 20, 7.0), ("a", "k", 100, 100.0)]]
+    stream = write_steps(spark, str(tmp_path / "in"), POLLS, steps)
+    live.start_rates(stream, str(tmp_path / "r"), str(tmp_path / "ckpt"), late_s=30).awaitTermination()
+    got = {r.ts: r.rate for r in live.rates_so_far(spark, str(tmp_path / "r")).collect()}
+    assert got == {**{t: 1.0 for t in range(10, 110, 10)}, 0: None, 75: 4.0, 80: -2.0}
+    kept = KeyedTable(spark, str(tmp_path / "r/state"), ["app_id", "key"], live._polls(30)).read()
+    assert sorted(r.ts for r in kept.collect()) == [70, 75, 80, 90, 100]
+
+
+def _size(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_keyed_table_stays_near_the_size_of_its_rows(spark, tmp_path):
+    merge = lambda rows: rows.groupBy("k").agg(F.max("v").alias("v"), F.max("text").alias("text"))
+    rng = random.Random(2)
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], merge, buckets=4)
+    want = {}
+    for epoch in range(25):
+        rows = [(rng.randrange(2000), epoch * 10 + i % 7, "%0200x" % rng.getrandbits(800)) for i in range(400)]
+        for k, v, text in rows:
+            old = want.get(k, (0, ""))
+            want[k] = (max(v, old[0]), max(text, old[1]))
+        df = spark.createDataFrame(rows, "k long, v long, text string").coalesce(1)
+        table.add(df, epoch)
+        if epoch % 8 == 3:
+            # An epoch that is run again finds what it found before, and changes nothing.
+            seen = sorted(table.read(before=epoch).collect())
+            table.add(df, epoch)
+            assert sorted(table.read(before=epoch).collect()) == seen
+    assert {r.k: (r.v, r.text) for r in table.read().collect()} == want
+    one = table.touched(spark.createDataFrame([(5,)], "k long"))
+    assert {r.k for r in table.read(one).collect()} < set(want) and len(one) == 1
+    table.read().coalesce(4).write.parquet(str(tmp_path / "live"))
+    assert _size(tmp_path / "t") < 2 * _size(tmp_path / "live")
 
 
 def test_log_counts_take_undated_lines_along(spark, tmp_path):
