@@ -6,11 +6,10 @@ from ..session import written
 
 
 def raw_lines(reader, path):
-    """Lines with the file and file split they are from; ``reader`` is a batch or stream reader."""
+    """Lines with the file and file split they are from."""
     return reader.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.unix_millis(F.col("_metadata.file_modification_time")).alias("file_ms"),
         F.col("value").alias("line"),
     )
 
@@ -39,8 +38,3 @@ def app_of_file(app_id=None):
 def read_logs(spark, path, app_id=None):
     """``app_id, file, line_no, line`` of text log files."""
     return numbered(spark, raw_lines(spark.read, path)).select(app_of_file(app_id).alias("app_id"), "file", "line_no", "line")
-
-
-def stream_logs(spark, path, glob="*"):
-    """New log files as a stream of ``raw_lines``; a file arrives whole in one batch."""
-    return raw_lines(spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", "true"), path)

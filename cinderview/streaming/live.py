@@ -7,14 +7,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.ordered import spread_join, union_all
+from ..functions.ordered import carried, spread_join, union_all
 from ..functions.text import severity
 from ..operators import batches as bt
 from ..operators.failures import dedup_failures
-from ..operators.logs import fill_time
+from ..operators.logs import timed
 from ..operators.progress import parse_progress, progress_report
 from ..operators.rates import rate_since, with_previous
-from ..sources.logfiles import app_of_file, numbered
+from ..session import written
+from ..sources.logfiles import app_of_file
 from .keyed import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -334,27 +335,54 @@ def stream_batches(spark, path, progress_columns, sql_columns):
     return bt.merge_batches(progress, sql)
 
 
+LOG = ["app_id", "log"]
+# Bytes of a log whose lines are filled together.
+LOG_CHUNK = 8 << 20
+
+
+def _last_times(rows):
+    return rows.groupBy(*LOG).agg(F.max_by("time_ms", "at").alias("time_ms"), F.max("at").alias("at"))
+
+
 def start_log_counts(raw, path, checkpoint, app_id=None, trigger=None):
-    """Lines and failure lines per app, file, minute and severity of arriving log files.
+    """Lines and failure lines per app, file, minute and severity of arriving lines, for :func:`log_counts`.
 
-    ``raw`` are lines of ``logfiles.stream_logs``. A file arrives whole, so its
-    lines are numbered and undated ones (stack traces) take the time of the dated
-    line before them; ahead of the first one they take the file's own time.
+    ``raw`` are lines of ``growing.stream_growing_logs``. Undated lines (stack
+    traces) take the time of the dated line before them, also of an earlier epoch:
+    the last time of each log is a keyed table. Ahead of the first dated line
+    they take the file's own time.
     """
 
     def land(df, epoch):
-        lines = numbered(df.sparkSession, df).withColumn("app_id", app_of_file(app_id))
-        at = F.coalesce("time_ms", "file_ms")
+        spark = df.sparkSession
+        lines = df.withColumn("app_id", app_of_file(app_id)).withColumn("_chunk", F.floor(F.col("at") / LOG_CHUNK))
+        seen = carried(timed(lines), LOG, ["_chunk"], ["at"], fill={"time_ms": F.col("ts_ms")})
+        seen = written(spark, seen.select(*LOG, "file", "at", "file_ms", "time_ms", "line"), "log-lines")
+        if seen.isEmpty():
+            return
+        table = KeyedTable(spark, f"{path}/state", LOG, _last_times)
+        before = table.read(table.touched(seen), epoch)
+        past = F.lit(None).cast("long").alias("_past")
+        lines = seen.withColumn("_past", past)
+        if before is not None:
+            lines = spread_join(seen, before.select(*LOG, F.col("time_ms").alias("_past")), LOG, ["at"], "left")
+        at = F.coalesce("time_ms", "_past", "file_ms")
         counts = (
-            fill_time(lines)
-            .groupBy("app_id", "file", F.timestamp_millis(F.floor(at / 60000) * 60000).alias("minute"), severity("line").alias("severity"))
+            lines.groupBy("app_id", "file", F.timestamp_millis(F.floor(at / 60000) * 60000).alias("minute"), severity("line").alias("severity"))
             .agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.lower("line").contains("fail")).alias("failures"))
         )
-        counts.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        counts.write.mode("overwrite").parquet(f"{path}/counts/epoch={epoch}")
+        table.add(seen.where("time_ms IS NOT NULL").select(*LOG, "at", "time_ms"), epoch)
 
     return _each_epoch(raw, "log-counts", checkpoint, land, trigger)
 
 
+def log_counts(spark, path):
+    """Counts of all epochs together, by the names files had when their lines were read."""
+    rows = spark.read.parquet(f"{path}/counts")
+    return rows.groupBy("app_id", "file", "minute", "severity").agg(F.sum("lines").alias("lines"), F.sum("failures").alias("failures"))
+
+
 def active_report(spark, app_id, queries):
     """Status of the given streaming queries of this session, from their last progress."""
     rows = [(app_id, str(q.id), q.isActive, json.dumps(q.lastProgress, default=str) if q.lastProgress else None) for q in queries]

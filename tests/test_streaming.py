@@ -8,7 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cinderview.operators import failures as fl
-from cinderview.sources import logfiles
+from cinderview.sources import growing
 from cinderview.streaming import live, orders
 from cinderview.streaming.keyed import KeyedTable
 
@@ -170,13 +170,54 @@ def test_keyed_table_stays_near_the_size_of_its_rows(spark, tmp_path):
     assert _size(tmp_path / "t") < 2 * _size(tmp_path / "live")
 
 
-def test_log_counts_take_undated_lines_along(spark, tmp_path):
+def test_log_counts_follow_growing_and_rotated_files(spark, tmp_path):
     folder = tmp_path / "in" / "app-9"
     folder.mkdir(parents=True)
-    (folder / "stderr").write_text("31/03/04 05:06:07 ERROR a failed\n  at x\n  at y\n31/03/04 05:07:00 INFO b\n")
-    live.start_log_counts(logfiles.stream_logs(spark, str(tmp_path / "in")), str(tmp_path / "c"), str(tmp_path / "ckpt")).awaitTermination()
-    got = sorted((r.app_id, r.minute.minute, r.severity, r.lines, r.failures) for r in spark.read.parquet(str(tmp_path / "c")).collect())
-    assert got == [("app-9", 6, "ERROR", 1, 1), ("app-9", 6, "PLAIN", 2, 0), ("app-9", 7, "PLAIN", 1, 0)]
+    log = folder / "stderr"
+
+    def step():
+        raw = growing.stream_growing_logs(spark, str(tmp_path / "in"))
+        live.start_log_counts(raw, str(tmp_path / "c"), str(tmp_path / "ckpt")).awaitTermination()
+        rows = live.log_counts(spark, str(tmp_path / "c")).collect()
+        return sorted((r.file.rpartition("/")[2], r.minute.minute, r.severity, r.lines, r.failures) for r in rows)
+
+    log.write_bytes(b"31/03/04 05:06:07 ERROR a failed\n  at x\r\n  at")
+    first = [("stderr", 6, "ERROR", 1, 1), ("stderr", 6, "PLAIN", 1, 0)]
+    assert step() == first
+    # The line that was cut is counted whole, at the time of the dated line of the epoch before.
+    with log.open("ab") as f:
+        f.write(" y failed\n31/03/04 05:07:00 INFO b\nö".encode())
+    second = [first[0], ("stderr", 6, "PLAIN", 2, 1), ("stderr", 7, "PLAIN", 1, 0)]
+    assert step() == second
+    assert step() == second
+    # Renamed with more to come, and a new file under the old name.
+    with log.open("ab") as f:
+        f.write(b" c\n")
+    log.rename(folder / "stderr.1")
+    log.write_bytes(b"31/03/04 05:09:00 WARN d\n" + b"  more\n" * 50)
+    want = sorted([*second, ("stderr.1", 7, "PLAIN", 1, 0), ("stderr", 9, "PLAIN", 50, 0)])
+    # Lines like " WARN " have a severity of their own.
+    assert step() == sorted([*want, ("stderr", 9, "WARN", 1, 0)])
+
+
+def test_pieces_of_a_growing_file_are_its_lines_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(growing, "PIECE", 7)
+    monkeypatch.setattr(growing, "LOOK_BACK", 3)
+    rng = random.Random(4)
+    text = "".join(rng.choice(["a", "bb", "\n", "ü", "\r\n", "long " * 5]) for _ in range(300)).encode()
+    path = tmp_path / "log"
+    offsets, reader = [{}], growing.GrowingReader({"path": str(tmp_path)})
+    got = []
+    for size in (1, 40, 41, 200, len(text)):
+        path.write_bytes(text[:size])
+        reader = growing.GrowingReader({"path": str(tmp_path)})
+        offsets.append(reader.latestOffset())
+        for piece in reader.partitions(offsets[-2], offsets[-1]):
+            for batch in reader.read(piece) or ():
+                got += batch.to_pylist()
+    want = text.split(b"\n")[:-1]
+    assert [r["line"] for r in got] == [w.removesuffix(b"\r").decode() for w in want]
+    assert len({r["at"] for r in got}) == len(got) and len({r["log"] for r in got}) == 1
 
 
 def test_status_of_running_queries(spark, tmp_path):
