@@ -70,6 +70,11 @@ def app_of(path):
     return F.when(folder != "", folder).otherwise(file)
 
 
+def file_number(path):
+    """Number of a rolling log's file; 0 for logs of one file."""
+    return F.coalesce(F.regexp_extract(path, r"/events_(\d+)_[^/]*$", 1).try_cast("long"), F.lit(0))
+
+
 def events_of(lines):
     """``app_id, event, value, pos`` from ``app_id, value`` rows; the event name leads each line. ``pos`` may be missing."""
     name = F.regexp_extract("value", r'^\s*\{\s*"Event"\s*:\s*"([^"]+)"', 1)
@@ -82,9 +87,8 @@ def read_events(spark, path):
     """All event lines below a folder (plain, compressed, rolling)."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
     file = F.col("_metadata.file_path")
-    number = F.coalesce(F.regexp_extract(file, r"/events_(\d+)_[^/]*$", 1).try_cast("long"), F.lit(0))
     place = F.col("_metadata.file_block_start")
-    pos = F.struct(number.alias("file"), place.alias("block"), F.monotonically_increasing_id().alias("row"))
+    pos = F.struct(file_number(file).alias("file"), place.alias("block"), F.monotonically_increasing_id().alias("row"))
     return events_of(lines.select(app_of(file).alias("app_id"), "value", pos.alias("pos")))
 
 
