@@ -284,45 +284,85 @@ def _arrays(df, *fields):
     return df.select("app_id", F.to_json(F.array(F.struct(*fields))).alias("json"))
 
 
-@query("snapshot_json_tables", """
-SELECT 'executors' AS tab, app_id, executor_id AS id, host_port AS text, is_excluded AS flag, memory_used AS n, remove_ms AS at_ms FROM fx_executors
-UNION ALL SELECT 'stages', app_id, CAST(stage_id AS STRING), coalesce(failure_reason, ''), status = 'FAILED', executor_run_time, NULL FROM fx_stages
-UNION ALL SELECT 'sql_jobs', app_id, CAST(execution_id AS STRING), state, TRUE, job_id, NULL FROM fx_sql_jobs
-UNION ALL SELECT 'rdds', app_id, CAST(rdd_id AS STRING), name, num_cached_partitions < num_partitions, memory_used, NULL FROM fx_rdds""")
+# Objects of a dump are spread over two attempts and three polls by their number.
+_POLL_START = 1704067200000
+
+
+def _dumped(v, entity, df, number, *fields):
+    """Objects written as dump files by app, attempt and poll; the folder they are in."""
+    path = scratch_path(v.spark, f"dump-{entity}")
+    n = F.col(number).cast("long")
+    rows = df.select(
+        "app_id", (1 + n % 2).alias("app_attempt"), (_POLL_START + 60000 * (n % 3)).alias("poll_ts"), F.to_json(F.array(F.struct(*fields))).alias("value")
+    )
+    rows.write.partitionBy("app_id", "app_attempt", "poll_ts").text(path)
+    return path
+
+
+def _polled(tab, table, number, text, flag, n, at="NULL"):
+    """The check's rows of one entity."""
+    return f"""SELECT '{tab}' AS tab, app_id, CAST(1 + CAST({number} AS BIGINT) % 2 AS INTEGER) AS app_attempt, {_POLL_START} + 60000 * (CAST({number} AS BIGINT) % 3) AS poll_ts,
+       CAST({number} AS STRING) AS id, {text} AS text, {flag} AS flag, {n} AS n, {at} AS at_ms FROM {table}"""
+
+
+_SNAPSHOT = " UNION ALL ".join([
+    _polled("executors", "fx_executors", "executor_id", "host_port", "is_excluded", "memory_used", "remove_ms"),
+    _polled("stages", "fx_stages", "stage_id", "coalesce(failure_reason, '')", "status = 'FAILED'", "executor_run_time"),
+    _polled("jobs", "fx_jobs", "job_id", "coalesce(description, '')", "status = 'FAILED'", "num_completed_tasks"),
+    _polled("tasks", "fx_tasks", "task_id", "coalesce(error_message, '')", "speculative", "gc_ms"),
+    _polled("sql_jobs", "fx_sql_jobs", "execution_id", "state", "TRUE", "job_id"),
+    _polled("rdds", "fx_rdds", "rdd_id", "name", "num_cached_partitions < num_partitions", "memory_used"),
+])
+
+
+@query("snapshot_json_tables", f"""{_SNAPSHOT}
+UNION ALL SELECT 'applications', app_id, NULL, NULL, app_id, name || ' ' || spark_user || ' ' || version || ' ' || start_time, completed, duration_ms, NULL FROM fx_apps""")
 def snapshot_json_tables(v):
+    """All entities written as dump files and read back, with the app, attempt and poll of each."""
     when = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'GMT'")
-    ex = _arrays(
-        v.fx_executors, _as("executor_id", "id"), _as("host_port", "hostPort"), _as("is_excluded", "isBlacklisted"),
-        _as("memory_used", "memoryUsed"), when("remove_ms").alias("removeTime"), F.lit("x").alias("unknownField"),
-    )
-    st = _arrays(
-        v.fx_stages, _as("stage_id", "stageId"), "status", _as("failure_reason", "failureReason"), _as("executor_run_time", "executorRunTime")
-    )
     ids = lambda s, name: F.when(F.col("state") == s, F.array("job_id")).otherwise(F.array().cast("array<bigint>")).alias(name)
-    sq = _arrays(
-        v.fx_sql_jobs, _as("execution_id", "id"), ids("running", "runningJobIds"), ids("success", "successJobIds"), ids("failed", "failedJobIds")
-    )
-    rd = _arrays(
-        v.fx_rdds, _as("rdd_id", "id"), "name", _as("num_partitions", "numPartitions"), _as("num_cached_partitions", "numCachedPartitions"),
-        _as("memory_used", "memoryUsed"),
-    )
+    dumps = {
+        "executors": _dumped(
+            v, "executors", v.fx_executors, "executor_id", _as("executor_id", "id"), _as("host_port", "hostPort"), _as("is_excluded", "isBlacklisted"),
+            _as("memory_used", "memoryUsed"), when("remove_ms").alias("removeTime"), F.lit("x").alias("unknownField"),
+        ),
+        "stages": _dumped(
+            v, "stages", v.fx_stages, "stage_id", _as("stage_id", "stageId"), "status", _as("failure_reason", "failureReason"), _as("executor_run_time", "executorRunTime")
+        ),
+        "jobs": _dumped(v, "jobs", v.fx_jobs, "job_id", _as("job_id", "jobId"), "status", "description", _as("num_completed_tasks", "numCompletedTasks")),
+        "tasks": _dumped(
+            v, "tasks", v.fx_tasks, "task_id", _as("task_id", "taskId"), "attempt", "speculative", _as("error_message", "errorMessage"),
+            F.struct(_as("gc_ms", "jvmGcTime")).alias("taskMetrics"),
+        ),
+        "sql": _dumped(
+            v, "sql", v.fx_sql_jobs, "execution_id", _as("execution_id", "id"), ids("running", "runningJobIds"), ids("success", "successJobIds"), ids("failed", "failedJobIds")
+        ),
+        "rdds": _dumped(
+            v, "rdds", v.fx_rdds, "rdd_id", _as("rdd_id", "id"), "name", _as("num_partitions", "numPartitions"),
+            _as("num_cached_partitions", "numCachedPartitions"), _as("memory_used", "memoryUsed"),
+        ),
+    }
+    read = {entity: rest.read_snapshot(v.spark, path, entity, multi_line=False) for entity, path in dumps.items()}
+    attempt = F.struct(_as("spark_user", "sparkUser"), _as("version", "appSparkVersion"), _as("start_time", "startTime"), _as("duration_ms", "duration"), "completed")
+    listed = rest.applications(rest.parse_entities(_arrays(v.fx_apps, _as("app_id", "id"), "name", F.array(attempt).alias("attempts")).drop("app_id"), "applications"))
 
     def shape(df, tab, id_col, text, flag, n, at=None):
         at_ms = F.lit(None).cast("long") if at is None else F.col(at)
         return df.select(
-            F.lit(tab).alias("tab"), "app_id", F.col(id_col).cast("string").alias("id"), text.alias("text"), flag.alias("flag"),
-            F.col(n).alias("n"), at_ms.alias("at_ms"),
+            F.lit(tab).alias("tab"), "app_id", "app_attempt", "poll_ts", F.col(id_col).cast("string").alias("id"), text.alias("text"),
+            flag.alias("flag"), F.col(n).alias("n"), at_ms.alias("at_ms"),
         )
 
-    executors = rest.executors(rest.parse_entities(ex, "executors"), "app_id")
-    stages = rest.stages(rest.parse_entities(st, "stages"), "app_id")
-    sql_jobs = rest.sql_jobs(rest.sql(rest.parse_entities(sq, "sql"), "app_id"), "app_id")
-    rdds = rest.rdds(rest.parse_entities(rd, "rdds"), "app_id")
+    failed, named = F.col("status") == "FAILED", lambda c: F.coalesce(c, F.lit(""))
+    listed = listed.withColumn("app_attempt", F.lit(None).cast("int")).withColumn("poll_ts", F.lit(None).cast("long"))
     return union_all([
-        shape(executors, "executors", "executor_id", F.col("host_port"), F.col("is_excluded"), "memory_used", "remove_ms"),
-        shape(stages, "stages", "stage_id", F.coalesce("failure_reason", F.lit("")), F.col("status") == "FAILED", "executor_run_time"),
-        shape(sql_jobs, "sql_jobs", "execution_id", F.col("state"), F.lit(True), "job_id"),
-        shape(rdds, "rdds", "rdd_id", F.col("name"), F.col("num_cached_partitions") < F.col("num_partitions"), "memory_used"),
+        shape(read["executors"], "executors", "executor_id", F.col("host_port"), F.col("is_excluded"), "memory_used", "remove_ms"),
+        shape(read["stages"], "stages", "stage_id", named("failure_reason"), failed, "executor_run_time"),
+        shape(read["jobs"], "jobs", "job_id", named("description"), failed, "num_completed_tasks"),
+        shape(read["tasks"], "tasks", "task_id", named("error_message"), F.col("speculative"), "gc_ms"),
+        shape(rest.sql_jobs(read["sql"], *rest.DUMP), "sql_jobs", "execution_id", F.col("state"), F.lit(True), "job_id"),
+        shape(read["rdds"], "rdds", "rdd_id", F.col("name"), F.col("num_cached_partitions") < F.col("num_partitions"), "memory_used"),
+        shape(listed, "applications", "app_id", F.concat_ws(" ", "name", "spark_user", "version", "start_time"), F.col("completed"), "duration_ms"),
     ])
 
 
@@ -366,19 +406,23 @@ def thread_dumps(v):
     )
 
 
-@query("environment_tables", """
-SELECT app_id, 'property' AS what, section, key, value FROM fx_env
-UNION ALL SELECT app_id, 'profile', CAST(profile_id AS STRING), resource, CAST(amount AS STRING) FROM fx_profiles""")
+@query("environment_tables", f"""
+SELECT app_id, CAST(2 AS INTEGER) AS app_attempt, {_POLL_START} + 60000 * (length(key) % 3) AS poll_ts, 'property' AS what, section, key, value FROM fx_env
+UNION ALL SELECT app_id, CAST(1 + profile_id % 2 AS INTEGER), {_POLL_START} + 60000 * (profile_id % 3), 'profile', CAST(profile_id AS STRING), resource, CAST(amount AS STRING) FROM fx_profiles""")
 def environment_tables(v):
+    """Environments written as dump files and read back, with the app, attempt and poll of each."""
     pair = lambda s, name: F.when(F.col("section") == s, F.array(F.array("key", "value"))).alias(name)
-    env = _arrays(v.fx_env, *[pair(s, c) for s, c in rest.ENV_SECTIONS if s != "classpath"])
+    # An odd number (attempt 2) with the remainder by 3 of the key's length (the poll).
+    env = v.fx_env.withColumn("n", F.length("key").cast("long") * 4 % 6 + 3)
     resources = F.create_map(F.col("resource"), F.struct(_as("resource", "resourceName"), "amount"))
-    prof = _arrays(v.fx_profiles, F.array(F.struct(_as("profile_id", "id"), resources.alias("executorResources"))).alias("resourceProfiles"))
-    rows = rest.env_properties(rest.parse_entities(env, "environment"), "app_id")
-    profiles = rest.resource_profiles(rest.parse_entities(prof, "environment"), "app_id")
-    return rows.select("app_id", F.lit("property").alias("what"), "section", "key", "value").unionByName(
+    props = _dumped(v, "environment", env, "n", *[pair(s, c) for s, c in rest.ENV_SECTIONS if s != "classpath"])
+    prof = _dumped(v, "profiles", v.fx_profiles, "profile_id", F.array(F.struct(_as("profile_id", "id"), resources.alias("executorResources"))).alias("resourceProfiles"))
+    rows = rest.read_environment(v.spark, props, multi_line=False)["env_properties"]
+    profiles = rest.read_environment(v.spark, prof, multi_line=False)["resource_profiles"]
+    keys = ["app_id", "app_attempt", "poll_ts"]
+    return rows.select(*keys, F.lit("property").alias("what"), "section", "key", "value").unionByName(
         profiles.select(
-            "app_id", F.lit("profile").alias("what"), F.col("profile_id").cast("string").alias("section"),
+            *keys, F.lit("profile").alias("what"), F.col("profile_id").cast("string").alias("section"),
             F.col("resource").alias("key"), F.col("amount").cast("string").alias("value"),
         )
     )

@@ -246,20 +246,22 @@ DUMP = ["source", "app_id", "app_attempt", "poll_ts"]
 
 
 def with_dump_keys(raw, app_id=None):
-    """What a dump's path and time tell about all its rows.
+    """What a dump's path tells about all its rows.
 
-    The app is the folder below ``applications`` (the attempt the number below
-    it), else the folder the dump is in, unless it is given. ``poll_ts`` is when
-    the dump was written, in epoch millis.
+    Folders named ``app_id=``, ``app_attempt=`` and ``poll_ts=`` (epoch millis) say
+    it; so does the folder below ``applications`` (the attempt is the number below
+    it). Else the app is the folder the dump is in, unless it is given, the attempt
+    is null, and the poll is when the file was written, which a copy changes.
     """
     path = F.col("_metadata.file_path")
-    listed = F.regexp_extract(path, r"/applications/([^/]+)/", 1)
-    named = F.when(listed != "", listed).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]*$", 1))
+    part = lambda pattern: F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+    named = lambda key: part(f"/{key}=([^/]+)/")
+    app = F.coalesce(named("app_id"), part("/applications/([^/]+)/"), part("([^/]+)/[^/]*$"))
     return raw.withColumns({
         "source": path,
-        "app_id": named if app_id is None else F.lit(app_id),
-        "app_attempt": F.regexp_extract(path, r"/applications/[^/]+/(\d+)/", 1).try_cast("int"),
-        "poll_ts": F.unix_millis(F.col("_metadata.file_modification_time")),
+        "app_id": app if app_id is None else F.lit(app_id),
+        "app_attempt": F.coalesce(named("app_attempt"), part(r"/applications/[^/]+/(\d+)/")).try_cast("int"),
+        "poll_ts": F.coalesce(named("poll_ts").try_cast("long"), F.unix_millis(F.col("_metadata.file_modification_time"))),
     })
 
 
@@ -287,9 +289,7 @@ def read_threads(spark, path):
     return read_snapshot(spark, path, "threads")
 
 
-def read_environment(spark, path):
-    """Property rows and resource profile rows of dumped environments."""
-    raw = read_entities(spark, path, "environment").withColumn("source", F.input_file_name())
-    return {"env_properties": env_properties(raw, "source"), "resource_profiles": resource_profiles(raw, "source")}
-
-
+def read_environment(spark, path, multi_line=True, app_id=None):
+    """Property rows and resource profile rows of dumped environments, with the keys of :func:`with_dump_keys`."""
+    raw = with_dump_keys(read_entities(spark, path, "environment", multi_line), app_id)
+    return {"env_properties": env_properties(raw, *DUMP), "resource_profiles": resource_profiles(raw, *DUMP)}

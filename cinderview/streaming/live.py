@@ -134,19 +134,37 @@ def _newest(rows):
     return first.nlargest(bt.BEHIND_WINDOW, "batch_id")
 
 
+# How long after its last row a replaced run or query id is known as such.
+LATE_MS = 7 * 24 * 3600 * 1000
+
+
+def _stale(known, name, arrival):
+    """Whether a run (or query id) was replaced; if so its last arrival is noted."""
+    if name not in known:
+        return False
+    known[name] = max(known[name], arrival)
+    return True
+
+
 class _BehindState(_Expiring):
     """Last five batches of the live run of one query name.
 
     Arrivals are reduced to five batches per run while they are read, so a
-    busy query needs no more memory than a quiet one.
+    busy query needs no more memory than a quiet one. Replaced runs and ids without
+    a row for ``late_ms`` are forgotten, so the state does not grow with restarts; rows
+    of other runs than the live one that are older than that are left out.
     """
 
+    def __init__(self, ttl_ms=None, late_ms=LATE_MS):
+        super().__init__(ttl_ms)
+        self.late_ms = late_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.live = self.state(handle, "live", "doc string")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         live = json.loads(self.live.get()[0]) if self.live.exists() else {
-            "id": None, "run": None, "retired": [], "past": [], "window": []
+            "id": None, "run": None, "retired": {}, "past": {}, "window": [], "newest": None
         }
         runs = {}
         for pdf in rows:
@@ -156,8 +174,13 @@ class _BehindState(_Expiring):
                 merged = part[_WINDOW] if window is None else pd.concat([window, part[_WINDOW]])
                 runs[run] = (seen if first is None else min(first, seen), _newest(merged))
         last = int(max(window["arrival"].max() for _, window in runs.values()))
+        live["newest"] = last if live["newest"] is None else max(last, live["newest"])
+        start = live["newest"] - self.late_ms
         for (query, run), (_, window) in sorted(runs.items(), key=lambda kv: kv[1][0]):
-            self._take(live, query, run, window)
+            if window["arrival"].max() >= start or (query, run) == (live["id"], live["run"]):
+                self._take(live, query, run, window)
+        for replaced in ("retired", "past"):
+            live[replaced] = {name: at for name, at in live[replaced].items() if at >= start}
         self.live.update((json.dumps(live),))
         recent = [w for w in live["window"] if w[2] > 0]
         slow = sum(1 for w in recent if w[4] < w[3])
@@ -168,17 +191,18 @@ class _BehindState(_Expiring):
         )
 
     def _take(self, live, query, run, window):
+        first, last = int(window["arrival"].min()), int(window["arrival"].max())
         if query != live["id"]:
-            if query in live["retired"]:
+            if _stale(live["retired"], query, last):
                 return
             if live["id"] is not None:
-                live["retired"].append(live["id"])
-            live.update(id=query, run=None, past=[], window=[])
+                live["retired"][live["id"]] = first
+            live.update(id=query, run=None, past={}, window=[])
         if run != live["run"]:
-            if run in live["past"]:
+            if _stale(live["past"], run, last):
                 return
             if live["run"] is not None:
-                live["past"].append(live["run"])
+                live["past"][live["run"]] = first
             live.update(run=run, window=[])
         known = pd.DataFrame(live["window"], columns=_WINDOW)
         merged = window if known.empty else pd.concat([known, window])
@@ -188,15 +212,19 @@ class _BehindState(_Expiring):
         ]
 
 
-def stream_behind(progress, ttl_ms=None):
-    """Falling-behind state of every query after each arrival; a restart empties its window."""
+def stream_behind(progress, ttl_ms=None, late_ms=LATE_MS):
+    """Falling-behind state of every query after each arrival; a restart empties its window.
+
+    Rows of a run that is not the live one are left out when they are more than
+    ``late_ms`` older than the newest row of their query.
+    """
     cols = ["app_id", "query_id", "run_id", "batch_id", "arrival", "num_input_rows", "input_rps", "processed_rps"]
     who = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("query_id"))
     return (
         progress.select(who.alias("who"), *cols)
         .groupBy("app_id", "who")
         .transformWithStateInPandas(
-            _BehindState(ttl_ms),
+            _BehindState(ttl_ms, late_ms),
             "app_id string, who string, query_id string, run_id string, last_batch long, arrival long, with_input long, slow long, behind boolean",
             "append",
             _time_mode(ttl_ms),

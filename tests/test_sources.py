@@ -267,7 +267,20 @@ def test_environment(spark, tmp_path):
            "resourceProfiles": [{"id": 0, "executorResources": {"memory": {"resourceName": "memory", "amount": 4096}}}]}
     got = rest.read_environment(spark, _dump(tmp_path, "env.json", env))
     assert sorted((r.section, r.key, r.value) for r in got["env_properties"].collect()) == [("spark", "spark.executor.memory", "4g"), ("system", "user", "x")]
-    assert tuple(got["resource_profiles"].drop("source").first()) == (0, "memory", 4096)
+    assert tuple(got["resource_profiles"].drop(*rest.DUMP).first()) == (0, "memory", 4096)
+
+
+def test_copied_dumps_keep_their_poll(spark, tmp_path):
+    """The order of polls is in the path, whatever the files' times are; attempts and polls do not mix."""
+    for attempt, poll, cores, written in ((1, 5000, "2", 30), (1, 9000, "4", 20), (2, 12000, "8", 10)):
+        folder = tmp_path / "app_id=shop" / f"app_attempt={attempt}" / f"poll_ts={poll}"
+        os.makedirs(folder)
+        os.utime(_dump(folder, "env.json", {"sparkProperties": [["spark.executor.cores", cores]]}), (written, written))
+        os.utime(_dump(folder, "tasks.json", [{"taskId": 7, "attempt": 3, "status": "SUCCESS"}]), (written, written))
+    env = rest.read_environment(spark, str(tmp_path / "*" / "*" / "*" / "env.json"))["env_properties"].orderBy("poll_ts").collect()
+    assert [(r.app_id, r.app_attempt, r.poll_ts, r.value) for r in env] == [("shop", 1, 5000, "2"), ("shop", 1, 9000, "4"), ("shop", 2, 12000, "8")]
+    tasks = rest.read_snapshot(spark, str(tmp_path / "*" / "*" / "*" / "tasks.json"), "tasks").collect()
+    assert sorted((r.app_attempt, r.poll_ts, r.attempt) for r in tasks) == [(1, 5000, 3), (1, 9000, 3), (2, 12000, 3)]
 
 
 def test_line_numbers_over_many_splits(spark, tmp_path):

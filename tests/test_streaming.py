@@ -1,8 +1,10 @@
 """Streams run to the end of their input and compared with the batch operators."""
 
 import datetime as dt
+import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -114,6 +116,37 @@ def test_behind_state_follows_restarts(spark, tmp_path):
     assert got == {("q", "r1", 5): (5, 5, True), ("q", "r2", 0): (1, 0, False), ("q2", "r3", 1): (2, 2, False), ("q2", "r3", 2): (3, 3, True)}
 
 
+def test_behind_state_forgets_old_runs(spark):
+    day = 24 * 3600 * 1000
+    live_rows = lambda run, batch, at: pd.DataFrame([{"batch_id": batch, "arrival": at, "num_input_rows": 1, "input_rps": 1.0, "processed_rps": 2.0}])
+
+    class Kept:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    state = live._BehindState()
+    state.live = Kept()
+    told = lambda run, batch, at: next(state.handleInputRows(("a", "q"), [live_rows(run, batch, at).assign(query_id="q", run_id=run)], None))
+    # A run a day for a year, each reporting its predecessor once more.
+    for i in range(365):
+        assert told(f"r{i}", 0, i * day).run_id[0] == f"r{i}"
+        if i:
+            assert told(f"r{i - 1}", 1, i * day + 5).run_id[0] == f"r{i}"
+    assert len(json.loads(state.live.value[0])["past"]) <= 9
+    # A row of a forgotten run comes too late to count; the live run may be silent for long.
+    assert told("r3", 2, 4 * day).run_id[0] == "r364"
+    assert told("r364", 1, 365 * day).last_batch[0] == 1
+
+
 POLLS = "app_id string, key string, poll_s long, value double"
 
 
