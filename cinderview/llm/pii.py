@@ -15,7 +15,7 @@ The model is trained by exact likelihood gradients on a bounded sample of island
 labelled by the patterns, drawn by hash from all islands of the drawn documents; an
 island over ``PART_CHARS`` is drawn in parts of that length, cut at white space if it
 has any. Each is also shown in weaker spellings that the patterns
-miss (no plus sign, other separators, an at sign in words), with the same labels, and
+miss (no plus sign, other groups and separators, an at sign in words), with the same labels, and
 with ordinary figures (dates, amounts, times) in their place, without labels.
 """
 
@@ -363,13 +363,26 @@ def gold_segments(island, spans):
     return out + [(x + 1, 1, 0) for x in range(at, island.n)]
 
 
+def regrouped(body, rng):
+    """The digits of a phone number in groups of two to four, under other marks; unchanged if a pattern takes that."""
+    digits, mark = rng.choice(["", "0", "00"]) + re.sub("[^0-9]", "", body), rng.choice(" -./")
+    groups, at = [], 0
+    while at < len(digits):
+        size = rng.randint(2, 4)
+        groups.append(digits[at : at + size])
+        at += size
+    form = mark.join(groups)
+    return body if certain_spans(form) else form
+
+
 def weaker(text, spans, rng):
     """The same text and spans in spellings that the patterns miss."""
     out, labels, at, size = [], [], 0, 0
     for kind, start, end in spans:
         body = text[start:end]
         if kind == "phone":
-            body = rng.choice([body[1:], re.sub(r"^\+[0-9]{1,3}[ -]?", "", body), body.replace("+", "00", 1)]) if len(body) > 12 else body
+            forms = [body[1:], re.sub(r"^\+[0-9]{1,3}[ -]?", "", body), body.replace("+", "00", 1), *(regrouped(body, rng) for _ in range(3))]
+            body = rng.choice(forms) if len(body) > 12 else body
         elif kind == "email":
             body = body.replace("@", rng.choice([" (at) ", "[at]", "@"]))
         elif kind == "card":
