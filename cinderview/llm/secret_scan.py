@@ -140,8 +140,11 @@ def scan_secrets(docs, scope=SCOPE_CHARS, id_column="doc_id", text_column="text"
     """One row per row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base_spans, spans``.
 
     Spans are code point offsets, end exclusive, as ``kind:start:end`` joined by
-    commas. Null text counts as empty and has no spans; repeated rows are scanned
-    each; columns other than id and text are not read.
+    commas. Null text counts as empty and has no spans; a row without an id is
+    scanned like any other; repeated rows are scanned each; very long texts are
+    scanned whole, in memory proportional to their candidates; of spans that start
+    together the kind listed first comes first; an empty table gives no rows;
+    columns other than id and text are not read.
     """
 
     def scan(ids, values):

@@ -117,5 +117,15 @@ def test_long_texts_take_linear_time():
     assert time.time() - start < 30
 
 
+def test_repeated_rows_and_rows_without_an_id(docs):
+    text = "login=svc1 pwd=hunter22 end"
+    rows = [(4, text), (4, text), (None, text), (None, None), (4, "plain"), (5, "")]
+    got = sorted(((r.doc_id, r.spans) for r in s.scan_secrets(docs(rows)).collect()), key=repr)
+    found = "id:0:10,key:11:23"
+    assert got == sorted([(4, found), (4, found), (None, found), (None, ""), (4, ""), (5, "")], key=repr)
+    masked = sorted((r.text for r in s.redact_secrets(docs(rows)).collect()), key=repr)
+    assert masked == sorted(["[SECRET] [SECRET] end"] * 3 + [None, "plain", ""], key=repr)
+
+
 def test_empty_table(docs):
     assert s.scan_secrets(docs([])).collect() == []
