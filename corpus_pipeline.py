@@ -16,30 +16,51 @@ LEAST_SCORE = 0.3
 
 
 def quality(spark, docs, sf_dir):
-    """Documents that the classifier, trained on the labelled ones, does not reject; null text counts as empty."""
+    """Documents that the classifier, trained on the labelled ones, does not reject.
+
+    Null and empty texts are scored as texts without a word; repeated rows are scored
+    alike and each stay or go; a score of exactly ``LEAST_SCORE`` stays; an empty table gives no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learned = quality_classifier.learn(prepared(spark), docs, labels)
     return quality_classifier.accepted(spark, docs, learned, LEAST_SCORE)
 
 
 def exact(spark, docs, sf_dir):
-    """One document of every group of equal texts, that of the smallest id."""
+    """One document of every group of equal texts, that of the smallest id.
+
+    Null and empty texts are equal; of repeated rows of one id and text one stays; whole
+    texts are compared, however long; an empty table gives no rows.
+    """
     return exact_dedup.without_exact_duplicates(prepared(spark), docs)
 
 
 def near(spark, docs, sf_dir):
-    """One document of every group linked by five-word shingles at a similarity of 0.8, that of the smallest id."""
+    """One document of every group linked by five-word shingles at a similarity of 0.8, that of the smallest id.
+
+    A text of fewer words is one shingle; texts without words are linked with nothing and
+    stay, and so do rows without an id; exactly 0.8 is a link; rows of one id stay or go
+    together; an empty table gives no rows.
+    """
     return near_dedup.without_near_duplicates(prepared(spark), docs)
 
 
 def secrets(spark, docs, sf_dir):
-    """All documents, with every secret the scan reports masked."""
+    """All documents, with every secret the scan reports masked.
+
+    Null text stays null, an empty one empty; overlapping secrets get one mark; repeated
+    rows are masked alike; an empty table gives no rows.
+    """
     prepared(spark)
     return secret_scan.redact_secrets(docs)
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    """Pieces of all documents and their places in sequences of 2048 tokens.
+
+    Null and empty texts are one token, the separator; longer texts are cut into pieces;
+    repeated rows are packed each; an empty table gives no rows.
+    """
     return packing.pack(prepared(spark), docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
