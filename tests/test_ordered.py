@@ -115,3 +115,30 @@ def test_spread_join_equals_join(spark):
     for how in ("inner", "left", "left_semi"):
         got = ordered.spread_join(many, few, ["k"], ["id"], how)
         assert rows(got, "id") == rows(many.join(few, ["k"], how), "id")
+
+
+def test_order_statistics_of_keys_with_nulls_and_of_any_size(spark):
+    rng = random.Random(11)
+    data = []
+    for key, sub, n in (("large", 1, 6000), (None, 2, 5000), ("large", None, 4097), ("edge", 1, 4096), (None, None, 30), ("empty", 1, 3)):
+        for _ in range(n):
+            v = None if key == "empty" or rng.random() < 0.1 else rng.choice([-0.0, 0.0, 2.0**29, 2.0**29 + 1, rng.uniform(-9, 9), float(rng.randrange(10**6))])
+            data.append((key, sub, v))
+    df = spark.createDataFrame(data, "k string, s int, v double").repartition(5)
+    ranks = {label: stats.nearest_rank(q) for label, q in stats.QUANTILES.items()}
+    want = {}
+    for k, s in {d[:2] for d in data}:
+        vs = sorted(v for a, b, v in data if (a, b) == (k, s) and v is not None)
+        if vs:
+            want[k, s] = (len(vs), *[vs[min(int(q * len(vs)), len(vs) - 1)] for q in stats.QUANTILES.values()])
+    got = ordered.order_statistics(df, ["k", "s"], {"v": "v"}, ranks).collect()
+    assert {(r.k, r.s): (r.n, *[r[q] for q in stats.QUANTILES]) for r in got} == want and len(got) == 5
+
+
+def test_small_keys_are_shuffled_once_without_a_row_per_measure(spark):
+    df = spark.range(1000).selectExpr("id % 100 AS k", "id AS a", "id + 1 AS b")
+    got = ordered.order_statistics(df, ["k"], {"a": "a", "b": "b"}, {"max": lambda n: n - 1})
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # The sizes, the rows; keys of more rows there are none, so their part is gone.
+    assert final.count("Exchange hashpartitioning") <= 2 and "explode" not in final
