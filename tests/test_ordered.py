@@ -1,5 +1,6 @@
 """The skew-safe helpers against plain windows and brute force."""
 
+import math
 import random
 
 from pyspark.sql import Window, functions as F
@@ -142,3 +143,12 @@ def test_small_keys_are_shuffled_once_without_a_row_per_measure(spark):
     final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     # The sizes, the rows; keys of more rows there are none, so their part is gone.
     assert final.count("Exchange hashpartitioning") <= 2 and "explode" not in final
+
+
+def test_parts_grow_with_the_value_at_every_power_of_two(spark):
+    around = [v for e in range(-1073, 1023) for v in (math.nextafter(2.0**e, 0), 2.0**e, math.nextafter(2.0**e, math.inf), 2.0**e * (1 + 2**-20))]
+    values = sorted({s * v for v in around for s in (1, -1)})
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    got = df.select("i", ordered.value_bucket(F.col("v")).alias("b"), ordered.value_part(F.col("v")).alias("p")).orderBy("i").collect()
+    keys = [(r.b, r.p) for r in got]
+    assert keys == sorted(keys)
