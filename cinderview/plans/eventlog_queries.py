@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import union_all
 from ..operators import resources, settings
+from ..session import scratch_path, written
 from ..sources import events as ev, exclusions, plans, storage
 from .registry import query
 from .source_queries import _as, _event
@@ -13,6 +14,17 @@ from .source_queries import _as, _event
 _START = 1704067200000
 
 
+def landed(v, events):
+    """Events written once by kind: several tables read them, each its own kinds."""
+    return ev.land_events(events, scratch_path(v.spark, "events"))
+
+
+def replayed_blocks(v):
+    """Landed block events and the blocks stored in the end, replayed once."""
+    events = landed(v, block_events(v))
+    return events, written(v.spark, storage.rdd_blocks(events), "blocks")
+
+
 def _node(name, *children, **metrics):
     return {
         "nodeName": name, "simpleString": name, "children": list(children),
@@ -87,7 +99,7 @@ metrics AS (
 @query("event_log_plan_nodes", f"""WITH {_METRICS}
 SELECT app_id, execution_id, CAST(node_id AS BIGINT) AS node_id, node_name, CAST(codegen_id AS BIGINT) AS codegen_id, CAST(pos AS BIGINT) AS pos, metric, kind, value, total, most FROM metrics""")
 def event_log_plan_nodes(v):
-    rows = plans.node_metrics(plan_events(v))
+    rows = plans.node_metrics(landed(v, plan_events(v)))
     return rows.select("app_id", "execution_id", "node_id", "node_name", "codegen_id", "pos", "metric", "kind", "value", "total", "most")
 
 
@@ -96,7 +108,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY app_id, execution_id, node_
     CASE metric WHEN 'number of output rows' THEN 1 WHEN 'spill size' THEN 2 WHEN 'sort time' THEN 4 WHEN 'duration' THEN 5 ELSE 9 END, pos) AS rank FROM metrics)
 SELECT app_id, execution_id, CAST(node_id AS BIGINT) AS node_id, metric, value, rank, metric = 'spill size' AND value <> '0.0 B' AS hot FROM ranked WHERE rank <= 3""")
 def event_log_top_metrics(v):
-    return settings.node_top_metrics(plans.node_metrics(plan_events(v)))
+    return settings.node_top_metrics(plans.node_metrics(landed(v, plan_events(v))))
 
 
 _BLOCKS = """
@@ -139,13 +151,13 @@ UNION ALL SELECT 'cache', app_id, CAST(CAST(sum(CASE WHEN parts < 60 THEN 1 ELSE
 UNION ALL SELECT 'executor', app_id, executor_id, count(*), CAST(sum(memory_used) AS BIGINT), CAST(sum(disk_used) AS BIGINT) FROM kept GROUP BY app_id, executor_id""")
 def event_log_storage(v):
     """Cached datasets, their sums per application, and what each executor stores."""
-    events = block_events(v)
-    rdds, blocks = storage.rdds(events), storage.rdd_blocks(events)
+    events, blocks = replayed_blocks(v)
+    rdds = storage.rdds(events, blocks)
     shape = lambda what, df, name, n: df.select(
         F.lit(what).alias("what"), "app_id", F.col(name).cast("string").alias("name"), F.col(n).alias("n"), F.col("memory_used").alias("memory"), F.col("disk_used").alias("disk")
     )
     counts = blocks.groupBy("app_id", "executor_id").agg(F.count(F.lit(1)).alias("n"))
-    use = storage.executor_usage(events).join(counts, ["app_id", "executor_id"])
+    use = storage.executor_usage(events, blocks).join(counts, ["app_id", "executor_id"])
     return union_all([
         shape("rdd", rdds, "name", "num_cached_partitions"), shape("cache", resources.cache_summary(rdds), "partly_cached", "cached"), shape("executor", use, "executor_id", "n"),
     ])
@@ -158,8 +170,8 @@ SELECT k.app_id, k.rdd_id, 'h:' || k.executor_id AS address, count(*) AS partiti
        CAST(sum(k.memory_used) AS DOUBLE) / max(t.total) AS share
 FROM kept k JOIN used u ON k.app_id = u.app_id AND k.executor_id = u.executor_id JOIN total t ON k.app_id = t.app_id AND k.rdd_id = t.rdd_id GROUP BY k.app_id, k.rdd_id, k.executor_id""")
 def event_log_spread(v):
-    events = block_events(v)
-    rows = resources.rdd_spread(storage.rdd_distribution(events), storage.rdd_blocks(events))
+    events, blocks = replayed_blocks(v)
+    rows = resources.rdd_spread(storage.rdd_distribution(events, blocks), blocks)
     return rows.select("app_id", "rdd_id", "address", "partitions", "memory_used", "memory_remaining", "share")
 
 

@@ -7,6 +7,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from cinderview.operators import batches as bt, failures as fl, report, stats
 from cinderview.operators import settings
@@ -314,3 +315,31 @@ def test_bundle(spark, tmp_path):
     sinks.write_markdown(md, str(tmp_path / "md"))
     files = sorted((tmp_path / "md" / "app_id=a").glob("*.txt"))
     assert "".join(p.read_text() for p in files).splitlines() == ["# title", *[f"- line {i}" for i in range(40)]]
+
+
+def test_events_of_keeps_lines_that_name_an_event_and_evaluates_them_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def line(i):
+        calls.add(1)
+        return None if i == 0 else "no event" if i == 1 else f' {{ "Event" : "Kind{i % 2}" , "n": {i}}}'
+
+    values = spark.range(6).select(F.lit("a").alias("app_id"), F.udf(line)("id").alias("value"))
+    got = ev.events_of(values).collect()
+    assert sorted(r.event for r in got) == ["Kind0", "Kind0", "Kind1", "Kind1"] and all(r.pos is None for r in got)
+    assert calls.value == 6
+
+
+def test_landing_keeps_every_kind_and_the_session_as_it_was(spark, tmp_path):
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    lines = spark.range(200).selectExpr("'a' AS app_id", "concat('{\"Event\":\"Kind', id % 100, '\"}') AS value")
+    landed = ev.land_events(ev.events_of(lines), str(tmp_path / "landed"))
+    assert landed.groupBy("event").count().where("count = 2").count() == 100
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_blocks_that_are_given_are_not_replayed_again(spark, event_logs):
+    events = eventlog.read_events(spark, event_logs)
+    blocks = storage.rdd_blocks(events).localCheckpoint()
+    for table in (storage.rdds, storage.executor_usage, storage.rdd_distribution):
+        assert sorted(map(repr, table(events, blocks).collect())) == sorted(map(repr, table(events).collect()))
