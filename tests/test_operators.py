@@ -382,6 +382,21 @@ def test_windows_of_any_length_are_few_pieces(spark):
     assert got == sorted((i, n) for i, a, b in spans for n, t in enumerate(times) if t is not None and a <= t <= b)
 
 
+def test_failures_of_batches_read_the_failure_log_once(spark):
+    text = lambda n: f"orders\nid = q\nrunId = r\nbatch = {n}"
+    jobs = spark.createDataFrame([("a", 1, text(7)), ("a", 2, text(8))], "app_id string, job_id long, description string")
+    sql = spark.createDataFrame([("a", 5, text(8))], "app_id string, execution_id long, description string")
+    bridge = spark.createDataFrame([("a", 1, 3), ("a", 2, 4)], "app_id string, job_id long, stage_id long")
+    batches = spark.createDataFrame([("a", "q", "r", 7), ("a", "q", "r", 8)], "app_id string, query_id string, run_id string, batch_id long")
+    # The job's failure is found by its key and by its stage; a key that reads like a stage's number is none.
+    rows = [("a", "job:1", 3), ("a", "sql:5", None), ("a", "task:9.0", 4), ("a", "4", None), ("a", "job:3", 9), ("b", "job:1", 3)]
+    failures = spark.createDataFrame(rows, "app_id string, key string, stage_id long")
+    found = bt.batch_failures(failures, jobs, bridge, sql, batches)
+    assert sorted((r.batch_id, r.key) for r in found.collect()) == [(7, "job:1"), (8, "sql:5"), (8, "task:9.0")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "LogicalRDD" in line and "key#" in line]) == 1
+
+
 def test_log_span_goes_by_time_and_takes_the_driver_only(spark):
     # By name stderr.10 comes before stderr.2, by time it comes last.
     rows = [("a", "driver", "stderr.2", 0, "31/03/04 07:00:00 INFO a"), ("a", "driver", "stderr.10", 0, "31/03/04 08:00:00 INFO b"),
