@@ -382,6 +382,25 @@ def test_windows_of_any_length_are_few_pieces(spark):
     assert got == sorted((i, n) for i, a, b in spans for n, t in enumerate(times) if t is not None and a <= t <= b)
 
 
+def test_lines_of_windows_are_counted_without_pairs(spark):
+    rng = random.Random(9)
+    start, day = _at("00:00:00"), 24 * 3600_000
+    spans = [(i, start + rng.randrange(3 * day), rng.randrange(2 * day)) for i in range(60)]
+    spans = [(i, a, a + n) for i, a, n in spans] + [(60, start, start), (61, start, start - 1), (62, start - 9, start + 9 * day), (63, None, None)]
+    times = [start + rng.randrange(3 * day) // 1000 * 1000 for _ in range(500)] + [start] * 3 + [spans[0][1], spans[0][2], None]
+    windows = spark.createDataFrame([("a", *s) for s in spans], "app_id string, id long, from_ms long, to_ms long")
+    filled = spark.createDataFrame([(app, t) for t in times for app in "ab"], "app_id string, time_ms long")
+    got = {r.id: r.lines for r in logs.lines_in_windows(windows, filled, ["id"]).collect()}
+    inside = {i: sum(t is not None and a <= t <= b for t in times) for i, a, b in spans if a is not None}
+    assert got == {i: n for i, n in inside.items() if n}
+
+    batches = spark.createDataFrame(
+        [("a", "q", 60, _at("07:21:05"), _at("07:21:35")), ("a", "q", 6, None, None), ("a", "q", 61, _at("09:00:00"), _at("09:05:00"))],
+        "app_id string, query_id string, batch_id long, from_ms long, to_ms long",
+    )
+    assert {r.batch_id: r.lines for r in logs.batch_log_counts(batches, _lines(spark, LOG)).collect()} == {6: 2, 60: 4}
+
+
 def test_failures_of_batches_read_the_failure_log_once(spark):
     text = lambda n: f"orders\nid = q\nrunId = r\nbatch = {n}"
     jobs = spark.createDataFrame([("a", 1, text(7)), ("a", 2, text(8))], "app_id string, job_id long, description string")
