@@ -416,6 +416,22 @@ def test_failures_of_batches_read_the_failure_log_once(spark):
     assert len([line for line in plan.splitlines() if "LogicalRDD" in line and "key#" in line]) == 1
 
 
+def test_the_bundle_makes_its_failure_log_once(monkeypatch):
+    from unittest import mock
+
+    from cinderview.plans import report_queries as rq
+
+    made = []
+    monkeypatch.setattr(rq.fq, "fleet_failures", lambda v: made.append(v) or "log")
+    monkeypatch.setattr(rq, "written", lambda spark, df, name: df)
+    for name in ("summary_metrics", "scratch_path"):
+        monkeypatch.setattr(rq, name, mock.Mock())
+    for owner, name in ((rq.report, "fleet_summary"), (rq.bq, "merged_batches"), (rq.rq, "budgeted"), (rq.sinks, "write_bundle"), (rq.sinks, "bundle_contents")):
+        monkeypatch.setattr(owner, name, mock.Mock())
+    rq.bundle_sink(mock.MagicMock())
+    assert len(made) == 1
+
+
 def test_log_span_goes_by_time_and_takes_the_driver_only(spark):
     # By name stderr.10 comes before stderr.2, by time it comes last.
     rows = [("a", "driver", "stderr.2", 0, "31/03/04 07:00:00 INFO a"), ("a", "driver", "stderr.10", 0, "31/03/04 08:00:00 INFO b"),
