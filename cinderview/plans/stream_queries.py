@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import batches as bt, failures as fl
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources.growing import stream_growing_logs
 from ..streaming import live, orders
 from . import failure_queries
@@ -74,6 +74,7 @@ def poison_guard(v):
 def fed(v, df, name, order, parts, start):
     """Feed a table in steps; the stream ends with each step and goes on from its checkpoint."""
     path = scratch_path(v.spark, name)
+    df = written(v.spark, df, f"{name}-all")
     for part in parts:
         df.where(F.col(order) == part).write.mode("append").parquet(path)
         _finish(start(v.spark.readStream.schema(df.schema).parquet(path)))

@@ -291,3 +291,22 @@ def test_compacting_step_by_step_equals_compacting_at_once(spark):
     assert sorted(step.collect(), key=key) == sorted(once.collect(), key=key)
     assert sorted((r.fact, r.arrival, r.execution_id) for r in once.collect() if r.fact == "progress") == [("progress", 1, None)]
     assert sorted(r.execution_id for r in once.collect() if r.fact == "sql") == [2, 6]
+
+
+def test_a_table_fed_in_steps_is_computed_once(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from cinderview.plans.stream_queries import fed
+
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, 1 + i % 3) for i in range(30)], "id long, part long").mapInArrow(counted, "id long, part long")
+    read = []
+    ended = SimpleNamespace(awaitTermination=lambda: None)
+    fed(SimpleNamespace(spark=spark), df, "steps", "part", [1, 2, 3], lambda stream: read.append(stream.isStreaming) or ended)
+    assert rows.value == 30 and read == [True] * 3
