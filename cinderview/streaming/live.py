@@ -14,7 +14,7 @@ from ..operators.failures import dedup_failures
 from ..operators.logs import timed
 from ..operators.progress import parse_progress, progress_report
 from ..operators.rates import rate_since, with_previous
-from ..session import written
+from ..session import delete, scratch_path, written
 from ..sources.logfiles import app_of_file
 from .keyed import KeyedTable
 
@@ -378,14 +378,19 @@ def start_log_counts(raw, path, checkpoint, app_id=None, trigger=None):
     ``raw`` are lines of ``growing.stream_growing_logs``. Undated lines (stack
     traces) take the time of the dated line before them, also of an earlier epoch:
     the last time of each log is a keyed table. Ahead of the first dated line
-    they take the file's own time.
+    they take the file's own time. The lines of an epoch are read from their files
+    once and kept with their time until they are counted.
     """
 
     def land(df, epoch):
         spark = df.sparkSession
-        lines = df.withColumn("app_id", app_of_file(app_id)).withColumn("_chunk", F.floor(F.col("at") / LOG_CHUNK))
-        seen = carried(timed(lines), LOG, ["_chunk"], ["at"], fill={"time_ms": F.col("ts_ms")})
+        read = scratch_path(spark, "log-read")
+        dated = timed(df.withColumn("app_id", app_of_file(app_id))).select(*LOG, "file", "at", "file_ms", "ts_ms", "line")
+        dated.write.option("compression", "zstd").parquet(read)
+        lines = spark.read.parquet(read).withColumn("_chunk", F.floor(F.col("at") / LOG_CHUNK))
+        seen = carried(lines, LOG, ["_chunk"], ["at"], fill={"time_ms": F.col("ts_ms")})
         seen = written(spark, seen.select(*LOG, "file", "at", "file_ms", "time_ms", "line"), "log-lines")
+        delete(spark, read)
         if seen.isEmpty():
             return
         table = KeyedTable(spark, f"{path}/state", LOG, _last_times)

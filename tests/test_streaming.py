@@ -310,3 +310,20 @@ def test_a_table_fed_in_steps_is_computed_once(spark, tmp_path):
     ended = SimpleNamespace(awaitTermination=lambda: None)
     fed(SimpleNamespace(spark=spark), df, "steps", "part", [1, 2, 3], lambda stream: read.append(stream.isStreaming) or ended)
     assert rows.value == 30 and read == [True] * 3
+
+
+def test_lines_of_an_epoch_are_read_once(spark, tmp_path):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    schema = "file string, log string, at long, file_ms long, line string"
+    lines = [("/x/app-1/driver.log", "x#1", 10 * i, 0, f"24/01/01 00:0{i}:00 ERROR fail" if i % 2 == 0 else "  at x") for i in range(8)]
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/in")
+    raw = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").mapInArrow(counted, schema)
+    live.start_log_counts(raw, f"{tmp_path}/out", f"{tmp_path}/checkpoint", F.lit("a")).awaitTermination()
+    counts = live.log_counts(spark, f"{tmp_path}/out").collect()
+    assert rows.value == 8 and sum(r.lines for r in counts) == 8 and len({r.minute for r in counts}) == 4
