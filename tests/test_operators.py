@@ -62,6 +62,44 @@ def test_executors_with_failures_or_slow_tasks_come_first(spark):
     assert [(r.executor_id, r.reason) for r in got] == [("r", "2.0× stage avg"), ("s", "1 failed · excluded"), ("q", ""), ("p", "")]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _stage_tables(spark):
+    """One stage with five tasks, and what its reports read."""
+    tasks = spark.createDataFrame(
+        [("a", 1, 0, i, 0, str(i % 2), d, s, x, "E: x" if s == "FAILED" else None) for i, (d, s, x) in enumerate(
+            [(100, "SUCCESS", "ANY"), (200, "SUCCESS", "ANY"), (300, "SUCCESS", "HOST"), (900, "SUCCESS", None), (50, "FAILED", "ANY")])],
+        "app_id string, stage_id long, attempt_id long, task_id long, attempt long, executor_id string, duration_ms long, status string, locality string, error_message string",
+    ).withColumns({"shuffle_read_bytes": F.lit(0), "spill_bytes": F.lit(0)})
+    stages = spark.createDataFrame(
+        [("a", 1, 0, "COMPLETE", 10, 1000)], "app_id string, stage_id long, attempt_id long, status string, jvm_gc_time long, executor_run_time long"
+    )
+    per_executor = stats.rollup_executors(tasks).withColumn("is_excluded", F.lit(False))
+    return stages, tasks, per_executor
+
+
+def test_stage_detail_makes_its_quantiles_once(spark):
+    _, tasks, per_executor = _stage_tables(spark)
+    found = report.stage_detail(tasks, per_executor, {"duration": ("duration_ms", "ms")})
+    assert "collect_list" not in _plan(found)
+    assert "Join" not in _plan(stats.executor_flags(per_executor))
+    assert sorted((r.part, r.subject, r.amount, r.note) for r in found.collect()) == [
+        ("executors", "0", 450, "1 failed"), ("executors", "1", 1100, ""), ("failed", "4", 50, "E: x"),
+        ("quantiles", "duration", 900, "100 200 300 900 900"),
+        ("slowest", "0", 100, ""), ("slowest", "1", 200, ""), ("slowest", "2", 300, ""), ("slowest", "3", 900, "straggler ×3.0"), ("slowest", "4", 50, ""),
+    ]
+
+
+def test_stage_report_counts_locality_and_stragglers_in_one_shuffle(spark, monkeypatch):
+    stages, tasks, per_executor = _stage_tables(spark)
+    monkeypatch.setattr(stats, "locality", None)
+    got = report.stage_report(stages, tasks, per_executor, {"duration": ("duration_ms", "ms")}).first()
+    assert (got.locality, got.tasks, got.mostly_remote) == ("locality (of 5 tasks) ANY 3 · HOST 1", 5, True)
+    assert (got.stragglers, got.median_ms, got.max_ms, got.flagged_executors) == (1, 300.0, 900.0, 1)
+
+
 def test_locality_text(spark):
     levels = ["RACK_LOCAL"] * 120 + ["ANY"] * 130 + ["PROCESS_LOCAL", "", None, "HOST"]
     df = spark.createDataFrame([("a", 1, 0, x) for x in levels], "app_id string, stage_id long, attempt_id long, locality string")

@@ -98,6 +98,24 @@ def test_top_n_keeps_exactly_the_first_rows(spark):
         assert [(r.id, r.rank) for r in got if r.k == k] == [(d[1], i + 1) for i, d in enumerate(want)]
 
 
+def test_top_n_cuts_rows_before_its_one_shuffle(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), "id")
+    plan = ordered.top_n(df, ["k"], [F.desc("id")], 5, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("WindowGroupLimit") == 2
+    # More rows than Spark's limit on windows takes: by salts.
+    many = ordered.top_n(df, ["k"], [F.desc("id")], 1200, ["id"]).where("k = 1").orderBy("rank").collect()
+    assert [(r.id, r["rank"]) for r in many] == [(2999 - 2 * i, i + 1) for i in range(1200)]
+
+
+def test_small_keys_are_shuffled_as_rows_not_as_lists(spark):
+    df = spark.range(900).select((F.col("id") % 300).alias("k"), (F.col("id") * 7).alias("v"))
+    found = ordered.order_statistics(df, ["k"], {"m": "v"}, {"last": lambda n: n - 1})
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffles = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert not [line for line in shuffles if "collect_list" in line]
+    assert {(r.k, r.n, r["last"]) for r in found.collect()} == {(k, 3, (k + 600) * 7.0) for k in range(300)}
+
+
 def test_tail_by_number(spark):
     df = spark.range(100).select(F.lit("f").alias("f"), F.col("id").alias("n"))
     assert [r.n for r in ordered.tail_by_number(df, ["f"], "n", 3).orderBy("n").collect()] == [97, 98, 99]
