@@ -100,6 +100,13 @@ def test_stage_report_counts_locality_and_stragglers_in_one_shuffle(spark, monke
     assert (got.stragglers, got.median_ms, got.max_ms, got.flagged_executors) == (1, 300.0, 900.0, 1)
 
 
+def test_slowest_stages_are_looked_up_once(spark):
+    stages, tasks, _ = _stage_tables(spark)
+    found = stats.slowest_stages(stages, tasks, {"duration": ("duration_ms", "ms")})
+    assert "jvm_gc_time#" not in "".join(line for line in _plan(found).splitlines() if "LogicalRDD" in line)
+    assert [(r.stage_id, r["rank"], r.skew) for r in found.collect()] == [(1, 1, None)]
+
+
 def test_locality_text(spark):
     levels = ["RACK_LOCAL"] * 120 + ["ANY"] * 130 + ["PROCESS_LOCAL", "", None, "HOST"]
     df = spark.createDataFrame([("a", 1, 0, x) for x in levels], "app_id string, stage_id long, attempt_id long, locality string")
