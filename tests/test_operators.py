@@ -427,6 +427,24 @@ def test_windows_of_any_length_are_few_pieces(spark):
     assert got == sorted((i, n) for i, a, b in spans for n, t in enumerate(times) if t is not None and a <= t <= b)
 
 
+def test_lines_meet_long_windows_once(spark):
+    rng = random.Random(5)
+    start, hour = _at("00:00:00"), 3600_000
+    # 3000 lines of ten hours, and 2000 of one moment.
+    times = [start + rng.randrange(10 * hour) for _ in range(3000)] + [start + hour] * 2000 + [None] * 5
+    spans = [(i, start + rng.randrange(5 * hour)) for i in range(40)]
+    spans = [(i, a, a + rng.randrange(1, 12) * hour) for i, a in spans] + [(40, start - hour, start - 1), (41, start, start - 1), (42, start + hour, start + hour)]
+    spans += [spans[0], (43, None, None), (44, -(2**63), 2**63 - 1)]
+    windows = spark.createDataFrame([("a", *s) for s in spans], "app_id string, id long, from_ms long, to_ms long")
+    filled = spark.createDataFrame([("a", "f", i, t) for i, t in enumerate(times)], "app_id string, file string, line_no long, time_ms long")
+    cells, lines = logs.time_cells(windows, filled)
+    sizes = [r["count"] for r in lines.groupBy("_cell").count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 1.5 * logs.LINES_PER_CELL
+    pairs = sorted((i, n) for i, a, b in spans if a is not None for n, t in enumerate(times) if t is not None and a <= t <= b)
+    assert cells.count() <= len(pairs) / logs.LINES_PER_CELL + 2 * len(spans)
+    assert sorted((r.id, r.line_no) for r in logs.in_windows(windows, filled).collect()) == pairs
+
+
 def test_lines_of_windows_are_counted_without_pairs(spark):
     rng = random.Random(9)
     start, day = _at("00:00:00"), 24 * 3600_000
