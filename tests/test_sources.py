@@ -343,3 +343,25 @@ def test_blocks_that_are_given_are_not_replayed_again(spark, event_logs):
     blocks = storage.rdd_blocks(events).localCheckpoint()
     for table in (storage.rdds, storage.executor_usage, storage.rdd_distribution):
         assert sorted(map(repr, table(events, blocks).collect())) == sorted(map(repr, table(events).collect()))
+
+
+def test_starts_of_executions_are_parsed_once_and_without_stages(spark):
+    start = '{"Event":"SparkListenerJobStart","Job ID":%d,"Stage Infos":[{"Stage ID":1}]%s}'
+    end = '{"Event":"SparkListenerJobEnd","Job ID":%s,"Job Result":{"Result":"%s"}}'
+    run = eventlog.SQL_UI + "SparkListenerSQLExecution"
+    lines = [
+        start % (1, ',"Properties":{"spark.sql.execution.id":"7","x":"y"}'), start % (2, ',"Properties":{"x":"y"}'), start % (3, ""),
+        start % (4, ',"Properties":{"spark.sql.execution.id":"z"}'), start % (5, ',"Properties":{"spark.sql.execution.id":"7"}'),
+        end % (1, "JobFailed"), end % ("null", "JobSucceeded"),
+        f'{{"Event":"{run}Start","executionId":7,"physicalPlanDescription":"Scan","time":5}}', f'{{"Event":"{run}End","executionId":7,"time":9,"errorMessage":""}}',
+        f'{{"Event":"{run}Start","executionId":8,"description":"d","time":6}}', f'{{"Event":"{run}End","time":9,"errorMessage":"x"}}',
+    ]
+    events = eventlog.events_of(spark.createDataFrame([("a", x) for x in lines], "app_id string, value string"))
+    jobs, runs = eventlog.sql_jobs(events), eventlog.sql(events)
+    assert sorted((r.job_id, r.execution_id, r.state) for r in jobs.collect()) == [(1, 7, "failed"), (5, 7, "running")]
+    got = sorted((r.execution_id, r.status, r.description, r.submitted_ms, r.duration_ms, r.error_message) for r in runs.collect())
+    assert got == [(7, "COMPLETED", "", 5, 4, None), (8, "RUNNING", "d", 6, 0, None)]
+    for df in (jobs, runs):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Stage Infos") + plan.count("physicalPlanDescription") == 0
+        assert plan.count("spark.sql.execution.id,StringType") + plan.count("StructField(description") == 1
