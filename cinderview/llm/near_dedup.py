@@ -20,9 +20,11 @@ bucket, then the differences Dx and Dy from c share more than a part ``(1 - k) /
 Dy, with ``k = (1 - t) / (1 + t)``, and at least |Dx| less what x and y may differ by.
 The part holds for Dx too only if y is not linked to c either: an unlinked member has
 the longer prefix to meet linked ones, and the shorter one to meet other unlinked ones.
-Prefixes of these lengths, in an order that puts elements foreign to the centre first,
-must meet, so x and y are together in the group of a centre and an element. Groups of
-``SMALL_GROUP`` members or fewer are paired, filtered by position and verified. A larger
+Prefixes of these lengths, in an order that all members of a centre share, must meet, so
+x and y are together in the group of a centre and an element. The order puts elements
+first that no pair can meet in, then those of few members: what many copies have or lack
+alike comes last, mostly past the prefixes, so groups stay small however many copies
+there are. Groups of ``SMALL_GROUP`` members or fewer are paired, filtered by position and verified. A larger
 group is a bucket again: its members are paired with one more centre, an unlinked member
 that most of the centre's groups share, and what is not linked to that one meets in the
 differences from it, round after round, until no group is large. A centre leaves its
@@ -34,7 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.ordered import union_all
 from .bytehash import LOWER, mixed, prefix_sums, span_hashes, words
@@ -45,6 +47,8 @@ BAND_ROWS = 5
 MISS = 1e-5
 SLOT_MEMBERS = 256
 SMALL_GROUP = 256
+# Elements of differences in one Arrow batch (more if those of one member are), so that a Python worker holds few at a time.
+BATCH_ELEMENTS = 1 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -166,11 +170,11 @@ def chosen_centres(spark, shared):
     )
 
 
-VERIFIED = "a long, b long, linked boolean, size long, differ long, prefix array<long>"
+VERIFIED = "a long, b long, linked boolean, size long, differ long, difference array<long>"
 
 
 def verify(spark, pairs, source, width, percent):
-    """Compare full sets: ``a, b, linked`` and, where ``others`` is set, the prefix of a's difference from b.
+    """Compare full sets: ``a, b, linked`` and, where ``others`` is set, a's difference from b.
 
     ``pairs`` has ``a, b, others``; rows of one ``b`` share a copy of its text for each
     ``SLOT_MEMBERS`` of them.
@@ -186,7 +190,12 @@ def verify(spark, pairs, source, width, percent):
         .repartition("b", "slot")
         .sortWithinPartitions("b", "slot", "is_member")
     )
-    k = (100 - percent) / (100 + percent)
+
+    def packed(out):
+        columns = list(zip(*out)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        names = ["a", "b", "linked", "size", "differ", "difference"]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
 
     def run(stream):
         centre_id, centre = None, None
@@ -194,7 +203,7 @@ def verify(spark, pairs, source, width, percent):
             data, starts, ends = byte_view(batch.column("text"))
             ids, centres = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             member, others = batch.column("is_member").to_pylist(), batch.column("others").to_pylist()
-            out = []
+            out, held = [], 0
             for a, b in byte_chunks(batch):
                 lo = starts[a]
                 sets = shingle_hashes(data[lo : ends[b - 1]], starts[a:b] - lo, ends[a:b] - lo, width)
@@ -208,21 +217,17 @@ def verify(spark, pairs, source, width, percent):
                     known = centre[np.minimum(at, len(centre) - 1)] == own
                     common = int(known.sum())
                     linked = 100 * common >= percent * (len(own) + len(centre) - common)
-                    prefix = []
-                    differ = len(own) + len(centre) - 2 * common
+                    difference = []
                     if others[i]:
                         lost = np.ones(len(centre), bool)
                         lost[at[known]] = False
-                        # Elements foreign to the centre first: they are rare.
-                        order = np.concatenate([own[~known], centre[lost]])
-                        most = int((100 - percent) * len(own) / percent) + 1
-                        part = differ - int(differ * (1 - k) / 2 - 1e-9)
-                        prefix = order[: min(most, part if linked else differ)].view(np.int64)
-                    out.append((ids[i], centres[i], linked, len(own), differ, prefix))
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            names = ["a", "b", "linked", "size", "differ", "prefix"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
+                        difference = np.concatenate([own[~known], centre[lost]]).view(np.int64)
+                    out.append((ids[i], centres[i], linked, len(own), len(own) + len(centre) - 2 * common, difference))
+                    held += len(difference)
+                    if held >= BATCH_ELEMENTS:
+                        yield packed(out)
+                        out, held = [], 0
+            yield packed(out)
 
     return rows.mapInArrow(run, VERIFIED)
 
@@ -231,16 +236,33 @@ def meetings(checked, percent):
     """``meeting, path, a, ...``: members that a group of a centre and an element brings together.
 
     ``checked`` has ``path, label`` beside the columns of ``verify``: the members of a
-    path share a centre, those of one label are known to be connected.
+    path share a centre, those of one label are known to be connected. Only elements that
+    may bring a new link are listed, at their ``place`` in the member's whole difference.
     """
     k = (100 - percent) / (100 + percent)
-    places = checked.where("size(prefix) > 0").select(
-        "path", "a", "label", "linked", F.col("size").alias("own"), "differ", F.posexplode("prefix").alias("place", "element")
+    listed = checked.where("size(difference) > 0").select(
+        "path", "a", "label", "linked", F.col("size").alias("own"), "differ", F.size("difference").alias("listed"), F.explode("difference").alias("element")
+    ).withColumn("key", F.xxhash64("path", "element"))
+    sizes = listed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("unlinked"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    # What one member has, or only linked or connected ones, brings no link and is in front of the rest; of that the rare comes first.
+    meant = sizes.where("n > 1 AND unlinked > 0 AND low <> high").select("key", (F.col("n") * F.col("unlinked")).alias("pairs"))
+    member = Window.partitionBy("path", "a")
+    before = F.col("listed") - F.count(F.lit(1)).over(member)
+    places = listed.drop("element").join(written(checked.sparkSession, meant, "shared-elements").hint("merge"), "key").withColumn(
+        "place", before + F.row_number().over(member.orderBy("pairs", "key")) - 1
     )
     # Other unlinked members are met by the shorter prefix; ``meets``: whether a linked one is met.
+    most = F.floor(F.lit(100 - percent) * F.col("own") / F.lit(percent)) + 1
     part = F.col("place") < F.col("differ") - F.floor(F.col("differ") * (1 - k) / 2 - 1e-9)
-    both = F.when(~F.col("linked") & part, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-    return places.withColumn("meets", F.explode(both)).withColumn("meeting", F.xxhash64("path", "element", "meets"))
+    both = F.when(F.col("linked"), F.array(F.lit(True))).when(part, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    return (
+        places.where((F.col("place") < most) & (~F.col("linked") | part))
+        .withColumn("meets", F.explode(both))
+        .withColumn("meeting", F.xxhash64("key", "meets"))
+        .drop("key", "pairs", "listed")
+    )
 
 
 def meeting_sizes(met):

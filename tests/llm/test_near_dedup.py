@@ -115,6 +115,18 @@ def test_missed_pairs_are_found_in_the_differences(spark):
     assert [(r.a, r.b) for r in n.pairs_of_small(small, 85).collect()] == [(2, 1)]
 
 
+def test_what_all_members_lack_brings_none_together(spark):
+    # All thirty lack the same forty elements of the centre; only 1 and 2 also share what no other has.
+    rows = []
+    for a in range(1, 31):
+        rare = list(range(2000, 2030)) if a < 3 else []
+        rows.append((a, 99, False, 100, 75, [*range(1000, 1040), *rare, *range(100 * a + 10000, 100 * a + 10035 - len(rare))]))
+    df = spark.createDataFrame(rows, n.VERIFIED).selectExpr("*", "b AS path", "a AS label")
+    met = n.meetings(df, 85)
+    small = met.join(n.meeting_sizes(met), "meeting", "left_semi")
+    assert [(r.a, r.b) for r in n.pairs_of_small(small, 85).collect()] == [(2, 1)]
+
+
 def versions(rng, count, words=160, shared=0.8, edits=4):
     """Two versions of a template, unlike each other, and lightly edited copies of both."""
     base = [f"w{rng.randrange(4000)}" for _ in range(words)]
