@@ -77,3 +77,27 @@ def test_without_events(spark, tmp_path):
     odd = events_of(spark.createDataFrame([("a", "no event"), ("a", '{"Event":"Unknown"}'), (None, None)], "app_id string, value string"))
     store.add(odd, 1)
     assert all(store.tables()[name].count() == 0 for name in ("applications", "tasks", "stages"))
+
+
+def test_tables_of_a_store_read_their_own_kinds(spark, tmp_path):
+    line = '{"Event":"SparkListenerApplicationStart","App Name":"x","App ID":"a","Timestamp":1,"User":"u"}'
+    store = EventTables(spark, str(tmp_path / "store"), buckets=2)
+    store.add(spark.createDataFrame([("a", "SparkListenerApplicationStart", line, (0, 0, 0))], EVENTS), 0)
+    found = store.tables()["applications"]
+    assert found.first().name == "x"
+    assert all("/event=" in f for f in found.inputFiles())
+
+
+def test_landed_logs_parse_their_tasks_once(spark, tmp_path):
+    from cinderview.sources import eventlog
+
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "app").write_text(
+        '{"Event":"SparkListenerTaskEnd","Stage ID":1,"Stage Attempt ID":0,"Task End Reason":{"Reason":"Success"},'
+        '"Task Info":{"Task ID":5,"Executor ID":"1","Launch Time":1,"Finish Time":8},"Task Metrics":{"Executor Run Time":6}}\n'
+        '{"Event":"SparkListenerJobStart","Job ID":2,"Stage Infos":[{"Stage ID":1,"Stage Attempt ID":0,"Stage Name":"s","Number of Tasks":1}],"Stage IDs":[1]}\n'
+    )
+    tables = eventlog.read_event_logs(spark, str(tmp_path / "logs"), str(tmp_path / "landed"))
+    assert [(r.job_id, r.num_completed_tasks) for r in tables["jobs"].collect()] == [(2, 1)]
+    for name in ("tasks", "stages", "jobs", "executors"):
+        assert "SparkListenerTaskEnd" not in tables[name]._jdf.queryExecution().optimizedPlan().toString()
